@@ -125,7 +125,7 @@ def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         total *= np.uint64(_BASE)
         total += hashes[j : j + n]
-    return mix(total + np.uint64(k) * _GOLD)
+    return mix(total + np.uint64(k * int(_GOLD) & 0xFFFFFFFFFFFFFFFF))
 
 
 def inside_texts(first: np.ndarray, n: int, k: int) -> np.ndarray:

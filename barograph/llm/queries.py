@@ -5,14 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barograph.llm import sharding, url_filter
-from barograph.sources.tables import table
+from barograph.llm import audio, chat, decontamination, sharding, url_filter
+from barograph.sources.tables import materialize, table
 
 
 def op3_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = "</s>[INST] ok [/INST]"  # fixed by the contract
+    more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digests(chat.format_turns(chat.text_parts(turns)))
+
+
+def op6_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: Fixed values of the contract: host, path, verdict.
 URL_RULES = [
     ("org", "/", "allow"),
@@ -28,7 +39,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.match(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op3_balanced_label_propagation, op9_url_filter)}
+def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = materialize(audio.text_as_media(table(spark, sf_dir, "documents")), "media")
+    return audio.digests(audio.features(media))
+
+
+QUERIES = {f.__name__: f for f in (op3_balanced_label_propagation, op4_chat_formatting, op6_winnowing_decontamination, op9_url_filter, op10_audio_features)}
 
 _OP9 = r"""
 WITH p AS (
@@ -46,4 +62,21 @@ SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 FROM p LEFT JOIN m ON p.host = m.host AND p.path = m.path
 """
 
-ORACLES = {"op9_url_filter": _OP9}
+_OP6 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bi AS (SELECT item_id, w, least(13, len(w)) AS k, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS span FROM bi),
+ks AS (SELECT DISTINCT k FROM bw),
+di AS (SELECT row, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k),
+h AS (SELECT row, i, di.k, item_id FROM di JOIN bw ON di.k = bw.k AND array_to_string(w[i:i + di.k - 1], ' ') = span),
+n AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(i, i + k)) AS p FROM h) GROUP BY row),
+m AS (SELECT row, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM h GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n ON n.row = d.row LEFT JOIN m ON m.row = d.row
+"""
+
+ORACLES = {"op6_winnowing_decontamination": _OP6, "op9_url_filter": _OP9}
