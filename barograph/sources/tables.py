@@ -24,8 +24,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: its lineage ends there, and a lost executor costs no recomputation."""
+def write_shared(df: DataFrame, name: str, codec: str | None = None) -> str:
+    """Writes ``df`` as Parquet to a new folder in the shared folder and returns its path."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write.option("compression", codec) if codec else df.write
+    writer.parquet(path)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes what ``write_shared`` wrote, once nothing reads it any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage ends there, and a lost executor costs no recomputation."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, name, codec))
