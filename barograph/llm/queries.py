@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barograph.llm import audio, chat, decontamination, sharding, url_filter
+from barograph.llm import audio, chat, content_store, decontamination, sharding, url_filter
 from barograph.sources.tables import materialize, table
 
 
@@ -20,6 +21,11 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(chat.text_parts(turns)))
 
 
+def op5_content_addressed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = content_store.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return content_store.read_back(spark, store)
+
+
 def op6_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,7 +50,7 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digests(audio.features(media))
 
 
-QUERIES = {f.__name__: f for f in (op3_balanced_label_propagation, op4_chat_formatting, op6_winnowing_decontamination, op9_url_filter, op10_audio_features)}
+QUERIES = {f.__name__: f for f in (op3_balanced_label_propagation, op4_chat_formatting, op5_content_addressed_store, op6_winnowing_decontamination, op9_url_filter, op10_audio_features)}
 
 _OP9 = r"""
 WITH p AS (
