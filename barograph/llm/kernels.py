@@ -101,6 +101,11 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((sums[ends] - sums[starts]) * _power(_INVERSE, n + 1, "down")[starts])
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z as a-z."""
+    return _LOWER[data]
+
+
 def words(texts: Bytes) -> Words:
     data = _LOWER[texts.data]
     inside = _IS_WORD[data]

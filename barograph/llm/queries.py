@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barograph.llm import audio, chat, content_store, decontamination, sharding, url_filter
+from barograph.llm import audio, chat, content_store, decontamination, sharding, toxicity, url_filter
 from barograph.sources.tables import materialize, table
 
 
@@ -30,6 +30,14 @@ def op6_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_multiple_instance_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, model, ["doc_id"])
+    held_out = F.coalesce(toxicity.fold() == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
+
+
 #: Fixed values of the contract: host, path, verdict.
 URL_RULES = [
     ("org", "/", "allow"),
@@ -50,7 +58,7 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digests(audio.features(media))
 
 
-QUERIES = {f.__name__: f for f in (op3_balanced_label_propagation, op4_chat_formatting, op5_content_addressed_store, op6_winnowing_decontamination, op9_url_filter, op10_audio_features)}
+QUERIES = {f.__name__: f for f in (op3_balanced_label_propagation, op4_chat_formatting, op5_content_addressed_store, op6_winnowing_decontamination, op7_multiple_instance_toxicity, op9_url_filter, op10_audio_features)}
 
 _OP9 = r"""
 WITH p AS (
