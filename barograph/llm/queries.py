@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barograph.llm import audio, chat, content_store, decontamination, sharding, toxicity, url_filter
+from barograph.llm import audio, chat, content_store, decontamination, near_duplicates, sharding, toxicity, url_filter
 from barograph.sources.tables import materialize, table
 
 
@@ -38,6 +38,11 @@ def op7_multiple_instance_toxicity(spark: SparkSession, sf_dir: str) -> DataFram
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
 
 
+def op8_bagminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size", "n_links", "keep")
+
+
 #: Fixed values of the contract: host, path, verdict.
 URL_RULES = [
     ("org", "/", "allow"),
@@ -58,7 +63,7 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digests(audio.features(media))
 
 
-QUERIES = {f.__name__: f for f in (op3_balanced_label_propagation, op4_chat_formatting, op5_content_addressed_store, op6_winnowing_decontamination, op7_multiple_instance_toxicity, op9_url_filter, op10_audio_features)}
+QUERIES = {f.__name__: f for f in (op3_balanced_label_propagation, op4_chat_formatting, op5_content_addressed_store, op6_winnowing_decontamination, op7_multiple_instance_toxicity, op8_bagminhash_near_duplicates, op9_url_filter, op10_audio_features)}
 
 _OP9 = r"""
 WITH p AS (
