@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barograph.llm import kernels
+from barograph.llm import bitmaps, kernels
 from barograph.sources.tables import materialize
 
 #: Words of a gram, grams of a window, and the shortest shared span that is always found.
@@ -111,14 +111,8 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataF
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text").mapInArrow(_fingerprints(short, None), f"id bigint, n_words bigint, prints {_PRINTS}")
     items = materialize(items.select("id", "n_words", F.explode("prints").alias("p")).select(F.col("id").alias("item_id"), "n_words", "p.fp", "p.k", "p.whole", F.col("p.left").alias("i_left"), F.col("p.right").alias("i_right")), "benchmark-prints")
     short = sorted(r["k"] for r in items.where("whole").select("k").distinct().collect())  # at most SPAN - 1 rows
-    low = F.expr(f"fp & {(1 << BITS) - 1}") + 1
-    pages = items.groupBy(F.bitmap_bucket_number(low).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(low)).alias("bits")).collect()  # 4 KB each, 2**BITS bits in all
-    page = 1 << 12
-    bitmap = bytearray(max(page, (1 << BITS) // 8))
-    for r in pages:
-        bitmap[(r["page"] - 1) * page : r["page"] * page] = r["bits"]
-
-    found = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints(short, bytes(bitmap)), f"id bigint, n_words bigint, prints {_PRINTS}")
+    bitmap = bitmaps.build(items, F.expr(f"fp & {(1 << BITS) - 1}"), 1 << BITS)
+    found = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints(short, bitmap), f"id bigint, n_words bigint, prints {_PRINTS}")
     found = materialize(found.select(F.monotonically_increasing_id().alias("row"), F.col("id").alias("doc_id"), "n_words", "prints"), "training-prints")
     hits = found.select("row", F.explode("prints").alias("p")).select("row", "p.*").join(items.drop("n_words"), ["fp", "k", "whole"])
     hits = hits.withColumns({"l": _common("left", "i_left"), "r": _common("right", "i_right")})

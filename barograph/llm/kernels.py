@@ -93,14 +93,19 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, the same wherever the bytes stand."""
-    n = len(data)
+def run_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of codes, the same wherever the codes stand."""
+    n = len(codes)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_CODE[data] * _power(_BASE, n + 1, "up")[:n], out=sums[1:])
+    np.cumsum(codes * _power(_BASE, n + 1, "up")[:n], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * _power(_INVERSE, n + 1, "down")[starts])
 
 
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range."""
+    return run_hashes(_CODE[data], starts, ends)
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """A-Z as a-z."""
     return _LOWER[data]
@@ -121,6 +126,53 @@ def words(texts: Bytes) -> Words:
     return Words(range_hashes(data, starts, ends), starts, ends, np.searchsorted(starts, texts.offsets))
 
 
+_IS_SPACE = np.zeros(256, dtype=bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_IS_STOP = np.zeros(256, dtype=bool)
+_IS_STOP[[ord(c) for c in ".!?"]] = True
+
+
+class Sentences(NamedTuple):
+    """Byte ranges without the white space around, numbers of space-separated words, and each text's first sentence."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    n_words: np.ndarray
+    first: np.ndarray
+
+
+def sentences(texts: Bytes) -> Sentences:
+    """A sentence ends at a line break, or after ``.``, ``!`` or ``?`` where white space follows."""
+    data, n = texts.data, len(texts.data)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return Sentences(none, none, none, np.zeros(len(texts.offsets), np.int64))
+    space = _IS_SPACE[data]
+    edges = texts.offsets[(texts.offsets > 0) & (texts.offsets < n)]
+    cut = data == 10
+    cut[1:] |= space[1:] & _IS_STOP[data[:-1]]
+    cut[edges] = True
+    begins_word = ~space
+    begins_word[1:] &= space[:-1]
+    begins_word[edges] = ~space[edges]
+    visible = np.flatnonzero(~space)
+    number = np.cumsum(cut)[visible]
+    new = np.ones(len(visible), dtype=bool)
+    new[1:] = number[1:] != number[:-1]
+    starts = visible[new]
+    ends = visible[np.append(np.flatnonzero(new)[1:], len(visible)) - 1] + 1 if len(starts) else starts
+    word_starts = np.flatnonzero(begins_word)
+    # A cut may fall inside what spaces alone would call one word only at the edge of a text, where a word begins anew.
+    counts = np.diff(np.append(np.searchsorted(word_starts, starts), len(word_starts)))
+    return Sentences(starts, ends, np.maximum(counts, 1), np.searchsorted(starts, texts.offsets))
+
+
+def char_offsets(texts: Bytes, at: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Byte places as characters from the start of their text."""
+    sums = np.concatenate([[0], np.cumsum((texts.data & 0xC0) != 0x80)])
+    return sums[at] - sums[texts.offsets[text]]
+
+
 def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of each k neighbouring hashes; there are len - k + 1."""
     n = len(hashes) - k + 1

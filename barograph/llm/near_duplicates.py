@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barograph.llm import kernels
+from barograph.llm import bitmaps, kernels
 from barograph.sources.tables import materialize
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -133,19 +133,8 @@ def components(edges: DataFrame) -> DataFrame:
 _DIGITS = 6
 
 
-def _bitmap(digests: DataFrame) -> bytearray:
-    at = F.conv(F.substring("digest", 1, _DIGITS), 16, 10).cast("long") + 1
-    pages = digests.groupBy(F.bitmap_bucket_number(at).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).toLocalIterator()
-    out, page = bytearray(16**_DIGITS // 8), 1 << 12
-    for r in pages:
-        out[(r["page"] - 1) * page : r["page"] * page] = r["bits"]
-    return out
-
-
-def _has_bit(bitmap: bytearray) -> Column:
-    at = F.conv(F.substring("digest", 1, _DIGITS), 16, 10).cast("int")
-    byte = F.conv(F.hex(F.substring(F.lit(bytes(bitmap)), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.pmod(byte / F.pow(F.lit(2), F.pmod(at, F.lit(8))).cast("int"), F.lit(2)) >= 1
+def _bit() -> Column:
+    return F.conv(F.substring("digest", 1, _DIGITS), 16, 10).cast("int")
 
 
 def digest() -> Column:
@@ -165,7 +154,7 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = in_buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = materialize(in_buckets.join(shared, "bucket"), "members")
     candidates = materialize(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "digest"), "candidates")
-    wanted = texts.where(_has_bit(_bitmap(candidates))).groupBy("digest").agg(F.first("text").alias("text"))
+    wanted = texts.where(bitmaps.has(bitmaps.build(candidates, _bit(), 16**_DIGITS), _bit())).groupBy("digest").agg(F.first("text").alias("text"))
     bodies = materialize(wanted.join(candidates, "digest").select("node", "text"), "bodies")
 
     labels = links = None

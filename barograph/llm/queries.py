@@ -6,10 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barograph.llm import audio, chat, content_store, decontamination, near_duplicates, sharding, toxicity, url_filter
+from barograph.llm import audio, chat, content_store, decontamination, near_duplicates, sharding, substring_dedup, toxicity, url_filter
 from barograph.sources.tables import materialize, table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").alias("chars_before"))
+    removed = substring_dedup.deduplicate(docs)
+    n_spans = F.coalesce(F.size("_removed"), F.lit(0))  # size of null is null under ANSI
+    return removed.select("doc_id", "text", n_spans.alias("n_repeated_spans"), (F.col("chars_before") - F.length("text")).alias("removed_chars"))
+
+
 def op3_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -63,7 +70,7 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digests(audio.features(media))
 
 
-QUERIES = {f.__name__: f for f in (op3_balanced_label_propagation, op4_chat_formatting, op5_content_addressed_store, op6_winnowing_decontamination, op7_multiple_instance_toxicity, op8_bagminhash_near_duplicates, op9_url_filter, op10_audio_features)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_balanced_label_propagation, op4_chat_formatting, op5_content_addressed_store, op6_winnowing_decontamination, op7_multiple_instance_toxicity, op8_bagminhash_near_duplicates, op9_url_filter, op10_audio_features)}
 
 _OP9 = r"""
 WITH p AS (
