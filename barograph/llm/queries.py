@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barograph.llm import audio, chat, content_store, decontamination, near_duplicates, sharding, substring_dedup, toxicity, url_filter
+from barograph.llm import audio, chat, content_store, decontamination, near_duplicates, piece_dropout, sharding, substring_dedup, toxicity, url_filter
 from barograph.sources.tables import materialize, table
 
 
@@ -17,6 +17,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed.select("doc_id", "text", n_spans.alias("n_repeated_spans"), (F.col("chars_before") - F.length("text")).alias("removed_chars"))
 
 
+def op2_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_dropout.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).drop("ids")
+
+
 def op3_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -70,7 +74,7 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digests(audio.features(media))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_balanced_label_propagation, op4_chat_formatting, op5_content_addressed_store, op6_winnowing_decontamination, op7_multiple_instance_toxicity, op8_bagminhash_near_duplicates, op9_url_filter, op10_audio_features)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_merge_dropout, op3_balanced_label_propagation, op4_chat_formatting, op5_content_addressed_store, op6_winnowing_decontamination, op7_multiple_instance_toxicity, op8_bagminhash_near_duplicates, op9_url_filter, op10_audio_features)}
 
 _OP9 = r"""
 WITH p AS (

@@ -166,30 +166,37 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model
 _OFFENDING = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
 
-def _score(model: Model):
+def _score(model: Model, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.frombuffer(model.weights, "<f4").astype(np.float64)
         for batch in batches:
-            for part in kernels.slices(batch, "_text"):
-                b = bags(kernels.text_bytes(part.column("_text")))
+            for part in kernels.slices(batch, "text"):
+                b = bags(kernels.text_bytes(part.column("text")))
                 p, whole = probabilities(b, weights, model.bias)
                 found: list[list[dict]] = [[] for _ in range(part.num_rows)]
                 for s in np.flatnonzero(p >= 0.5).tolist():
                     d = int(np.searchsorted(b.doc_first, s, side="right")) - 1
                     found[d].append({"start": int(b.begins[s]), "end": int(b.ends[s]), "score": float(p[s])})
                 score = np.round(np.clip(whole, 0, 1), 9)
-                kept = [part.column(c) for c in part.schema.names if c != "_text"]
-                names = [c for c in part.schema.names if c != "_text"]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(score), pa.array(found, _OFFENDING)], [*names, "score", "offending"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(score), pa.array(found, _OFFENDING)], [*kept, "score", "offending"])
 
     return run
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of docs, ``score``, and ``offending``: byte ranges of the sentences of 0.5 or more."""
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(_score(model), f"{fields}, score double, offending array<struct<start: bigint, end: bigint, score: double>>")
+    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    fields = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep)
+    return rows.mapInArrow(_score(model, keep), f"{fields}score double, offending array<struct<start: bigint, end: bigint, score: double>>")
+
+
+def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score less than the threshold."""
+    names = [f"c{i}" for i in range(len(docs.columns))]  # a column may be called like a result
+    at = docs.columns.index("text")
+    rows = docs.toDF(*names).withColumnRenamed(names[at], "text")
+    kept = ["text" if i == at else c for i, c in enumerate(names)]
+    return score(rows, model, kept).where(F.col("score") < threshold).select(*kept).toDF(*docs.columns)
 
 
 def fold(doc_id: str = "doc_id") -> Column:
