@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Days since this date (a Monday) drive the cycles.
@@ -31,17 +31,20 @@ def julian_day(date: Column) -> Column:
     return F.unix_date(date) + F.lit(2440587.5)
 
 
-def heliocentric(date: Column, body: str, steps: int = 7) -> tuple[Column, Column]:
-    """x and y in the plane of the ecliptic (inclination left out), in au; Kepler's equation by Newton's steps."""
+def with_heliocentric(df: DataFrame, body: str, steps: int = 7) -> DataFrame:
+    """Adds body_x and body_y in the plane of the ecliptic (inclination left out), in au; Kepler's equation by Newton's steps.
+
+    The steps fold over an array, so the expression does not grow with each.
+    """
     a, e, longitude, perihelion, rate, turn = ELEMENTS[body]
-    century = (julian_day(date) - 2451545.0) / 36525
-    w = F.radians(F.lit(perihelion) + turn * century)
-    m = F.radians(F.pmod(F.lit(longitude) + rate * century - (F.lit(perihelion) + turn * century), F.lit(360.0)))
-    big = m
-    for _ in range(steps):
-        big = big - (big - e * F.sin(big) - m) / (1 - e * F.cos(big))
-    x, y = a * (F.cos(big) - e), a * math.sqrt(1 - e * e) * F.sin(big)
-    return x * F.cos(w) - y * F.sin(w), x * F.sin(w) + y * F.cos(w)
+    century = (julian_day(F.col("date")) - 2451545.0) / 36525
+    df = df.withColumn("_w", F.radians(F.lit(perihelion) + turn * century))
+    df = df.withColumn("_m", F.radians(F.pmod(F.lit(longitude) + rate * century - (F.lit(perihelion) + turn * century), F.lit(360.0))))
+    newton = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.col("_m"), lambda x, _: x - (x - e * F.sin(x) - F.col("_m")) / (1 - e * F.cos(x)))
+    df = df.withColumn("_e", newton)
+    df = df.withColumns({"_x": a * (F.cos("_e") - e), "_y": a * math.sqrt(1 - e * e) * F.sin("_e")})
+    turned = {f"{body}_x": F.col("_x") * F.cos("_w") - F.col("_y") * F.sin("_w"), f"{body}_y": F.col("_x") * F.sin("_w") + F.col("_y") * F.cos("_w")}
+    return df.withColumns(turned).drop("_w", "_m", "_e", "_x", "_y")
 
 
 def next_weekday(date: Column, n: int) -> Column:
