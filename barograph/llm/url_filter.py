@@ -51,7 +51,7 @@ def match(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     keys = pages.select("host", "path").distinct()
     n_labels = F.when(F.col("host") == "", 0).otherwise(F.size(F.split("host", r"\.", -1)))
     asked = keys.withColumn("n_labels", n_labels).crossJoin(F.broadcast(shapes)).select("host", "path", "n_labels", F.explode("shapes").alias("s"))  # one row on the right
-    asked = asked.where((F.col("s.labels") <= F.col("n_labels")) & (F.col("s.chars") <= F.length("path")))
+    asked = asked.where((F.col("s.labels") <= F.col("n_labels")) & ((F.col("s.labels") > 0) | (F.col("n_labels") == 0)) & (F.col("s.chars") <= F.length("path")))
     tail = F.when(F.col("s.labels") == 0, F.lit("")).otherwise(F.array_join(F.slice(F.split("host", r"\.", -1), F.col("n_labels") - F.col("s.labels") + 1, F.col("s.labels")), "."))
     asked = asked.withColumn("digest", _digest(tail, F.substring(F.col("path"), F.lit(1), F.col("s.chars")))).withColumn("short", F.left("digest", F.lit(SHORT)))
     hits = asked.join(rules, F.col("short") == F.col("r_short")).where(F.col("digest") == F.col("r_digest"))
