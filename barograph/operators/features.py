@@ -9,23 +9,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barograph.functions.windows import BY_SYMBOL, change, fill_forward, ratio, roll
-
-W = BY_SYMBOL
+from barograph.functions.windows import by_symbol, change, fill_forward, ratio, roll
 
 
 def gap(df: DataFrame) -> DataFrame:
-    return df.withColumn("gap", F.coalesce(ratio(F.col("open"), F.lag("close").over(W)) - 1, F.lit(0.0)))
+    return df.withColumn("gap", F.coalesce(ratio(F.col("open"), F.lag("close").over(by_symbol())) - 1, F.lit(0.0)))
 
 
 def true_range() -> Column:
-    last = F.lag("close").over(W)
+    last = F.lag("close").over(by_symbol())
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - last), F.abs(F.col("low") - last))
 
 
 def atr_norm(df: DataFrame, n: int = 14) -> DataFrame:
     df = df.withColumn("tr", true_range())
-    return df.withColumn("atr_norm", F.coalesce(ratio(roll(F.avg, "tr", n, n), F.lag("close").over(W)), F.lit(0.0)))
+    return df.withColumn("atr_norm", F.coalesce(ratio(roll(F.avg, "tr", n, n), F.lag("close").over(by_symbol())), F.lit(0.0)))
 
 
 def returns(df: DataFrame, ks: tuple[int, ...] = (1, 5, 20, 60, 252)) -> DataFrame:
@@ -41,7 +39,7 @@ def volume(df: DataFrame) -> DataFrame:
 
 def volume_flags(df: DataFrame) -> DataFrame:
     df = volume(df).withColumn("r", F.coalesce(change("close"), F.lit(0.0)))
-    more = F.col("rvol20") - F.lag("rvol20").over(W)
+    more = F.col("rvol20") - F.lag("rvol20").over(by_symbol())
     return df.withColumns({
         "div_down_vol_up": F.when((F.col("r") < 0) & (F.col("rvol20") > 1), 1).otherwise(0),
         "energy_fade": F.when((F.col("r") > 0) & (more < 0), 1).otherwise(0),
@@ -69,12 +67,12 @@ def volume_log_ratio(df: DataFrame) -> DataFrame:
 def deviation(df: DataFrame, n: int = 25) -> DataFrame:
     z = ratio(F.col("close") - roll(F.avg, "close", n, n), roll(F.stddev_pop, "close", n, n))
     df = df.withColumn("dev_z", z)
-    return df.withColumn("dev_score", F.col("dev_z") * F.lag("dev_z").over(W))
+    return df.withColumn("dev_score", F.col("dev_z") * F.lag("dev_z").over(by_symbol()))
 
 
 def distribution_days(df: DataFrame) -> DataFrame:
-    falls = (F.col("close") < F.lag("close").over(W)) & (F.col("volume") > F.lag("volume").over(W))
-    rises = (F.col("close") >= F.lag("close").over(W)) & (F.col("volume") > F.lag("volume").over(W))
+    falls = (F.col("close") < F.lag("close").over(by_symbol())) & (F.col("volume") > F.lag("volume").over(by_symbol()))
+    rises = (F.col("close") >= F.lag("close").over(by_symbol())) & (F.col("volume") > F.lag("volume").over(by_symbol()))
     df = df.withColumns({"distribution": F.when(falls, 1).otherwise(0), "absorption": F.when(rises, 1).otherwise(0)})
     return df.withColumn("dist_25", roll(F.sum, "distribution", 25, 1))
 
@@ -103,7 +101,7 @@ def long_context(df: DataFrame, n: int = 2016, least: int = 50) -> DataFrame:
 
 def rolling_rank(df: DataFrame, n: int = 252, least: int = 50) -> DataFrame:
     """Share of the last n closes that rank at or below the current one, ties averaged."""
-    frame = W.rowsBetween(-(n - 1), 0)
+    frame = by_symbol().rowsBetween(-(n - 1), 0)
     df = df.withColumn("_all", F.collect_list("close").over(frame))
     less = F.size(F.filter("_all", lambda x: x < F.col("close")))
     same = F.size(F.filter("_all", lambda x: x == F.col("close")))
@@ -114,7 +112,7 @@ def evaluation(df: DataFrame) -> DataFrame:
     df = df.withColumns({"r1": change("close"), "ma20": roll(F.avg, "close", 20, 5)})
     return df.withColumns({
         "ma_dev": ratio(F.col("close"), F.col("ma20")) - 1,
-        "ma_slope": ratio(F.col("ma20"), F.lag("ma20", 5).over(W)) - 1,
+        "ma_slope": ratio(F.col("ma20"), F.lag("ma20", 5).over(by_symbol())) - 1,
         "vol20": roll(F.stddev_pop, "r1", 20, 5) * 252**0.5,
         "dd20": ratio(F.col("close"), roll(F.max, "close", 20, 1)) - 1,
         "dd60": ratio(F.col("close"), roll(F.max, "close", 60, 1)) - 1,
@@ -124,23 +122,23 @@ def evaluation(df: DataFrame) -> DataFrame:
 
 def forward(df: DataFrame) -> DataFrame:
     """Not causal: labels. Next and fifth next change, and the least change to any of the next five closes."""
-    worst = F.min("close").over(W.rowsBetween(1, 5))
-    return df.withColumns({"fwd_1": ratio(F.lead("close").over(W), F.col("close")) - 1, "fwd_5": ratio(F.lead("close", 5).over(W), F.col("close")) - 1, "fwd_min_5": ratio(worst, F.col("close")) - 1})
+    worst = F.min("close").over(by_symbol().rowsBetween(1, 5))
+    return df.withColumns({"fwd_1": ratio(F.lead("close").over(by_symbol()), F.col("close")) - 1, "fwd_5": ratio(F.lead("close", 5).over(by_symbol()), F.col("close")) - 1, "fwd_min_5": ratio(worst, F.col("close")) - 1})
 
 
 def next_return(df: DataFrame) -> DataFrame:
-    return df.withColumn("next_ret", F.coalesce(ratio(F.lead("close").over(W), F.col("close")) - 1, F.lit(0.0)))
+    return df.withColumn("next_ret", F.coalesce(ratio(F.lead("close").over(by_symbol()), F.col("close")) - 1, F.lit(0.0)))
 
 
 def labelled(df: DataFrame) -> DataFrame:
     """Rows with a next one, and the change to it."""
-    df = df.withColumns({"delta": F.lead("close").over(W) - F.col("close"), "label_ret": ratio(F.lead("close").over(W), F.col("close")) - 1})
+    df = df.withColumns({"delta": F.lead("close").over(by_symbol()) - F.col("close"), "label_ret": ratio(F.lead("close").over(by_symbol()), F.col("close")) - 1})
     return df.where("delta is not null")
 
 
 def observed(df: DataFrame, columns: tuple[str, ...] = ("open", "high", "low", "close", "volume")) -> DataFrame:
     """The columns as they were one row before."""
-    return df.withColumns({c: F.lag(c).over(W) for c in columns})
+    return df.withColumns({c: F.lag(c).over(by_symbol()) for c in columns})
 
 
 def zscore(df: DataFrame, x: str = "close", n: int = 20) -> DataFrame:
@@ -149,7 +147,7 @@ def zscore(df: DataFrame, x: str = "close", n: int = 20) -> DataFrame:
 
 def previous_features(df: DataFrame) -> DataFrame:
     """Features of the row before: its change, and its close's deviation over 20 rows."""
-    df = df.withColumn("prev_close", F.lag("close").over(W))
+    df = df.withColumn("prev_close", F.lag("close").over(by_symbol()))
     df = df.withColumns({"prev_ret": change("prev_close")})
     return df.withColumn("prev_z", ratio(F.col("prev_close") - roll(F.avg, "prev_close", 20, 20), roll(F.stddev_pop, "prev_close", 20, 20)))
 
@@ -162,7 +160,7 @@ def week_index(df: DataFrame) -> DataFrame:
 
 def envelope(df: DataFrame, n: int = 20) -> DataFrame:
     """Place within the last n closes' range, rows between their highest and lowest (the first of equals), and the angle."""
-    frame = W.rowsBetween(-(n - 1), 0)
+    frame = by_symbol().rowsBetween(-(n - 1), 0)
     df = df.withColumn("_all", F.collect_list("close").over(frame))
     top, bottom = F.array_max("_all"), F.array_min("_all")
     rows = (F.array_position("_all", top) - F.array_position("_all", bottom)).cast("long")
@@ -171,7 +169,7 @@ def envelope(df: DataFrame, n: int = 20) -> DataFrame:
 
 def log_return_regime(df: DataFrame, bins: tuple[float, float] = (0.33, 0.66)) -> DataFrame:
     """Volatility and trend of log returns over 20 rows in three bins each by the symbol's quantiles, and 3 * trend + volatility."""
-    df = df.withColumn("_lr", F.log(ratio(F.col("close"), F.lag("close").over(W))))
+    df = df.withColumn("_lr", F.log(ratio(F.col("close"), F.lag("close").over(by_symbol()))))
     df = df.withColumns({"lr_vol": roll(F.stddev_samp, "_lr", 20, 5), "lr_mean": roll(F.avg, "_lr", 20, 5)})
     cuts = df.groupBy("symbol").agg(*[F.percentile(c, F.array(*map(F.lit, bins))).alias(f"_{c}") for c in ("lr_vol", "lr_mean")])
     df = df.join(cuts, "symbol")

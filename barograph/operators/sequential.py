@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barograph.functions.windows import BY_SYMBOL, ratio
+from barograph.functions.windows import by_symbol, ratio
 
 
 def _extended(df: DataFrame, more: str) -> str:
@@ -36,7 +36,7 @@ def macd(df: DataFrame) -> DataFrame:
 
     df = df.groupBy("symbol").applyInPandas(run, _extended(df, "macd double, macd_signal double"))
     df = df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
-    return df.withColumn("macd_cross", F.when((F.col("macd_hist") > 0) & (F.lag("macd_hist").over(BY_SYMBOL) <= 0), 1).otherwise(0))
+    return df.withColumn("macd_cross", F.when((F.col("macd_hist") > 0) & (F.lag("macd_hist").over(by_symbol()) <= 0), 1).otherwise(0))
 
 
 def rsi(df: DataFrame, n: int = 14) -> DataFrame:

@@ -14,14 +14,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Only where it is unset (tests, one machine) is a temporary folder set."""
+    """The folder in ``spark.checkpoint.dir``. Only where none is set (tests, one machine) is a temporary one made."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='barograph-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+    if folder:
+        return folder
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='barograph-')}")
+    return spark.sparkContext.getCheckpointDir()
 
 
 def write_shared(df: DataFrame, name: str, codec: str | None = None) -> str:
