@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,11 +17,17 @@ def build(df: DataFrame, bit: Column, n_bits: int) -> bytes:
     at = bit.cast("long") + 1
     pages = df.groupBy(F.bitmap_bucket_number(at).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
     out = bytearray(max(_PAGE, n_bits // 8))
-    for r in pages.toLocalIterator():
+    for r in pages.collect():
         out[(r["page"] - 1) * _PAGE : r["page"] * _PAGE] = r["bits"]
     return bytes(out)
 
 
-def has(bitmap: bytes, bit: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(F.lit(bitmap), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))), F.lit(2)) == 1
+def keep(df: DataFrame, bitmap: bytes, column: str) -> DataFrame:
+    """The rows whose long ``column`` (a bit's number) is set. The bitmap travels with the tasks' code, not in the plan."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").view(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(seen[batch.column(column).to_numpy()]))
+
+    return df.mapInArrow(run, df.schema)

@@ -80,9 +80,9 @@ def cuts(ids: np.ndarray, ends: np.ndarray) -> list[list[int]]:
 
 def _staged(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from barograph.llm.tokens import Encoder
+        from barograph.llm.tokens import worker_encoder
 
-        encoder, seen = Encoder(tokenizer, end_id), set()
+        encoder, seen = worker_encoder(tokenizer, end_id), set()
         width = encoder.dtype.itemsize
         for batch in batches:
             for part in kernels.slices(batch, "text"):

@@ -27,9 +27,10 @@ from barograph.llm import bitmaps, kernels
 from barograph.sources.tables import materialize
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bands of registers: at a similarity of 0.8, 1 in 400,000 pairs agrees in none.
-BANDS, ROWS = 24, 4
+#: Bands of registers: at a similarity of 0.8, 6 in 100,000 pairs agree in none; at 0.85, 1 in 10 million.
+BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
+PIVOTS = 2
 #: Texts that one call of a kernel takes, so that a text's number fits beside a 54-bit shingle.
 _TEXTS = 1000
 _SHINGLE_BITS = np.uint64(54)
@@ -111,7 +112,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 either = of(ka, ca) + of(kb, cb) - both
                 # both / either >= SIMILARITY in whole numbers
                 linked = (either > 0) & (both * 1000 >= either * round(SIMILARITY * 1000))
-                yield part.select(["a", "b"]).filter(pa.array(linked))
+                apart = 1 - both / np.maximum(either, 1)
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(apart), pa.array(linked)], ["a", "b", "apart", "linked"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -129,12 +131,12 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-#: Hex digits of a digest that choose its bit in the bitmap of candidates (2 MB, whatever the input).
-_DIGITS = 6
+#: Bits of the bitmap of candidates: 512 KB, whatever the input.
+_BITS = 22
 
 
 def _bit() -> Column:
-    return F.conv(F.substring("digest", 1, _DIGITS), 16, 10).cast("int")
+    return F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % (1 << _BITS)
 
 
 def digest() -> Column:
@@ -154,11 +156,14 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = in_buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = materialize(in_buckets.join(shared, "bucket"), "members")
     candidates = materialize(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "digest"), "candidates")
-    wanted = texts.where(bitmaps.has(bitmaps.build(candidates, _bit(), 16**_DIGITS), _bit())).groupBy("digest").agg(F.first("text").alias("text"))
+    bitmap = bitmaps.build(candidates, _bit(), 1 << _BITS)
+    wanted = bitmaps.keep(texts.select("digest", "text", _bit().alias("bit")), bitmap, "bit").groupBy("digest").agg(F.first("text").alias("text"))
     bodies = materialize(wanted.join(candidates, "digest").select("node", "text"), "bodies")
 
-    labels = links = None
-    hubs_each, tested = 1, None
+    far = [f"d{i}" for i in range(PIVOTS)]
+    members = members.withColumns({c: F.lit(None).cast("double") for c in far})
+    labels = links = tested = None
+    hubs_each, step = 1, 0
     while True:
         if links is not None:
             degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
@@ -170,16 +175,28 @@ def classes(docs: DataFrame) -> DataFrame:
         if members.isEmpty():
             break
         part = F.pmod(F.xxhash64("node", F.lit(hubs_each)), F.lit(hubs_each))
-        hubs = materialize(members.groupBy("bucket", part.alias("part")).agg(F.max_by(F.struct("node", "class"), F.struct("degree", -F.col("node"))).alias("h")).select("bucket", F.col("h.node").alias("hub"), F.col("h.class").alias("hub_class")), "hubs")
-        pairs = members.join(hubs, "bucket").where("class <> hub_class").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        best = F.max_by(F.struct("node", "class", *far), F.struct("degree", -F.col("node"))).alias("h")
+        hubs = members.groupBy("bucket", part.alias("part")).agg(best)
+        hubs = materialize(hubs.select("bucket", "part", F.col("h.node").alias("hub"), F.col("h.class").alias("hub_class"), *[F.col(f"h.{c}").alias(f"hub_{c}") for c in far]), "hubs")
+        near = F.lit(True)
+        for c in far:
+            near &= F.coalesce(F.abs(F.col(c) - F.col(f"hub_{c}")) <= 1 - SIMILARITY + 1e-9, F.lit(True))
+        pairs = members.join(hubs, "bucket").where(F.col("class") != F.col("hub_class")).where(near).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "pairs")
         body = lambda c: bodies.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-        found = materialize(pairs.join(body("a"), "a").join(body("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a bigint, b bigint"), "links")
-        tested = pairs if tested is None else tested.union(pairs)
-        links = found if links is None else links.union(found)
+        verified = pairs.join(body("a"), "a").join(body("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a bigint, b bigint, apart double, linked boolean")
+        verified = materialize(verified, "verified")
+        found = verified.where("linked").select("a", "b")
+        tested = pairs if tested is None else materialize(tested.union(pairs), "tested")
+        links = found if links is None else materialize(links.union(found), "links")
         labels = components(links)
-        members = members.select("bucket", "node").join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
-        hubs_each *= 2
+        members = members.select("bucket", "node", *far).join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
+        if step < PIVOTS:
+            # How far each is from the bucket's first hub of this round, where that was measured.
+            pivots = hubs.where("part = 0").select("bucket", "hub")
+            placed = members.join(pivots, "bucket", "left").withColumns({"a": F.least("node", "hub"), "b": F.greatest("node", "hub")})
+            members = materialize(placed.drop(far[step]).join(verified.select("a", "b", F.col("apart").alias(far[step])), ["a", "b"], "left").select("bucket", "node", *far), "members")
+        hubs_each, step = hubs_each * 4, step + 1
 
     rows = sketched.select("row", "doc_id", "digest").join(nodes.select("digest", "node"), "digest")
     if links is not None:

@@ -61,6 +61,7 @@ def propagate(rows: DataFrame, memberships: DataFrame, shards: int = 16, rounds:
         votes = links.join(state, "doc_id").groupBy("link_key", "n_members", "shard").agg(F.count(F.lit(1)).alias("votes"))
         votes = votes.join(F.broadcast(room), "shard")
         ballots = votes.groupBy("link_key").agg(F.collect_list(F.struct("shard", (F.col("votes") / F.col("n_members")).alias("weight"), "room")).alias("ballot"))
+        ballots = materialize(ballots, "ballots")  # so a hot key's side of the join can be split
         asked = links.select("doc_id", "link_key").join(ballots, "link_key").select("doc_id", "link_key", F.explode("ballot").alias("b"))
         asked = asked.groupBy("doc_id", F.col("b.shard").alias("target")).agg(F.sum("b.weight").alias("weight"), F.max("b.room").alias("room"), F.min(F.xxhash64("link_key", "b.shard")).alias("tie"))
         asked = asked.join(state, "doc_id").where((F.col("room") > 0) | (F.col("target") == F.col("shard")))

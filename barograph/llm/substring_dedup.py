@@ -25,8 +25,8 @@ from barograph.llm import bitmaps, kernels
 from barograph.sources.tables import materialize
 
 SENTENCES, WORDS = 2, 12
-#: Bits of the bitmap of repeated hashes: 4 MB.
-BITS = 25
+#: Bits of the bitmap of repeated hashes: 1 MB.
+BITS = 23
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 _LAST = (1 << 63) - 1
 
@@ -82,6 +82,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     bitmap = bitmaps.build(counted, F.expr(f"h & {(1 << BITS) - 1}"), 1 << BITS)
     placed = materialize(texts.mapInArrow(_placed(bitmap), "id bigint, th bigint, h bigint, g bigint, start bigint, end bigint").distinct(), "spans")
     firsts = placed.groupBy("h", "g").agg(F.min(F.struct("id", "th", "start", "end")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    firsts = materialize(firsts, "firsts")  # so both sides of the join are plain shuffles, and a hot span's can be split
     again = placed.join(firsts, ["h", "g"]).where(F.struct("id", "th", "start", "end") != F.col("first"))
     return again.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("ranges"))
 

@@ -10,13 +10,16 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
-#: Units that a worker keeps.
-CACHE_UNITS = 1_000_000
+#: Units that a worker keeps in each of two generations; what the older one gives moves to the younger.
+CACHE_UNITS = 700_000
 _UNSURE = re.compile(r" (?:[\s\x1c-\x1f]|\Z)")
 _GROUP = 4096
+#: Between a letter and these the tokenizer always cuts.
+_TAIL = ".,!?;:"
 
 
 class Encoder:
@@ -32,11 +35,27 @@ class Encoder:
             self.spaced[i] = token.startswith("Ġ")  # how byte-level vocabularies write a space
         self.end = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, units: list[str]) -> None:
+        plain, tailed = [], []
+        for unit in units:
+            core = unit.rstrip(_TAIL)
+            if len(core) < len(unit) and core.isalpha():
+                tailed.append((unit, core, unit[len(core) :]))
+            else:
+                plain.append(unit)
+        self._learn_plain(list({*plain, *(c for _, c, _ in tailed if c not in self.known)}))
+        for unit, core, tail in tailed:
+            if tail not in self.tails:
+                self.tails[tail] = self._whole([tail])[0]
+            self.known[unit] = self.known[core] + self.tails[tail]
+
+    def _learn_plain(self, units: list[str]) -> None:
         for at in range(0, len(units), _GROUP):
             group = units[at : at + _GROUP]
             ids = np.array(self.model.encode_batch_fast([" " + " ".join(group)], add_special_tokens=False)[0].ids, self.dtype)
@@ -59,10 +78,24 @@ class Encoder:
         units = [texts[i].split(" ") for i in split]
         heads = self._whole([u[0] for u in units])
         if len(self.known) > CACHE_UNITS:
-            self.known.clear()
-        known = self.known
-        if new := {u for own in units for u in own[1:] if u not in known}:
-            self._learn(list(new))
-        for i, own, head in zip(split, units, heads, strict=True):
-            out[i] = head + b"".join(map(known.__getitem__, own[1:])) + self.end
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        found = [list(map(known.get, own[1:])) for own in units]
+        gaps = [n for n, ids in enumerate(found) if None in ids]
+        new = {u for n in gaps for u, ids in zip(units[n][1:], found[n], strict=True) if ids is None}
+        if older:
+            kept = {u: ids for u in new if (ids := older.get(u)) is not None}
+            known.update(kept)
+            new -= kept.keys()
+        self._learn(list(new))
+        for n in gaps:
+            found[n] = [known[u] if ids is None else ids for u, ids in zip(units[n][1:], found[n], strict=True)]
+        for i, head, ids in zip(split, heads, found, strict=True):
+            out[i] = head + b"".join(ids) + self.end
         return out
+
+
+@lru_cache(maxsize=1)
+def worker_encoder(path: str, end_id: int | None) -> Encoder:
+    """The worker's own: the tasks that it runs one after the other share what it knows."""
+    return Encoder(path, end_id)
