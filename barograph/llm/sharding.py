@@ -28,7 +28,10 @@ def _quotas(wants: DataFrame, room: DataFrame) -> DataFrame:
     rest = F.col("n") - F.col("swap")
     into = Window.partitionBy("target")
     shares = swaps.join(room.select(F.col("shard").alias("target"), "room"), "target").withColumn("all_rest", F.sum(rest).over(into))
-    granted = F.when(F.col("all_rest") <= F.col("room"), rest).otherwise(F.floor(F.col("room") * rest / F.greatest("all_rest", F.lit(1))))
+    shares = shares.withColumn("so_far", F.sum(rest).over(into.orderBy("shard")))
+    # Differences of rounded-down running shares, so that all of the room is given however many shards ask for it.
+    share = lambda n: F.floor(F.col("room") * n / F.greatest("all_rest", F.lit(1)))
+    granted = F.when(F.col("all_rest") <= F.col("room"), rest).otherwise(share(F.col("so_far")) - share(F.col("so_far") - rest))
     return shares.select("shard", "target", (F.col("swap") + granted).cast("long").alias("quota"))
 
 
@@ -60,7 +63,9 @@ def propagate(rows: DataFrame, memberships: DataFrame, shards: int = 16, rounds:
         # A full shard draws nobody in: members look at the shards that have room, and at their own.
         votes = links.join(state, "doc_id").groupBy("link_key", "n_members", "shard").agg(F.count(F.lit(1)).alias("votes"))
         votes = votes.join(F.broadcast(room), "shard")
-        ballots = votes.groupBy("link_key").agg(F.collect_list(F.struct("shard", (F.col("votes") / F.col("n_members")).alias("weight"), "room")).alias("ballot"))
+        # A shard that could take a key's other members too comes before those in which the key would stay split.
+        holds_all = F.when(F.col("room") >= F.col("n_members") - F.col("votes"), 1.0).otherwise(0.0)
+        ballots = votes.groupBy("link_key").agg(F.collect_list(F.struct("shard", (F.col("votes") / F.col("n_members") + holds_all).alias("weight"), "room")).alias("ballot"))
         ballots = materialize(ballots, "ballots")  # so a hot key's side of the join can be split
         asked = links.select("doc_id", "link_key").join(ballots, "link_key").select("doc_id", "link_key", F.explode("ballot").alias("b"))
         asked = asked.groupBy("doc_id", F.col("b.shard").alias("target")).agg(F.sum("b.weight").alias("weight"), F.max("b.room").alias("room"), F.min(F.xxhash64("link_key", "b.shard")).alias("tie"))
