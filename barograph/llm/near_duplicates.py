@@ -5,8 +5,8 @@ weight axis, at a rate of the block's width. A point has an arrival time, a regi
 beyond w do not count, so larger weights only add points. A register keeps its earliest time; two texts agree in one
 with the probability of their weighted Jaccard similarity. A process stops once its time passes all registers.
 
-Equal texts are one node. Nodes that agree in a band of registers meet in a bucket; instead of all pairs, a bucket's
-hub is compared with its members, exactly, on the multisets. A bucket is done when its members are of one class or each
+Equal texts are one node. Nodes that agree in a band of registers meet in a bucket. First, in FIRST_BANDS of the bands,
+each node is compared with its bucket's least; then, in all bands, instead of all pairs a bucket's hub is compared with its members, exactly, on the multisets. A bucket is done when its members are of one class or each
 has been a hub; else the next round takes twice the hubs, those with most links first. So no two members of different
 classes stay uncompared, and a group of similar texts costs one comparison for each member.
 
@@ -31,6 +31,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
 PIVOTS = 2
+#: Bands that join most similar texts before all bands are looked at.
+FIRST_BANDS = 4
 #: Texts that one call of a kernel takes, so that a text's number fits beside a 54-bit shingle.
 _TEXTS = 1000
 _SHINGLE_BITS = np.uint64(54)
@@ -152,7 +154,7 @@ def classes(docs: DataFrame) -> DataFrame:
     sketched = materialize(texts.select("doc_id", "digest", "text").mapInArrow(_sketch, "doc_id bigint, digest string, bands array<bigint>").withColumn("row", F.monotonically_increasing_id()), "sketches")
     nodes = materialize(sketched.groupBy("digest").agg(F.min("row").alias("node"), F.first("bands").alias("bands")), "nodes")
 
-    in_buckets = nodes.select("node", F.explode("bands").alias("bucket"))
+    in_buckets = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = in_buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = materialize(in_buckets.join(shared, "bucket"), "members")
     candidates = materialize(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "digest"), "candidates")
@@ -160,9 +162,23 @@ def classes(docs: DataFrame) -> DataFrame:
     wanted = bitmaps.keep(texts.select("digest", "text", _bit().alias("bit")), bitmap, "bit").groupBy("digest").agg(F.first("text").alias("text"))
     bodies = materialize(wanted.join(candidates, "digest").select("node", "text"), "bodies")
 
-    far = [f"d{i}" for i in range(PIVOTS)]
-    members = members.withColumns({c: F.lit(None).cast("double") for c in far})
+    body = lambda c: bodies.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(body("a"), "a").join(body("b"), "b").select("a", "b", "text_a", "text_b")
+        return materialize(both.mapInArrow(_verify, "a bigint, b bigint, apart double, linked boolean"), "verified")
+
     labels = links = tested = None
+    if not members.isEmpty():
+        # Each with the least of its bucket, in a few bands; later only members of different classes are compared.
+        early = members.where(F.col("band") < FIRST_BANDS)
+        least = materialize(early.groupBy("bucket").agg(F.min("node").alias("a")), "least")
+        tested = materialize(early.join(least, "bucket").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
+        links = materialize(compared(tested).where("linked").select("a", "b"), "links")
+        labels = components(links)
+
+    far = [f"d{i}" for i in range(PIVOTS)]
+    members = members.select("bucket", "node", *[F.lit(None).cast("double").alias(c) for c in far])
     hubs_each, step = 1, 0
     while True:
         if links is not None:
@@ -183,9 +199,7 @@ def classes(docs: DataFrame) -> DataFrame:
             near &= F.coalesce(F.abs(F.col(c) - F.col(f"hub_{c}")) <= 1 - SIMILARITY + 1e-9, F.lit(True))
         pairs = members.join(hubs, "bucket").where(F.col("class") != F.col("hub_class")).where(near).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "pairs")
-        body = lambda c: bodies.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-        verified = pairs.join(body("a"), "a").join(body("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a bigint, b bigint, apart double, linked boolean")
-        verified = materialize(verified, "verified")
+        verified = compared(pairs)
         found = verified.where("linked").select("a", "b")
         tested = pairs if tested is None else materialize(tested.union(pairs), "tested")
         links = found if links is None else materialize(links.union(found), "links")
