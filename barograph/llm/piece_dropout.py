@@ -1,14 +1,16 @@
 """SentencePiece BPE with seeded merge-dropout, and its inverse.
 
 Encoding merges, again and again, the adjacent pair whose piece scores best (the leftmost of equals). Each time a merge
-comes up on a chunk's agenda, a hash of (seed, variant, chunk, step, piece) skips it with probability ``dropout``; what
-was skipped comes up again after the next merge that happens. So a seed gives one segmentation, other seeds others, all
-made of the vocabulary's merges. Characters without a piece become byte pieces, also a literal U+2581, so decoding gives
+comes up on a chunk's agenda, a hash of (seed, hash of doc_id, place of the chunk in the text, step, piece) skips it with
+probability ``dropout``; what was skipped comes up again after the next merge that happens. So every occurrence of a
+word draws its own skips; a seed gives one segmentation, other seeds others, all made of the vocabulary's merges. Characters without a piece become byte pieces, also a literal U+2581, so decoding gives
 the text back. Without dropout the ids are SentencePiece's.
 
 No piece goes from other characters on to a space, so a text is a sequence of chunks (spaces and what follows). Many
-chunks advance together, one step of each agenda at a time, in arrays. A chunk's variant is (hash of doc_id + its place
-in the text) modulo VARIANTS, so a word is cut differently within a text while a worker can still keep what it knows.
+chunks advance together, one step of each agenda at a time, in arrays. What a worker keeps does not depend on the draws:
+a chunk's tree of decisions, whose node says which piece comes up after the merges and skips that led there, and whose
+leaf has the ids. Each occurrence goes down its chunk's tree by its own draws; one that leaves what is known of the tree
+is worked out from its characters, and its path is added.
 
 A null or empty text has no ids and decodes to the empty text. Repeated rows give the same ids.
 """
@@ -19,6 +21,8 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +31,9 @@ from pyspark.sql import functions as F
 
 from barograph.llm import kernels
 
-DROPOUT, SEED, VARIANTS = 0.1, 1, 4
-#: Chunks that a worker keeps; longer ones than KEPT_CHARS are not kept.
-CACHE_CHUNKS, KEPT_CHARS = 1_200_000, 64
+DROPOUT, SEED = 0.1, 1
+#: Nodes of decision trees that a worker keeps before it begins anew; longer chunks than KEPT_CHARS have no tree.
+CACHE_NODES, KEPT_CHARS = 5_000_000, 32
 _GOLD = 0x9E3779B97F4A7C15
 _U64 = (1 << 64) - 1
 _SPACE = "▁"
@@ -66,7 +70,15 @@ class Pieces:
         self.text = [p.replace(_SPACE, " ").encode() for p in names]
         for b, i in enumerate(self.bytes.tolist()):
             self.text[i] = bytes([b])
-        self.known: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Begins the trees anew. ``roots``: a chunk's node. Of a node: the hash of (step, piece) and what follows a merge and a
+        skip: a node, below 0 a leaf (-1 - its place in ``leaves``), or 0 if not known yet."""
+        self.roots: dict[str, int] = {}
+        self.leaves: list[bytes] = []
+        self.n_nodes = 1
+        self.salts, self.follows = np.zeros(1 << 16, np.uint64), np.zeros(1 << 17, np.int32)
 
     def _merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece of each pair, or -1."""
@@ -74,8 +86,10 @@ class Pieces:
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == keys, self.pair_ids[at], -1)
 
-    def _segment(self, codes: np.ndarray, lengths: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols and which of them are left; codes: (chunks, longest + 1) pieces of single characters, below 0: none."""
+    def _segment(self, codes: np.ndarray, lengths: np.ndarray, keys: np.ndarray, trace: bool) -> tuple[np.ndarray, np.ndarray, list]:
+        """Symbols, which of them are left, and if ``trace`` the draws of each step: rows, hashes of (step, piece), skipped.
+
+        codes: (chunks, longest + 1) pieces of single characters, below 0: none."""
         n, last = codes.shape[0], codes.shape[1] - 1
         symbols, at = codes.copy(), np.arange(last + 1)
         following = np.where(at[None, :] + 1 < lengths[:, None], at[None, :] + 1, last)
@@ -85,7 +99,7 @@ class Pieces:
         made[:, :-1] = self._merged(symbols[:, :-1], symbols[:, 1:])
         score = np.where(made >= 0, self.score[made], -np.inf)
         agenda = score.copy()
-        rows, step = np.arange(n), 0
+        rows, step, drawn_at = np.arange(n), 0, []
         while len(rows):
             step += 1
             best = agenda[rows].argmax(axis=1)
@@ -93,8 +107,10 @@ class Pieces:
             rows, best = rows[on], best[on]
             piece = made[rows, best]
             if self.dropout > 0:
-                drawn = kernels.mix(keys[rows] ^ kernels.mix(piece.astype(np.uint64) + np.uint64(step * _GOLD & _U64)))
-                skipped = (drawn >> np.uint64(11)).astype(np.float64) * 2.0**-53 < self.dropout
+                salts = kernels.mix(piece.astype(np.uint64) + np.uint64(step * _GOLD & _U64))
+                skipped = self._skips(keys[rows], salts)
+                if trace:
+                    drawn_at.append((rows, salts, skipped))
                 agenda[rows[skipped], best[skipped]] = -np.inf
                 r, i, piece = rows[~skipped], best[~skipped], piece[~skipped]
             else:
@@ -110,10 +126,13 @@ class Pieces:
                 made[q, a] = new
                 score[q, a] = np.where(new >= 0, self.score[new], -np.inf)
             agenda[r] = score[r]
-        return symbols, alive
+        return symbols, alive, drawn_at
 
-    def _learn(self, chunks: list[str], variant: int) -> list[bytes]:
-        """The ids of each chunk."""
+    def _skips(self, keys: np.ndarray, salts: np.ndarray) -> np.ndarray:
+        return (kernels.mix(keys ^ salts) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < self.dropout
+
+    def _work_out(self, chunks: list[str], keys: np.ndarray, keep: bool) -> list[bytes]:
+        """The ids of each occurrence of a chunk, from its characters; if ``keep`` their paths are added to the trees."""
         out: list[bytes] = [b""] * len(chunks)
         lengths = np.array([len(c) for c in chunks])
         order = np.argsort(lengths, kind="stable")
@@ -132,9 +151,7 @@ class Pieces:
             chars[place] = points
             known = self.char[chars]
             codes = np.where(place, np.where(known >= 0, known, -2 - chars), -1).reshape(len(group), width).astype(np.int64)
-            hashes = ((chars.reshape(len(group), width).astype(np.uint64) + np.uint64(1)) * kernels.mix(np.arange(1, width + 1, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
-            keys = kernels.mix(hashes + np.uint64((self.seed * VARIANTS + variant + 1) * _GOLD & _U64))
-            symbols, alive = self._segment(codes, own, keys)
+            symbols, alive, draws = self._segment(codes, own, keys[group], keep)
             ends = np.cumsum(alive.sum(axis=1))
             flat = symbols[alive]
             if (flat < 0).any():
@@ -145,28 +162,78 @@ class Pieces:
             edges = [0, *(ends * size).tolist()]
             for g, a, b in zip(group.tolist(), edges, edges[1:], strict=False):
                 out[g] = data[a:b]
+            if keep:
+                self._add([chunks[g] for g in group], [out[g] for g in group], draws)
             begin = stop
         return out
 
+    def _new_nodes(self, salts: np.ndarray) -> np.ndarray:
+        """A node for each hash of (step, piece)."""
+        made = np.arange(self.n_nodes, self.n_nodes + len(salts), dtype=np.int32)
+        self.n_nodes += len(salts)
+        while self.n_nodes > len(self.salts):
+            self.salts, self.follows = np.append(self.salts, np.zeros_like(self.salts)), np.append(self.follows, np.zeros_like(self.follows))
+        self.salts[made] = salts
+        return made
+
+    def _new_leaves(self, ids: list[bytes]) -> np.ndarray:
+        self.leaves += ids
+        return -1 - np.arange(len(self.leaves) - len(ids), len(self.leaves), dtype=np.int32)
+
+    def _add(self, chunks: list[str], ids: list[bytes], draws: list) -> None:
+        """Adds the paths of the draws to the chunks' trees."""
+        first = np.zeros(len(chunks), np.uint64)
+        drawing = np.zeros(len(chunks), bool)
+        if draws:
+            first[draws[0][0]], drawing[draws[0][0]] = draws[0][1], True
+        new = {c: i for i, c in enumerate(chunks) if c not in self.roots}
+        at = np.fromiter(new.values(), np.int64, len(new))
+        made = np.zeros(len(new), np.int32)
+        made[drawing[at]] = self._new_nodes(first[at[drawing[at]]])
+        made[~drawing[at]] = self._new_leaves([ids[i] for i in at[~drawing[at]]])
+        self.roots.update(zip(new, made.tolist(), strict=True))
+        node = np.fromiter(map(self.roots.__getitem__, chunks), np.int32, len(chunks))
+        for (rows, _, skipped), (after, salts, _) in zip(draws, [*draws[1:], (np.zeros(0, np.int64), np.zeros(0, np.uint64), None)], strict=False):
+            edge = 2 * node[rows].astype(np.int64) + skipped
+            goes_on = np.isin(rows, after, assume_unique=True)
+            unknown = self.follows[edge] == 0
+            edges, of = np.unique(edge[unknown & goes_on], return_index=True)
+            made = self._new_nodes(salts[np.searchsorted(after, rows[unknown & goes_on][of])])
+            self.follows[edges] = made
+            edges, of = np.unique(edge[unknown & ~goes_on], return_index=True)
+            self.follows[edges] = self._new_leaves([ids[i] for i in rows[unknown & ~goes_on][of]])
+            node[rows] = self.follows[edge]
+
+    def _walk(self, node: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Where the draws of each occurrence end: at a leaf, or 0 where the tree is not known."""
+        node = node.copy()
+        rows = np.flatnonzero(node > 0)
+        while len(rows):
+            on = node[rows]
+            on = self.follows[2 * on.astype(np.int64) + self._skips(keys[rows], self.salts[on])]
+            node[rows] = on
+            rows = rows[on > 0]
+        return node
+
     def encode(self, texts: list[str], keys: list[int]) -> list[bytes]:
-        """The ids of each text as little-endian numbers of ``dtype``; ``keys`` choose the variant of a text's first chunk."""
+        """The ids of each text as little-endian numbers of ``dtype``; ``keys``: a hash for each text, on which its draws depend."""
         chunks = [[] if not t else _RUNS.findall(f" {t}") if "  " in t or t[0] == " " else [f" {u}" for u in t.split(" ")] for t in texts]
-        out: list[list[bytes]] = [[b""] * len(c) for c in chunks]
-        if sum(map(len, self.known)) > CACHE_CHUNKS:
-            for known in self.known:
-                known.clear()
-        for variant in range(VARIANTS):
-            known = self.known[variant]
-            parts = [c[(variant - k) % VARIANTS :: VARIANTS] for c, k in zip(chunks, keys, strict=True)]
-            new = list({u for own in parts for u in own if u not in known})
-            found = dict(zip(new, self._learn(new, variant), strict=True))
-            known.update(found)
-            for i, (own, k) in enumerate(zip(parts, keys, strict=True)):
-                out[i][(variant - k) % VARIANTS :: VARIANTS] = map(known.__getitem__, own)
-            for u in new:
-                if len(u) > KEPT_CHARS:
-                    del known[u]
-        return [b"".join(o) for o in out]
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        flat = list(chain.from_iterable(chunks))
+        own = kernels.mix(np.array(keys, np.uint64) ^ kernels.mix(np.array([self.seed & _U64], np.uint64) + np.uint64(_GOLD)))
+        begins = np.cumsum(sizes) - sizes
+        place = np.arange(len(flat)) - np.repeat(begins, sizes)
+        draws = kernels.mix(np.repeat(own, sizes) + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(_GOLD))
+        if self.n_nodes + len(self.leaves) > CACHE_NODES:
+            self._forget()
+        ends = self._walk(np.fromiter((self.roots.get(c, 0) for c in flat), np.int32, len(flat)), draws)
+        out = [self.leaves[-1 - e] if e else b"" for e in ends.tolist()]
+        missing = np.flatnonzero(ends == 0)
+        short = np.fromiter((len(flat[i]) <= KEPT_CHARS for i in missing), bool, len(missing))
+        for at, keep in ((missing[short], True), (missing[~short], False)):
+            for i, ids in zip(at.tolist(), self._work_out([flat[i] for i in at], draws[at], keep), strict=True):
+                out[i] = ids
+        return [b"".join(out[a : a + n]) for a, n in zip(begins.tolist(), sizes.tolist(), strict=True)]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.text.__getitem__, np.frombuffer(ids, self.dtype).tolist()))[1:].decode()
@@ -179,7 +246,7 @@ def pieces(path: str, dropout: float, seed: int) -> Pieces:
 
 
 def _key(doc_id: int | None) -> int:
-    return zlib.crc32(str(doc_id).encode())
+    return int.from_bytes(blake2b(str(doc_id).encode(), digest_size=8).digest(), "little")
 
 
 def _encode(path: str, dropout: float, seed: int):

@@ -67,3 +67,20 @@ def test_dropout_varies_by_seed_and_decodes(spark):
     back = piece_dropout.decode(again, path, 0.3, 1)
     assert {r["doc_id"]: r["text"] for r in back.collect()} == {r["doc_id"]: r["text"] or "" for r in table.collect()}
     assert piece_dropout.encode(table.where("false"), path).count() == 0
+
+
+def test_every_occurrence_draws_its_own_skips():
+    path = tables.path("piece_bpe_32k.model")
+    own = piece_dropout.Pieces(path, 0.1, 1)
+    texts = ["words " * 3000 + "elsewhere", "words " * 3000, "x" * 200 + " words"]
+    first = own.encode(texts, [7, 8, 9])
+    assert own.encode(texts, [7, 8, 9]) == first  # from the trees
+    direct = piece_dropout.Pieces(path, 0.1, 1)
+    direct.roots = type("Nothing", (dict,), {"get": lambda self, key, other: other})()  # no tree is ever found
+    assert direct.encode(texts, [7, 8, 9]) == first
+    names = [own.text[i] for i in np.frombuffer(first[0], own.dtype)]
+    cuts = [tuple(w.split(b"|")) for w in b"|".join(names).replace(b"| ", b"\n ").split(b"\n")]
+    seen = {c for c in cuts if b"".join(c) == b" words"}
+    assert len(seen) > 4
+    assert 0.02 < np.mean([len(c) > 1 for c in cuts]) < 0.6
+    assert [own.decode(i) for i in first] == texts
