@@ -167,6 +167,18 @@ def sentences(texts: Bytes) -> Sentences:
     return Sentences(starts, ends, np.maximum(counts, 1), np.searchsorted(starts, texts.offsets))
 
 
+def spaced_words(texts: Bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Byte ranges of what stands between white space or the edges of a text."""
+    visible = ~_IS_SPACE[texts.data]
+    n = len(visible)
+    edges = texts.offsets[(texts.offsets > 0) & (texts.offsets < n)]
+    begins, stops = visible.copy(), visible.copy()
+    begins[1:] &= ~visible[:-1]
+    stops[:-1] &= ~visible[1:]
+    begins[edges], stops[edges - 1] = visible[edges], visible[edges - 1]
+    return np.flatnonzero(begins), np.flatnonzero(stops) + 1
+
+
 def char_offsets(texts: Bytes, at: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Byte places as characters from the start of their text."""
     sums = np.concatenate([[0], np.cumsum((texts.data & 0xC0) != 0x80)])

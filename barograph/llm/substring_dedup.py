@@ -6,6 +6,10 @@ but the first (least doc_id, then least hash of the text, then place) is repeate
 spans cover are removed. Because spans begin and end at every sentence, a repeated passage that holds a span is covered
 whole.
 
+A sentence of more than WORDS words counts as several, cut after each word whose hash is the least of some WINDOW words
+in a row. Where it is cut depends on the words around alone, so any 50 words that stand again inside one sentence, between
+other neighbours, hold spans; the words before the first common cut and after the last stay.
+
 Hashes are counted first; only spans whose hash may be a repeated one (a bitmap of fixed size tells) are joined.
 
 A null text stays null. A text of which nothing is left is empty. Rows that agree in doc_id and text are one text and
@@ -25,15 +29,48 @@ from barograph.llm import bitmaps, kernels
 from barograph.sources.tables import materialize
 
 SENTENCES, WORDS = 2, 12
+#: Within as many words of a long sentence there is a cut.
+WINDOW = 8
 #: Bits of the bitmap of repeated hashes: 1 MB.
 BITS = 23
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 _LAST = (1 << 63) - 1
 
 
-def spans(texts: kernels.Bytes) -> tuple[kernels.Sentences, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The sentences, and of the spans the first sentence, the last + 1 and two hashes."""
+def pieces(texts: kernels.Bytes) -> kernels.Sentences:
+    """The sentences, long ones cut in pieces."""
     s = kernels.sentences(texts)
+    long = s.n_words > WORDS
+    if not long.any():
+        return s
+    starts, ends = kernels.spaced_words(texts)
+    owner = np.searchsorted(s.starts, starts, side="right") - 1
+    inside = long[owner]
+    starts, ends, owner = starts[inside], ends[inside], owner[inside]
+    hashes = kernels.range_hashes(texts.data, starts, ends)
+    n = len(hashes) - WINDOW + 1  # a long sentence has more words than a window
+    least = hashes[:n].copy()
+    for j in range(1, WINDOW):
+        np.minimum(least, hashes[j : j + n], out=least)
+    whole = owner[:n] == owner[WINDOW - 1 :]
+    cut = np.zeros(len(hashes), bool)
+    for j in range(WINDOW):
+        cut[j : j + n] |= whole & (hashes[j : j + n] == least)
+    cut = np.flatnonzero(cut[:-1] & (owner[1:] == owner[:-1]))
+    begins = np.sort(np.concatenate([s.starts, starts[cut + 1]]))
+    of = np.searchsorted(s.starts, begins, side="right") - 1
+    stops = s.ends[of]
+    stops[np.searchsorted(begins, starts[cut + 1]) - 1] = ends[cut]
+    # Words of a sentence that is not cut are as many as before; a piece's are counted.
+    n_words = s.n_words[of]
+    counted = np.searchsorted(starts, stops) - np.searchsorted(starts, begins)
+    n_words = np.where(long[of], np.maximum(counted, 1), n_words)
+    return kernels.Sentences(begins, stops, n_words, np.searchsorted(begins, texts.offsets))
+
+
+def spans(texts: kernels.Bytes) -> tuple[kernels.Sentences, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sentences or pieces, and of the spans the first of them, the last + 1 and two hashes."""
+    s = pieces(texts)
     n = len(s.starts)
     sums = np.concatenate([[0], np.cumsum(s.n_words)])
     at = np.arange(n)

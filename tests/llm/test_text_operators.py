@@ -265,3 +265,17 @@ def test_chunks_follow_content():
     assert len(cut(ids) & cut(moved)) > 5
     flat = np.zeros(30_000, np.uint16)
     assert max(np.diff([0, *content_store.cuts(flat, np.array([len(flat)]))[0]])) <= content_store.MOST
+
+
+def test_a_repeated_passage_inside_one_sentence_is_cut(spark):
+    passage, sentence, low = prose(60, stops=False), prose(60, stops=False) + ".", "la " * 59 + "la"
+    around = [f"{prose(30, stops=False)} {{}} {prose(25, stops=False)}" for _ in range(3)]
+    texts = [around[0].format(passage), around[1].format(passage), f"One. {sentence} {prose(20)}", f"{prose(9)}. {sentence} Two é.", prose(400, stops=False), "short one here. " + low, around[2].format(low)]
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.deduplicate(docs(spark, texts)).collect()}
+    for i in (0, 2, 4):
+        assert got[i] == texts[i]
+    before, after = around[1].split(" {} ")
+    assert got[1].startswith(before) and got[1].endswith(after)
+    assert len(got[1].split()) - 55 <= 60 - 20
+    assert got[3] == texts[3].replace(sentence + " ", "")
+    assert "la la la la la la la la la la la la" not in got[6]
