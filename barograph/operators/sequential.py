@@ -198,12 +198,13 @@ def events(points: DataFrame, by: str = "symbol") -> DataFrame:
     return nxt.select(by, "id", F.when(F.col("_v") > F.col("value"), "UP").otherwise("DOWN").alias("direction"), F.col("date").alias("start"), "end", days.alias("days"), move.alias("move"), F.degrees(F.atan2(move * 100, days.cast("double"))).alias("angle"))
 
 
-def greedy_match(pairs: DataFrame, group: str, a: str, b: str, score: str) -> DataFrame:
-    """Within each group, pairs from the best score down, each a and b used once; ties by a, then b."""
+def greedy_match(pairs: DataFrame, group: str, a: str, b: str, score: str, lag: str | None = None) -> DataFrame:
+    """Within each group, pairs from the best score down, each a and b used once; ties by the smaller absolute ``lag``, then a, then b."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         used_a, used_b, kept = set(), set(), []
-        for i, row in pdf.sort_values([score, a, b], ascending=[False, True, True]).iterrows():
+        far = pdf[lag].abs() if lag else 0
+        for i, row in pdf.assign(_far=far).sort_values([score, "_far", a, b], ascending=[False, True, True, True]).iterrows():
             if row[a] not in used_a and row[b] not in used_b:
                 used_a.add(row[a])
                 used_b.add(row[b])

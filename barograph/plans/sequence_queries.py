@@ -125,11 +125,12 @@ def seq_direction_runs(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def match_greedy_global(spark: SparkSession, d: str) -> DataFrame:
-    """Events of two symbols matched from the best overlap down, by month in which the first begins."""
+    """Events of two symbols matched from the best overlap down, each used once; with the month in which the first begins."""
     e = sq.events(sq.turning_points(bars(spark, d)))
     a, b = e.where("symbol = '1-URGENT'"), e.where("symbol = '2-HIGH'")
     pairs = rel.overlaps(a, b).join(a.select(F.col("id").alias("a_id"), F.date_format("start", "yyyy-MM").alias("month")), "a_id")
-    return rounded(sq.greedy_match(pairs, "month", "a_id", "b_id", "iou"), "iou")
+    pairs = pairs.withColumn("book", F.lit(0))  # events of two symbols: bounded by the calendar
+    return rounded(sq.greedy_match(pairs, "book", "a_id", "b_id", "iou", "lag_days").drop("book"), "iou")
 
 
 @query()
