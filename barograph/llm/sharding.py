@@ -56,7 +56,7 @@ def propagate(rows: DataFrame, memberships: DataFrame, shards: int = 16, rounds:
     links = materialize(pairs.join(sizes, "link_key"), "shard-links")
 
     start = salted_rank(links.select("doc_id").distinct().withColumn("_all", F.lit(0)), ["_all"], ["doc_id"], "_rank")
-    state = materialize(start.select("doc_id", F.pmod("_rank", F.lit(shards)).cast("int").alias("shard")), "shard-state")
+    state = materialize(start.select("doc_id", F.pmod(F.col("_rank") - 1, F.lit(shards)).cast("int").alias("shard")), "shard-state")
     for _ in range(rounds):
         load = state.groupBy("shard").agg(F.count(F.lit(1)).alias("load"))
         room = caps.join(load, "shard", "left").select("shard", F.greatest(F.col("cap") - F.coalesce("load", F.lit(0)), F.lit(0)).alias("room"))

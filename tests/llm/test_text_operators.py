@@ -279,3 +279,9 @@ def test_a_repeated_passage_inside_one_sentence_is_cut(spark):
     assert len(got[1].split()) - 55 <= 60 - 20
     assert got[3] == texts[3].replace(sentence + " ", "")
     assert "la la la la la la la la la la la la" not in got[6]
+
+
+def test_a_table_of_copies_only_is_dealt_evenly(spark):
+    rows = sharding.shard_documents(docs(spark, ["same text"] * 17)).collect()
+    sizes = collections.Counter(r["shard"] for r in rows)
+    assert len(sizes) == 16 and sorted(sizes.values()) == [1] * 15 + [2]
