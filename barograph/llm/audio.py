@@ -5,7 +5,8 @@ blocks are kept as one Arrow stream whose column ``mel`` is a fixed-shape tensor
 Segments open where a frame's energy passes a high mark and close where it falls under a low one. A document is worked
 through in blocks, so memory holds its samples and one block. The same bytes give the same features.
 
-A null or empty media value has no samples, no blocks and no segments. Repeated rows are repeated.
+A null or empty media value has no samples, no blocks and no segments. A null text is empty. Texts are never cut, however
+long. Repeated rows are repeated; columns beside doc_id and text (or n_bytes and media) are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -101,6 +102,7 @@ def log_mel(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
         part = x[at - lead : at + ((n - 1) * HOP + FRAME) * DOWN // UP + LEAD]
         begin = lead * UP // DOWN
         scaled = resample((part.astype(np.float32) - 128) / 128, begin, begin + (n - 1) * HOP + FRAME)
+        scaled[max(0, n_out - f * HOP) :] = 0  # the filter rings on after the last sample
         cut = np.lib.stride_tricks.sliding_window_view(scaled, FRAME)[::HOP] * _hann()
         spectrum = np.fft.rfft(cut, axis=1)
         power = spectrum.real.astype(np.float32) ** 2 + spectrum.imag.astype(np.float32) ** 2
