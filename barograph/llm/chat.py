@@ -1,14 +1,16 @@
 """Chat formatting of turns whose content is a list of typed parts.
 
-A visitor flattens the parts of a turn: text is escaped, every image, audio or document becomes a numbered placeholder
-and a row of attachment references with the tokens that it will expand to. Turns stand between control strings; where
-such a string occurs inside a text, a backslash after its first character breaks it, and one more is added to those
-already there, so that removing one restores the text.
+A visitor flattens the parts of a turn: neighbouring texts are joined and escaped as one, every image, audio or document
+becomes a numbered placeholder and a row of attachment references with the tokens that it will expand to and its place.
+Turns stand between control strings; where such a string occurs inside a text or a role, a backslash after its first
+character breaks it, and one more is added to those already there, so that removing one restores the text. Reading back
+takes placeholders out by their recorded places, so a text that looks like one stays text.
 
 The output has one row for each turn, in order within its conversation; the concatenation of their ``formatted`` is
 the conversation. Work on a conversation streams through a task row by row, so memory does not grow with its length.
 Rows of a conversation are ordered by turn, then role, then text; nulls first. A null text is empty, a null role the
-empty role, rows of a null conv_id are one conversation. Repeated rows are repeated turns. Other columns are dropped.
+empty role, a null kind is text, rows of a null conv_id are one conversation. Repeated rows are repeated turns. Turns are
+never cut, however long. Other columns are dropped.
 """
 
 from __future__ import annotations
@@ -31,7 +33,6 @@ CONTROL = (OPEN, CLOSE, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<
 _TAILS = "|".join(re.escape(c[1:]) for c in CONTROL) + r"|\|(?:" + "|".join(KINDS) + r")_[0-9]+\|>"
 _PLAIN = re.compile(rf"([<\[])(\\*)(?={_TAILS})")
 _ESCAPED = re.compile(rf"([<\[])\\(\\*)(?={_TAILS})")
-_PLACEHOLDER = re.compile(r"<\|(?:" + "|".join(KINDS) + r")_[0-9]+\|>")
 
 PARTS = "array<struct<kind: string, text: string, ref: string, width: int, height: int, seconds: double, pages: int>>"
 #: Tokens of attachments: of an image for each patch, of audio for each second, of a document for each page.
@@ -48,25 +49,47 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1\2", text)
 
 
+def placeholder(kind: str, ordinal: int) -> str:
+    return f"<|{kind}_{ordinal}|>"
+
+
 class Flattener:
     """Visits the parts of one conversation's turns in order."""
 
     def __init__(self) -> None:
         self.attached = 0
 
-    def visit(self, part: dict[str, Any], at: int) -> tuple[str, dict[str, Any] | None]:
-        """The part as template text, and the attachment that it refers to; ``at``: where in the turn it begins."""
-        kind = part.get("kind") or "text"
+    def turn(self, parts: list[dict[str, Any] | None], begin: int) -> tuple[str, list[tuple[int, int]], list[dict[str, Any]]]:
+        """The parts as template text that begins at ``begin``, the spans of its texts, and its attachments."""
+        out, at, spans, attachments, run = [], begin, [], [], []
+        for part in [*parts, None]:
+            part = part or {}
+            kind = part.get("kind") or "text"
+            if kind == "text" and part:
+                run.append(self.visit_text(part))
+                continue
+            # Neighbouring texts are one string: a control string may be spread over them.
+            if text := escape("".join(run)):
+                spans.append((at, at + len(text)))
+                out.append(text)
+                at += len(text)
+            run = []
+            if part:
+                mark, attachment = self.visit(kind, part)
+                attachments.append(attachment | {"at": at})
+                out.append(mark)
+                at += len(mark)
+        return "".join(out), spans, attachments
+
+    def visit(self, kind: str, part: dict[str, Any]) -> tuple[str, dict[str, Any]]:
         method = getattr(self, f"visit_{kind}", None)
-        if method is None:
+        if kind not in KINDS or method is None:
             raise ValueError(f"unknown part: {kind}")
-        if kind == "text":
-            return method(part), None
         self.attached += 1
-        return f"<|{kind}_{self.attached}|>", {"ordinal": self.attached, "kind": kind, "ref": part.get("ref"), "tokens": method(part), "at": at}
+        return placeholder(kind, self.attached), {"ordinal": self.attached, "kind": kind, "ref": part.get("ref"), "tokens": method(part)}
 
     def visit_text(self, part: dict[str, Any]) -> str:
-        return escape(part.get("text") or "")
+        return part.get("text") or ""
 
     def visit_image(self, part: dict[str, Any]) -> int:
         return math.ceil((part.get("width") or 0) / PATCH) * math.ceil((part.get("height") or 0) / PATCH)
@@ -79,11 +102,11 @@ class Flattener:
 
 
 def _role_out(role: str | None) -> str:
-    return json.dumps(role or "", ensure_ascii=False)[1:-1]  # no line breaks inside
+    return escape(json.dumps(role or "", ensure_ascii=False)[1:-1])  # no line breaks inside
 
 
 def _role_in(role: str) -> str:
-    return json.loads(f'"{role}"')
+    return json.loads(f'"{unescape(role)}"')
 
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,17 +117,11 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             if row["conv_id"] != conv:
                 conv, seq, flat = row["conv_id"], 0, Flattener()
-            text = f"{OPEN}{_role_out(row['role'])}\n"
-            loss, attachments = [], []
-            parts = row["parts"] or []
-            for part in parts:
-                piece, attachment = flat.visit(part or {}, len(text))
-                if attachment:
-                    attachments.append(attachment)
-                elif row["role"] == "assistant" and piece:
-                    loss.append({"start": len(text), "end": len(text) + len(piece)})
-                text += piece
-            out.append({"conv_id": conv, "seq": seq, "role": row["role"] or "", "formatted": f"{text}{CLOSE}\n", "loss": loss, "attachments": attachments, "prompt_parts": len(parts)})
+            head = f"{OPEN}{_role_out(row['role'])}\n"
+            parts = [p for p in row["parts"] or [] if p]
+            text, spans, attachments = flat.turn(parts, len(head))
+            loss = [{"start": a, "end": b} for a, b in spans] if row["role"] == "assistant" else []
+            out.append({"conv_id": conv, "seq": seq, "role": row["role"] or "", "formatted": f"{head}{text}{CLOSE}\n", "loss": loss, "attachments": attachments, "prompt_parts": len(parts)})
             seq += 1
         yield pa.RecordBatch.from_pylist(out, schema)
 
@@ -121,10 +138,17 @@ def format_turns(turns: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("conv_id", "turn", "role", "parts").mapInArrow(_format, FORMATTED)
 
 
-def parse(formatted: str) -> tuple[str, str]:
-    """Role and text of a formatted turn, the placeholders dropped."""
-    head, _, rest = formatted.removeprefix(OPEN).partition("\n")
-    return _role_in(head), unescape(_PLACEHOLDER.sub("", rest.removesuffix("\n").removesuffix(CLOSE)))
+def parse(formatted: str, attachments: list[dict[str, Any]] | None = None) -> tuple[str, str]:
+    """Role and text of a formatted turn, without the placeholders of its attachments."""
+    begin = formatted.index("\n") + 1
+    end = len(formatted) - len(CLOSE) - 1
+    texts = []
+    at = begin
+    for x in attachments or []:
+        texts.append(unescape(formatted[at : x["at"]]))
+        at = x["at"] + len(placeholder(x["kind"], x["ordinal"]))
+    texts.append(unescape(formatted[at:end]))
+    return _role_in(formatted[len(OPEN) : begin - 1]), "".join(texts)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +170,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if begun:
                     out.append(done())
                 conv, state, begun = row["conv_id"], [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0], True
-            role, text = parse(row["formatted"])
+            role, text = parse(row["formatted"], row["attachments"])
             learnt = "".join(unescape(row["formatted"][s["start"] : s["end"]]) for s in row["loss"])
             state[0] += 1
             state[1].update(f"{role}\n{text}\n".encode())
