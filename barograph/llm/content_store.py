@@ -7,8 +7,9 @@ stand. A chunk's address is a digest of its ids. The store has three kinds of Pa
 - recipes: doc_id, n_tokens, the digests in order and their Merkle root, in ascending order of doc_id (nulls first);
 - manifest: for each file range of recipes its documents, tokens, and a digest over their roots.
 
-Reading back recomputes every digest from the stored ids and every root from the digests, and fails where one differs.
-A null text is empty and has the end id alone. Repeated doc_ids each have a recipe. Other columns are dropped.
+Reading back recomputes every digest from the stored ids, every root from the digests and the manifest from the roots, and
+fails where one differs or a chunk or recipe is missing. A null text is empty and has the end id alone. Texts are whole,
+however long. Repeated doc_ids each have a recipe. Columns beside doc_id and text are dropped, whatever they are called.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barograph.llm import kernels
@@ -141,11 +142,41 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0) -> Store:
     ranged = staged.select("doc_id", "row", "n_tokens", "root", "digests").repartitionByRange(F.col("doc_id").asc_nulls_first(), "row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row")
     recipes = write_shared(ranged.withColumn("part", F.spark_partition_id()), "store-recipes")
     discard(spark, path)
-    roots = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "row", "root"))), lambda x: F.hex(x["root"]))
-    manifest = spark.read.parquet(recipes).groupBy("part").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.array_join(roots, ""), 256).alias("root"))
+    manifest = _manifest(spark.read.parquet(recipes))
     return Store(chunks, recipes, write_shared(manifest, "store-manifest"), Encoder(tokenizer, end_id).dtype.itemsize)
 
 
+def _range_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each file range of the sorted recipes: the Merkle root over what they say, from a stack of whole subtrees."""
+    part, n_docs, n_tokens, stack = None, 0, 0, []
+
+    def done() -> pa.RecordBatch:
+        root = stack[-1][1] if stack else digest(b"")
+        for _, left in reversed(stack[:-1]):
+            root = digest(left + root)
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n_docs], pa.int64()), pa.array([n_tokens], pa.int64()), pa.array([root], pa.binary())], ["part", "n_docs", "n_tokens", "root"])
+
+    for batch in batches:
+        for row in zip(*[batch.column(c).to_pylist() for c in ("part", "doc_id", "row", "n_tokens", "root")], strict=True):
+            if row[0] != part:
+                if part is not None:
+                    yield done()
+                part, n_docs, n_tokens, stack = row[0], 0, 0, []
+            n_docs, n_tokens = n_docs + 1, n_tokens + row[3]
+            height, node = 0, digest(repr(row[1:4]).encode() + row[4])
+            while stack and stack[-1][0] == height:
+                height, node = height + 1, digest(stack.pop()[1] + node)
+            stack.append((height, node))
+    if part is not None:
+        yield done()
+
+
+def _manifest(recipes: DataFrame) -> DataFrame:
+    """part, n_docs, n_tokens, root of each file range."""
+    rows = recipes.select("part", "doc_id", "row", "n_tokens", "root").repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "row")
+    return rows.mapInArrow(_range_roots, "part int, n_docs bigint, n_tokens bigint, root binary")
+
+
 def _read_chunks(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,26 +234,49 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(crcs, pa.int64())], ["row", "ids_crc32"])
 
 
+def _or_fail(column: str, kind: str, message: str) -> Column:
+    """The column, or an error where it is null."""
+    return F.coalesce(F.col(column), F.raise_error(F.lit(message)).cast(kind)).alias(column)
+
+
 def read_back(spark: SparkSession, store: Store) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the files; the ids themselves never leave the task that reads them."""
     chunks = spark.read.parquet(store.chunks).mapInArrow(_read_chunks(store.width), "digest binary, n int, crc bigint")
     recipes = spark.read.parquet(store.recipes)
-    parts = recipes.select("row", "n_tokens", "root", F.posexplode("digests").alias("seq", "digest")).join(chunks, "digest")
+    parts = recipes.select("row", "n_tokens", "root", F.posexplode("digests").alias("seq", "digest")).join(chunks, "digest", "left")
+    parts = parts.select("row", "n_tokens", "root", "seq", "digest", "n", _or_fail("crc", "bigint", "a chunk is missing"))
     whole = parts.groupBy("row").agg(F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"), F.collect_list(F.struct("seq", "digest", "n", "crc")).alias("chunks"))
     crcs = whole.mapInArrow(_fold, "row bigint, ids_crc32 bigint")
 
     manifest = spark.read.parquet(store.manifest)
+    found = _manifest(recipes).select(F.col("part").alias("found"), F.col("root").alias("found_root"))
+    same = F.when((F.col("part") == F.col("found")) & (F.col("root") == F.col("found_root")), F.col("part")).alias("part")
+    checked = manifest.join(found, F.col("part") == F.col("found"), "full").select(same, "n_tokens").select(_or_fail("part", "int", "the recipes do not give the manifest"), "n_tokens")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file range
-    offsets = manifest.select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("offset"))
+    offsets = checked.select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("offset"))
     own = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "row").rowsBetween(Window.unboundedPreceding, -1)
     starts = recipes.select("part", "row", "doc_id", "n_tokens", F.coalesce(F.sum("n_tokens").over(own), F.lit(0)).alias("own")).join(offsets, "part")
-    return starts.join(crcs, "row").select("doc_id", (F.col("own") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+    out = starts.join(crcs, "row", "left")
+    return out.select("doc_id", (F.col("own") + F.col("offset")).alias("start"), "n_tokens", _or_fail("ids_crc32", "bigint", "a recipe has no chunks"))
+
+
+def _joined(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                ids = b"".join(c["ids"] for c in sorted(row.column("chunks").to_pylist()[0], key=lambda c: c["seq"]))
+                values = pa.array(np.frombuffer(ids, f"<u{width}").astype(np.int32))
+                lists = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([row.column("row"), row.column("doc_id"), lists], ["row", "doc_id", "ids"])
+
+    return run
 
 
 def documents_of(spark: SparkSession, store: Store) -> DataFrame:
     """row, doc_id, ids (array of int): the documents put together again."""
-    kind = F.udf(lambda b: np.frombuffer(b, f"<u{store.width}").astype(int).tolist(), "array<int>")
-    chunks = spark.read.parquet(store.chunks)
-    parts = spark.read.parquet(store.recipes).select("row", "doc_id", F.posexplode("digests").alias("seq", "digest")).join(chunks, "digest")
-    whole = parts.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("c"))
-    return whole.select("row", "doc_id", kind(F.aggregate("c", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))).alias("ids"))
+    chunks = spark.read.parquet(store.chunks).select("digest", "ids")
+    parts = spark.read.parquet(store.recipes).select("row", "doc_id", F.posexplode("digests").alias("seq", "digest")).join(chunks, "digest", "left")
+    parts = parts.select("row", "doc_id", "seq", _or_fail("ids", "binary", "a chunk is missing"))
+    whole = parts.groupBy("row", "doc_id").agg(F.collect_list(F.struct("seq", "ids")).alias("chunks"))
+    return whole.mapInArrow(_joined(store.width), "row bigint, doc_id bigint, ids array<int>")
