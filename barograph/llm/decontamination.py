@@ -5,8 +5,9 @@ SPAN = K + WINDOW - 1 words share a fingerprint there. Training fingerprints tha
 bitmap tells) are joined with the benchmark's, each with the words around it, and every hit is extended word by word;
 it counts if it reaches SPAN words. Items of fewer words are one gram of their own length, looked for at every place.
 
-Nulls and texts without words have no words and no hits. Repeated rows each give a row. Other columns are dropped.
-An empty benchmark hits nothing.
+Nulls and texts without words have no words and no hits. Texts are whole, however long. Repeated rows each give a row.
+Columns beside doc_id and text are dropped by ``contamination`` and kept by ``clean``, whatever they are called. An empty
+benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barograph.llm import bitmaps, kernels
@@ -63,7 +64,7 @@ def _prints(words: kernels.Words, at: np.ndarray, fps: np.ndarray, k: int, whole
 
 
 def _fingerprints(short: list[int], bitmap: bytes | None):
-    """A task's work on rows (id, text): with a bitmap, training texts; without, benchmark items."""
+    """A task's work on rows (id, digest, text): with a bitmap, training texts; without, benchmark items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").view(bool) if bitmap is not None else None
@@ -86,7 +87,7 @@ def _fingerprints(short: list[int], bitmap: bytes | None):
                         at, fps = at[here], fps[here]
                     for d, print_ in _prints(words, at, fps, k, whole, owner):
                         found[d].append(print_)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(counts, pa.int64()), pa.array(found, _ARROW_PRINTS)], ["id", "n_words", "prints"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("digest"), pa.array(counts, pa.int64()), pa.array(found, _ARROW_PRINTS)], ["id", "digest", "n_words", "prints"])
 
     return run
 
@@ -105,26 +106,27 @@ def _common(a: str, b: str):
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two tables: (row, doc_id, n_words) for each document, and (row, item_id, start, end) for each extended hit, in words."""
+    """Two tables: (row, doc_id, digest, n_words) for each document, and (row, item_id, start, end) for each extended hit, in words."""
     spark = docs.sparkSession
     short = list(range(1, SPAN))
-    items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text").mapInArrow(_fingerprints(short, None), f"id bigint, n_words bigint, prints {_PRINTS}")
+    schema = f"id bigint, digest string, n_words bigint, prints {_PRINTS}"
+    items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.lit("").alias("digest"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints(short, None), schema)
     items = materialize(items.select("id", "n_words", F.explode("prints").alias("p")).select(F.col("id").alias("item_id"), "n_words", "p.fp", "p.k", "p.whole", F.col("p.left").alias("i_left"), F.col("p.right").alias("i_right")), "benchmark-prints")
     short = sorted(r["k"] for r in items.where("whole").select("k").distinct().collect())  # at most SPAN - 1 rows
     bitmap = bitmaps.build(items, F.expr(f"fp & {(1 << BITS) - 1}"), 1 << BITS)
-    found = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints(short, bitmap), f"id bigint, n_words bigint, prints {_PRINTS}")
-    found = materialize(found.select(F.monotonically_increasing_id().alias("row"), F.col("id").alias("doc_id"), "n_words", "prints"), "training-prints")
+    found = docs.select(F.col("doc_id").cast("long").alias("id"), _digest(F.col("text")).alias("digest"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints(short, bitmap), schema)
+    found = materialize(found.select(F.monotonically_increasing_id().alias("row"), F.col("id").alias("doc_id"), "digest", "n_words", "prints"), "training-prints")
     hits = found.select("row", F.explode("prints").alias("p")).select("row", "p.*").join(items.drop("n_words"), ["fp", "k", "whole"])
     hits = hits.withColumns({"l": _common("left", "i_left"), "r": _common("right", "i_right")})
     hits = hits.where(F.col("whole") | (F.col("l") + F.col("r") + K >= SPAN))
-    return found.select("row", "doc_id", "n_words"), hits.select("row", "item_id", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("k") + F.col("r")).alias("end")).distinct()
+    return found.select("row", "doc_id", "digest", "n_words"), hits.select("row", "item_id", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("k") + F.col("r")).alias("end")).distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs.
+def _digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")))
 
-    A document is contaminated if a twentieth of its words or more are hit.
-    """
+
+def _judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows, hits = occurrences(docs, benchmark)
     hits = materialize(hits, "hits")
     # Words in the union of a row's spans: each span adds what lies behind the furthest end before it.
@@ -134,11 +136,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     out = rows.join(counts, "row", "left").join(items, "row", "left")
     n_hit, names = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
-    out = out.select("row", "doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"))
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).drop("row")
+    out = out.select("doc_id", "digest", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs.
+
+    A document is contaminated if a twentieth of its words or more are hit.
+    """
+    return _judged(docs, benchmark).drop("digest")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id no contaminated row has."""
-    bad = contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """The rows of docs whose text is not contaminated; of rows that share a doc_id, or have none, each is judged by its text."""
+    bad = _judged(docs, benchmark).where("contaminated").select("digest").distinct()
+    return docs.join(bad, _digest(docs["text"]) == bad["digest"], "left_anti")
