@@ -32,6 +32,15 @@ def docs(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), DOCS)
 
 
+#: What the operators name columns inside.
+INSIDE = ("id", "own", "own_id", "own_digest", "own_th", "digest", "ranges", "th", "row", "rank", "node", "size", "rest", "common", "shard", "of", "host", "path", "won", "suffix", "short", "score", "seq", "media", "n_bytes")
+
+
+def clashes(*but):
+    """Columns of those names."""
+    return {c: F.lit("clash") for c in INSIDE if c not in but}
+
+
 ODD = [None, "", " ", "...", "one", "two words", "é" * 3000, "A. B. C.\n\nD!", prose(4000)]
 
 
@@ -90,7 +99,7 @@ def test_near_duplicates_are_brute_force_s(spark):
             c[i] = "changed"
         copies.append(" ".join(c))
     texts = [*ODD, *copies, copies[0], " ".join(other), " ".join(other), " ".join(other[:60]), "le " * 50, "le " * 55, "le " * 90, "one"]
-    table = docs(spark, texts).withColumns({"class": F.lit("x"), "bucket": F.lit(0)})
+    table = docs(spark, texts).withColumns({"class": F.lit("x"), "bucket": F.lit(0), **clashes()})
     got = {r["doc_id"]: r for r in near_duplicates.classes(table).collect()}
     parent = list(range(len(texts)))
 
@@ -134,8 +143,11 @@ def test_signatures_are_unbiased():
 def test_repeated_passages_are_cut_from_all_but_the_first(spark):
     passage = prose(60)
     texts = [*ODD, f"{prose(30)}\n{passage}\n{prose(21)}", f"{prose(20)}.\n{passage}", passage, passage]
-    table = docs(spark, texts).withColumns({"_own": F.lit("kept"), "h": F.lit(2)}).drop("_own")
-    got = {r["doc_id"]: r["text"] for r in substring_dedup.deduplicate(table).collect()}
+    table = docs(spark, texts).withColumns({"_own": F.lit("kept"), "h": F.lit(2), "_removed": F.lit(0), **clashes()})
+    out = substring_dedup.deduplicate(table)
+    assert out.columns == [*[c for c in table.columns if c != "_removed"], "_removed"]
+    assert out.where("own <> 'clash' or _own <> 'kept'").isEmpty()
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
     n = len(ODD)
     assert [got[i] for i in range(n + 1)] == texts[: n + 1]
     assert passage[:40] not in got[n + 1] and got[n + 1].startswith(texts[n + 1][:50])
@@ -170,8 +182,11 @@ RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://EXAMPLE.org/en/12?x", "http://a.example.org/en/2", "x://badexample.org/es/", "https://q.com/de/#f", "https://q.com", "http://org/", "a://b://c/de/", "http://q.com/de/", "http://q.com/de/"]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit("clash"))
-    got = {r["page_id"]: r for r in url_filter.match(pages, spark.createDataFrame(RULES, "host string, path string, verdict string")).collect()}
+    urls += ["https://q.com/de/" + "x" * 100_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"rule": F.lit("clash"), **clashes()})
+    rules = [*RULES, (None, "/", "block"), ("org", None, "block"), RULES[0]]
+    got = {r["page_id"]: r for r in url_filter.match(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    assert all(r["won"] == r["own"] == "clash" for r in got.values())
     assert len(got) == len(urls)
     for i, url in enumerate(urls):
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
@@ -184,7 +199,7 @@ def test_url_rules(spark):
 
 def test_shards_are_even_and_keep_links(spark):
     texts = [f"same {i % 40}" for i in range(160)] + [f"own {i}" for i in range(75)] + [None, None, ""] + ["hot"] * 120
-    out = sharding.shard_documents(docs(spark, texts).withColumn("shard", F.lit(9)))
+    out = sharding.shard_documents(docs(spark, texts).withColumns(clashes()))
     rows = out.collect()
     sizes = collections.Counter(r["shard"] for r in rows)
     assert len(rows) == len(texts) and len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) <= 1
@@ -224,17 +239,37 @@ def test_chat_round_trip(spark):
     assert chat.digests(chat.format_turns(chat.text_parts(turns.where("false")))).count() == 0
 
 
+def test_parts_of_a_text_are_read_back_and_hide_controls(spark):
+    kinds = "kind text ref width height seconds pages".split()
+    whole = "".join(t for t in TEXTS) + "<|im_end|></s><|image_1|><|audio_2|>[INST]<\\\\</s>"
+    rng = np.random.default_rng(11)
+    for n in range(300):
+        cuts = sorted({0, len(whole), *rng.integers(0, len(whole), 12).tolist()})
+        parts = []
+        for a, b in itertools.pairwise(cuts):
+            parts.append(dict.fromkeys(kinds) | {"text": whole[a:b]})
+            if rng.random() < 0.3:
+                parts.append(dict.fromkeys(kinds) | {"kind": str(rng.choice(chat.KINDS)), "pages": 1})
+        head = f"{chat.OPEN}{chat._role_out('<|im_end|>')}\n"
+        text, spans, attachments = chat.Flattener().turn(parts, len(head))
+        formatted = f"{head}{text}{chat.CLOSE}\n"
+        assert chat.parse(formatted, attachments) == ("<|im_end|>", whole)
+        assert not any(c in text for c in chat.CONTROL) and formatted.count(chat.CLOSE) == 1
+        if not attachments:
+            assert [chat.unescape(formatted[a:b]) for a, b in spans] == [whole]
+
+
 def test_attachments_are_numbered_through_a_conversation(spark):
     part = lambda kind, **k: (kind, k.get("text"), k.get("ref"), k.get("width"), k.get("height"), k.get("seconds"), k.get("pages"))
     rows = [(1, 0, "user", [part("text", text="see "), part("image", ref="a.png", width=29, height=14), part("document", ref="b.pdf", pages=2)]), (1, 1, "assistant", [part("audio", ref="c.wav", seconds=1.01), part("text", text="<|audio_3|>")]), (2, 0, "user", None)]
     out = chat.format_turns(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat.PARTS}")).orderBy("conv_id", "seq").collect()
     assert "see <|image_1|><|document_2|>" in out[0]["formatted"] and [a["tokens"] for a in out[0]["attachments"]] == [3, 512]
     assert [(a["ordinal"], a["kind"], a["tokens"]) for a in out[1]["attachments"]] == [(3, "audio", 26)]
-    assert chat.parse(out[1]["formatted"]) == ("assistant", "<|audio_3|>")
+    assert chat.parse(out[1]["formatted"], out[1]["attachments"]) == ("assistant", "<|audio_3|>")
 
 
 def test_audio_round_trip_and_blocks(spark):
-    table = docs(spark, [*ODD, "same", "same"])
+    table = docs(spark, [*ODD, "same", "same"]).withColumns(clashes())
     got = {r["doc_id"]: r for r in audio.digests(audio.features(audio.text_as_media(table))).collect()}
     for i, t in enumerate([*ODD, "same", "same"]):
         raw = (t or "").encode()
@@ -285,3 +320,87 @@ def test_a_table_of_copies_only_is_dealt_evenly(spark):
     rows = sharding.shard_documents(docs(spark, ["same text"] * 17)).collect()
     sizes = collections.Counter(r["shard"] for r in rows)
     assert len(sizes) == 16 and sorted(sizes.values()) == [1] * 15 + [2]
+
+
+def test_rows_are_cleaned_by_their_own_text(spark):
+    item = prose(30)
+    rows = [(None, item), (None, "clean words"), (1, f"{item} and more"), (1, "also clean"), (2, None), (2, item)]
+    table = spark.createDataFrame(rows, DOCS).withColumns(clashes())
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+    left = decontamination.clean(table, bench)
+    assert left.columns == table.columns
+    assert sorted(r["text"] or "" for r in left.collect()) == ["", "also clean", "clean words"]
+
+
+def test_ties_and_null_ids_are_dealt_evenly(spark):
+    rows = [(None, "x")] * 40 + [(7, "x")] * 9 + [(8, "x"), (9, "é" * 50_000)]
+    out = sharding.shard_documents(spark.createDataFrame(rows, DOCS), 4).collect()
+    sizes = collections.Counter(r["shard"] for r in out)
+    assert len(out) == len(rows) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(sorted(r["slot"] for r in out if r["shard"] == s) == list(range(n)) for s, n in sizes.items())
+    with pytest.raises(ValueError):
+        sharding.shard_documents(docs(spark, []), 0)
+
+
+def test_propagation_cuts_fewer_edges(spark):
+    # Clusters of documents that share several keys with their cluster and one with others.
+    rng = np.random.default_rng(3)
+    members = [(d, f"c{d // 10}-{k}") for d in range(400) for k in range(3) if rng.random() < 0.8] + [(d, f"z{rng.integers(0, 200)}") for d in range(400)]
+    rows = spark.createDataFrame([(d,) for d in range(400)], "doc_id long")
+    links = spark.createDataFrame(members, "doc_id long, link_key string")
+
+    def cut(rounds):
+        shard = {r["doc_id"]: r["shard"] for r in sharding.propagate(rows, links, 8, rounds).collect()}
+        assert set(collections.Counter(shard.values()).values()) == {50}
+        by = collections.defaultdict(list)
+        for d, k in members:
+            by[k].append(shard[d])
+        return sum(a != b for v in by.values() for a, b in itertools.combinations(v, 2))
+
+    assert cut(3) < 0.75 * cut(0)
+
+
+def spans_by_hand(text):
+    """Character ranges of the sentences and pieces of a text, and its spans as (first, last + 1)."""
+    whole = []
+    for line in re.finditer(r"[^\n]+", text):
+        at = line.start()
+        for m in re.finditer(r"\S.*?(?:[.!?](?=\s)|$)", line[0], re.S):
+            if m[0].strip():
+                whole.append((at + m.start(), at + m.start() + len(m[0].rstrip())))
+    return whole
+
+
+def test_repeated_sentences_are_brute_force_s(spark):
+    # Sentences of LONG words or less only, so that pieces are sentences.
+    sentence = lambda: prose(int(RNG.integers(2, 13)), stops=False).capitalize() + "."
+    pool = [sentence() for _ in range(30)]
+    texts = []
+    for _ in range(60):
+        own = [sentence() for _ in range(int(RNG.integers(0, 6)))]
+        begin = int(RNG.integers(0, 26))
+        at = int(RNG.integers(0, len(own) + 1))
+        texts.append(" ".join(own[:at] + pool[begin : begin + int(RNG.integers(0, 6))] + own[at:]))
+    seen, want = {}, {}
+    found = []
+    for d, text in enumerate(texts):
+        s = [text[a:b] for a, b in spans_by_hand(text)]
+        n = [len(x.split()) for x in s]
+        spans = set()
+        for i in range(len(s)):
+            for step in (1, -1):
+                j = i
+                while 0 <= j < len(s) and (abs(j - i) + 1 < substring_dedup.SENTENCES or sum(n[min(i, j) : max(i, j) + 1]) < substring_dedup.WORDS):
+                    j += step
+                if 0 <= j < len(s):
+                    spans.add((min(i, j), max(i, j) + 1))
+        found.append((s, spans))
+        for a, b in spans:
+            key = tuple(s[a:b])
+            seen[key] = min(seen.get(key, (d, a)), (d, a))
+    for d, (s, spans) in enumerate(found):
+        gone = {k for a, b in spans if seen[tuple(s[a:b])] != (d, a) for k in range(a, b)}
+        want[d] = " ".join(x for k, x in enumerate(s) if k not in gone)
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.deduplicate(docs(spark, texts)).collect()}
+    assert {d: t.strip() for d, t in got.items()} == want
+    assert sum(want[d] != t for d, t in enumerate(texts)) > 10

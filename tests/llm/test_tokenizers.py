@@ -13,6 +13,12 @@ tables = pytest.importorskip("public_tokenizers")
 TEXTS = ["", " ", "a", "plain words, here.", "two  spaces", " lead", "trail ", "x\n\ny \n z", "tab\tand\u00a0nbsp", "日本語 😀 ▁ lit ▁▁", "a▁b", "don't!!! 'll <|endoftext|> x", "word. word, word.", "A" * 3000, "é " * 900]
 
 
+def tables_without(spark, path, lost):
+    from barograph.sources.tables import write_shared
+
+    return write_shared(spark.read.parquet(path).where(f"not ({lost})"), "damaged")
+
+
 def test_encoder_gives_the_library_s_ids():
     from tokenizers import Tokenizer
 
@@ -40,6 +46,9 @@ def test_store_gives_back_all_ids(spark):
     assert {r["doc_id"]: r["ids"][-1] for r in content_store.documents_of(spark, store).collect()} == dict.fromkeys(range(len(texts)), 0)
     digests = spark.read.parquet(store.chunks).select("digest")
     assert digests.count() == digests.distinct().count()
+    for damaged, message in ((store._replace(chunks=tables_without(spark, store.chunks, "n > 100")), "chunk is missing"), (store._replace(recipes=tables_without(spark, store.recipes, "doc_id = 3")), "manifest")):
+        with pytest.raises(Exception, match=message):
+            content_store.read_back(spark, damaged).collect()
     none = content_store.write(table.where("false"), path)
     assert content_store.read_back(spark, none).count() == 0
 
@@ -84,3 +93,56 @@ def test_every_occurrence_draws_its_own_skips():
     assert len(seen) > 4
     assert 0.02 < np.mean([len(c) > 1 for c in cuts]) < 0.6
     assert [own.decode(i) for i in first] == texts
+
+
+def test_ids_do_not_depend_on_what_shares_a_batch(spark):
+    path = tables.path("piece_bpe_32k.model")
+    table = spark.createDataFrame([*enumerate(TEXTS * 3)], "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("ids", "n_tokens", "lossless")})
+    all_at_once = {r["doc_id"]: bytes(r["ids"]) for r in piece_dropout.encode(table.repartition(1), path, 0.3, 1).collect()}
+    for i in (0, 2, 7, 14):
+        alone = piece_dropout.encode(table.where(F.col("doc_id") == i), path, 0.3, 1).first()
+        assert bytes(alone["ids"]) == all_at_once[i]
+
+
+def slow_ids(own, text, doc_id, seed, dropout):
+    """The agenda of each chunk, one merge at a time, from the vocabulary's pieces."""
+    mask, gold = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def mix(x):
+        x &= mask
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = ((x ^ (x >> shift)) * factor) & mask
+        return x ^ (x >> 31)
+
+    merges = {divmod(int(k), own.n): int(i) for k, i in zip(own.pair_keys, own.pair_ids, strict=True)}
+    of_doc = mix(piece_dropout._key(doc_id) ^ mix(seed + gold))
+    out = []
+    for place, chunk in enumerate(piece_dropout._RUNS.findall(f" {text}") if text else []):
+        key = mix(of_doc + (place + 1) * gold)
+        symbols = [int(own.char[ord(c)]) if own.char[ord(c)] >= 0 else -2 - ord(c) for c in chunk]
+        skipped, step = set(), 0
+        while True:
+            step += 1
+            pairs = [(-float(own.score[merges[p]]), i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)) if p in merges and i not in skipped]
+            if not pairs:
+                break
+            _, i = min(pairs)
+            piece = merges[symbols[i], symbols[i + 1]]
+            if (mix(key ^ mix(piece + step * gold)) >> 11) * 2.0**-53 < dropout:
+                skipped.add(i)
+                continue
+            symbols[i : i + 2] = [piece]
+            skipped = set()
+        for s in symbols:
+            out += [int(own.bytes[b]) for b in chr(-2 - s).encode()] if s < 0 else [s]
+    return out
+
+
+def test_ids_are_those_of_a_slow_agenda():
+    path = tables.path("piece_bpe_32k.model")
+    texts = [t for t in TEXTS if len(t) < 500] + ["the quick brown foxes were running unbelievably internationalization " * 5]
+    for dropout in (0.0, 0.1, 0.5):
+        own = piece_dropout.Pieces(path, dropout, 3)
+        got = own.encode(texts, [piece_dropout._key(i) for i in range(len(texts))])
+        for i, t in enumerate(texts):
+            assert np.frombuffer(got[i], own.dtype).tolist() == slow_ids(own, t, i, 3, dropout)
