@@ -6,14 +6,17 @@ but the first (least doc_id, then least hash of the text, then place) is repeate
 spans cover are removed. Because spans begin and end at every sentence, a repeated passage that holds a span is covered
 whole.
 
-A sentence of more than WORDS words counts as several, cut after each word whose hash is the least of some WINDOW words
+A sentence of more than LONG words counts as several, cut after each word whose hash is the least of some WINDOW words
 in a row. Where it is cut depends on the words around alone, so any 50 words that stand again inside one sentence, between
-other neighbours, hold spans; the words before the first common cut and after the last stay.
+other neighbours, hold spans; the words before the first common cut and after the last stay. Of sentences of LONG words or
+less, any 50 words that stand again hold at least two and WORDS words in whole sentences, so they hold a span too.
 
-Hashes are counted first; only spans whose hash may be a repeated one (a bitmap of fixed size tells) are joined.
+Hashes are counted first; only spans whose hash may be a repeated one (a bitmap of fixed size tells) are joined. More
+repeated hashes than the bitmap tells apart only let more spans through.
 
-A null text stays null. A text of which nothing is left is empty. Rows that agree in doc_id and text are one text and
-stay alike. A null doc_id comes after all others. Columns other than text are kept as they are.
+A null text stays null. A text of which nothing is left is empty. Texts are whole, however long. Rows that agree in doc_id
+and text are one text and stay alike; of equal texts with different ids the least id's stays. A null doc_id comes after
+all others. Columns other than text are kept as they are, whatever they are called. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -28,11 +31,11 @@ from pyspark.sql import functions as F
 from barograph.llm import bitmaps, kernels
 from barograph.sources.tables import materialize
 
-SENTENCES, WORDS = 2, 12
-#: Within as many words of a long sentence there is a cut.
-WINDOW = 8
-#: Bits of the bitmap of repeated hashes: 1 MB.
-BITS = 23
+SENTENCES, WORDS = 2, 20
+#: Words of a sentence from which on it is cut, and within which there is a cut then.
+LONG, WINDOW = 16, 12
+#: Bits of the bitmap of repeated hashes: 8 MB.
+BITS = 26
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 _LAST = (1 << 63) - 1
 
@@ -40,7 +43,7 @@ _LAST = (1 << 63) - 1
 def pieces(texts: kernels.Bytes) -> kernels.Sentences:
     """The sentences, long ones cut in pieces."""
     s = kernels.sentences(texts)
-    long = s.n_words > WORDS
+    long = s.n_words > LONG
     if not long.any():
         return s
     starts, ends = kernels.spaced_words(texts)
@@ -117,7 +120,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     texts = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
     counted = texts.select("text").mapInArrow(_hashes, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     bitmap = bitmaps.build(counted, F.expr(f"h & {(1 << BITS) - 1}"), 1 << BITS)
-    placed = materialize(texts.mapInArrow(_placed(bitmap), "id bigint, th bigint, h bigint, g bigint, start bigint, end bigint").distinct(), "spans")
+    placed = materialize(texts.mapInArrow(_placed(bitmap), "id bigint, th bigint, h bigint, g bigint, start bigint, end bigint"), "spans")
     firsts = placed.groupBy("h", "g").agg(F.min(F.struct("id", "th", "start", "end")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     firsts = materialize(firsts, "firsts")  # so both sides of the join are plain shuffles, and a hot span's can be split
     again = placed.join(firsts, ["h", "g"]).where(F.struct("id", "th", "start", "end") != F.col("first"))
@@ -135,10 +138,14 @@ def _without(text: Column, ranges: Column) -> Column:
     return F.aggregate(ranges, begin, step, lambda done: F.concat(done["kept"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text))))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs with the repeated sentences taken out of ``text``, and ``_removed``: their sorted character ranges or null."""
-    ranges = repeated_ranges(docs).select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("ranges").alias("_removed"))
-    rows = docs.withColumns({"_own": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_hash": F.xxhash64("text")})
-    rows = rows.join(ranges, (F.col("_own") == F.col("_id")) & (F.col("_hash") == F.col("_th")), "left")
-    text = F.when(F.col("_removed").isNull() | F.col("text").isNull(), F.col("text")).otherwise(_without(F.col("text").cast("string"), F.col("_removed")))
-    return rows.withColumn("text", text).drop("_own", "_hash", "_id", "_th")
+def deduplicate(docs: DataFrame, removed: str = "_removed") -> DataFrame:
+    """docs with the repeated sentences taken out of ``text``, and ``removed``: their sorted character ranges or null.
+
+    A column of docs that is called like ``removed`` is replaced; all others stay.
+    """
+    names = [c for c in docs.columns if c != removed]
+    rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)).alias("own_id"), F.xxhash64(docs["text"]).alias("own_th"), F.struct(*[docs[c] for c in names]).alias("own"))
+    rows = rows.join(repeated_ranges(docs), (F.col("own_id") == F.col("id")) & (F.col("own_th") == F.col("th")), "left")
+    before = F.col("own")["text"]
+    text = F.when(F.col("ranges").isNull() | before.isNull(), before).otherwise(_without(before.cast("string"), F.col("ranges")))
+    return rows.select(*[(text if c == "text" else F.col("own")[c]).alias(c) for c in names], F.col("ranges").alias(removed))
