@@ -3,8 +3,9 @@
 Encoding merges, again and again, the adjacent pair whose piece scores best (the leftmost of equals). Each time a merge
 comes up on a chunk's agenda, a hash of (seed, hash of doc_id, place of the chunk in the text, step, piece) skips it with
 probability ``dropout``; what was skipped comes up again after the next merge that happens. So every occurrence of a
-word draws its own skips; a seed gives one segmentation, other seeds others, all made of the vocabulary's merges. Characters without a piece become byte pieces, also a literal U+2581, so decoding gives
-the text back. Without dropout the ids are SentencePiece's.
+word draws its own skips; a seed gives one segmentation, other seeds others, all made of the vocabulary's merges.
+Characters without a piece become byte pieces, also a literal U+2581, so decoding gives the text back. Without dropout
+the ids are SentencePiece's.
 
 No piece goes from other characters on to a space, so a text is a sequence of chunks (spaces and what follows). Many
 chunks advance together, one step of each agenda at a time, in arrays. What a worker keeps does not depend on the draws:
@@ -12,7 +13,9 @@ a chunk's tree of decisions, whose node says which piece comes up after the merg
 leaf has the ids. Each occurrence goes down its chunk's tree by its own draws; one that leaves what is known of the tree
 is worked out from its characters, and its path is added.
 
-A null or empty text has no ids and decodes to the empty text. Repeated rows give the same ids.
+A null or empty text has no ids and decodes to the empty text. Texts are whole, however long. Repeated rows give the same
+ids, as equal doc_ids (null is one) and texts draw the same skips. Ids do not depend on what else a task encodes. Columns
+beside doc_id and text are dropped, whatever they are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations

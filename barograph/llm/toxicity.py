@@ -6,8 +6,10 @@ Only documents are labelled; the gradient of the noisy-or shares a label out amo
 locate the sentences that made a document toxic. Words and their beginnings are hashed to BUCKETS weights.
 
 The model is fitted on at most MAX_DOCS labelled documents, chosen by a hash of doc_id; scoring covers every text.
-Texts that are null or have no words have no sentences and score 0. Null labels and labels without a document are left
-out; of several labels for a document the highest counts. Without labels of both kinds every score is 0.
+Texts that are null or have no words have no sentences and score 0. Texts are whole, however long. Repeated rows have equal
+scores; a score equal to the threshold counts as toxic. Null labels and labels without a document are left out; of several
+labels for a document, or for equal texts, the highest counts. Without labels of both kinds every score is 0. Columns
+that are not asked for are dropped by ``score`` and kept by ``reject``, whatever they are called.
 """
 
 from __future__ import annotations
