@@ -26,6 +26,30 @@ def test_stages_only_lose_rows_and_keep_the_columns(spark):
     assert docs.where("not lossless").count() == 0
 
 
+def test_stages_take_odd_rows_and_columns(spark):
+    from pyspark.sql import functions as F
+
+    docs = table(spark, FOLDER, "documents")
+    words = " ".join(f"w{i % 97}x{i % 89}" for i in range(60_000))
+    odd = [(None, None), (None, None), (7001, None), (7002, ""), (7003, "..."), (7004, words), (7004, words), (7005, words), (None, "one line of no one")]
+    more = spark.createDataFrame([(i, t, None, None, None) for i, t in odd], docs.schema)
+    clash = {c: F.lit("clash") for c in ("own", "own_id", "digest", "removed", "score", "ranges", "class", "_removed", "row")}
+    docs = docs.unionByName(more).withColumns(clash)
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = spark.read.parquet(corpus_pipeline.write_shared(stage(spark, docs, FOLDER), f"odd-{name}"))
+        if name != "encoding":
+            assert docs.columns == names and docs.where("own <> 'clash' or removed <> 'clash'").isEmpty()
+    left = docs.where("doc_id is null or doc_id > 7000").collect()
+    # Null and empty texts are one class, whose first is 7001; the long text is kept once, and whole.
+    assert sorted(((r["doc_id"] or 0), r["lossless"]) for r in left) == [(0, True), (7001, True), (7003, True), (7004, True)]
+    assert next(r for r in left if r["doc_id"] == 7004)["n_tokens"] > 100_000
+    none = table(spark, FOLDER, "documents").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, FOLDER)
+        assert out.count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_give_a_row_for_each(spark, name):
     of = {"op4_chat_formatting": "conversations", "op9_url_filter": "pages"}.get(name, "documents")
