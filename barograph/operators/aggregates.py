@@ -45,18 +45,6 @@ def edge_table(log: DataFrame, k: float = 20.0) -> DataFrame:
     return out.withColumns({"ev_shrink": w * F.col("ev") + (1 - w) * F.col("ev_global"), "ir_shrink": w * F.col("ir") + (1 - w) * F.col("ir_global")})
 
 
-def allow_list(edges: DataFrame, top: int = 3) -> DataFrame:
-    """regime_id, allowed_agents: of those with a positive EV, without the lowest quartile where four or more remain, the best by IR, EV, n."""
-    good = edges.where("ev_shrink > 0")
-    w = Window.partitionBy("regime_id")
-    good = good.withColumns({"_n": F.count(F.lit(1)).over(w)})
-    cut = good.groupBy("regime_id").agg(F.percentile("ev_shrink", 0.25).alias("_q"))
-    good = good.join(cut, "regime_id").where((F.col("_n") < 4) | (F.col("ev_shrink") >= F.col("_q")))
-    order = Window.partitionBy("regime_id").orderBy(F.desc("ir_shrink"), F.desc("ev_shrink"), F.desc("n_days"), "agent")
-    best = good.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= top)
-    return best.groupBy("regime_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "agent"))), lambda x: x["agent"]), "|").alias("allowed_agents"))
-
-
 def profile(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
     """Median, interquartile range and population deviation of each column."""
     quartiles = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
@@ -157,6 +145,55 @@ def frequencies(df: DataFrame, by: list[str]) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("_t")).drop("_t")  # one row
 
 
+def bootstrap(days: DataFrame, label: str, samples: int = 20, seed: int = 1) -> DataFrame:
+    """label, occupancy_mean, occupancy_std, bootstrap_stability, co_membership_stability over seeded resamples of the days.
+
+    A day counts a hash-drawn Poisson number of times in a resample. Co-membership: the share of a label's rows whose row
+    before, in order of date within the resample, has the same label; a day's further copies follow its first.
+    """
+    u = (F.pmod(F.xxhash64("date", "b", F.lit(seed)), F.lit(1_000_000)) + 0.5) / 1_000_000
+    times = sum((F.when(u > edge, 1).otherwise(0) for edge in (0.3679, 0.7358, 0.9197, 0.9810, 0.9963)), F.lit(0))  # of a Poisson(1)
+    rows = days.select("date", F.col(label).alias("label"), F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("b")).withColumn("n", times).where("n > 0")
+    w = Window.partitionBy("b").orderBy("date")
+    rows = rows.withColumn("same", F.col("n") - 1 + F.when(F.col("label") == F.lag("label").over(w), 1).otherwise(0))
+    each = rows.groupBy("b", "label").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
+    each = each.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("b")))
+    # A label that a resample lacks has a share of 0 there.
+    known = each.groupBy("label").agg(F.sum("share").alias("s"), F.sum(F.col("share") * F.col("share")).alias("ss"), F.avg(F.col("same") / F.col("n")).alias("co_membership_stability"))
+    mean = F.col("s") / samples
+    sd = F.sqrt(F.greatest(F.col("ss") / samples - mean * mean, F.lit(0.0)))
+    return known.select(F.col("label").alias(label), mean.alias("occupancy_mean"), sd.alias("occupancy_std"), (1 / (1 + sd)).alias("bootstrap_stability"), "co_membership_stability")
+
+
+def robust_pca(df: DataFrame, columns: list[str], k: int, by: str = "symbol") -> DataFrame:
+    """Adds pc_1 to pc_k: the columns less their median, by their interquartile range, on the main axes of their covariance.
+
+    One aggregate gives the covariance (as many numbers as there are pairs of columns); its axes are worked out on the
+    driver. An axis points to where its largest part is above 0. A column that does not vary counts by 1.
+    """
+    import numpy as np
+
+    quartiles = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns]).first()
+    if quartiles is None or any(quartiles[c] is None for c in columns):
+        return df.withColumns({f"pc_{i + 1}": F.lit(None).cast("double") for i in range(k)})
+    scaled = {c: (F.col(c) - quartiles[c][1]) / (quartiles[c][2] - quartiles[c][0] or 1.0) for c in columns}
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    one = df.agg(*[F.avg(scaled[c]).alias(f"m_{c}") for c in columns], *[F.covar_pop(scaled[a], scaled[b]).alias(f"v_{a}_{b}") for a, b in pairs]).first()
+    cov = np.zeros((len(columns), len(columns)))
+    for a, b in pairs:
+        i, j = columns.index(a), columns.index(b)
+        cov[i, j] = cov[j, i] = one[f"v_{a}_{b}"]
+    axes = np.linalg.eigh(cov)[1][:, ::-1][:, :k].T
+    out = {}
+    for n, axis in enumerate(axes, 1):
+        axis = axis * np.sign(axis[np.abs(axis).argmax()])
+        total = F.lit(0.0)
+        for c, x in zip(columns, axis.tolist(), strict=True):
+            total = total + (scaled[c] - one[f"m_{c}"]) * x
+        out[f"pc_{n}"] = total
+    return df.withColumns(out)
+
+
 def scaler_fit(train: DataFrame, by: str, columns: list[str]) -> DataFrame:
     """Mean and population deviation (1 where it is 0), least and greatest, of the training rows alone."""
     return train.groupBy(by).agg(*[x for c in columns for x in (F.avg(c).alias(f"mean_{c}"), F.when(F.stddev_pop(c) > 1e-12, F.stddev_pop(c)).otherwise(1.0).alias(f"sd_{c}"), F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"))])

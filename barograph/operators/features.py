@@ -6,6 +6,7 @@ that use them null, except where a fill is named.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ def atr_norm(df: DataFrame, n: int = 14) -> DataFrame:
     return df.withColumn("atr_norm", F.coalesce(ratio(roll(F.avg, "tr", n, n), F.lag("close").over(by_symbol())), F.lit(0.0)))
 
 
-def returns(df: DataFrame, ks: tuple[int, ...] = (1, 5, 20, 60, 252)) -> DataFrame:
+def returns(df: DataFrame, ks: tuple[int, ...] = (1, 5, 20, 60, 252, 2016)) -> DataFrame:
     """Changes over k rows; a missing close counts as the one before."""
     df = df.withColumn("_known", fill_forward("close"))
     return df.withColumns({f"ret_{k}": change("_known", k) for k in ks}).drop("_known")
@@ -47,6 +48,30 @@ def volume_flags(df: DataFrame) -> DataFrame:
     })
 
 
+#: Columns of the nested observation profiles, where a table has them.
+_BASE, _PRICE, _EXTRA = ("gap", "atr_norm"), ("oc_ret", "ret_1", "ret_5", "ret_20", "body_ratio", "range_atr", "vol_log_ratio"), ("rsi", "macd_hist", "dev_z", "dev_score", "volz20")
+_LABELS, _RAW = ("label", "available", "target", "y_"), ("open", "high", "low", "close", "volume")
+
+
+def observation_columns(df: DataFrame, profile: str, prefix: str = "dprime_") -> list[str]:
+    """The columns of profile A, B, C or D: own embeddings and gap and range; scale-free prices; indicators; all numbers but
+    labels, what is of the next day, and raw prices. Each profile has those of the one before."""
+    own = [c for c in df.columns if c.startswith(prefix)]
+    base = [*own, *[c for c in _BASE if c in df.columns]]
+    if profile == "A":
+        return base
+    price = [*base, *[c for c in _PRICE if c in df.columns]]
+    if profile == "B":
+        return price
+    if profile == "C":
+        return [*price, *[c for c in _EXTRA if c in df.columns]]
+    if profile != "D":
+        raise ValueError(f"unknown profile: {profile}")
+    numbers = [c for c, kind in df.dtypes if kind in ("double", "float", "int", "bigint", "smallint", "tinyint")]
+    good = [c for c in numbers if not any(k in c.lower() for k in _LABELS) and "_next" not in c.lower() and c not in _RAW]
+    return [*own, *[c for c in good if c not in own]]
+
+
 def candle(df: DataFrame) -> DataFrame:
     df = df.withColumns({"tr": true_range()}).withColumn("atr", roll(F.avg, "tr", 14, 14))
     span, body = F.col("high") - F.col("low"), F.abs(F.col("close") - F.col("open"))
@@ -87,7 +112,24 @@ def context(df: DataFrame) -> DataFrame:
     df = df.withColumn("r1", change("close"))
     trend = {f"trend_{n}": ratio(F.col("close"), roll(F.avg, "close", n, m)) - 1 for n, m in ((20, 5), (63, 10), (252, 20))}
     vol = {f"vol_{n}": roll(F.stddev_pop, "r1", n, m) for n, m in ((20, 5), (63, 10), (252, 20))}
-    return df.withColumns({**vol, **trend, "dd_252": ratio(F.col("close"), roll(F.max, "close", 252, 1)) - 1}).drop("r1")
+    # A day without volume is an unknown one.
+    traded = F.nullif(F.col("volume"), F.lit(0.0))
+    turnover = {f"turnover_{n}": ratio(traded, roll(F.avg, traded, n, m)) - 1 for n, m in ((20, 5), (63, 10))}
+    long = {"long_ret_252": change("close", 252), "long_ret_2016": change("close", 2016)}
+    out = df.withColumns({**vol, **trend, **turnover, **long, "dd_252": ratio(F.col("close"), roll(F.max, "close", 252, 20)) - 1}).drop("r1")
+    return out.fillna(0.0, [*vol, *trend, *turnover, *long, "dd_252"])
+
+
+#: Columns that may stand for a price or a volume, the best first.
+CLOSES, VOLUMES = ("close_anchor", "close", "adj_close"), ("volume", "rvol20", "vol_log_ratio")
+
+
+def source_diagnostics(df: DataFrame) -> DataFrame:
+    """One row: which columns context features would be made from, whether the volume is a stand-in, and what is missing."""
+    first = lambda names: next((c for c in names if c in df.columns), None)
+    close, volume_ = first(CLOSES), first(VOLUMES)
+    missing = [c for c in ("gap_atr", "atr_norm", "ret_20") if c not in df.columns]
+    return df.sparkSession.createDataFrame([(close, volume_, volume_ is not None and volume_ != "volume", "|".join(missing))], "close_source string, volume_source string, is_proxy boolean, missing string")
 
 
 def cluster_signal(df: DataFrame, x: str = "close") -> DataFrame:
@@ -96,16 +138,23 @@ def cluster_signal(df: DataFrame, x: str = "close") -> DataFrame:
 
 def long_context(df: DataFrame, n: int = 2016, least: int = 50) -> DataFrame:
     hi, lo = roll(F.max, "close", n, least), roll(F.min, "close", n, least)
-    return df.withColumns({"range_pos": ratio(F.col("close") - lo, hi - lo), "from_high": ratio(F.col("close"), hi) - 1, "from_low": ratio(F.col("close"), lo) - 1})
+    high, low = ratio(hi - F.col("close"), hi - lo), ratio(F.col("close") - lo, hi - lo)
+    return df.withColumns({"range_pos": low, "high_distance": high, "low_distance": low, "from_high": ratio(F.col("close"), hi) - 1, "from_low": ratio(F.col("close"), lo) - 1})
 
 
-def rolling_rank(df: DataFrame, n: int = 252, least: int = 50) -> DataFrame:
-    """Share of the last n closes that rank at or below the current one, ties averaged."""
-    frame = by_symbol().rowsBetween(-(n - 1), 0)
-    df = df.withColumn("_all", F.collect_list("close").over(frame))
-    less = F.size(F.filter("_all", lambda x: x < F.col("close")))
-    same = F.size(F.filter("_all", lambda x: x == F.col("close")))
-    return df.withColumn("rank_pct", F.when(F.size("_all") >= least, (less + (same + 1) / 2) / F.size("_all"))).drop("_all")
+def rolling_rank(df: DataFrame, columns: dict[str, str], n: int = 2016, least: int = 50) -> DataFrame:
+    """For each new name, the share of the last n known values of the column that rank at or below the current one, ties averaged.
+
+    ``columns``: new name to column. Long windows, so ranks come from a grouped map over each symbol with an ordered window.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        return pdf.assign(**{new: pdf[old].rolling(n, min_periods=least).rank(pct=True) for new, old in columns.items()})
+
+    fields = "".join(f", `{c}` double" for c in columns)
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.groupBy("symbol").applyInPandas(run, own + fields)
 
 
 def evaluation(df: DataFrame) -> DataFrame:
@@ -121,8 +170,15 @@ def evaluation(df: DataFrame) -> DataFrame:
 
 
 def forward(df: DataFrame) -> DataFrame:
-    """Not causal: labels. Next and fifth next change, and the least change to any of the next five closes."""
+    """Not causal: labels. Next and fifth next change, deviation a year of the five changes from the fourth row ahead back,
+    and the least change to any of the next five closes.
+
+    The changes are shifted four rows before they are rolled, so the deviation has no rows before the symbol's first.
+    """
     worst = F.min("close").over(by_symbol().rowsBetween(1, 5))
+    df = df.withColumn("_ahead", F.lead(change("close"), 4).over(by_symbol()))
+    vol = roll(F.stddev_pop, "_ahead", 5, 3) * 252**0.5
+    df = df.withColumn("fwd_vol_5", vol).drop("_ahead")
     return df.withColumns({"fwd_1": ratio(F.lead("close").over(by_symbol()), F.col("close")) - 1, "fwd_5": ratio(F.lead("close", 5).over(by_symbol()), F.col("close")) - 1, "fwd_min_5": ratio(worst, F.col("close")) - 1})
 
 

@@ -45,16 +45,17 @@ def outer_all(tables: list[DataFrame], keys: list[str]) -> DataFrame:
 def asof(left: DataFrame, right: DataFrame, on: str, by: list[str], values: list[str], strict: bool = False) -> DataFrame:
     """Each left row with the right row of the same ``by`` and the greatest ``on`` that is at or before (or before) its own.
 
-    Both sides are sorted together once, so no pair of rows that do not match is ever made.
+    Only the left's distinct (by, on) are matched, by sorting them and the right together: series of daily rows, however
+    many left rows share a day. An equi-join gives the left rows what was found; a null ``on`` finds nothing.
     """
     marked = F.struct(*[F.col(v) for v in values], F.col(on).alias("matched_on"))
-    r = right.select(*by, on, F.lit(1 if strict else 0).alias("_side"), marked.alias("_right"), F.lit(None).alias("_left"))
-    rest = [c for c in left.columns if c not in by and c != on]
-    l_ = left.select(*by, on, F.lit(0 if strict else 1).alias("_side"), F.struct(*rest).alias("_left") if rest else F.struct(F.lit(1).alias("_one")).alias("_left"))
+    r = right.select(*by, on, F.lit(1 if strict else 0).alias("_side"), marked.alias("_right"))
+    asked = left.select(*by, on).distinct().withColumn("_side", F.lit(0 if strict else 1))
     w = Window.partitionBy(*by).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = l_.unionByName(r, allowMissingColumns=True).withColumn("_right", F.last("_right", ignorenulls=True).over(w))
-    out = both.where("_left is not null")
-    return out.select(*by, on, *([f"_left.{c}" for c in rest]), *[F.col(f"_right.{v}").alias(v) for v in [*values, "matched_on"]])
+    both = asked.unionByName(r, allowMissingColumns=True).withColumn("_found", F.last("_right", ignorenulls=True).over(w))
+    found = both.where("_right is null").select(*by, on, "_found")
+    rest = [c for c in left.columns if c not in by and c != on]
+    return left.join(found, [*by, on], "left").select(*by, on, *rest, *[F.col(f"_found.{v}").alias(v) for v in [*values, "matched_on"]])
 
 
 def fill_dates(df: DataFrame, start: str, end: str) -> DataFrame:
@@ -62,8 +63,19 @@ def fill_dates(df: DataFrame, start: str, end: str) -> DataFrame:
     return df.withColumn("date", F.explode(F.sequence(start, end)))
 
 
-def intervals_of(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, order: list[str], bucket_days: int = 32) -> DataFrame:
-    """Each point with the first interval (by ``order``) that contains it, or none.
+def spread_intervals(rows: DataFrame, intervals: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` (by, date) with id and direction of the interval that covers the date, the greatest id of several; then filled
+    forward and back along ``by``."""
+    each = fill_dates(intervals, "start", "end").groupBy(*by, "date").agg(F.max("id").alias("id"), F.max_by("direction", "id").alias("direction"))
+    w = Window.partitionBy(*by).orderBy("date")
+    past, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    fill = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(past), F.first(c, ignorenulls=True).over(ahead))
+    out = rows.join(each, [*by, "date"], "left")
+    return out.select(*rows.columns, fill("id").alias("id"), fill("direction").alias("direction"))
+
+
+def intervals_of(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, order: list[str], bucket_days: int = 32, by: list[str] | None = None) -> DataFrame:
+    """Each point with the first interval (by ``order``) of its ``by`` that contains it, or none.
 
     Intervals are dealt to the buckets of days that they touch and points to theirs, so the join is an equi-join.
     """
@@ -71,22 +83,22 @@ def intervals_of(points: DataFrame, intervals: DataFrame, point: str, start: str
     cells = intervals.withColumn("_cell", F.explode(F.sequence(F.floor(day(start) / bucket_days), F.floor(day(end) / bucket_days))))
     ps = points.withColumn("_cell", F.floor(day(point) / bucket_days))
     keys = points.columns
-    hit = ps.join(cells, "_cell").where(F.col(point).between(F.col(start), F.col(end)))
+    hit = ps.join(cells, ["_cell", *(by or [])]).where(F.col(point).between(F.col(start), F.col(end)))
     w = Window.partitionBy(*keys).orderBy(*order)
     first = hit.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_cell")
     return points.join(first, keys, "left")
 
 
 def overlaps(a: DataFrame, b: DataFrame, bucket_days: int = 32) -> DataFrame:
-    """Pairs of intervals (id, direction, start, end) of one direction that share days: days shared, and by those of either."""
+    """Pairs of intervals (symbol, id, direction, start, end) of one direction that share days: days shared, and by those of either."""
     day = F.unix_date
-    cells = lambda d, p: d.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "direction", "start", "end")]).withColumn("_cell", F.explode(F.sequence(F.floor(day(f"{p}_start") / bucket_days), F.floor(day(f"{p}_end") / bucket_days))))
-    both = cells(a, "a").join(cells(b, "b"), "_cell").where("a_direction = b_direction")
+    cells = lambda d, p: d.select(*[F.col(c).alias(f"{p}_{c}") for c in ("symbol", "id", "direction", "start", "end")]).withColumn("_cell", F.explode(F.sequence(F.floor(day(f"{p}_start") / bucket_days), F.floor(day(f"{p}_end") / bucket_days))))
+    both = cells(a, "a").join(cells(b, "b"), "_cell").where("a_direction = b_direction")  # as many as overlap, and those of the same few weeks
     lo, hi = F.greatest("a_start", "b_start"), F.least("a_end", "b_end")
     both = both.where(lo <= hi).where(F.floor(day(lo) / bucket_days) == F.col("_cell"))  # each pair once: in the cell where it begins
     shared = F.datediff(hi, lo) + 1
     either = F.datediff(F.greatest("a_end", "b_end"), F.least("a_start", "b_start")) + 1
-    return both.select("a_id", "b_id", shared.cast("long").alias("shared_days"), (shared / either).alias("iou"), F.datediff("b_start", "a_start").cast("long").alias("lag_days"))
+    return both.select("a_symbol", "b_symbol", "a_id", "b_id", shared.cast("long").alias("shared_days"), (shared / either).alias("iou"), F.datediff("b_start", "a_start").cast("long").alias("lag_days"))
 
 
 def split_assign(date: Column, train: tuple[str, str], test: tuple[str, str]) -> Column:
@@ -107,14 +119,33 @@ def split_windows(df: DataFrame, train_years: int = 2, test_months: int = 3) ->
     return snapped.select("symbol", "train_start", "train_end", "test_start", "test_end")
 
 
+def resolve_split(df: DataFrame, test_start: str | None = None, split: str = "split") -> DataFrame:
+    """Adds ``split`` and ``split_source``: of the column where there is one (trimmed, in lower case); else by the given first
+    day of the test; else where the last run of dates begins; else, without any date, all rows are test.
+
+    ``df`` has symbol and date. Rows without a date are train where dates decide.
+    """
+    if split in df.columns:
+        return df.withColumns({split: F.lower(F.trim(split)), "split_source": F.lit("csv")})
+    if test_start is not None:
+        dated = df.select("symbol", "date").where("date is not null").select("symbol").distinct().withColumn("_start", F.lit(test_start).cast("date"))
+        source = "summary"
+    else:
+        dated, source = last_island_start(df.where("date is not null")).withColumnRenamed("test_start", "_start"), "date_infer"
+    out = df.join(dated, "symbol", "left")
+    by_date = F.when(F.col("date") >= F.col("_start"), "test").otherwise("train")
+    return out.withColumns({split: F.when(F.col("_start").isNull(), "test").otherwise(by_date), "split_source": F.when(F.col("_start").isNull(), "fallback_all_test").otherwise(source)}).drop("_start")
+
+
 def last_island_start(dates: DataFrame, gap_days: int = 3) -> DataFrame:
-    """symbol, test_start: where the last run of dates without a longer gap begins; the median date if that run is one date."""
+    """symbol, test_start: where the last run of dates without a longer gap begins; the middle date if that run is one of several."""
     w = Window.partitionBy("symbol").orderBy("date")
     marked = dates.select("symbol", "date").distinct().withColumn("new", F.when(F.datediff("date", F.lag("date").over(w)) <= gap_days, 0).otherwise(1))
     runs = marked.withColumn("run", F.sum("new").over(w)).groupBy("symbol", "run").agg(F.min("date").alias("start"), F.count(F.lit(1)).alias("n"))
     last = runs.groupBy("symbol").agg(F.max_by("start", "run").alias("start"), F.max_by("n", "run").alias("n"))
-    middle = dates.select("symbol", "date").distinct().groupBy("symbol").agg(F.percentile(F.unix_date("date"), 0.5).alias("mid"))
-    return last.join(middle, "symbol").select("symbol", F.when(F.col("n") > 1, F.col("start")).otherwise(F.date_from_unix_date(F.floor("mid").cast("int"))).alias("test_start"))
+    middle = dates.select("symbol", "date").distinct().groupBy("symbol").agg(F.array_sort(F.collect_list("date")).alias("all"))  # the calendar's days
+    middle = middle.select("symbol", F.get("all", F.floor(F.size("all") / 2).cast("int")).alias("mid"))
+    return last.join(middle, "symbol").select("symbol", F.when(F.col("n") > 1, F.col("start")).otherwise(F.col("mid")).alias("test_start"))
 
 
 def join_quality(left: DataFrame, right: DataFrame, keys: list[str], value: str, warm_up: int, by: str) -> DataFrame:

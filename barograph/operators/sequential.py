@@ -93,41 +93,6 @@ def weighted_simulation(log: DataFrame, weight: str, cost_bps: float = 10.0) ->
     return days.withColumn("equity", F.exp(F.sum(F.log1p("ret")).over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("gross")
 
 
-MODES = ("plain", "cost", "drawdown", "quadratic")
-
-
-def router_simulation(log: DataFrame, smooth_w: float = 0.8, smooth_pos: float = 0.5, cap: float = 0.6, cost_bps: float = 10.0) -> DataFrame:
-    """The mixture over days for each of MODES: mode, date, ratio, turnover, cost, reward, equity.
-
-    ``log``: (date, agent, ratio, ret, raw_w). Weights follow the raw ones by an exponential mean, none above ``cap``
-    (then scaled to sum 1); the position follows the weighted ratio likewise. Rewards: the return; less costs; less a
-    tenth of the drawdown; less a twentieth of the squared position. A book has a row a day and agent.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        mode = pdf["mode"].iloc[0]
-        agents = sorted(pdf["agent"].unique())
-        wide = {c: pdf.pivot(index="date", columns="agent", values=c).reindex(columns=agents).fillna(0.0).sort_index() for c in ("ratio", "ret", "raw_w")}
-        w, pos, equity, peak, rows = None, 0.0, 1.0, 1.0, []
-        for date, ratios, rets, raw in zip(wide["ratio"].index, *(wide[c].to_numpy() for c in ("ratio", "ret", "raw_w")), strict=True):
-            w = raw if w is None else smooth_w * w + (1 - smooth_w) * raw
-            used = np.minimum(w, cap)
-            used = used / used.sum() if used.sum() > 0 else used
-            new = smooth_pos * pos + (1 - smooth_pos) * float(np.clip(used @ ratios, -1, 1))
-            turnover = abs(new - pos)
-            cost = turnover * cost_bps / 1e4
-            ret = float(used @ rets)
-            equity *= 1 + ret - cost
-            peak = max(peak, equity)
-            reward = {"plain": ret, "cost": ret - cost, "drawdown": ret - cost - 0.1 * (1 - equity / peak), "quadratic": ret - cost - 0.05 * new * new}[mode]
-            rows.append((mode, date, new, turnover, cost, reward, equity))
-            pos = new
-        return pd.DataFrame(rows, columns=["mode", "date", "ratio", "turnover", "cost", "reward", "equity"])
-
-    each = log.select("date", "agent", "ratio", "ret", "raw_w", F.explode(F.array(*map(F.lit, MODES))).alias("mode"))
-    return each.groupBy("mode").applyInPandas(run, "mode string, date date, ratio double, turnover double, cost double, reward double, equity double")
-
-
 def soft_routing(scores: DataFrame, margin: float = 0.1, beta: float = 2.0) -> DataFrame:
     """(key columns, agents: array of struct(score, agent)) to ``hard``, ``second``, ``margin`` and ``weights``.
 
@@ -198,7 +163,7 @@ def events(points: DataFrame, by: str = "symbol") -> DataFrame:
     return nxt.select(by, "id", F.when(F.col("_v") > F.col("value"), "UP").otherwise("DOWN").alias("direction"), F.col("date").alias("start"), "end", days.alias("days"), move.alias("move"), F.degrees(F.atan2(move * 100, days.cast("double"))).alias("angle"))
 
 
-def greedy_match(pairs: DataFrame, group: str, a: str, b: str, score: str, lag: str | None = None) -> DataFrame:
+def greedy_match(pairs: DataFrame, group: list[str], a: str, b: str, score: str, lag: str | None = None) -> DataFrame:
     """Within each group, pairs from the best score down, each a and b used once; ties by the smaller absolute ``lag``, then a, then b."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -211,7 +176,22 @@ def greedy_match(pairs: DataFrame, group: str, a: str, b: str, score: str, lag:
                 kept.append(i)
         return pdf.loc[kept]
 
-    return pairs.groupBy(group).applyInPandas(run, pairs.schema)
+    return pairs.groupBy(*group).applyInPandas(run, pairs.schema)
+
+
+def match_in_order(pairs: DataFrame, group: list[str], a: str, b: str, score: str) -> DataFrame:
+    """Within each group, each a in turn takes its best b that none before it took; ties by b. An a without one gets no row."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        used, kept = set(), []
+        for _, own in pdf.sort_values([a, score, b], ascending=[True, False, True]).groupby(a, sort=True):
+            free = own[~own[b].isin(used)]
+            if len(free):
+                used.add(free[b].iloc[0])
+                kept.append(free.index[0])
+        return pdf.loc[kept]
+
+    return pairs.groupBy(*group).applyInPandas(run, pairs.schema)
 
 
 def lookback(df: DataFrame, columns: list[str], n: int, by: str = "symbol") -> DataFrame:
@@ -220,6 +200,12 @@ def lookback(df: DataFrame, columns: list[str], n: int, by: str = "symbol") -> D
     return df.withColumn("window", F.collect_list(F.array(*[F.col(c).cast("double") for c in columns])).over(frame)).where(F.size("window") == n)
 
 
+def last_rows(days: DataFrame, n: int) -> DataFrame:
+    """date and last_days: the last n dates up to it, oldest first. A calendar's days are sorted in one task."""
+    w = Window.partitionBy(F.lit(0)).orderBy("date").rowsBetween(-(n - 1), 0)
+    return days.select("date", F.collect_list("date").over(w).alias("last_days"))
+
+
 def anchor_to_target(df: DataFrame, horizons: tuple[int, ...], by: str = "symbol") -> DataFrame:
     """by, date, h, forecast: what was forecast h rows before for the date."""
     w = Window.partitionBy(by).orderBy("date")

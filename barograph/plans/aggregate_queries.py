@@ -55,15 +55,15 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
 _EDGE_COLUMNS = ["ev", "ir", "p_win", "q05", "q95", "w_shrink", "ev_shrink", "ir_shrink", "ev_global", "ir_global"]
 
 
-@query(f"SELECT regime_id, agent, n_days, {r(*_EDGE_COLUMNS)} FROM edges", uses=("experts", "regimes"), more=_EDGES)
-def agg_edge_table(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ag.edge_table(_log(spark, d)).select("regime_id", "agent", "n_days", *_EDGE_COLUMNS), *_EDGE_COLUMNS)
+# Means of a few days with few digits: at six digits they are often half way between two, where engines round apart.
+_MEANS = ("ev", "ev_shrink", "ev_global")
+_OTHERS = [c for c in _EDGE_COLUMNS if c not in _MEANS]
 
 
-@query("""SELECT regime_id, string_agg(agent, '|' ORDER BY rk) AS allowed_agents FROM (SELECT *, row_number() OVER (PARTITION BY regime_id ORDER BY ir_shrink DESC, ev_shrink DESC, n_days DESC, agent) AS rk FROM (
-  SELECT *, count(*) OVER (PARTITION BY regime_id) AS n, quantile_cont(ev_shrink, 0.25) OVER (PARTITION BY regime_id) AS q FROM edges WHERE ev_shrink > 0) WHERE n < 4 OR ev_shrink >= q) WHERE rk <= 3 GROUP BY regime_id""", uses=("experts", "regimes"), more=_EDGES)
-def seq_allowlist(spark: SparkSession, d: str) -> DataFrame:
-    return ag.allow_list(ag.edge_table(_log(spark, d)))
+@query(f"SELECT regime_id, agent, n_days, {r(*_OTHERS)}, {r(*_MEANS, digits=12)} FROM edges", uses=("experts", "regimes"), more=_EDGES)
+def agg_edge_table(spark: SparkSession, d: str) -> DataFrame:
+    edges = ag.edge_table(_log(spark, d)).select("regime_id", "agent", "n_days", *_EDGE_COLUMNS)
+    return rounded(rounded(edges, *_OTHERS), *_MEANS, digits=12)
 
 
 @query("SELECT regime_id, agent, CAST(row_number() OVER (PARTITION BY regime_id ORDER BY round(ir, 9) DESC, round(ev, 9) DESC, agent) AS INTEGER) AS rank FROM edges", uses=("experts", "regimes"), more=_EDGES)
@@ -331,12 +331,25 @@ def agg_robust_scale(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def agg_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """Shares of each regime over 20 seeded resamples: each row counts a hash-drawn Poisson number of times."""
-    u = (F.pmod(F.xxhash64("date", "b"), F.lit(1_000_000)) + 0.5) / 1_000_000
-    times = sum((F.when(u > edge, 1).otherwise(0) for edge in (0.3679, 0.7358, 0.9197, 0.9810, 0.9963)), F.lit(0))
-    rows = regimes(spark, d).select("date", "regime_id", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("b")).withColumn("n", times)
-    share = rows.groupBy("b", "regime_id").agg(F.sum("n").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("b")))
-    return share.groupBy("regime_id").agg(F.avg("share").alias("mean_share"), F.stddev_samp("share").alias("sd_share"))
+    """Occupancy and co-membership of each regime over 20 seeded resamples."""
+    return rounded(ag.bootstrap(regimes(spark, d), "regime_id"), "occupancy_mean", "occupancy_std", "bootstrap_stability", "co_membership_stability")
+
+
+@query()
+def agg_robust_pca(spark: SparkSession, d: str) -> DataFrame:
+    """Two components of robustly scaled daily features of each symbol."""
+    df = ft.returns(ft.atr_norm(ft.volume(bars(spark, d))), (1, 5)).dropna(subset=["ret_1", "ret_5"])
+    out = ag.robust_pca(df, ["atr_norm", "rvol20", "ret_1", "ret_5"], 2)
+    return rounded(out.select("symbol", "date", "pc_1", "pc_2"), "pc_1", "pc_2", digits=4)
+
+
+@query("SELECT DISTINCT symbol, split_part(c, ':', 1) AS profile, split_part(c, ':', 2) AS name FROM (SELECT symbol, unnest(['A:gap', 'A:atr_norm', 'B:gap', 'B:atr_norm', 'B:ret_1', 'B:ret_5', 'C:gap', 'C:atr_norm', 'C:ret_1', 'C:ret_5', 'C:rsi', 'D:atr_norm', 'D:gap', 'D:ret_1', 'D:ret_5', 'D:rsi', 'D:tr']) AS c FROM bars)")
+def proj_obs_profile(spark: SparkSession, d: str) -> DataFrame:
+    """The columns that each nested profile takes of a table that also has prices and labels."""
+    df = sq.rsi(ft.returns(ft.atr_norm(ft.gap(bars(spark, d))), (1, 5)))
+    df = df.withColumns({"close_next": F.col("close"), "label_up": F.lit(1)})
+    names = [F.struct(F.lit(p).alias("profile"), F.lit(c).alias("name")) for p in "ABCD" for c in ft.observation_columns(df, p)]
+    return df.select("symbol").distinct().select("symbol", F.explode(F.array(*names)).alias("x")).select("symbol", "x.*")
 
 
 _LOGGED = "logged AS (SELECT *, coalesce(lag(reward_next) OVER (PARTITION BY agent ORDER BY date), 0) AS logged FROM experts)"

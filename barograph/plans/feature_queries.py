@@ -30,7 +30,7 @@ def win_atr_norm(spark: SparkSession, d: str) -> DataFrame:
     return _out(ft.atr_norm(bars(spark, d)), "tr", "atr_norm")
 
 
-_KS = (1, 5, 20, 60, 252)
+_KS = (1, 5, 20, 60, 252, 2016)
 
 
 @query("SELECT symbol, date, " + ", ".join(f"round(close / nullif(lag(close, {k}) OVER {W}, 0) - 1, 6) + 0.0 AS ret_{k}" for k in _KS) + " FROM bars")
@@ -85,33 +85,47 @@ def win_cmf20(spark: SparkSession, d: str) -> DataFrame:
     return _out(ft.money_flow(bars(spark, d)), "cmf")
 
 
-_CONTEXT = [f"{k}_{n}" for k in ("vol", "trend") for n in (20, 63, 252)] + ["dd_252"]
+_CONTEXT = [f"{k}_{n}" for k in ("vol", "trend") for n in (20, 63, 252)] + ["turnover_20", "turnover_63", "dd_252", "long_ret_252", "long_ret_2016"]
 
 
-@query(f"SELECT symbol, date, {r(*_CONTEXT)} FROM (SELECT symbol, date, "
-       + ", ".join(f"{over('stddev_pop', 'r1', n, m)} AS vol_{n}, close / nullif({over('avg', 'close', n, m)}, 0) - 1 AS trend_{n}" for n, m in ((20, 5), (63, 10), (252, 20)))
-       + f", close / nullif({over('max', 'close', 252, 1)}, 0) - 1 AS dd_252 FROM (SELECT *, {RET} AS r1 FROM bars))")
+@query("SELECT symbol, date, " + ", ".join(f"round(coalesce({c}, 0), 6) + 0.0 AS {c}" for c in _CONTEXT) + " FROM (SELECT symbol, date, "
+       + ", ".join(f"{over('stddev_pop', 'r1', n, m)} AS vol_{n}, close / nullif({over('avg', 'close', n, m)}, 0) - 1 AS trend_{n}" for n, m in ((20, 5), (63, 10), (252, 20))) + ", "
+       + ", ".join(f"volume / nullif({over('avg', 'volume', n, m)}, 0) - 1 AS turnover_{n}" for n, m in ((20, 5), (63, 10)))
+       + f", close / nullif({over('max', 'close', 252, 20)}, 0) - 1 AS dd_252, close / nullif(lag(close, 252) OVER {W}, 0) - 1 AS long_ret_252, close / nullif(lag(close, 2016) OVER {W}, 0) - 1 AS long_ret_2016 FROM (SELECT *, {RET} AS r1 FROM bars))")
 def win_context(spark: SparkSession, d: str) -> DataFrame:
     return _out(ft.context(bars(spark, d)), *_CONTEXT)
 
 
+@query("SELECT 'close' AS close_source, 'volume' AS volume_source, false AS is_proxy, 'gap_atr|ret_20' AS missing UNION ALL SELECT 'close', 'rvol20', true, 'gap_atr|atr_norm|ret_20'", uses=())
+def win_context_sources(spark: SparkSession, d: str) -> DataFrame:
+    """With a volume, and with a stand-in for it."""
+    df = bars(spark, d)
+    return ft.source_diagnostics(ft.atr_norm(df)).unionByName(ft.source_diagnostics(ft.volume(df).drop("volume")))
+
+
 @query(f"SELECT symbol, date, {r('sig_20d', 'sig_8w', 'sig_6m')} FROM (SELECT *, {over('avg', 'close', 20, 1)} AS sig_20d, {over('avg', 'close', 40, 1)} AS sig_8w, {over('avg', 'close', 126, 1)} AS sig_6m FROM bars)")
 def win_cluster_signal(spark: SparkSession, d: str) -> DataFrame:
     return _out(ft.cluster_signal(bars(spark, d)), "sig_20d", "sig_8w", "sig_6m")
 
 
-_LONG = ["range_pos", "from_high", "from_low"]
+_LONG = ["range_pos", "high_distance", "low_distance", "from_high", "from_low"]
 
 
-@query(f"SELECT symbol, date, {r(*_LONG)} FROM (SELECT *, (close - lo) / nullif(hi - lo, 0) AS range_pos, close / nullif(hi, 0) - 1 AS from_high, close / nullif(lo, 0) - 1 AS from_low FROM (SELECT *, {over('max', 'close', 2016, 50)} AS hi, {over('min', 'close', 2016, 50)} AS lo FROM bars))")
+@query(f"SELECT symbol, date, {r(*_LONG)} FROM (SELECT *, (close - lo) / nullif(hi - lo, 0) AS range_pos, (hi - close) / nullif(hi - lo, 0) AS high_distance, (close - lo) / nullif(hi - lo, 0) AS low_distance, close / nullif(hi, 0) - 1 AS from_high, close / nullif(lo, 0) - 1 AS from_low FROM (SELECT *, {over('max', 'close', 2016, 50)} AS hi, {over('min', 'close', 2016, 50)} AS lo FROM bars))")
 def win_8y_context(spark: SparkSession, d: str) -> DataFrame:
     return _out(ft.long_context(bars(spark, d)), *_LONG)
 
 
-@query(f"""SELECT symbol, date, {r('rank_pct')} FROM (SELECT symbol, date, CASE WHEN len(a) >= 50 THEN (len(list_filter(a, lambda x: x < close)) + (len(list_filter(a, lambda x: x = close)) + 1) / 2.0) / len(a) END AS rank_pct
-  FROM (SELECT symbol, date, close, list(close) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS a FROM bars))""")
+def _rank_sql(x: str) -> str:
+    a = f"list({x}) FILTER ({x} IS NOT NULL) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 2015 PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN {x} IS NOT NULL AND len({a}) >= 50 THEN (len(list_filter({a}, lambda y: y < {x})) + (len(list_filter({a}, lambda y: y = {x})) + 1) / 2.0) / len({a}) END"
+
+
+@query(f"""SELECT symbol, date, round({_rank_sql('a')}, 6) + 0.0 AS atr_rank, round({_rank_sql('b')}, 6) + 0.0 AS ret20_rank
+  FROM (SELECT symbol, date, round(coalesce({over('avg', 'tr', 14, 14)} / nullif(lag(close) OVER {W}, 0), 0), 9) AS a, round(close / nullif(lag(close, 20) OVER {W}, 0) - 1, 9) AS b FROM (SELECT *, {TR} AS tr FROM bars))""")
 def win_rolling_rank_pct(spark: SparkSession, d: str) -> DataFrame:
-    return _out(ft.rolling_rank(bars(spark, d)), "rank_pct")
+    df = ft.returns(ft.atr_norm(bars(spark, d)), (20,)).withColumns({"atr_norm": F.round("atr_norm", 9), "ret_20": F.round("ret_20", 9)})
+    return _out(ft.rolling_rank(df, {"atr_rank": "atr_norm", "ret20_rank": "ret_20"}), "atr_rank", "ret20_rank")
 
 
 _EVAL = ["ma_dev", "ma_slope", "vol20", "dd20", "dd60", "volume_z"]
@@ -124,9 +138,9 @@ def win_eval_features(spark: SparkSession, d: str) -> DataFrame:
     return _out(ft.evaluation(bars(spark, d)), *_EVAL)
 
 
-@query(f"SELECT symbol, date, {r('fwd_1', 'fwd_5', 'fwd_min_5')} FROM (SELECT *, lead(close) OVER {W} / close - 1 AS fwd_1, lead(close, 5) OVER {W} / close - 1 AS fwd_5, min(close) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) / close - 1 AS fwd_min_5 FROM bars)")
+@query(f"SELECT symbol, date, {r('fwd_1', 'fwd_5', 'fwd_vol_5', 'fwd_min_5')} FROM (SELECT *, {over('stddev_pop', 'ahead', 5, 3)} * sqrt(252) AS fwd_vol_5, lead(close) OVER {W} / close - 1 AS fwd_1, lead(close, 5) OVER {W} / close - 1 AS fwd_5, min(close) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) / close - 1 AS fwd_min_5 FROM (SELECT *, lead(r1, 4) OVER {W} AS ahead FROM (SELECT *, {RET} AS r1 FROM bars)))")
 def win_forward(spark: SparkSession, d: str) -> DataFrame:
-    return _out(ft.forward(bars(spark, d)), "fwd_1", "fwd_5", "fwd_min_5")
+    return _out(ft.forward(bars(spark, d)), "fwd_1", "fwd_5", "fwd_vol_5", "fwd_min_5")
 
 
 @query(f"SELECT symbol, date, {r('next_ret')} FROM (SELECT *, coalesce(lead(close) OVER {W} / close - 1, 0) AS next_ret FROM bars)")

@@ -65,12 +65,33 @@ def split_windows(spark: SparkSession, d: str) -> DataFrame:
     return rel.split_windows(bars(spark, d))
 
 
-@query("""SELECT l.symbol, CASE WHEN n > 1 THEN start ELSE mid END AS test_start FROM (
+_ISLAND = """island AS (SELECT l.symbol, CASE WHEN n > 1 THEN start ELSE mid END AS test_start FROM (
     SELECT symbol, arg_max(start, run) AS start, arg_max(n, run) AS n FROM (SELECT symbol, run, min(date) AS start, count(*) AS n FROM (
       SELECT *, sum(CASE WHEN date - p <= 3 THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY date) AS run FROM (SELECT symbol, date, lag(date) OVER (PARTITION BY symbol ORDER BY date) AS p FROM bars)) GROUP BY 1, 2) GROUP BY symbol) l
-  JOIN (SELECT symbol, DATE '1970-01-01' + CAST(floor(quantile_cont(date - DATE '1970-01-01', 0.5)) AS INTEGER) AS mid FROM bars GROUP BY symbol) m ON l.symbol = m.symbol""")
+  JOIN (SELECT symbol, a[len(a) // 2 + 1] AS mid FROM (SELECT symbol, list_sort(list(date)) AS a FROM bars GROUP BY symbol)) m ON l.symbol = m.symbol)"""
+_RESOLVED = "SELECT '{how}' AS how, symbol, {source} AS split_source, {split} AS split, count(*) AS n FROM {rows} GROUP BY ALL"
+
+
+@query(" UNION ALL ".join((
+    _RESOLVED.format(how="column", source="'csv'", split=f"lower({_SPLIT})", rows="bars"),
+    _RESOLVED.format(how="summary", source="'summary'", split="CASE WHEN date >= DATE '1996-10-01' THEN 'test' ELSE 'train' END", rows="bars"),
+    _RESOLVED.format(how="dates", source="'date_infer'", split="CASE WHEN date >= test_start THEN 'test' ELSE 'train' END", rows="bars JOIN island USING (symbol)"),
+    _RESOLVED.format(how="none", source="'fallback_all_test'", split="'test'", rows="bars"),
+)), more=_ISLAND)
 def split_resolve(spark: SparkSession, d: str) -> DataFrame:
-    return rel.last_island_start(bars(spark, d))
+    """All four ways: a column, the summary's day, the dates alone, and no date at all."""
+    df = bars(spark, d).select(*KEY)
+    ways = {
+        "column": rel.resolve_split(df.withColumn("split", F.concat(F.lit(" "), F.upper(rel.split_assign(F.col("date"), TRAIN, TEST))))),
+        "summary": rel.resolve_split(df, TEST[0]),
+        "dates": rel.resolve_split(df),
+        "none": rel.resolve_split(df.withColumn("date", F.lit(None).cast("date"))),
+    }
+    one = lambda how, x: x.groupBy("symbol", "split_source", "split").agg(F.count(F.lit(1)).alias("n")).select(F.lit(how).alias("how"), "symbol", "split_source", "split", "n")
+    out = None
+    for how, x in ways.items():
+        out = one(how, x) if out is None else out.unionByName(one(how, x))
+    return out
 
 
 @query("SELECT symbol, date, close FROM bars WHERE symbol IN ('1-URGENT', '2-HIGH')")
@@ -103,20 +124,25 @@ def join_inner_pair(spark: SparkSession, d: str) -> DataFrame:
     return rel.pair(bars(spark, d), "1-URGENT", "2-HIGH")
 
 
-_ODD = "SELECT symbol, date, {c} FROM forecasts WHERE day(date) % {m} = {k}"
+_GAPS = "SELECT symbol, date, nullif({c}, round({c})) AS {c} FROM forecasts"
 
 
-@query(f"SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(a.date, b.date) AS date, pred_01, pred_05 FROM ({_ODD.format(c='pred_01', m=2, k=0)}) a FULL JOIN ({_ODD.format(c='pred_05', m=3, k=0)}) b ON a.symbol = b.symbol AND a.date = b.date", uses=("bars", "forecasts"))
+@query(f"SELECT a.symbol, a.date, pred_01, pred_05 FROM ({_GAPS.format(c='pred_01')}) a FULL JOIN ({_GAPS.format(c='pred_05')}) b ON a.symbol = b.symbol AND a.date = b.date WHERE a.symbol IS NOT NULL UNION ALL SELECT 'only ' || symbol, date, NULL, pred_05 FROM ({_GAPS.format(c='pred_05')})", uses=("bars", "forecasts"))
 def join_outer_horizons(spark: SparkSession, d: str) -> DataFrame:
+    """A horizon of which some values are missing, and one that also has symbols of its own."""
     f = forecasts(spark, d)
-    return rel.outer_all([f.where(F.day("date") % 2 == 0).select(*KEY, "pred_01"), f.where(F.day("date") % 3 == 0).select(*KEY, "pred_05")], KEY)
+    gaps = lambda c: f.select(*KEY, F.nullif(F.col(c), F.round(c)).alias(c))
+    more = gaps("pred_05").withColumn("symbol", F.concat(F.lit("only "), "symbol"))
+    return rel.outer_all([gaps("pred_01"), gaps("pred_05").unionByName(more)], KEY)
 
 
-@query("SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(a.date, b.date) AS date, coalesce(a.x, b.x) AS x FROM (SELECT symbol, date, CASE WHEN day(date) % 4 > 0 THEN close END AS x FROM bars WHERE day(date) % 2 = 0) a FULL JOIN (SELECT symbol, date, open AS x FROM bars WHERE day(date) % 3 = 0) b ON a.symbol = b.symbol AND a.date = b.date")
+@query("SELECT symbol, date, CASE WHEN day(date) % 4 > 0 THEN close ELSE open END AS x FROM bars UNION ALL SELECT 'only ' || symbol, date, open FROM bars")
 def join_combine_first(spark: SparkSession, d: str) -> DataFrame:
+    """Closes of which some are null, filled from opens; the opens also have symbols of their own."""
     df = bars(spark, d)
-    a = df.where(F.day("date") % 2 == 0).select(*KEY, F.when(F.day("date") % 4 > 0, F.col("close")).alias("x"))
-    return rel.combine_first(a, df.where(F.day("date") % 3 == 0).select(*KEY, F.col("open").alias("x")), KEY)
+    a = df.select(*KEY, F.when(F.day("date") % 4 > 0, F.col("close")).alias("x"))
+    b = df.select(*KEY, F.col("open").alias("x"))
+    return rel.combine_first(a, b.unionByName(b.withColumn("symbol", F.concat(F.lit("only "), "symbol"))), KEY)
 
 
 @query("SELECT c.date, f.pred_10 FROM (SELECT DISTINCT date FROM bars) c LEFT JOIN (SELECT date, pred_10 FROM forecasts WHERE symbol = '5-LOW') f ON c.date = f.date", uses=("bars", "forecasts"))
@@ -175,33 +201,44 @@ def join_asof_price(spark: SparkSession, d: str) -> DataFrame:
     return rel.asof(left, bars(spark, d), "date", ["symbol"], ["close"]).select("o_orderkey", F.coalesce("close", F.lit(20.0)).alias("price"))
 
 
-_IV = "iv AS (SELECT symbol, CAST(row_number() OVER (PARTITION BY symbol ORDER BY date) AS BIGINT) AS id, CASE WHEN close > open THEN 'UP' ELSE 'DOWN' END AS direction, date AS start, date + CAST(5 + day(date) AS INTEGER) AS \"end\" FROM bars WHERE day(date) % 9 = 4)"
+_IV = """iv AS (SELECT symbol, run AS id, any_value(CASE WHEN up THEN 'UP' ELSE 'DOWN' END) AS direction, min(date) AS start, max(date) AS "end" FROM (
+  SELECT *, CAST(sum(new) OVER (PARTITION BY symbol ORDER BY date) AS BIGINT) AS run FROM (SELECT symbol, date, up, CASE WHEN up IS NOT DISTINCT FROM lag(up) OVER (PARTITION BY symbol ORDER BY date) AND row_number() OVER (PARTITION BY symbol ORDER BY date) > 1 THEN 0 ELSE 1 END AS new FROM (SELECT symbol, date, close > open AS up FROM bars))) GROUP BY 1, 2)"""
 
 
 def _intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Every run of equal direction of every symbol."""
+    up = bars(spark, d).select(*KEY, (F.col("close") > F.col("open")).alias("up"))
     w = Window.partitionBy("symbol").orderBy("date")
-    days = F.date_add("date", F.day("date") + 5)
-    return bars(spark, d).where(F.day("date") % 9 == 4).select("symbol", F.row_number().over(w).cast("long").alias("id"), F.when(F.col("close") > F.col("open"), "UP").otherwise("DOWN").alias("direction"), F.col("date").alias("start"), days.alias("end"))
+    new = F.when(F.col("up").eqNullSafe(F.lag("up").over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
+    runs = up.withColumn("new", new).withColumn("id", F.sum("new").over(w).cast("long"))
+    return runs.groupBy("symbol", "id").agg(F.first(F.when(F.col("up"), "UP").otherwise("DOWN")).alias("direction"), F.min("date").alias("start"), F.max("date").alias("end"))
 
 
-@query("""SELECT p.date, coalesce(min(iv.id), 0) AS event_id FROM (SELECT DISTINCT date FROM bars) p LEFT JOIN (SELECT * FROM iv WHERE symbol = '1-URGENT') iv ON p.date BETWEEN iv.start AND iv."end" GROUP BY p.date""", more=_IV)
+@query("""SELECT p.symbol, p.date, coalesce(min(iv.id), 0) AS event_id FROM bars p LEFT JOIN iv ON p.symbol = iv.symbol AND p.date BETWEEN iv.start AND iv."end" + 3 GROUP BY 1, 2""", more=_IV)
 def join_range_point(spark: SparkSession, d: str) -> DataFrame:
-    out = rel.intervals_of(bars(spark, d).select("date").distinct(), _intervals(spark, d).where("symbol = '1-URGENT'"), "date", "start", "end", ["id"])
-    return out.select("date", F.coalesce("id", F.lit(0)).alias("event_id"))
+    """The first run that a bar lies in or comes at most three days after."""
+    longer = _intervals(spark, d).withColumn("end", F.date_add("end", 3))
+    out = rel.intervals_of(bars(spark, d).select(*KEY), longer, "date", "start", "end", ["id"], by=["symbol"])
+    return out.select(*KEY, F.coalesce("id", F.lit(0)).alias("event_id"))
+
+
+_SPREAD = """each AS (SELECT symbol, date, max(id) AS id, arg_max(direction, id) AS direction FROM (SELECT symbol, id, direction, CAST(unnest(range(start, "end" + 1, INTERVAL 1 DAY)) AS DATE) AS date FROM iv WHERE "end" > start) GROUP BY 1, 2)"""
 
 
-@query("""SELECT date, max(id) AS event_id, arg_max(direction, id) AS direction FROM (SELECT id, direction, CAST(unnest(range(start, "end" + 1, INTERVAL 1 DAY)) AS DATE) AS date FROM iv WHERE symbol = '2-HIGH') GROUP BY date""", more=_IV)
+@query("""SELECT symbol, date, coalesce(last_value(id IGNORE NULLS) OVER p, first_value(id IGNORE NULLS) OVER n) AS event_id, coalesce(last_value(direction IGNORE NULLS) OVER p, first_value(direction IGNORE NULLS) OVER n) AS direction FROM (SELECT b.symbol, b.date, id, direction FROM bars b LEFT JOIN each e ON b.symbol = e.symbol AND b.date = e.date)
+  WINDOW p AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""", more=f"{_IV}, {_SPREAD}")
 def join_range_expand(spark: SparkSession, d: str) -> DataFrame:
-    each = rel.fill_dates(_intervals(spark, d).where("symbol = '2-HIGH'"), "start", "end")
-    return each.groupBy("date").agg(F.max("id").alias("event_id"), F.max_by("direction", "id").alias("direction"))
+    """Runs of more than a day written on each of their dates (the later wins), then filled forward and back over all bars."""
+    return rel.spread_intervals(bars(spark, d).select(*KEY), _intervals(spark, d).where("end > start"), ["symbol"]).select(*KEY, F.col("id").alias("event_id"), "direction")
 
 
-@query("""SELECT a.id AS a_id, b.id AS b_id, CAST(least(a."end", b."end") - greatest(a.start, b.start) + 1 AS BIGINT) AS shared_days,
+@query("""SELECT a.symbol AS a_symbol, b.symbol AS b_symbol, a.id AS a_id, b.id AS b_id, CAST(least(a."end", b."end") - greatest(a.start, b.start) + 1 AS BIGINT) AS shared_days,
   round((least(a."end", b."end") - greatest(a.start, b.start) + 1) / (greatest(a."end", b."end") - least(a.start, b.start) + 1), 6) + 0.0 AS iou, CAST(b.start - a.start AS BIGINT) AS lag_days
-  FROM iv a JOIN iv b ON a.symbol = '1-URGENT' AND b.symbol = '2-HIGH' AND a.direction = b.direction AND a.start <= b."end" AND b.start <= a."end" """, more=_IV)
+  FROM iv a JOIN iv b ON a.symbol < b.symbol AND a.direction = b.direction AND a.start <= b."end" AND b.start <= a."end" """, more=_IV)
 def join_interval_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping runs of one direction, of every two symbols."""
     iv = _intervals(spark, d)
-    return rounded(rel.overlaps(iv.where("symbol = '1-URGENT'"), iv.where("symbol = '2-HIGH'")), "iou")
+    return rounded(rel.overlaps(iv, iv).where("a_symbol < b_symbol"), "iou")
 
 
 @query("""SELECT symbol, n AS n_rows, round(matched, 6) + 0.0 AS matched, round(nonzero, 6) + 0.0 AS nonzero, CASE WHEN matched >= 0.95 AND nonzero >= 0.8 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (

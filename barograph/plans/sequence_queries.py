@@ -11,11 +11,12 @@ from barograph.functions import calendar as cal
 from barograph.operators import aggregates as ag
 from barograph.operators import relational as rel
 from barograph.operators import sequential as sq
+from barograph.operators import signals as sg
 from barograph.plans.aggregate_queries import _EDGES, _log
 from barograph.plans.registry import W, query, r, rounded
 from barograph.sources import files as fs
 from barograph.sources.bars import HORIZONS, bars, experts, forecasts, regimes
-from barograph.sources.tables import shared_folder, table, write_shared
+from barograph.sources.tables import shared_folder, table
 from barograph.streaming import live
 
 KEY = ["symbol", "date"]
@@ -53,11 +54,6 @@ def seq_weighted_sim(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sq.weighted_simulation(_soft(spark, d), "raw_w"), "pos", "turnover", "cost", "ret", "equity")
 
 
-@query()
-def seq_router_sim(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(sq.router_simulation(_soft(spark, d)), "ratio", "turnover", "cost", "reward", "equity")
-
-
 @query("""SELECT date, a[1].agent AS hard, round(a[1].s - a[2].s, 8) + 0.0 AS margin, round(CASE WHEN a[2] IS NULL OR a[1].s - a[2].s >= 0.01 THEN 1 ELSE 1 / (1 + exp(-2 * (a[1].s - a[2].s))) END, 6) + 0.0 AS w_hard FROM (SELECT date, list(struct_pack(s := ret, agent := agent) ORDER BY ret DESC, agent DESC) AS a FROM experts GROUP BY 1)""", uses=("experts",))
 def seq_soft_routing(spark: SparkSession, d: str) -> DataFrame:
     scores = experts(spark, d).groupBy("date").agg(F.collect_list(F.struct(F.col("ret").alias("score"), "agent")).alias("agents"))
@@ -84,6 +80,45 @@ def seq_env_pair(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sq.pair_environment(experts(spark, d), "ratio", "ret", "agent").select("agent", "date", "env_reward"), "env_reward")
 
 
+# Actions of an asset: small, so that no step loses everything, and told by the day.
+_ACT = "CASE WHEN day(date) % 3 = 0 THEN -0.002 WHEN day(date) % 3 = 1 THEN 0.0015 ELSE 0.0 END"
+
+
+def _acted(spark: SparkSession, d: str) -> DataFrame:
+    k = F.day("date") % 3
+    return bars(spark, d).select(*KEY, "close", F.when(k == 0, -0.002).when(k == 1, 0.0015).otherwise(0.0).alias("action"))
+
+
+_ENV = ["position", "daily_ret", "trade_cost", "pnl_rate", "reward", "equity", "bh_equity"]
+
+
+@query(f"""SELECT symbol, date, {r(*_ENV)} FROM (SELECT *, exp(sum(ln(1 + pnl_rate)) OVER {W}) AS equity, exp(sum(ln(1 + daily_ret)) OVER {W}) AS bh_equity FROM (SELECT *, position * daily_ret - trade_cost AS pnl_rate, position * daily_ret - trade_cost - 0.01 * position ** 2 AS reward FROM (
+  SELECT symbol, date, a AS position, lead(close) OVER {W} / close - 1 AS daily_ret, 0.001 * abs(a - coalesce(lag(a) OVER {W}, 0)) AS trade_cost FROM (SELECT *, {_ACT} AS a FROM bars)) WHERE daily_ret IS NOT NULL))""")
+def seq_env_variants(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(sg.single_environment(_acted(spark, d), "action", "close").select(*KEY, *_ENV), *_ENV)
+
+
+@query(f"""SELECT symbol, date, round(position, 6) + 0.0 AS position, round(position * equity / close, 9) + 0.0 AS shares, round((1 - position) * equity, 6) + 0.0 AS cash, round(equity, 6) + 0.0 AS equity FROM (
+  SELECT *, exp(sum(ln(grown * (1 - 0.001 * abs(position - drift / grown)))) OVER {W}) AS equity FROM (SELECT *, 1 + held * coalesce(close / p - 1, 0) AS grown, coalesce(held * close / p, 0) AS drift FROM (
+    SELECT symbol, date, close, a AS position, coalesce(lag(a) OVER {W}, 0) AS held, lag(close) OVER {W} AS p FROM (SELECT *, {_ACT} AS a FROM bars))))""")
+def seq_env_cash(spark: SparkSession, d: str) -> DataFrame:
+    out = sg.cash_environment(_acted(spark, d), "action", "close")
+    return rounded(rounded(out, "position", "cash", "equity"), "shares", digits=9)
+
+
+@query()
+def arr_wavelet(spark: SparkSession, d: str) -> DataFrame:
+    """Three levels of details of each symbol's log closes."""
+    df = bars(spark, d).select(*KEY, F.log("close").alias("x"))
+    return rounded(sg.wavelet_details(df, "x"), "x", "x_wd1", "x_wd2", "x_wd3")
+
+
+@query()
+def arr_fft_lag(spark: SparkSession, d: str) -> DataFrame:
+    """How far forecasts run behind the closes that they are of."""
+    return rounded(sg.phase_lags(sq.anchor_to_target(forecasts(spark, d), HORIZONS).where("h = 5"), "close", "forecast", most=20.0), "lag", "slope", "intercept")
+
+
 @query(f"SELECT agent, date, coalesce(lag(reward_next) OVER {_E}, 0) AS logged, CASE WHEN ratio > 0.15 THEN 'LONG' WHEN ratio < -0.15 THEN 'SHORT' ELSE 'CASH' END AS side FROM experts", uses=("experts",))
 def seq_expert_log(spark: SparkSession, d: str) -> DataFrame:
     return sq.expert_log(experts(spark, d)).select("agent", "date", "logged", "side")
@@ -123,23 +158,26 @@ def seq_direction_runs(spark: SparkSession, d: str) -> DataFrame:
     return df.withColumn("new", new).withColumn("run", F.sum("new").over(w)).groupBy("symbol", "run").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count(F.lit(1)).alias("n"))
 
 
+def _event_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping events of every two symbols."""
+    e = sq.events(sq.turning_points(bars(spark, d)))
+    return rel.overlaps(e, e).where("a_symbol < b_symbol")
+
+
 @query()
 def match_greedy_global(spark: SparkSession, d: str) -> DataFrame:
-    """Events of two symbols matched from the best overlap down, each used once; with the month in which the first begins."""
-    e = sq.events(sq.turning_points(bars(spark, d)))
-    a, b = e.where("symbol = '1-URGENT'"), e.where("symbol = '2-HIGH'")
-    pairs = rel.overlaps(a, b).join(a.select(F.col("id").alias("a_id"), F.date_format("start", "yyyy-MM").alias("month")), "a_id")
-    pairs = pairs.withColumn("book", F.lit(0))  # events of two symbols: bounded by the calendar
-    return rounded(sq.greedy_match(pairs, "book", "a_id", "b_id", "iou", "lag_days").drop("book"), "iou")
+    """Events of every two symbols matched from the best overlap down, each used once."""
+    return rounded(sq.greedy_match(_event_pairs(spark, d), ["a_symbol", "b_symbol"], "a_id", "b_id", "iou", "lag_days"), "iou")
 
 
 @query()
 def match_greedy_per_pred(spark: SparkSession, d: str) -> DataFrame:
-    """For each event of one symbol the best overlapping one of the other, which may serve again."""
-    e = sq.events(sq.turning_points(bars(spark, d)))
-    pairs = rel.overlaps(e.where("symbol = '1-URGENT'"), e.where("symbol = '2-HIGH'")).withColumn("score", F.col("iou") - 0.001 * F.abs("lag_days"))
-    w = Window.partitionBy("a_id").orderBy(F.desc("score"), "b_id")
-    return rounded(pairs.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n"), "iou", "score")
+    """For each event of a symbol the best overlapping one of another, which may serve again; ``alone``: which may not."""
+    pairs = _event_pairs(spark, d).withColumn("score", F.round(F.col("iou") - 0.001 * F.abs("lag_days"), 9))
+    w = Window.partitionBy("a_symbol", "b_symbol", "a_id").orderBy(F.desc("score"), "b_id")
+    best = pairs.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    alone = sq.match_in_order(pairs, ["a_symbol", "b_symbol"], "a_id", "b_id", "score").select("a_symbol", "b_symbol", "a_id", F.col("b_id").alias("alone"))
+    return rounded(best.join(alone, ["a_symbol", "b_symbol", "a_id"], "left"), "iou", "score")
 
 
 @query("SELECT symbol, date, CAST(len(a) AS INTEGER) AS n, a[1] AS oldest, a[5] AS newest FROM (SELECT symbol, date, list(close) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS a FROM bars) WHERE len(a) = 5")
@@ -183,20 +221,44 @@ def arr_nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("vec_id", "nearest", "distance", "confidence"), "distance", "confidence", digits=4)
 
 
-@query("SELECT date, round(sin(2 * pi() * (date - DATE '2000-01-03') / 7), 6) + 0.0 AS sin_week, round(cos(2 * pi() * (date - DATE '2000-01-03') / 29.530588), 6) + 0.0 AS cos_moon FROM regimes", uses=("regimes",))
+_CYCLES = [f"{fn}_k{i:02d}" for i in range(1, len(cal.PERIODS) + 1) for fn in ("sin", "cos")]
+
+
+@query("SELECT date, " + ", ".join(f"round({c[:3]}(2 * pi() * (date - DATE '{cal.ANCHOR}') / {cal.PERIODS[int(c[5:]) - 1]}), 6) + 0.0 AS {c}" for c in _CYCLES) + " FROM regimes", uses=("regimes",))
 def cal_cycles(spark: SparkSession, d: str) -> DataFrame:
-    c = cal.cycles(F.col("date"), {"week": 7.0, "moon": 29.530588})
-    return rounded(regimes(spark, d).select("date", c["sin_week"].alias("sin_week"), c["cos_moon"].alias("cos_moon")), "sin_week", "cos_moon")
+    c = cal.cycles(F.col("date"))
+    return rounded(regimes(spark, d).select("date", *[c[n].alias(n) for n in _CYCLES]), *_CYCLES)
+
+
+_ANGLES = {"cal_wk_bday": "(row_number() OVER (PARTITION BY date_trunc('week', date) ORDER BY date) - 1) / 5.0"} | {n: f"(date - DATE '{cal.EPOCH}') / {p}" for n, p in cal.PHASES.items()}
+_PHASES = [f"per_{n}_{fn}" for n in _ANGLES for fn in ("sin", "cos")] + [f"per_h{k}_{n}" for n in _ANGLES for k in (2, 3)]
+
+
+@query("SELECT date, " + ", ".join([f"round({fn}(2 * pi() * {n}), 6) + 0.0 AS per_{n}_{fn}" for n in _ANGLES for fn in ("sin", "cos")] + [f"round(sin({k} * 2 * pi() * {n}), 6) + 0.0 AS per_h{k}_{n}" for n in _ANGLES for k in (2, 3)])
+       + " FROM (SELECT date, " + ", ".join(f"{x} AS {n}" for n, x in _ANGLES.items()) + " FROM regimes)", uses=("regimes",))
+def cal_phases(spark: SparkSession, d: str) -> DataFrame:
+    """Calendar and moon phases of all days, with their second and third harmonics."""
+    return rounded(cal.phases(regimes(spark, d).select("date")).select("date", *_PHASES), *_PHASES)
+
+
+@query()
+def astro_planets(spark: SparkSession, d: str) -> DataFrame:
+    out = cal.planets_wide(regimes(spark, d).select("date"))
+    return rounded(out, *[c for c in out.columns if c != "date"])
 
 
 @query()
 def astro_longitude(spark: SparkSession, d: str) -> DataFrame:
-    """Geocentric longitude of Mars in degrees, its change to the day before along the shorter way, and whether it is retrograde."""
-    df = cal.with_heliocentric(cal.with_heliocentric(regimes(spark, d).select("date"), "earth"), "mars")
-    df = df.select("date", F.pmod(F.degrees(F.atan2(F.col("mars_y") - F.col("earth_y"), F.col("mars_x") - F.col("earth_x"))), F.lit(360.0)).alias("longitude"))
-    turn = F.col("longitude") - F.lag("longitude").over(Window.partitionBy(F.lit(0)).orderBy("date"))  # a row a day
-    df = df.withColumn("moved", F.pmod(turn + 180, F.lit(360.0)) - 180)
-    return rounded(df.withColumn("retrograde", F.col("moved") < 0), "longitude", "moved")
+    """Geocentric longitude of each planet in degrees, its speed by the mean motion, and whether it is retrograde."""
+    out = cal.geocentric(regimes(spark, d).select("date"), *cal.PLANETS)
+    return rounded(out.select("date", "planet", "longitude", "speed_norm", "retrograde"), "longitude", "speed_norm")
+
+
+@query()
+def cal_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Weekdays without federal holidays from the first bar to the last."""
+    ends = bars(spark, d).agg(F.min("date").alias("start"), F.max("date").alias("end"))
+    return cal.sessions(ends, "start", "end").select("date")
 
 
 @query("SELECT date, CAST(unnest([0, 1, 5]) AS INTEGER) AS n, unnest([CAST(CASE isodow(date) WHEN 6 THEN date - 1 WHEN 7 THEN date - 2 ELSE date END AS DATE), CAST(CASE isodow(date) WHEN 5 THEN date + 3 WHEN 6 THEN date + 2 WHEN 7 THEN date + 1 ELSE date + 1 END AS DATE), CAST(CASE isodow(date) WHEN 6 THEN date + 6 WHEN 7 THEN date + 5 ELSE date + 7 END AS DATE)]) AS day FROM regimes", uses=("regimes",))
@@ -211,6 +273,74 @@ def fin_orders(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", side.alias("side"), F.round(cal.limit_price(p, side), 2).alias("price"), cal.shares(F.lit(1e6), F.lit(-0.5), p).alias("shares"))
 
 
+@query(f"SELECT symbol, date, round(close - p, 2) + 0.0 AS pnl, round(CASE WHEN abs(p) < 0.000001 THEN 0 ELSE (close - p) / p END, 8) + 0.0 AS pnl_share FROM (SELECT *, coalesce(lag(close) OVER {W}, 0) AS p FROM bars)")
+def fin_pnl(spark: SparkSession, d: str) -> DataFrame:
+    """Profit of a day's equity over the day before; the first day has none before."""
+    before = F.coalesce(F.lag("close").over(Window.partitionBy("symbol").orderBy("date")), F.lit(0.0))
+    df = bars(spark, d).withColumn("p", before)
+    out = df.select(*KEY, (F.col("close") - F.col("p")).alias("pnl"), cal.profit_share(F.col("p"), F.col("close")).alias("pnl_share"))
+    return rounded(rounded(out, "pnl", digits=2), "pnl_share", digits=8)
+
+
+@query("""SELECT agent, date, place, side, action, quantity FROM (SELECT agent, date, unnest([1, 2, 3, 4]) AS place, unnest(['LONG', 'SHORT', 'LONG', 'SHORT']) AS side, unnest(['SELL', 'SELL', 'BUY', 'BUY']) AS action, unnest([hl - tl, hs - ts, tl - hl, ts - hs]) AS quantity FROM (
+  SELECT agent, date, tl, ts, coalesce(lag(tl) OVER v, 0) AS hl, coalesce(lag(ts) OVER v, 0) AS hs FROM (SELECT agent, date, CASE WHEN ratio >= 0.05 THEN CAST(floor(ratio * 1000) AS BIGINT) ELSE 0 END AS tl, CASE WHEN ratio <= -0.05 THEN CAST(floor(-ratio * 1000) AS BIGINT) ELSE 0 END AS ts FROM experts) WINDOW v AS (PARTITION BY agent ORDER BY date))) WHERE quantity > 0""", uses=("experts",))
+def fin_order_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Orders that take each agent's book from its last targets to its new ones."""
+    target = lambda x: F.when(x >= 0.05, F.floor(x * 1000).cast("long")).otherwise(F.lit(0).cast("long"))
+    df = experts(spark, d).select("agent", "date", target(F.col("ratio")).alias("tl"), target(-F.col("ratio")).alias("ts"))
+    w = Window.partitionBy("agent").orderBy("date")
+    held = lambda c: F.coalesce(F.lag(c).over(w), F.lit(0).cast("long"))
+    df = df.withColumns({"hl": held("tl"), "hs": held("ts")})
+    return df.select("agent", "date", F.explode(cal.order_plan(F.col("tl"), F.col("ts"), F.col("hl"), F.col("hs"))).alias("o")).select("agent", "date", "o.*")
+
+
+_WORDS = ["Up ", "SELL", "+1", "minus1", "上昇", "下降", "flat", "TRUE"]
+
+
+@query("SELECT event_id, CASE WHEN t IN ('up', '+1', 'true') OR contains(t, '上') THEN 'UP' WHEN t IN ('sell', 'minus1') OR contains(t, '下') THEN 'DOWN' END AS direction FROM (SELECT event_id, lower(trim((['Up ', 'SELL', '+1', 'minus1', '上昇', '下降', 'flat', 'TRUE'])[event_id % 8 + 1])) AS t FROM events)", uses=())
+def str_direction(spark: SparkSession, d: str) -> DataFrame:
+    words = F.array(*map(F.lit, _WORDS))
+    return table(spark, d, "events").select("event_id", cal.direction(F.get(words, (F.col("event_id") % 8).cast("int"))).alias("direction"))
+
+
+@query("SELECT regime_id, unnest(string_split('NO|' || a, '|')) AS agent FROM (SELECT regime_id, string_agg(DISTINCT agent, '|' ORDER BY agent) AS a FROM experts JOIN regimes USING (date) WHERE agent <> 'NO' GROUP BY 1)", uses=("experts", "regimes"))
+def arr_allow_list(spark: SparkSession, d: str) -> DataFrame:
+    """A list written as text, read back a row an agent."""
+    own = experts(spark, d).join(regimes(spark, d), "date").where("agent <> 'NO'").groupBy("regime_id").agg(F.array_join(F.array_sort(F.collect_set("agent")), "|").alias("a"))
+    return own.select("regime_id", F.explode(F.split(F.concat(F.lit("NO|"), "a"), r"\|")).alias("agent"))
+
+
+@query("SELECT date, CASE WHEN AF >= NO_ AND AF >= RF THEN 'AF' WHEN NO_ >= RF THEN 'NO' ELSE 'RF' END AS best FROM (SELECT date, coalesce(max(ratio) FILTER (agent = 'AF'), -9) AS AF, coalesce(max(ratio) FILTER (agent = 'NO'), -9) AS NO_, coalesce(max(ratio) FILTER (agent = 'RF'), -9) AS RF FROM experts GROUP BY 1)", uses=("experts",))
+def arr_row_argmax(spark: SparkSession, d: str) -> DataFrame:
+    """The column of a row's greatest value; the first of equals."""
+    wide = experts(spark, d).groupBy("date").pivot("agent", ["AF", "NO", "RF"]).agg(F.max("ratio"))
+    each = F.array(*[F.struct(F.coalesce(c, F.lit(-9.0)).alias("x"), F.lit(-i).alias("i"), F.lit(c).alias("name")) for i, c in enumerate(("AF", "NO", "RF"))])
+    return wide.select("date", F.array_max(each)["name"].alias("best"))
+
+
+@query("SELECT DISTINCT date, CAST(date - INTERVAL 6 MONTH AS DATE) AS half_year_ago, CAST(date - INTERVAL 8 YEAR AS DATE) AS years_ago, strftime(date, '%Y-%m') AS month, strftime(date, '%Y%m%d') AS stamp FROM bars")
+def date_offsets(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("date")
+    return bars(spark, d).select("date").distinct().select("date", F.add_months(x, -6).alias("half_year_ago"), F.add_months(x, -96).alias("years_ago"), F.date_format(x, "yyyy-MM").alias("month"), F.date_format(x, "yyyyMMdd").alias("stamp"))
+
+
+@query(f"SELECT symbol, date, {r('a', 'b', 'c', 'd')} FROM (SELECT symbol, date, sqrt(abs(x)) AS a, exp(greatest(-20, least(20, x))) AS b, degrees(atan2(x, 1.0)) AS c, sqrt(x * x + 1) AS d FROM (SELECT symbol, date, (close - open) / 100000 AS x FROM bars))")
+def math_functions(spark: SparkSession, d: str) -> DataFrame:
+    df = bars(spark, d).withColumn("x", (F.col("close") - F.col("open")) / 100000)
+    out = df.select(*KEY, F.sqrt(F.abs("x")).alias("a"), F.exp(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col("x")))).alias("b"), F.degrees(F.atan2(F.col("x"), F.lit(1.0))).alias("c"), F.hypot(F.col("x"), F.lit(1.0)).alias("d"))
+    return rounded(out, "a", "b", "c", "d")
+
+
+@query("""SELECT o_custkey, o_orderkey, array_to_string(list_transform(list_sort(list(date))[-3:], lambda x: CAST(x AS VARCHAR)), '|') AS last_days FROM (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders) o JOIN (SELECT DISTINCT date FROM bars) b ON b.date <= o.day AND b.date > o.day - 40 GROUP BY 1, 2""")
+def win_lookback(spark: SparkSession, d: str) -> DataFrame:
+    """For each given date the last three trading days up to it."""
+    days = bars(spark, d).select("date").distinct()
+    back = sq.last_rows(days, 3)
+    asked = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("date")).withColumn("of", F.lit(0))
+    found = rel.asof(asked, back.withColumn("of", F.lit(0)), "date", ["of"], ["last_days"])
+    return found.select("o_custkey", "o_orderkey", F.array_join(F.transform("last_days", lambda x: x.cast("string")), "|").alias("last_days"))
+
+
 @query("SELECT symbol, date, upper(substr(sha256(symbol || '|' || CAST(date AS VARCHAR)), 1, 16)) AS signature FROM bars")
 def str_signature(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat_ws("|", "symbol", F.col("date").cast("string"))
@@ -284,6 +414,35 @@ def scan_kv(spark: SparkSession, d: str) -> DataFrame:
     return fs.scan_kv(fs.scan_csv(spark, path, "key string, value string"), ["train_start", "test_end"])
 
 
+@query("SELECT CAST(min(date) AS VARCHAR) AS test_start, count(DISTINCT date) AS n_days, 1 AS n_bad FROM bars")
+def scan_json(spark: SparkSession, d: str) -> DataFrame:
+    """A summary written as one document, read beside one that is damaged."""
+    place = _place(spark, "summaries")
+    text = bars(spark, d).agg(F.min("date").cast("string").alias("test_start"), F.count_distinct("date").alias("n_days")).select(F.to_json(F.struct("*")).alias("t")).first()["t"]  # one row
+    fs.write_json_atomic(spark, "{}", f"{place}/good.json")
+    fs.write_json_atomic(spark, text, f"{place}/good.json")
+    fs.write_json_atomic(spark, '{"test_start": ', f"{place}/bad.json")
+    rows = fs.scan_json(spark, place, "test_start string, n_days bigint")
+    return rows.agg(F.max("test_start").alias("test_start"), F.max("n_days").alias("n_days"), F.sum(F.col("n_days").isNull().cast("int")).cast("int").alias("n_bad"))
+
+
+@query("SELECT symbol, date, CASE WHEN day(date) % 4 > 0 THEN close ELSE open END AS x FROM bars")
+def scan_priority(spark: SparkSession, d: str) -> DataFrame:
+    """A file that is missing, one with gaps, and a fallback."""
+    df, place = bars(spark, d), _place(spark, "priority")
+    fs.write_csv(df.select(*KEY, F.when(F.day("date") % 4 > 0, F.col("close")).alias("x")), f"{place}/path")
+    fs.write_csv(df.select(*KEY, F.col("open").alias("x")), f"{place}/fallback")
+    return fs.scan_by_priority(spark, [f"{place}/sequence", f"{place}/path", f"{place}/fallback"], "symbol string, date date, x double", KEY)
+
+
+@query("SELECT event_type, 2 * count(*) AS n FROM events GROUP BY 1", uses=())
+def sink_jsonl_append(spark: SparkSession, d: str) -> DataFrame:
+    path = _place(spark, "timings")
+    for _ in range(2):
+        table(spark, d, "events").select("event_type", "value").write.mode("append").json(path)
+    return spark.read.schema("event_type string, value double").json(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT event_type, count(*) AS n, round(max(value), 6) + 0.0 AS high FROM events GROUP BY 1", uses=())
 def scan_jsonl(spark: SparkSession, d: str) -> DataFrame:
     path = _place(spark, "events")
@@ -348,34 +507,22 @@ def sanitize_cols(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM events GROUP BY 1, 2", uses=())
 def stream_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
     """Every window, also those that the watermark has not closed: the last update of each is kept."""
-    from barograph.sources.tables import materialize
-
-    kept: list[DataFrame] = []
-    stream = live.windowed_counts(live.replay(spark, d, "events.parquet"))
-    live.run_once(stream, lambda batch, n: kept.append(materialize(batch.withColumn("batch", F.lit(n)), "updates")))
-    rows = kept[0]
-    for more in kept[1:]:
-        rows = rows.unionByName(more)
-    return rounded(rel.keep_last(rows, ["start", "event_type"], ["batch"]).drop("batch"), "total", digits=4)
+    late = live.spread(spark, d, "events.parquet", "ts")
+    updates = live.run_updates(live.windowed_counts(live.replay(spark, d, "events.parquet"), late=late))
+    return rounded(live.last_updates(updates, ["start", "event_type"]), "total", digits=4)
 
 
 @query("SELECT event_id, user_id, event_type FROM events", uses=())
 def stream_idempotent(spark: SparkSession, d: str) -> DataFrame:
     """Each event delivered twice, taken once."""
+    late = live.spread(spark, d, "events.parquet", "ts")
     twice = live.replay(spark, d, "events.parquet").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    return live.run_to_table(live.first_of_each(twice, ["event_id"]).select("event_id", "user_id", "event_type"))
+    return live.run_to_table(live.first_of_each(twice, ["event_id"], late).select("event_id", "user_id", "event_type"))
 
 
 @query("SELECT symbol, date, close FROM (SELECT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS date, arg_max(o_totalprice, o_orderkey) AS close FROM orders GROUP BY 1, 2)", uses=())
 def stream_bar_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as a stream of ticks; each batch replaces the bars of its days where its last tick is later."""
-    state: list[DataFrame] = []
-
-    def merge(batch: DataFrame, _: int) -> None:
-        ticks = batch.groupBy(F.col("o_orderpriority").alias("symbol"), F.to_date("o_orderdate").alias("date")).agg(F.max(F.struct("o_orderkey", "o_totalprice")).alias("last"))
-        both = ticks if not state else ticks.unionByName(state[0])
-        path = write_shared(both.groupBy("symbol", "date").agg(F.max("last").alias("last")), "bars-state")
-        state[:] = [batch.sparkSession.read.parquet(path)]
-
-    live.run_once(live.replay(spark, d, "orders.parquet"), merge, mode="append")
-    return state[0].select("symbol", "date", F.col("last.o_totalprice").alias("close"))
+    """Orders as a stream of ticks; a bar's close is its last tick's so far, and each update replaces the one before."""
+    ticks = live.replay(spark, d, "orders.parquet").select(F.col("o_orderpriority").alias("symbol"), F.to_date("o_orderdate").alias("date"), "o_orderkey", "o_totalprice")
+    updates = live.run_updates(live.last_ticks(ticks, ["symbol", "date"], "o_orderkey", "o_totalprice"))
+    return live.last_updates(updates, ["symbol", "date"]).select("symbol", "date", F.col("value").alias("close"))

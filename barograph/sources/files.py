@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,14 +23,80 @@ def scan_csv(spark: SparkSession, paths: str | list[str], schema: str) -> DataFr
 
 def first_existing(spark: SparkSession, paths: list[str]) -> str:
     """The first of the candidates that exists."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     for p in paths:
-        where = hadoop(p)
-        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        where, fs = _file_system(spark, p)
+        if fs.exists(where):
             return p
     raise FileNotFoundError(", ".join(paths))
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def publish(df: DataFrame, place: str) -> str:
+    """Writes beside ``place`` and then renames, so readers see the old table or the whole new one."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{place}.staging")
+    new, fs = _file_system(spark, f"{place}.staging")
+    old, _ = _file_system(spark, place)
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"{place} could not be replaced")
+    return place
+
+
+def publish_best(df: DataFrame, ranks: DataFrame, by: str, wanted: tuple[str, ...]) -> str:
+    """Publishes the rows of the best ``by`` of ``ranks`` (by, is_best) if each of ``wanted`` has as many rows as any; the place.
+
+    Fails, and publishes nothing, where one is missing or incomplete. A row for each of ``wanted`` is all that is collected.
+    """
+    from barograph.sources.tables import shared_folder
+
+    counts = {r[by]: r["n"] for r in df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
+    short = [w for w in wanted if counts.get(w, 0) < max(counts.values(), default=1)]
+    if short:
+        raise ValueError(f"incomplete: {', '.join(short)}")
+    best = ranks.where("is_best").first()[by]
+    return publish(df.where(F.col(by) == best), f"{shared_folder(df.sparkSession)}/canonical-{uuid.uuid4().hex}")
+
+
+def write_json_atomic(spark: SparkSession, text: str, path: str) -> str:
+    """One small JSON document: written beside its place, then renamed over it."""
+    new, fs = _file_system(spark, f"{path}.new")
+    out = fs.create(new, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    old, _ = _file_system(spark, path)
+    fs.delete(old, False)
+    if not fs.rename(new, old):
+        raise OSError(f"{path} could not be replaced")
+    return path
+
+
+def scan_json(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
+    """A row for each JSON document; one that does not parse gives nulls."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(paths)
+
+
+def scan_by_priority(spark: SparkSession, paths: list[str], schema: str, keys: list[str]) -> DataFrame:
+    """The tables that exist among ``paths``, merged by ``keys``: a known value of an earlier one wins."""
+    from barograph.operators.relational import combine_first
+
+    found = []
+    for p in paths:
+        where, fs = _file_system(spark, p)
+        if fs.exists(where):
+            found.append(scan_csv(spark, p, schema))
+    if not found:
+        raise FileNotFoundError(", ".join(paths))
+    out = found[0]
+    for more in found[1:]:
+        out = combine_first(out, more, keys)
+    return out
+
+
 def scan_recursive(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """All CSV files below ``path``, whatever the folders, with the file each row is from."""
     return spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path).withColumn("file", F.col("_metadata.file_path"))
@@ -40,7 +108,9 @@ def name_in_path(pattern: str) -> Column:
 
 
 def scan_kv(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(key, value) rows as one wide row."""
+    """(key, value) rows as one wide row; a table that already has the keys as columns gives its first row."""
+    if set(keys) <= set(df.columns):
+        return df.select(*keys).limit(1)
     return df.groupBy().pivot("key", keys).agg(F.first("value"))
 
 

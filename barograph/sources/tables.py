@@ -14,11 +14,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Only where none is set (tests, one machine) is a temporary one made."""
+    """The folder in ``spark.checkpoint.dir``. Where none is set, a temporary one is made, but only on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     if spark.sparkContext.getCheckpointDir() is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='barograph-')}")
     return spark.sparkContext.getCheckpointDir()
 

@@ -1,12 +1,16 @@
-"""Structured Streaming: replays of a live day. Sources are files, so a run can be repeated."""
+"""Structured Streaming: replays of a live day. Sources are files, so a run can be repeated.
+
+What is kept between batches is Spark's own state in the checkpoint folder. A batch writes a folder of its own, named by
+its number, so one that runs again after a failure replaces what it wrote.
+"""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from barograph.sources.tables import shared_folder
 
@@ -19,18 +23,43 @@ def replay(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return stream.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
-def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None], mode: str = "update") -> None:
-    """Runs the query over all that is there and ends."""
-    place = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", place).foreachBatch(sink).trigger(availableNow=True).start()
+def spread(spark: SparkSession, folder: str, name: str, ts: str) -> str:
+    """The time that the table's rows span, as an interval. A replay with this delay takes every row, in whatever order of
+    time its files come."""
+    ends = spark.read.parquet(f"{folder}/{name}").agg(F.min(F.col(ts).cast("timestamp")).alias("a"), F.max(F.col(ts).cast("timestamp")).alias("b")).first()
+    return f"{int((ends['b'] - ends['a']).total_seconds()) + 1 if ends['a'] else 1} seconds"
+
+
+def _place(stream: DataFrame) -> str:
+    return f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+
+
+def run_updates(stream: DataFrame) -> DataFrame:
+    """Runs the query over all that is there: the rows that each batch updated, with its number in ``batch``."""
+    place = _place(stream)
+
+    def sink(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/updates/batch={n}")
+
+    stream.sparkSession.createDataFrame([], stream.schema).write.parquet(f"{place}/updates/batch=-1")  # a stream may be empty
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{place}/state").foreachBatch(sink).trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
+    schema = StructType([*stream.schema.fields]).add("batch", LongType())
+    return stream.sparkSession.read.schema(schema).parquet(f"{place}/updates")
+
+
+def last_updates(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """The last batch's row of each key."""
+    rest = [c for c in updates.columns if c not in (*keys, "batch")]
+    last = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return last.select(*keys, *[F.col(f"last.{c}").alias(c) for c in rest])
 
 
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     """The stream's whole output as a table in the shared folder."""
-    place = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    place = _place(stream)
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception():
@@ -45,6 +74,11 @@ def windowed_counts(stream: DataFrame, width: str = "1 hour", late: str = "2 hou
     return counts.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
+def last_ticks(ticks: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """keys and ``value``: that of the greatest ``order`` so far."""
+    return ticks.groupBy(*keys).agg(F.max(F.struct(order, value)).alias("last")).select(*keys, F.col(f"last.{value}").alias("value"))
+
+
 def first_of_each(stream: DataFrame, keys: list[str], late: str = "2 hours") -> DataFrame:
     """One row of each key within the watermark: idempotent deliveries."""
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)

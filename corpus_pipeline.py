@@ -1,6 +1,7 @@
 """From raw documents to token ids: toxicity, near duplicates, repeated passages, benchmark contamination, encoding.
 
-Each stage reads the Parquet files that the one before wrote to the shared folder, and works on all that it kept.
+Each stage reads the Parquet files that the one before wrote to the shared folder, and works on all that it kept. Stages take
+tables with further columns, whatever they are called, and keep them; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -14,30 +15,52 @@ from barograph.sources.tables import table, write_shared
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that score THRESHOLD or more; learns from the labels of the folds that are not held out."""
+    """Drops the documents that score THRESHOLD or more; learns from the labels of the folds that are not held out.
+
+    Rows stay as they are, repeated ones and those of a null doc_id too; null, empty and wordless texts score 0 and stay, very
+    long ones are scored whole. Without labels of both kinds all rows stay. A score equal to the threshold goes.
+    """
     model = toxicity.train(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
     return toxicity.reject(docs, model)
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least doc_id of each class of near duplicates."""
+    """Keeps the document of the least doc_id of each class of near duplicates.
+
+    A null doc_id comes last; of equal ids the first row read is kept, so repeated rows become one. Null counts as the empty
+    text, and empty or wordless texts are duplicates only if equal. Long texts are compared whole.
+    """
     return near_duplicates.deduplicate(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated sentence spans out of the texts; n_chars follows."""
-    cut = substring_dedup.deduplicate(docs)
-    n_chars = F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
-    return cut.withColumn("n_chars", n_chars).select(*docs.columns)
+    """Takes repeated sentence spans out of the texts; n_chars follows.
+
+    No row goes: a text of which nothing is left is empty. Of equal texts the least doc_id's stays (a null one comes last), and
+    rows that agree in doc_id and text stay alike. A null text stays null.
+    """
+    removed = "removed"
+    while removed in docs.columns:
+        removed += "_"
+    cut = substring_dedup.deduplicate(docs, removed)
+    n_chars = F.when(cut[removed].isNull(), cut["n_chars"]).otherwise(F.length(cut["text"]).cast("long"))
+    return cut.withColumn("n_chars", n_chars).drop(removed)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents of whose words a twentieth or more stand in passages of the benchmark."""
+    """Drops the documents of whose words a twentieth or more stand in passages of the benchmark.
+
+    Each row is judged by its text alone, whatever its doc_id; null and wordless texts stay. With an empty benchmark all do.
+    """
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document, with a check of what they decode to."""
+    """The ids of each document, with a check of what they decode to.
+
+    A row for each row; null and empty texts have no ids. Skips depend on doc_id (null is one id) and place, so repeated rows
+    have the same ids. Columns beside doc_id and text end here.
+    """
     return piece_dropout.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 

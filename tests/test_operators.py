@@ -12,8 +12,11 @@ from barograph.operators import aggregates as ag
 from barograph.operators import audits as au
 from barograph.operators import features as ft
 from barograph.operators import relational as rel
+from barograph.operators import routing as rt
 from barograph.operators import sequential as sq
+from barograph.operators import signals as sg
 from barograph.sources import files as fs
+from barograph.streaming import live
 
 D0 = datetime.date(2024, 1, 1)
 
@@ -48,7 +51,7 @@ def test_volume_of_one_row(spark):
 
 
 def test_rolling_rank_averages_ties(spark):
-    out = column(ft.rolling_rank(bars(spark, [1.0, 2.0, 2.0]), 3, 1), "rank_pct")
+    out = column(ft.rolling_rank(bars(spark, [1.0, 2.0, 2.0]), {"rank_pct": "close"}, 3, 1), "rank_pct")
     assert out == pytest.approx([1.0, 1.0, (1 + 1.5) / 3])
 
 
@@ -69,7 +72,7 @@ def test_asof_takes_the_last_at_or_before(spark):
 
 
 def test_overlaps_count_each_pair_once(spark):
-    iv = lambda rows: spark.createDataFrame([(i, "UP", day(a), day(b)) for i, a, b in rows], "id int, direction string, start date, end date")
+    iv = lambda rows: spark.createDataFrame([("s", i, "UP", day(a), day(b)) for i, a, b in rows], "symbol string, id int, direction string, start date, end date")
     out = rel.overlaps(iv([(1, 0, 200)]), iv([(7, 100, 300), (8, 201, 202)])).collect()
     assert [(r["a_id"], r["b_id"], r["shared_days"]) for r in out] == [(1, 7, 101)]
 
@@ -107,14 +110,190 @@ def test_min_hold_and_greedy_match(spark):
     df = spark.createDataFrame([("s", day(i), x) for i, x in enumerate([1, 2, 2, 2, 1])], "symbol string, date date, want int")
     assert column(sq.min_hold(df, "want", 2, "symbol"), "held") == [1, 1, 2, 2, 1]
     pairs = spark.createDataFrame([("g", 1, 1, 0.9), ("g", 1, 2, 0.8), ("g", 2, 1, 0.7), ("g", 2, 2, 0.1)], "g string, a int, b int, s double")
-    assert {(r["a"], r["b"]) for r in sq.greedy_match(pairs, "g", "a", "b", "s").collect()} == {(1, 1), (2, 2)}
-
-
-def test_router_simulation_keeps_its_books(spark):
-    rows = [(day(i), a, r, 0.01, 0.5) for i in range(3) for a, r in (("x", 1.0), ("y", 0.0))]
-    out = sq.router_simulation(spark.createDataFrame(rows, "date date, agent string, ratio double, ret double, raw_w double"), cost_bps=0.0)
-    last = out.where("mode = 'plain'").orderBy(F.desc("date")).first()
-    assert last["equity"] == pytest.approx(1.01**3) and out.select("mode").distinct().count() == 4
+    assert {(r["a"], r["b"]) for r in sq.greedy_match(pairs, ["g"], "a", "b", "s").collect()} == {(1, 1), (2, 2)}
+    assert {(r["a"], r["b"]) for r in sq.match_in_order(pairs, ["g"], "a", "b", "s").collect()} == {(1, 1), (2, 2)}
+
+
+def router_days(spark, regime=1, allowed=("a1", "a2"), agents=(("a1", 1.0, 0.01, 1.0), ("a2", 0.5, 0.02, 0.0)), n=1):
+    schema = "date date, regime_id int, r_long double, r_short double, allowed array<string>, agents array<struct<agent: string, ratio: double, ret: double, score: double>>"
+    return spark.createDataFrame([(day(i), regime, 0.01, -0.01, list(allowed) if allowed is not None else None, list(agents)) for i in range(n)], schema)
+
+
+def test_reward_modes_differ_as_they_should(spark):
+    out = rt.router_simulation(router_days(spark), beta=100.0, ema=1.0, cost_bps=0.0, switch=0.1, churn=0.1, regret=1.0)
+    reward = {r["mode"]: r["reward"] for r in out.collect()}
+    assert reward["legacy"] > reward["profit_basic"] and reward["profit_regret"] <= reward["legacy"]
+    first = out.first()
+    assert first["ratio"] == pytest.approx(0.7) and first["ret_selected"] == pytest.approx(0.007) and first["ret_best"] == 0.02
+
+
+def test_router_falls_back_to_safe_agents_and_caps(spark):
+    unknown = rt.router_simulation(router_days(spark, regime=-1), modes=("legacy",), safe=("a2",)).first()
+    assert (unknown["allowed_source"], unknown["selected"], unknown["weight"]) == ("regime_unknown", "a2", 1.0)
+    nobody = rt.router_simulation(router_days(spark, allowed=("zz",)), modes=("legacy",), safe=("a1",)).first()
+    assert (nobody["allowed_source"], nobody["selected"]) == ("fallback_safe_set", "a1")
+    assert rt._capped(np.array([0.7, 0.3]), 0.6) == pytest.approx([0.6 / 0.957142857, 1 - 0.6 / 0.957142857], abs=1e-6)
+    assert rt._capped(np.array([0.4, 0.35, 0.25]), 0.5) == pytest.approx([0.4, 0.35, 0.25])
+    assert rt._capped(np.array([1.0, 0.0]), 0.6) == pytest.approx([1.0, 0.0])  # an only agent keeps all
+    no_scores = rt.router_simulation(router_days(spark, agents=(("a1", 1.0, None, None), ("a2", -1.0, None, 0.5))), modes=("profit_regret",)).first()
+    assert no_scores["ratio"] == 0.0 and no_scores["ret_best"] == no_scores["ret_selected"]
+
+
+def test_splits_resolve_in_four_ways(spark):
+    schema = "symbol string, date date"
+    dated = spark.createDataFrame([("s", datetime.date(2024, 1, 1)), ("s", datetime.date(2024, 1, 2)), ("s", datetime.date(2024, 6, 1)), ("s", datetime.date(2024, 6, 2))], schema)
+    split = lambda df: {(r["split_source"], r["split"]): r["count"] for r in df.groupBy("split_source", "split").count().collect()}
+    assert split(rel.resolve_split(dated.withColumn("split", F.lit(" Test")))) == {("csv", "test"): 4}
+    assert split(rel.resolve_split(dated, "2024-01-02")) == {("summary", "train"): 1, ("summary", "test"): 3}
+    assert split(rel.resolve_split(dated)) == {("date_infer", "train"): 2, ("date_infer", "test"): 2}
+    assert split(rel.resolve_split(spark.createDataFrame([("s", None), ("s", None)], schema))) == {("fallback_all_test", "test"): 2}
+
+
+def test_publishing_needs_every_mode(spark, tmp_path):
+    sim = rt.router_simulation(router_days(spark, n=3))
+    ranks = rt.reward_mode_ranks(sim)
+    rows = spark.read.parquet(fs.publish_best(sim, ranks, "mode", rt.MODES)).collect()
+    assert len(rows) == 3 and {r["mode"] for r in rows} == {ranks.where("is_best").first()["mode"]}
+    with pytest.raises(ValueError, match="profit_basic"):
+        fs.publish_best(sim.where("mode <> 'profit_basic'"), ranks, "mode", rt.MODES)
+    place = f"file://{tmp_path}/table"
+    fs.publish(sim, place)
+    fs.publish(sim.limit(1), place)
+    assert spark.read.parquet(place).count() == 1
+
+
+def test_streams_take_files_in_any_order_and_none(spark, tmp_path):
+    schema = "event_id long, ts timestamp, event_type string, value double"
+    hours = lambda hs: [(h, datetime.datetime(2024, 1, 1 + h // 24, h % 24, 5), "x", 1.0) for h in hs]
+    for i, hs in enumerate([range(60, 90), range(0, 30), range(30, 60)]):
+        spark.createDataFrame(hours(hs), schema).coalesce(1).write.parquet(f"file://{tmp_path}/e.parquet/{i}")
+    folder, name = f"file://{tmp_path}", "e.parquet/"
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/e.parquet")
+    flat = f"file://{tmp_path}/flat"
+    rows.repartition(3, "event_id").write.parquet(f"{flat}/e.parquet")
+    late = live.spread(spark, flat, "e.parquet", "ts")
+    out = live.last_updates(live.run_updates(live.windowed_counts(live.replay(spark, flat, "e.parquet"), late=late)), ["start", "event_type"])
+    assert out.agg(F.sum("n")).first()[0] == 90 and out.count() == 90
+    twice = live.replay(spark, flat, "e.parquet").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    assert live.run_to_table(live.first_of_each(twice, ["event_id"], late)).count() == 90
+    spark.createDataFrame([], schema).write.parquet(f"{flat}/none.parquet")
+    nothing = live.replay(spark, flat, "none.parquet")
+    assert live.run_updates(live.windowed_counts(nothing, late=live.spread(spark, flat, "none.parquet", "ts"))).count() == 0
+    assert name
+
+
+def test_turning_points_and_events_are_brute_force_s(spark):
+    x = np.cumsum(np.random.default_rng(4).normal(0, 0.02, 300)) + 5
+    kept = []
+    for i in range(1, len(x) - 1):
+        kind = "top" if x[i] > x[i - 1] and x[i] >= x[i + 1] else "bottom" if x[i] < x[i - 1] and x[i] <= x[i + 1] else None
+        if kind and kept and kept[-1][1] == kind:
+            if (x[i] > x[kept[-1][0]]) == (kind == "top"):
+                kept[-1] = (i, kind)
+        elif kind and (not kept or (i - kept[-1][0] >= 3 and abs(x[i] / x[kept[-1][0]] - 1) >= 0.005)):
+            kept.append((i, kind))
+    points = sq.turning_points(bars(spark, x.tolist()), min_move=0.005)
+    got = sorted((r["date"], r["kind"]) for r in points.collect())
+    assert got == [(day(i), k) for i, k in kept] and len(kept) > 10
+    events = sq.events(points).orderBy("id").collect()
+    assert [(r["start"], r["end"], r["direction"], r["days"]) for r in events] == [(day(a), day(b), "UP" if x[b] > x[a] else "DOWN", b - a) for (a, _), (b, _) in zip(kept, kept[1:], strict=False)]
+    assert [r["move"] for r in events] == pytest.approx([x[b] / x[a] - 1 for (a, _), (b, _) in zip(kept, kept[1:], strict=False)])
+
+
+def test_longitudes_are_those_of_the_orbits(spark):
+    dates = [datetime.date(1990, 2, 3), datetime.date(2003, 8, 28), datetime.date(2024, 2, 29)]
+    d = np.array([(x - datetime.date(2000, 1, 1)).days - 0.5 for x in dates])
+
+    def place(body):
+        node, incl, peri, a, e, m = (v + rate * d for v, rate in cal.ELEMENTS[body][:6])
+        node, incl, peri, m = (np.radians(x) for x in (node, incl, peri, m))
+        full = m.copy()
+        for _ in range(50):
+            full = m + e * np.sin(full)
+        true = 2 * np.arctan2(np.sqrt(1 + e) * np.sin(full / 2), np.sqrt(1 - e) * np.cos(full / 2))
+        r, u = a * (1 - e * np.cos(full)), true + peri
+        return r * (np.cos(node) * np.cos(u) - np.sin(node) * np.sin(u) * np.cos(incl)), r * (np.sin(node) * np.cos(u) + np.cos(node) * np.sin(u) * np.cos(incl))
+
+    rows = cal.geocentric(spark.createDataFrame([(x,) for x in dates], "date date"), *cal.PLANETS).collect()
+    ex, ey = place("earth")
+    for planet in cal.PLANETS:
+        x, y = place(planet)
+        want = np.degrees(np.arctan2(y - ey, x - ex)) % 360
+        got = [r["longitude"] for r in sorted(rows, key=lambda r: r["date"]) if r["planet"] == planet]
+        assert got == pytest.approx(want.tolist(), abs=1e-6)
+
+
+@pytest.mark.parametrize("n", [32, 33, 100, 257])
+def test_wavelet_bands_sum_to_the_series(n):
+    x = np.random.default_rng(n).normal(size=n).cumsum()
+    levels = sg.wavelet_levels(n, 3)
+    bands, low = sg.wavelet_bands(x, levels)
+    assert bands.sum(axis=0) + low == pytest.approx(x)
+    if n % 8 == 0:  # of even lengths throughout the bands are orthogonal
+        assert abs(bands[0] @ bands[1]) < 1e-8 and abs(bands[0] @ low) < 1e-8
+    flat, _ = sg.wavelet_bands(np.full(n, 5.0), levels)
+    assert np.abs(flat).max() < 1e-9
+
+
+def test_phase_lag_finds_a_shift():
+    t = np.arange(256)
+    x = np.sin(2 * np.pi * t / 64) + 0.5 * np.sin(2 * np.pi * t / 32)
+    for shift in (0, 1, 3):
+        assert sg.phase_lag(x, np.roll(x, shift))[0] == pytest.approx(shift, abs=0.05)
+    assert sg.phase_lag(x, np.roll(x, 9), most=2.0)[0] == 2.0
+    assert np.isnan(sg.phase_lag(x[:3], x[:3])[0])
+
+
+def test_bootstrap_is_near_the_shares(spark):
+    days = spark.createDataFrame([(day(i), int(i % 10 >= 7)) for i in range(400)], "date date, regime_id int")
+    out = {r["regime_id"]: r for r in ag.bootstrap(days, "regime_id", 40).collect()}
+    assert out[0]["occupancy_mean"] == pytest.approx(0.7, abs=0.03) and 0.005 < out[0]["occupancy_std"] < 0.06
+    assert out[0]["bootstrap_stability"] == pytest.approx(1 / (1 + out[0]["occupancy_std"]))
+    # With copies in a row and gaps, a row's predecessor has its label more often than 6 in 7 times.
+    assert out[0]["co_membership_stability"] > out[1]["co_membership_stability"] > 0.5
+
+
+def test_robust_pca_follows_numpy(spark):
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=200)
+    x = np.stack([a, 2 * a + rng.normal(size=200) * 0.1, rng.normal(size=200)], axis=1)
+    df = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(x)], "i int, a double, b double, c double")
+    got = np.array([[r["pc_1"], r["pc_2"]] for r in ag.robust_pca(df, ["a", "b", "c"], 2).orderBy("i").collect()])
+    q = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+    z = (x - q[1]) / (q[2] - q[0])
+    z = z - z.mean(axis=0)
+    want = z @ np.linalg.svd(z, full_matrices=False)[2][:2].T
+    assert np.abs(np.abs(got) - np.abs(want)).max() < 1e-6
+
+
+def test_cash_environment_is_the_step_by_step_book(spark):
+    prices, acts = [10.0, 11.0, 9.0, 9.0, 12.0], [0.5, -0.5, 1.0, 0.0, 0.3]
+    df = spark.createDataFrame([("s", day(i), p, a) for i, (p, a) in enumerate(zip(prices, acts, strict=True))], "symbol string, date date, close double, action double")
+    got = sg.cash_environment(df, "action", "close", cost=0.01).orderBy("date").collect()
+    cash, shares = 1.0, 0.0
+    for r, p, a in zip(got, prices, acts, strict=True):
+        equity = cash + shares * p
+        equity -= 0.01 * abs(a * equity - shares * p)
+        shares, cash = a * equity / p, equity - a * equity
+        assert (r["equity"], r["shares"], r["cash"]) == pytest.approx((equity, shares, cash))
+
+
+def test_holidays_are_the_federal_ones(spark):
+    from pandas.tseries.holiday import USFederalHolidayCalendar
+
+    ends = spark.createDataFrame([(datetime.date(1990, 1, 1), datetime.date(2030, 12, 31))], "start date, end date")
+    got = {r["date"] for r in cal.sessions(ends, "start", "end").collect()}
+    want = pd.bdate_range("1990-01-01", "2030-12-31").difference(USFederalHolidayCalendar().holidays("1989-12-01", "2031-01-31"))
+    assert got == {d.date() for d in want}
+
+
+def test_speed_is_the_gradient_of_the_unwrapped_longitude(spark):
+    days = [day(i) for i in range(0, 700) if i % 7 < 5]
+    rows = cal.geocentric(spark.createDataFrame([(d,) for d in days], "date date"), "mercury").orderBy("date").collect()
+    lon = np.unwrap(np.radians([r["longitude"] for r in rows]))
+    want = np.gradient(lon, np.array([d.toordinal() for d in days], float))
+    assert [r["speed"] for r in rows] == pytest.approx(want.tolist(), abs=1e-9)
+    assert any(r["retrograde"] for r in rows) and not all(r["retrograde"] for r in rows)
 
 
 def test_weekdays_and_numbers(spark):
