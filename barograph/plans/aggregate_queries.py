@@ -55,14 +55,17 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
 _EDGE_COLUMNS = ["ev", "ir", "p_win", "q05", "q95", "w_shrink", "ev_shrink", "ir_shrink", "ev_global", "ir_global"]
 
 
-# Means of a few days with few digits: at six digits they are often half way between two, where engines round apart.
+# Means of days with few digits are often exactly half way between two roundings, where engines round apart: a thousandth of
+# the last digit, added on both sides, decides.
 _MEANS = ("ev", "ev_shrink", "ev_global")
 _OTHERS = [c for c in _EDGE_COLUMNS if c not in _MEANS]
+_HALF = 1e-15
 
 
-@query(f"SELECT regime_id, agent, n_days, {r(*_OTHERS)}, {r(*_MEANS, digits=12)} FROM edges", uses=("experts", "regimes"), more=_EDGES)
+@query(f"SELECT regime_id, agent, n_days, {r(*_OTHERS)}, {', '.join(f'round({c} + {_HALF}, 12) + 0.0 AS {c}' for c in _MEANS)} FROM edges", uses=("experts", "regimes"), more=_EDGES)
 def agg_edge_table(spark: SparkSession, d: str) -> DataFrame:
     edges = ag.edge_table(_log(spark, d)).select("regime_id", "agent", "n_days", *_EDGE_COLUMNS)
+    edges = edges.withColumns({c: F.col(c) + _HALF for c in _MEANS})
     return rounded(rounded(edges, *_OTHERS), *_MEANS, digits=12)
 
 
