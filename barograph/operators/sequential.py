@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from barograph.functions.windows import by_symbol, ratio
 
 
+#: Bound of the centroids that are broadcast.
+MOST_CENTROIDS = 4096
+
+
 def _extended(df: DataFrame, more: str) -> str:
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return f"{own}, {more}"
@@ -214,7 +218,12 @@ def anchor_to_target(df: DataFrame, horizons: tuple[int, ...], by: str = "symbol
 
 
 def nearest_centroid(df: DataFrame, centroids: DataFrame, vector: str) -> DataFrame:
-    """The label of the nearest of few centroids (label, center: array), its distance d, and 1 / (1 + d)."""
+    """The label of the nearest of few centroids (label, center: array), its distance d, and 1 / (1 + d).
+
+    The centroids are broadcast as one row, so no more than MOST_CENTROIDS are taken.
+    """
+    if len(centroids.limit(MOST_CENTROIDS + 1).select("label").collect()) > MOST_CENTROIDS:  # as many labels at most
+        raise ValueError(f"more than {MOST_CENTROIDS} centroids")
     one = centroids.agg(F.collect_list(F.struct("label", "center")).alias("_c"))  # as many as there are labels
     near = df.crossJoin(F.broadcast(one))
     d2 = F.transform("_c", lambda c: F.struct(F.aggregate(F.zip_with(c["center"], F.col(vector), lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, x: s + x).alias("d2"), c["label"].alias("label")))

@@ -138,3 +138,24 @@ def cash_environment(df: DataFrame, action: str, price: str, by: str = "symbol",
     df = df.withColumn("_factor", F.col("_grown") * (1 - cost * moved))
     df = df.withColumn("equity", cash * F.exp(F.sum(F.log("_factor")).over(w.rowsBetween(Window.unboundedPreceding, 0))))
     return df.select(by, "date", "position", (F.col("position") * F.col("equity") / F.col("_p")).alias("shares"), ((1 - F.col("position")) * F.col("equity")).alias("cash"), "equity")
+
+
+def advantages(df: DataFrame, reward: str, value: str, by: str = "agent", gamma: float = 0.99, lam: float = 0.95) -> DataFrame:
+    """by, date, advantage, target, scaled: generalised advantages of each series, from its end back.
+
+    delta = reward + gamma * next value - value (the value after the end is 0), advantage = delta + gamma * lam * the next
+    one's, target = advantage + value; ``scaled`` has mean 0 and deviation 1 over the series (0 where it does not vary).
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        v = pdf[value].fillna(0.0).to_numpy(float)
+        delta = pdf[reward].fillna(0.0).to_numpy(float) + gamma * np.append(v[1:], 0.0) - v
+        out, last = np.zeros(len(v)), 0.0
+        for t in range(len(v) - 1, -1, -1):
+            last = delta[t] + gamma * lam * last
+            out[t] = last
+        sd = out.std()
+        return pd.DataFrame({by: pdf[by], "date": pdf["date"], "advantage": out, "target": out + v, "scaled": (out - out.mean()) / (sd + 1e-8) if sd > 0 else np.zeros(len(out))})
+
+    return df.groupBy(by).applyInPandas(run, f"{by} {df.schema[by].dataType.simpleString()}, date date, advantage double, target double, scaled double")

@@ -106,6 +106,13 @@ def seq_env_cash(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(out, "position", "cash", "equity"), "shares", digits=9)
 
 
+@query("SELECT agent, date, round(adv, 6) + 0.0 AS advantage, round(adv + ratio, 6) + 0.0 AS target, round((adv - avg(adv) OVER w) / (stddev_pop(adv) OVER w + 0.00000001), 4) + 0.0 AS scaled FROM g WINDOW w AS (PARTITION BY agent)", uses=("experts",), recursive=True, more="""n AS (SELECT agent, date, ratio, ret + 0.99 * coalesce(lead(ratio) OVER (PARTITION BY agent ORDER BY date), 0) - ratio AS delta, row_number() OVER (PARTITION BY agent ORDER BY date DESC) AS i FROM experts),
+  g AS (SELECT agent, date, ratio, i, delta AS adv FROM n WHERE i = 1 UNION ALL SELECT n.agent, n.date, n.ratio, n.i, n.delta + 0.99 * 0.95 * g.adv FROM g JOIN n ON n.agent = g.agent AND n.i = g.i + 1)""")
+def seq_gae(spark: SparkSession, d: str) -> DataFrame:
+    """Advantages of each agent's returns, with its ratio as the value of a day."""
+    return rounded(rounded(sg.advantages(experts(spark, d), "ret", "ratio"), "advantage", "target"), "scaled", digits=4)
+
+
 @query()
 def arr_wavelet(spark: SparkSession, d: str) -> DataFrame:
     """Three levels of details of each symbol's log closes."""

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,9 +29,25 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def write_shared(df: DataFrame, name: str, codec: str | None = None) -> str:
-    """Writes ``df`` as Parquet to a new folder in the shared folder and returns its path."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+_WORK: ContextVar[str | None] = ContextVar("work", default=None)
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside the block are deleted when it ends, unless they are kept."""
+    path = f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
+    token = _WORK.set(path)
+    try:
+        yield
+    finally:
+        _WORK.reset(token)
+        discard(spark, path)
+
+
+def write_shared(df: DataFrame, name: str, codec: str | None = None, keep: bool = False) -> str:
+    """Writes ``df`` as Parquet to a new folder in the shared folder and returns its path; ``keep``: beyond a workspace."""
+    place = (None if keep else _WORK.get()) or shared_folder(df.sparkSession)
+    path = f"{place}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", codec) if codec else df.write
     writer.parquet(path)
     return path
@@ -40,6 +59,6 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str | None = None, keep: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends there, and a lost executor costs no recomputation."""
-    return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, name, codec))
+    return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, name, codec, keep))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barograph.llm import decontamination, near_duplicates, piece_dropout, substring_dedup, toxicity
-from barograph.sources.tables import table, write_shared
+from barograph.sources.tables import discard, table, write_shared
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,7 +77,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = spark.read.parquet(write_shared(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        path = write_shared(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            discard(spark, before)  # the stage after it has read all of it
+        docs, before = spark.read.parquet(path), path
     return docs
