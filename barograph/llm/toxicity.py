@@ -90,6 +90,8 @@ def noisy_or(logits: np.ndarray, doc_first: np.ndarray) -> tuple[np.ndarray, np.
 def probabilities(b: Bags, weights: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
     """Of the sentences, and of the documents."""
     n = len(b.sentence_first) - 1
+    if np.isneginf(bias):  # nothing was learnt
+        return np.zeros(n), np.zeros(len(b.doc_first) - 1)
     sentence, feature = pairs(b, weights != 0)
     return noisy_or(np.bincount(sentence, weights[feature], n)[:n] + bias, b.doc_first)
 
@@ -113,7 +115,7 @@ def _telling(parts: list[Bags], labels: np.ndarray) -> np.ndarray:
 def fit(parts: list[Bags], labels: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and bias, by AdaGrad on the noisy-or's log-likelihood."""
     if not len(labels) or not 0 < labels.sum() < len(labels):
-        return np.zeros(BUCKETS), -30.0
+        return np.zeros(BUCKETS), -np.inf
     telling = _telling(parts, labels)
     weights, bias = np.zeros(BUCKETS), -4.0
     squares, bias_square = np.ones(BUCKETS), 1.0
@@ -162,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # max_docs rows at most
     rows = rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))  # copies would pass for evidence
     one = rows.select("doc_id", "text", "toxic").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "text").mapInArrow(_fit, "weights binary, bias double").first()
-    return Model(bytes(one["weights"]), one["bias"]) if one else Model(np.zeros(BUCKETS, "<f4").tobytes(), -30.0)
+    return Model(bytes(one["weights"]), one["bias"]) if one else Model(np.zeros(BUCKETS, "<f4").tobytes(), -np.inf)
 
 
 _OFFENDING = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))

@@ -162,12 +162,16 @@ def test_toxic_documents_of_the_held_out_fold(spark):
         text = prose(60) + (f" blargh{i % 30}. " + prose(20) if toxic else "")
         rows.append((i, text))
         labels.append((i, int(toxic)))
-    table = spark.createDataFrame([*rows, (1000, None), (1001, ""), (1002, "...")], DOCS).withColumn("score", F.lit("clash"))
+    long = prose(40_000)
+    more = [(1000, None), (1001, ""), (1002, "..."), (1003, long), (1004, f"{long} Blargh3. {long}"), (1004, f"{long} Blargh3. {long}")]
+    table = spark.createDataFrame([*rows, *more], DOCS).withColumns(clashes())
     model = toxicity.train(table, toxicity.training_labels(spark.createDataFrame([*labels, (5, None), (7777, 1)], "doc_id long, toxic int")))
     got = {r["doc_id"]: r for r in toxicity.score(table, model, ["doc_id"]).collect()}
     held = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 3 == 1]
     assert np.mean([(got[i]["score"] >= 0.7) == bool(y) for i, y in held]) > 0.97
     assert got[1000]["score"] == got[1001]["score"] == got[1002]["score"] == 0
+    assert len(got[1004]["offending"]) == 1 and got[1004]["score"] >= 0.7
+    assert [more[4][1].encode()[s["start"] : s["end"]].decode() for s in got[1004]["offending"]][0].endswith("Blargh3")
     text = dict(rows)
     found = [text[i].encode()[s["start"] : s["end"]].decode() for i, y in held if y for s in got[i]["offending"]]
     assert np.mean(["blargh" in f for f in found]) > 0.95
