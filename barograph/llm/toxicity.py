@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences (pieces of at most PIECE words). A sentence's logit is a bias plus the weights of its
-words and of the words' first bytes; a document is toxic if any of its sentences is: P = 1 - prod(1 - p), the noisy-or.
+words and of the words' first bytes (a sentence without any that has a weight counts as clean); a document is toxic if any of its sentences is: P = 1 - prod(1 - p), the noisy-or.
 Only documents are labelled; the gradient of the noisy-or shares a label out among the sentences, so the weights also
 locate the sentences that made a document toxic. Words and their beginnings are hashed to BUCKETS weights.
 
@@ -82,18 +82,25 @@ def pairs(b: Bags, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def noisy_or(logits: np.ndarray, doc_first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Probabilities of the sentences, and of the documents."""
-    p = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
+    p = np.where(np.isneginf(logits), 0.0, 1 / (1 + np.exp(-np.clip(logits, -30, 30))))
     sums = np.concatenate([[0], np.cumsum(np.log1p(-np.minimum(p, 1 - 1e-12)))])
     return p, -np.expm1(sums[doc_first[1:]] - sums[doc_first[:-1]])
 
 
+def logits(sentence: np.ndarray, weight: np.ndarray, n: int, bias: float) -> np.ndarray:
+    """Of n sentences, from the weights of their features. One without a feature that has a weight is no evidence, so that
+    a document is not toxic for being long."""
+    known = np.bincount(sentence, minlength=n)[:n] > 0
+    return np.where(known, np.bincount(sentence, weight, n)[:n] + bias, -np.inf)
+
+
 def probabilities(b: Bags, weights: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
     """Of the sentences, and of the documents."""
     n = len(b.sentence_first) - 1
     if np.isneginf(bias):  # nothing was learnt
         return np.zeros(n), np.zeros(len(b.doc_first) - 1)
     sentence, feature = pairs(b, weights != 0)
-    return noisy_or(np.bincount(sentence, weights[feature], n)[:n] + bias, b.doc_first)
+    return noisy_or(logits(sentence, weights[feature], n, bias), b.doc_first)
 
 
 def _telling(parts: list[Bags], labels: np.ndarray) -> np.ndarray:
@@ -131,7 +138,7 @@ def fit(parts: list[Bags], labels: np.ndarray) -> tuple[np.ndarray, float]:
     for _ in range(EPOCHS):
         for sentence, feature, first, y in batches:
             n = int(first[-1])
-            p, whole = noisy_or(np.bincount(sentence, weights[feature], n)[:n] + bias, first)
+            p, whole = noisy_or(logits(sentence, weights[feature], n, bias), first)
             share = np.where(y == 1, -(1 - whole) / np.maximum(whole, 1e-6), 1.0)
             g = np.repeat(share, np.diff(first)) * p
             grad = np.bincount(feature, g[sentence], BUCKETS) + DECAY * weights
@@ -143,6 +150,7 @@ def fit(parts: list[Bags], labels: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kernels.release()
     parts, labels = [], []
     for batch in batches:
         for part in kernels.slices(batch, "text"):
@@ -172,6 +180,7 @@ _OFFENDING = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("s
 
 def _score(model: Model, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernels.release()
         weights = np.frombuffer(model.weights, "<f4").astype(np.float64)
         for batch in batches:
             for part in kernels.slices(batch, "text"):
