@@ -22,12 +22,18 @@ def build(df: DataFrame, bit: Column, n_bits: int) -> bytes:
     return bytes(out)
 
 
+def test(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each of the bits is set; ``bitmap``: its bytes."""
+    at = at.astype(np.int64)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 != 0
+
+
 def keep(df: DataFrame, bitmap: bytes, column: str) -> DataFrame:
     """The rows whose long ``column`` (a bit's number) is set. The bitmap travels with the tasks' code, not in the plan."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").view(bool)
+        bits = np.frombuffer(bitmap, np.uint8)
         for batch in batches:
-            yield batch.filter(pa.array(seen[batch.column(column).to_numpy()]))
+            yield batch.filter(pa.array(test(bits, batch.column(column).to_numpy())))
 
     return df.mapInArrow(run, df.schema)

@@ -86,7 +86,7 @@ def _staged(tokenizer: str, end_id: int):
         encoder, seen = worker_encoder(tokenizer, end_id), set()
         width = encoder.dtype.itemsize
         for batch in batches:
-            for part in kernels.slices(batch, "text"):
+            for part in kernels.slices(batch, "text", 1 << 21):
                 streams = encoder.encode(part.column("text").fill_null("").to_pylist())
                 data = b"".join(streams)
                 ends = np.cumsum([len(s) // width for s in streams])

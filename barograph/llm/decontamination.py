@@ -67,7 +67,8 @@ def _fingerprints(short: list[int], bitmap: bytes | None):
     """A task's work on rows (id, digest, text): with a bitmap, training texts; without, benchmark items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").view(bool) if bitmap is not None else None
+        kernels.release()
+        seen = np.frombuffer(bitmap, np.uint8) if bitmap is not None else None
         for batch in batches:
             for part in kernels.slices(batch, "text"):
                 words = kernels.words(kernels.text_bytes(part.column("text")))
@@ -83,7 +84,7 @@ def _fingerprints(short: list[int], bitmap: bytes | None):
                     kinds.append((m, True, at, mixed(grams[at])))
                 for k, whole, at, fps in kinds:
                     if seen is not None:
-                        here = seen[(fps & np.uint64((1 << BITS) - 1)).astype(np.int64)]
+                        here = bitmaps.test(seen, fps & np.uint64((1 << BITS) - 1))
                         at, fps = at[here], fps[here]
                     for d, print_ in _prints(words, at, fps, k, whole, owner):
                         found[d].append(print_)

@@ -6,14 +6,27 @@ of a non-ASCII character is 0x80 or more, words can be found on bytes alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that one call of a kernel takes, unless one text alone is longer.
-SLICE_BYTES = 1 << 21
+#: Bytes of text that one call of a kernel takes, unless one text alone is longer. Its arrays are some 40 times as large.
+SLICE_BYTES = 1 << 19
+
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, clear: Callable[[], None]) -> None:
+    """Says that this worker keeps something large between tasks, and how to let it go."""
+    _held[name] = clear
+
+
+def release() -> None:
+    """Called where other work begins: workers live on from operator to operator, what they keep need not."""
+    while _held:
+        _held.popitem()[1]()
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -70,13 +83,13 @@ def text_bytes(column: pa.Array) -> Bytes:
     return Bytes(data, offsets - offsets[0])
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about SLICE_BYTES of ``column``; whole rows always."""
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``size`` bytes of ``column``; whole rows always."""
     ends = np.cumsum(np.diff(text_bytes(batch.column(column)).offsets)) if batch.num_rows else np.zeros(0)
     begin = 0
     while begin < batch.num_rows:
         before = ends[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+        end = max(begin + 1, int(np.searchsorted(ends, before + size, side="right")))
         yield batch.slice(begin, end - begin)
         begin = end
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barograph.llm import bitmaps, kernels
-from barograph.sources.tables import materialize
+from barograph.sources.tables import materialize, workspace
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of registers: at a similarity of 0.8, 6 in 100,000 pairs agree in none; at 0.85, 1 in 10 million.
@@ -101,6 +101,7 @@ def _numbered(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kernels.release()
     for batch in batches:
         for part in _numbered(batch, "text"):
             keys, counts = shingles(kernels.text_bytes(part.column("text")))
@@ -124,6 +125,7 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kernels.release()
     for batch in batches:
         for half in _numbered(batch, "text_a"):
             for part in _numbered(half, "text_b"):
@@ -198,11 +200,8 @@ def _shareable(members: DataFrame, bodies: DataFrame) -> DataFrame:
     return members.join(own, "node", "left").withColumn("rest", F.col("size") - F.coalesce("own", F.lit(0))).drop("own")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, class_id (the class's least doc_id), class_size, n_links, keep; one row for each row of docs.
-
-    ``n_links``: verified links of the row's text to other texts. ``keep``: the row's (doc_id, text) is the class's first.
-    """
+def _class_rows(docs: DataFrame) -> DataFrame:
+    """row, doc_id, digest, class, n_links of each row; ``class`` is the class's least node."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("digest", F.md5("text"))
     sketched = materialize(texts.select("doc_id", "digest", "text").mapInArrow(_sketch, "doc_id bigint, digest string, size bigint, bands array<bigint>").withColumn("row", F.monotonically_increasing_id()), "sketches")
     nodes = materialize(sketched.groupBy("digest").agg(F.min("row").alias("node"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
@@ -259,7 +258,16 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = sketched.select("row", "doc_id", "digest").join(nodes.select("digest", "node"), "digest")
     degree = links.distinct().select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     rows = rows.join(labels.join(degree, "node"), "node", "left")
-    rows = materialize(rows.select("row", "doc_id", "digest", F.coalesce("class", "node").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "class-rows")
+    return materialize(rows.select("row", "doc_id", "digest", F.coalesce("class", "node").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "class-rows", keep=True)
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, digest, class_id (the class's least doc_id), class_size, n_links, keep; one row for each row of docs.
+
+    ``n_links``: verified links of the row's text to other texts. ``keep``: the row's (doc_id, text) is the class's first.
+    """
+    with workspace(docs.sparkSession):
+        rows = _class_rows(docs)
     firsts = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min_by("digest", F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "row")).alias("first_digest"))
     out = rows.join(firsts, "class")
     keep = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("first_digest"))

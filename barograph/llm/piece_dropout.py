@@ -25,7 +25,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +36,14 @@ from barograph.llm import kernels
 
 DROPOUT, SEED = 0.1, 1
 #: Nodes of decision trees that a worker keeps before it begins anew; longer chunks than KEPT_CHARS have no tree.
-CACHE_NODES, KEPT_CHARS = 5_000_000, 32
+CACHE_NODES, KEPT_CHARS = 2_000_000, 32
 _GOLD = 0x9E3779B97F4A7C15
 _U64 = (1 << 64) - 1
 _SPACE = "▁"
+#: Marks of chunks that came before: 8 MB.
+SEEN = 1 << 23
+#: Bytes of text that are encoded together.
+SLICE_BYTES = 1 << 21
 #: Elements of one call's arrays.
 _CELLS = 1 << 19
 _RUNS = re.compile(" +[^ ]*")
@@ -73,6 +77,7 @@ class Pieces:
         self.text = [p.replace(_SPACE, " ").encode() for p in names]
         for b, i in enumerate(self.bytes.tolist()):
             self.text[i] = bytes([b])
+        self.seen = np.zeros(SEEN, bool)
         self._forget()
 
     def _forget(self) -> None:
@@ -137,7 +142,7 @@ class Pieces:
     def _work_out(self, chunks: list[str], keys: np.ndarray, keep: bool) -> list[bytes]:
         """The ids of each occurrence of a chunk, from its characters; if ``keep`` their paths are added to the trees."""
         out: list[bytes] = [b""] * len(chunks)
-        lengths = np.array([len(c) for c in chunks])
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
         order = np.argsort(lengths, kind="stable")
         begin = 0
         while begin < len(order):
@@ -158,9 +163,8 @@ class Pieces:
             ends = np.cumsum(alive.sum(axis=1))
             flat = symbols[alive]
             if (flat < 0).any():
-                parts = [self.bytes[list(chr(-2 - s).encode())] if s < 0 else np.array([s]) for s in flat.tolist()]
-                sizes = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-                ends, flat = sizes[ends], np.concatenate(parts)
+                flat, sizes = self._with_bytes(flat)
+                ends = np.concatenate([[0], np.cumsum(sizes)])[ends]
             data, size = flat.astype(self.dtype).tobytes(), self.dtype.itemsize
             edges = [0, *(ends * size).tolist()]
             for g, a, b in zip(group.tolist(), edges, edges[1:], strict=False):
@@ -170,6 +174,20 @@ class Pieces:
             begin = stop
         return out
 
+    def _with_bytes(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols with byte pieces in place of characters (below 0), and how many each symbol became."""
+        at = np.flatnonzero(symbols < 0)
+        points, which = np.unique(-2 - symbols[at], return_inverse=True)
+        pieces_ = [self.bytes[list(chr(p).encode())] for p in points.tolist()]
+        lengths = np.array([len(p) for p in pieces_])
+        sizes = np.ones(len(symbols), np.int64)
+        sizes[at] = own = lengths[which]
+        out = np.repeat(symbols, sizes)
+        inside = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        begins = (np.cumsum(lengths) - lengths)[which]
+        out[np.repeat((np.cumsum(sizes) - sizes)[at], own) + inside] = np.concatenate(pieces_)[np.repeat(begins, own) + inside]
+        return out, sizes
+
     def _new_nodes(self, salts: np.ndarray) -> np.ndarray:
         """A node for each hash of (step, piece)."""
         made = np.arange(self.n_nodes, self.n_nodes + len(salts), dtype=np.int32)
@@ -207,6 +225,15 @@ class Pieces:
             self.follows[edges] = self._new_leaves([ids[i] for i in rows[unknown & ~goes_on][of]])
             node[rows] = self.follows[edge]
 
+    def _seen_again(self, chunks: list[str]) -> np.ndarray:
+        """Which of the chunks are worth a tree: short ones that also came before, or twice now (by a hash, so some others too)."""
+        marks = np.fromiter(map(hash, chunks), np.int64, len(chunks)) & (SEEN - 1)
+        short = np.fromiter(map(len, chunks), np.int64, len(chunks)) <= KEPT_CHARS
+        _, of, counts = np.unique(marks, return_inverse=True, return_counts=True)
+        again = short & (self.seen[marks] | (counts > 1)[of])
+        self.seen[marks] = True
+        return again
+
     def _walk(self, node: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Where the draws of each occurrence end: at a leaf, or 0 where the tree is not known."""
         node = node.copy()
@@ -229,11 +256,11 @@ class Pieces:
         draws = kernels.mix(np.repeat(own, sizes) + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(_GOLD))
         if self.n_nodes + len(self.leaves) > CACHE_NODES:
             self._forget()
-        ends = self._walk(np.fromiter((self.roots.get(c, 0) for c in flat), np.int32, len(flat)), draws)
+        ends = self._walk(np.fromiter(map(self.roots.get, flat, repeat(0)), np.int32, len(flat)), draws)
         out = [self.leaves[-1 - e] if e else b"" for e in ends.tolist()]
         missing = np.flatnonzero(ends == 0)
-        short = np.fromiter((len(flat[i]) <= KEPT_CHARS for i in missing), bool, len(missing))
-        for at, keep in ((missing[short], True), (missing[~short], False)):
+        again = self._seen_again([flat[i] for i in missing])
+        for at, keep in ((missing[again], True), (missing[~again], False)):
             for i, ids in zip(at.tolist(), self._work_out([flat[i] for i in at], draws[at], keep), strict=True):
                 out[i] = ids
         return [b"".join(out[a : a + n]) for a, n in zip(begins.tolist(), sizes.tolist(), strict=True)]
@@ -244,7 +271,8 @@ class Pieces:
 
 @lru_cache(maxsize=1)
 def pieces(path: str, dropout: float, seed: int) -> Pieces:
-    """The worker's own: its tasks share what it knows."""
+    """The worker's own: its tasks share what it knows, until other work begins."""
+    kernels.hold("pieces", pieces.cache_clear)
     return Pieces(path, dropout, seed)
 
 
@@ -256,7 +284,7 @@ def _encode(path: str, dropout: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path, dropout, seed)
         for batch in batches:
-            for part in kernels.slices(batch, "text"):
+            for part in kernels.slices(batch, "text", SLICE_BYTES):
                 texts = part.column("text").fill_null("").to_pylist()
                 ids = model.encode(texts, [_key(i) for i in part.column("doc_id").to_pylist()])
                 n = [len(i) // model.dtype.itemsize for i in ids]

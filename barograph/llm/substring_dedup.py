@@ -90,6 +90,7 @@ def spans(texts: kernels.Bytes) -> tuple[kernels.Sentences, np.ndarray, np.ndarr
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kernels.release()
     for batch in batches:
         for part in kernels.slices(batch, "text"):
             yield pa.RecordBatch.from_arrays([pa.array(spans(kernels.text_bytes(part.column("text")))[3].view(np.int64))], ["h"])
@@ -99,12 +100,13 @@ def _placed(bitmap: bytes):
     """Rows of the spans whose bit is set, with the characters that their sentences take up to the next sentence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").view(bool)
+        kernels.release()
+        bits = np.frombuffer(bitmap, np.uint8)
         for batch in batches:
             for part in kernels.slices(batch, "text"):
                 texts = kernels.text_bytes(part.column("text"))
                 s, a, b, h, g = spans(texts)
-                here = seen[(h & np.uint64((1 << BITS) - 1)).astype(np.int64)]
+                here = bitmaps.test(bits, h & np.uint64((1 << BITS) - 1))
                 a, b, h, g = a[here], b[here], h[here], g[here]
                 text = np.searchsorted(s.first, a, side="right") - 1
                 stop = np.where(b < s.first[text + 1], np.append(s.starts, len(texts.data))[b], texts.offsets[text + 1])

@@ -14,6 +14,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from barograph.llm import kernels
+
 #: Units that a worker keeps in each of two generations; what the older one gives moves to the younger.
 CACHE_UNITS = 700_000
 _UNSURE = re.compile(r" (?:[\s\x1c-\x1f]|\Z)")
@@ -98,4 +100,5 @@ class Encoder:
 @lru_cache(maxsize=1)
 def worker_encoder(path: str, end_id: int | None) -> Encoder:
     """The worker's own: the tasks that it runs one after the other share what it knows."""
+    kernels.hold("encoder", worker_encoder.cache_clear)
     return Encoder(path, end_id)
