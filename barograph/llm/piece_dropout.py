@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 from barograph.llm import kernels
 
 DROPOUT, SEED = 0.1, 1
-#: Nodes of decision trees that a worker keeps before it begins anew; longer chunks than KEPT_CHARS have no tree.
-CACHE_NODES, KEPT_CHARS = 2_000_000, 32
+#: Nodes of decision trees that a worker keeps, unless told otherwise, before it begins anew: some 70 bytes each. Longer
+#: chunks than KEPT_CHARS have no tree.
+CACHE_NODES, KEPT_CHARS = 5_000_000, 32
 _GOLD = 0x9E3779B97F4A7C15
 _U64 = (1 << 64) - 1
 _SPACE = "▁"
@@ -52,7 +53,7 @@ _RUNS = re.compile(" +[^ ]*")
 class Pieces:
     """The vocabulary of a model file, as tables."""
 
-    def __init__(self, path: str, dropout: float, seed: int) -> None:
+    def __init__(self, path: str, dropout: float, seed: int, kept: int = CACHE_NODES) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -61,7 +62,7 @@ class Pieces:
         normal = {p: i for i, p in enumerate(names) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
         if any(_SPACE in p.lstrip(_SPACE) for p in normal):
             raise ValueError("pieces with a space after other characters are not supported")
-        self.dropout, self.seed, self.n = dropout, seed, n
+        self.dropout, self.seed, self.n, self.kept = dropout, seed, n, kept
         self.dtype = np.dtype("<u2" if n <= 1 << 16 else "<u4")
         self.score = np.array([model.get_score(i) for i in range(n)], np.float32)
         self.bytes = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
@@ -254,7 +255,7 @@ class Pieces:
         begins = np.cumsum(sizes) - sizes
         place = np.arange(len(flat)) - np.repeat(begins, sizes)
         draws = kernels.mix(np.repeat(own, sizes) + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(_GOLD))
-        if self.n_nodes + len(self.leaves) > CACHE_NODES:
+        if self.n_nodes + len(self.leaves) > self.kept:
             self._forget()
         ends = self._walk(np.fromiter(map(self.roots.get, flat, repeat(0)), np.int32, len(flat)), draws)
         out = [self.leaves[-1 - e] if e else b"" for e in ends.tolist()]
@@ -270,19 +271,19 @@ class Pieces:
 
 
 @lru_cache(maxsize=1)
-def pieces(path: str, dropout: float, seed: int) -> Pieces:
+def pieces(path: str, dropout: float, seed: int, kept: int) -> Pieces:
     """The worker's own: its tasks share what it knows, until other work begins."""
     kernels.hold("pieces", pieces.cache_clear)
-    return Pieces(path, dropout, seed)
+    return Pieces(path, dropout, seed, kept)
 
 
 def _key(doc_id: int | None) -> int:
     return int.from_bytes(blake2b(str(doc_id).encode(), digest_size=8).digest(), "little")
 
 
-def _encode(path: str, dropout: float, seed: int):
+def _encode(path: str, dropout: float, seed: int, kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pieces(path, dropout, seed)
+        model = pieces(path, dropout, seed, kept)
         for batch in batches:
             for part in kernels.slices(batch, "text", SLICE_BYTES):
                 texts = part.column("text").fill_null("").to_pylist()
@@ -297,16 +298,17 @@ def _encode(path: str, dropout: float, seed: int):
     return run
 
 
-def encode(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
+def encode(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED, kept: int = CACHE_NODES) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian numbers of 2 bytes, or 4 for a large vocabulary), their crc32 as numbers of 4
-    bytes, the decoded text's crc32, and whether it is the text. ``model``: a SentencePiece BPE file that all executors have."""
+    bytes, the decoded text's crc32, and whether it is the text. ``model``: a SentencePiece BPE file that all executors have.
+    ``kept``: nodes that a worker keeps; fewer take less memory and more time, the ids are the same."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_encode(model, dropout, seed), "doc_id bigint, n_tokens bigint, ids binary, ids_crc32 bigint, decoded_crc32 bigint, lossless boolean")
+    return rows.mapInArrow(_encode(model, dropout, seed, kept), "doc_id bigint, n_tokens bigint, ids binary, ids_crc32 bigint, decoded_crc32 bigint, lossless boolean")
 
 
 def _decode(path: str, dropout: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pieces(path, dropout, seed)
+        model = pieces(path, dropout, seed, CACHE_NODES)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([model.decode(i or b"") for i in batch.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
 
