@@ -61,9 +61,12 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A row for each row; null and empty texts have no ids. Skips depend on doc_id (null is one id) and place, so repeated rows
     have the same ids. Columns beside doc_id and text end here.
     """
-    return piece_dropout.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return piece_dropout.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), kept=KEPT_NODES)
 
 
+#: What a worker keeps while it encodes: less than alone, as executors still hold memory of the stages before.
+KEPT_NODES = 2_000_000
+
 STAGES = [
     ("toxicity", reject_toxic),
     ("near_duplicates", one_of_each_class),
