@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barograph.llm import audio, chat, content_store, decontamination, manifest_sql, merkle_manifest, near_duplicates, piece_dropout, sharding, substring_dedup, toxicity, url_filter
+from barograph.llm import audio, chat, content_store, decontamination, lexical_search, manifest_sql, merkle_manifest, near_duplicates, piece_dropout, search_sql, sharding, substring_dedup, toxicity, url_filter
 from barograph.sources.tables import materialize, table
 
 
@@ -74,12 +74,16 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digests(audio.features(media))
 
 
+def op12_hashed_max_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle_manifest.lower_ascii(F.col("text"))).otherwise(F.col("text"))
     return merkle_manifest.verify(table(spark, sf_dir, "documents"), tampered)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_merge_dropout, op3_balanced_label_propagation, op4_chat_formatting, op5_content_addressed_store, op6_winnowing_decontamination, op7_multiple_instance_toxicity, op8_bagminhash_near_duplicates, op9_url_filter, op10_audio_features, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_merge_dropout, op3_balanced_label_propagation, op4_chat_formatting, op5_content_addressed_store, op6_winnowing_decontamination, op7_multiple_instance_toxicity, op8_bagminhash_near_duplicates, op9_url_filter, op10_audio_features, op12_hashed_max_sketches, op13_merkle_manifest)}
 
 _OP9 = r"""
 WITH p AS (
@@ -114,4 +118,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN n ON n.row = d.row LEFT JOIN m ON m.row = d.row
 """
 
-ORACLES = {"op6_winnowing_decontamination": _OP6, "op9_url_filter": _OP9, "op13_merkle_manifest": manifest_sql.MANIFEST}
+ORACLES = {"op6_winnowing_decontamination": _OP6, "op9_url_filter": _OP9, "op12_hashed_max_sketches": search_sql.SEARCH, "op13_merkle_manifest": manifest_sql.MANIFEST}

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barograph.llm import merkle_manifest, queries
+from barograph.llm import kernels, lexical_search, merkle_manifest, pieces, queries
 
 RNG = np.random.default_rng(11)
 FULL = "doc_id long, text string, lang string, source string, n_chars long"
@@ -82,8 +82,46 @@ def test_manifest_stores_every_third_level(spark):
     assert [r["n"] for r in upper] == [2] and len(upper[0]["nodes"]) == 2  # 603 leaves: two subtrees of 512
 
 
+def test_search_is_sql_s_on_odd_rows(spark, tmp_path):
+    documents = odd_documents() + [(900 + i, prose(int(n), 40 + 30 * (i % 9)), "en", "s", 1) for i, n in enumerate(RNG.integers(1, 400, 150))]
+    documents += [(2000 + i, "w5 w6 w7 rare", "en", "s", 1) for i in range(45)]  # more ties than ranks
+    documents += [(2100, "W1 " * 700 + "é-W2_w3", "en", "s", 1)]
+    items = [(i, prose(30, 200)) for i in range(25)] + [(30, None), (31, " . "), (None, "w5 w6 w7"), (32, "w5 W5 w5 rare"), (32, "rare"), (33, "nowhere at all")]
+    folder, con = tables(tmp_path, spark, documents, items)
+    got = same_as_sql(spark, folder, con, "op12_hashed_max_sketches")
+    assert set(got["item_id"].dropna()) == {*range(25), 32} and got["item_id"].isna().sum() == 20
+    same_as_sql_again = lexical_search.search(spark.read.parquet(f"{folder}/documents.parquet").repartition(9), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    assert rows(same_as_sql_again.toPandas()) == rows(got)
+
+
+def test_search_in_several_blocks_and_of_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(40)) for i in range(200)], "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("n", "terms", "query", "item_id", "rank", "score")})
+    items = spark.createDataFrame([(i, prose(10)) for i in range(12)], "item_id long, text string").withColumns({c: F.lit("clash") for c in ("query", "terms", "doc_id", "n_terms")})
+    once = {tuple(r) for r in lexical_search.search(docs, items).collect()}
+    monkeypatch.setattr(lexical_search, "BLOCK_TERMS", 20)
+    assert {tuple(r) for r in lexical_search.search(docs, items).collect()} == once and len(once) == 240
+    assert lexical_search.search(docs.limit(0), items).count() == lexical_search.search(docs, items.limit(0)).count() == 0
+
+
+def test_bounds_never_lie_below_scores():
+    for n in (1, 5, 300, 5000):
+        terms = np.unique(kernels.mix(RNG.integers(1, 10_000, n).astype(np.uint64)))
+        tfs = RNG.integers(1, 400, len(terms)).astype(np.uint32)
+        query = np.unique(np.append(terms[:20], kernels.mix(RNG.integers(20_000, 30_000, 40).astype(np.uint64))))
+        block = lexical_search.Block([0], np.array([0, len(query)]), query, RNG.integers(0, 9000, len(query)))
+        upper = lexical_search.bounds(block, lexical_search.sketch(terms, tfs)[None, :], np.array([130]))[0, 0]
+        assert upper >= lexical_search.exact(block, 0, terms, tfs, 130) > 0
+
+
+def test_long_texts_come_in_pieces():
+    data = np.frombuffer(("ab " * 1000 + "c" * 5000 + " d").encode(), np.uint8)
+    cuts = list(pieces.cut(data, 100))
+    assert b"".join(c.tobytes() for c in cuts) == data.tobytes() and max(map(len, cuts)) == 5001
+    assert len(list(pieces.cut(np.frombuffer(b"x" * 1000, np.uint8), 100))) == 1
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
-@pytest.mark.parametrize("name", ["op13_merkle_manifest"])
+@pytest.mark.parametrize("name", ["op12_hashed_max_sketches", "op13_merkle_manifest"])
 def test_rows_are_those_of_sql(spark, name):
     folder, con = "/root/testdata/sf0.001", duckdb.connect()
     for table in ("documents", "benchmark"):
