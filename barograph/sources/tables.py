@@ -44,12 +44,12 @@ def workspace(spark: SparkSession) -> Iterator[None]:
         discard(spark, path)
 
 
-def write_shared(df: DataFrame, name: str, codec: str | None = None, keep: bool = False) -> str:
-    """Writes ``df`` as Parquet to a new folder in the shared folder and returns its path; ``keep``: beyond a workspace."""
+def write_shared(df: DataFrame, name: str, codec: str | None = None, keep: bool = False, by: tuple[str, ...] = ()) -> str:
+    """Writes ``df`` as Parquet to a new folder in the shared folder and returns its path; ``keep``: beyond a workspace; ``by``: columns whose values get folders of their own."""
     place = (None if keep else _WORK.get()) or shared_folder(df.sparkSession)
     path = f"{place}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", codec) if codec else df.write
-    writer.parquet(path)
+    (writer.partitionBy(*by) if by else writer).parquet(path)
     return path
 
 
