@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barograph.llm import audio, chat, content_store, decontamination, lexical_search, manifest_sql, merkle_manifest, near_duplicates, piece_dropout, search_sql, sharding, substring_dedup, toxicity, url_filter
-from barograph.sources.tables import materialize, table
+from barograph.llm import audio, chat, content_store, decontamination, katz, lexical_search, manifest_sql, merkle_manifest, near_duplicates, piece_dropout, search_sql, sharding, substring_dedup, toxicity, url_filter
+from barograph.sources.tables import materialize, table, workspace
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,15 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digests(audio.features(media))
 
 
+def op11_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    with workspace(spark):
+        model = katz.train(docs.where(~katz.held_out()))
+        scored = katz.score(docs, model)
+    tokens = F.lit(model.unigrams.tokens).cast("long")
+    return scored.select("doc_id", katz.held_out().alias("held_out"), "n_tokens", "n_known", tokens.alias("train_tokens"), "base_score", "score")
+
+
 def op12_hashed_max_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -83,7 +92,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.verify(table(spark, sf_dir, "documents"), tampered)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_merge_dropout, op3_balanced_label_propagation, op4_chat_formatting, op5_content_addressed_store, op6_winnowing_decontamination, op7_multiple_instance_toxicity, op8_bagminhash_near_duplicates, op9_url_filter, op10_audio_features, op12_hashed_max_sketches, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_merge_dropout, op3_balanced_label_propagation, op4_chat_formatting, op5_content_addressed_store, op6_winnowing_decontamination, op7_multiple_instance_toxicity, op8_bagminhash_near_duplicates, op9_url_filter, op10_audio_features, op11_katz_backoff, op12_hashed_max_sketches, op13_merkle_manifest)}
 
 _OP9 = r"""
 WITH p AS (

@@ -1,7 +1,12 @@
 """Language-model scoring, lexical search and the Merkle manifest, against their SQL and on odd rows."""
 
+import collections
 import hashlib
+import math
 import os
+import re
+import statistics
+import zlib
 
 import duckdb
 import numpy as np
@@ -9,7 +14,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barograph.llm import kernels, lexical_search, merkle_manifest, pieces, queries
+from barograph.llm import katz, kernels, lexical_search, merkle_manifest, pieces, queries
 
 RNG = np.random.default_rng(11)
 FULL = "doc_id long, text string, lang string, source string, n_chars long"
@@ -120,6 +125,118 @@ def test_long_texts_come_in_pieces():
     assert len(list(pieces.cut(np.frombuffer(b"x" * 1000, np.uint8), 100))) == 1
 
 
+def by_hand_discounts(counts):
+    n, k = collections.Counter(counts), 5
+    if all(n[r] for r in range(1, k + 2)):
+        common = (k + 1) * n[k + 1] / n[1]
+        out = [((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) if common != 1 else 9 for r in range(1, k + 1)]
+        if common < 1 and all(0 < d < 1 for d in out):
+            return out
+    known = [r for r in range(1, k + 2) if n[r]]
+    if len(known) > 1:
+        slope = statistics.linear_regression([math.log(r) for r in known], [math.log(n[r]) for r in known]).slope
+        if slope < -1:
+            common = (k + 1) ** (1 + slope)
+            return [(((r + 1) / r) ** (1 + slope) - common) / (1 - common) for r in range(1, k + 1)]
+    lost = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+    return [(r - lost) / r for r in range(1, k + 1)]
+
+
+class ByHand:
+    """The same model from dictionaries of strings."""
+
+    def __init__(self, texts):
+        self.u, self.b = collections.Counter(), collections.Counter()
+        for text in texts:
+            tokens = self.tokens(text)
+            self.u.update(tokens)
+            self.b.update(zip([None, *tokens], tokens))
+        self.n = sum(self.u.values())
+        self.d1, self.d2 = by_hand_discounts(self.u.values()), by_hand_discounts(self.b.values())
+        lost = sum(c - self.kept(self.d1, c) for c in self.u.values())
+        self.all = self.n + (lost <= 0)
+        self.unknown = (lost + (lost <= 0)) / self.all if self.all else 1.0
+        self.contexts = {}
+        after = collections.defaultdict(list)
+        for (h, w), c in self.b.items():
+            after[h].append((w, c))
+        for h, seen in after.items():
+            left = sum(c - self.kept(self.d2, c) for _, c in seen)
+            more = left <= 1e-12
+            total = sum(c for _, c in seen) + more
+            self.contexts[h] = total, (left + more) / total / (1 - sum(self.p(w) for w, _ in seen))
+
+    @staticmethod
+    def tokens(text):
+        return [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")), " "]
+
+    @staticmethod
+    def kept(d, c):
+        return d[c - 1] * c if c <= 5 else c
+
+    def p(self, w, h=False):
+        if h is not False and (h, w) in self.b:
+            return self.kept(self.d2, self.b[h, w]) / self.contexts[h][0]
+        own = self.kept(self.d1, self.u[w]) / self.all if self.u[w] else self.unknown
+        return own if h is False else own * self.contexts.get(h, (0, 1.0))[1]
+
+    def row(self, text):
+        tokens = self.tokens(text)
+        base = sum(math.log10((self.u[w] + 1) / (self.n + len(self.u) + 1)) for w in tokens)
+        return len(tokens), sum(w in self.u for w in tokens), self.n, base, sum(math.log10(self.p(w, h)) for h, w in zip([None, *tokens], tokens))
+
+
+def katz_documents():
+    out = [(i, prose(int(n), 12 + 3 * (i % 40)), "en", "s", 1) for i, n in enumerate(RNG.integers(0, 120, 160))]
+    out += [(300 + i, "The same copy. of SOME  text\n\there", "en", "s", 1) for i in range(20)]
+    out += [(400, None, None, None, None), (401, "", "en", "s", 0), (402, " \t\n", "en", "s", 3), (403, "the " * 900, "en", "s", 1), (None, "null id é Ä\u00a0nbsp", "en", "s", 1)]
+    return out + [(5, "twice the row", "en", "s", 1)] * 3 + [(9, "never seen words", "en", "s", 1)]
+
+
+def check_katz(got, documents):
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    model = ByHand([d[1] for d in documents if not held(d[0])])
+    want = sorted([(d[0], held(d[0]), *model.row(d[1])) for d in documents], key=repr)
+    have = sorted([(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got], key=repr)
+    assert len(have) == len(want)
+    for a, b in zip(sorted(have, key=lambda r: (repr(r[:5]), r[6])), sorted(want, key=lambda r: (repr(r[:5]), r[6])), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
+    return model
+
+
+@pytest.mark.parametrize("share", [1 << 16, 8])  # few words are hot with the second
+def test_katz_is_the_dictionaries_model(spark, tmp_path, monkeypatch, share):
+    monkeypatch.setattr(katz, "HOT_SHARE", share)
+    documents = katz_documents()
+    folder, _ = tables(tmp_path, spark, documents)
+    model = check_katz(queries.QUERIES["op11_katz_backoff"](spark, folder).collect(), documents)
+    for h in (None, "the", "w1", "unseen"):
+        assert sum(model.p(w, h) for w in model.u) + model.unknown * model.contexts.get(h, (0, 1.0))[1] == pytest.approx(1)
+
+
+def test_katz_of_long_texts_in_pieces_and_of_clashing_columns(spark, monkeypatch):
+
+    docs = [(i, prose(200, 50)) for i in range(12)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("bucket", "kind", "id", "a", "word", "n", "score")})
+    want = sorted((r["doc_id"], r["n_tokens"], r["n_known"], round(r["score"], 6)) for r in katz.score(frame, katz.train(frame)).collect())
+    batch = frame.select("doc_id", "text").coalesce(1).toArrow().combine_chunks().to_batches()[0]
+    monkeypatch.setattr(katz, "SLICE", 64)
+    many = list(katz.token_slices(batch))
+    monkeypatch.setattr(katz, "SLICE", 1 << 21)
+    [one] = list(katz.token_slices(batch))
+    assert len(many) > 100 and sum(s.last for s in many) == 12
+    assert np.array_equal(np.concatenate([s.tokens for s in many]), one.tokens) and np.array_equal(np.concatenate([s.contexts for s in many]), one.contexts)
+    model = ByHand([t for _, t in docs])
+    assert want == sorted((i, *model.row(t)[:2], round(model.row(t)[4], 6)) for i, t in docs)
+
+
+def test_katz_with_nothing_to_learn_from(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    rows = katz.score(docs, katz.train(docs.limit(0))).collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in rows) == [(1, 3, 0, 0.0, 0.0), (2, 1, 0, 0.0, 0.0)]
+    assert katz.score(docs.limit(0), katz.train(docs)).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 @pytest.mark.parametrize("name", ["op12_hashed_max_sketches", "op13_merkle_manifest"])
 def test_rows_are_those_of_sql(spark, name):
