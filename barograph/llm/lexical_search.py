@@ -1,13 +1,13 @@
 """Ranked lexical search by hashed max-sketches.
 
-The index has a row for each document: its terms (64-bit hashes) with their occurrences, and a sketch, the coordinatewise
-maxima of what its terms' impacts are folded into by hash. Within a document an impact grows with the occurrences alone,
-so the sketch keeps the greatest number of occurrences of each coordinate in one byte (255: any number from there on), and
-does not depend on statistics that change as documents come. Its width is the power of two from 2 to 4 times the distinct
-terms.
-
-A query term absent from a document meets either an empty coordinate or another term's; so the sum of looked-up impacts,
-times the term's weight, never lies below the exact score. Queries are looked up in blocks, for all documents of a batch at
+The index has a row for each document: its terms (64-bit hashes) with their occurrences, and a sketch: ROWS rows of
+coordinatewise maxima that its terms' impacts are folded into, by another hash for each row. Within a document an impact grows
+with the occurrences alone, so the sketch keeps the greatest number of occurrences of each coordinate in one byte (255: any
+number from there on), and does not depend on statistics that change as documents come. A row's width is a power of two,
+SPARE to 2 * SPARE times the distinct terms.
+
+A term's coordinates hold its occurrences or more, a term's that is not there hold nothing or another's; so the impact of the least
+of them, times the term's weight, summed over a query, never lies below the exact score. Queries are looked up in blocks, for all documents of a batch at
 once. Then each query goes through the documents by descending bound, rescores exactly, and stops at the first bound below
 the score that is TOP-th in this task so far. What tasks keep, TOP rows a query, is ranked once more. No document is left out but
 by its bound.
@@ -40,6 +40,9 @@ BLOCK_TERMS = 32_768
 CELLS = 1 << 22
 #: Bytes of terms that are put together for a lookup of documents.
 LEAST_WIDTH, FULL = 64, 255
+#: Rows of a sketch, each with SPARE coordinates for a term at least: a term that is not in a text meets others in all rows 1 time in 40 to 400.
+ROWS, SPARE = 4, 2
+_ODD = kernels.mix(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 INDEX = "doc_id bigint, n bigint, terms binary, tfs binary, sketch binary"
 _INDEX = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("terms", pa.binary()), ("tfs", pa.binary()), ("sketch", pa.binary())])
@@ -56,12 +59,23 @@ def _counted(hashes: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.
 
 
 def width_of(n_terms: int) -> int:
-    return max(LEAST_WIDTH, 1 << (2 * n_terms - 1).bit_length()) if n_terms else LEAST_WIDTH
+    """Coordinates of each row."""
+    return max(LEAST_WIDTH, 1 << (SPARE * n_terms - 1).bit_length()) if n_terms else LEAST_WIDTH
+
+
+def coordinates(terms: np.ndarray, width: int) -> list[np.ndarray]:
+    """Where the terms stand in each of the ROWS rows of a sketch, which follow one another."""
+    shift = np.uint64(65 - width.bit_length())
+    return [(terms * odd >> shift).astype(np.int64) + r * width for r, odd in enumerate(_ODD)]
 
 
 def sketch(terms: np.ndarray, tfs: np.ndarray) -> np.ndarray:
-    out = np.zeros(width_of(len(terms)), np.uint8)
-    np.maximum.at(out, (terms & np.uint64(len(out) - 1)).astype(np.int64), np.minimum(tfs, FULL).astype(np.uint8))
+    width = width_of(len(terms))
+    out = np.zeros(ROWS * width, np.uint8)
+    tfs = np.minimum(tfs, FULL).astype(np.uint8)
+    order = np.argsort(tfs, kind="stable")  # of those that meet, the last one written is the greatest
+    for at in coordinates(terms[order], width):
+        out[at] = tfs[order]
     return out
 
 
@@ -131,8 +145,12 @@ def bounds(block: Block, sketches: np.ndarray, m: np.ndarray) -> np.ndarray:
     seen = np.arange(FULL + 1, dtype=np.int64)
     table = impacts(seen, m[:, None])
     table[:, FULL] = SCALE // 1000  # no number of occurrences gives more
-    folded = np.take_along_axis(table, sketches.astype(np.int64), axis=1)
-    looked_up = folded[:, (block.terms & np.uint64(sketches.shape[1] - 1)).astype(np.int64)]
+    # The least of a term's coordinates still lies above its own occurrences.
+    first, *others = coordinates(block.terms, sketches.shape[1] // ROWS)
+    least = sketches[:, first]
+    for at in others:
+        np.minimum(least, sketches[:, at], out=least)
+    looked_up = np.take_along_axis(table, least.astype(np.int64), axis=1)
     looked_up *= block.weights
     return np.add.reduceat(looked_up, block.first[:-1], axis=1)
 
