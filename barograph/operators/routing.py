@@ -135,17 +135,18 @@ def adaptive_weights(log: DataFrame, first_day: str, alpha: float = 0.35, eta: f
     return logs.select("date", "agent", (F.col("_e") / F.sum("_e").over(day)).alias("weight"))
 
 
-def pair_simulation(weights: DataFrame, market: DataFrame, cost_bps: float = 15.0) -> DataFrame:
-    """date, pos, turnover, cost, ret, equity of a book that holds the weighted ratio: above 0 the long, below 0 the short side.
+def pair_simulation(weights: DataFrame, market: DataFrame, cost_bps: float = 15.0, by: list[str] | None = None) -> DataFrame:
+    """date, pos, turnover, cost, ret, equity of each book ``by`` (one if not given) that holds the weighted ratio: above 0 the long, below 0 the short side.
 
-    ``weights``: (date, ratio, weight) rows; ``market``: (date, r_long, r_short), missing ones 0.
+    ``weights``: (by, date, ratio, weight) rows; ``market``: (date, r_long, r_short), missing ones 0.
     """
-    days = weights.groupBy("date").agg(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.sum(F.col("weight") * F.coalesce("ratio", F.lit(0.0))))).alias("pos")).join(market, "date", "left")
-    w = Window.partitionBy(F.lit(0)).orderBy("date")  # one book: a row a day
+    by = by or []
+    days = weights.groupBy(*by, "date").agg(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.sum(F.col("weight") * F.coalesce("ratio", F.lit(0.0))))).alias("pos")).join(market, "date", "left")
+    w = Window.partitionBy(*[F.col(b) for b in by] or [F.lit(0)]).orderBy("date")  # a book has a row a day
     days = days.withColumn("turnover", F.abs(F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(0.0))))
     gross = F.greatest("pos", F.lit(0.0)) * F.coalesce("r_long", F.lit(0.0)) + F.greatest(-F.col("pos"), F.lit(0.0)) * F.coalesce("r_short", F.lit(0.0))
     days = days.withColumn("cost", F.col("turnover") * cost_bps / 1e4).withColumn("ret", gross - F.col("cost"))
-    return days.select("date", "pos", "turnover", "cost", "ret", F.exp(F.sum(F.log1p("ret")).over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("equity"))
+    return days.select(*by, "date", "pos", "turnover", "cost", "ret", F.exp(F.sum(F.log1p("ret")).over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("equity"))
 
 
 def _capped(w: np.ndarray, cap: float) -> np.ndarray:
@@ -174,12 +175,14 @@ def raw_weights(scores: np.ndarray, beta: float, spread: float) -> np.ndarray:
     return z / z.sum()
 
 
-def router_simulation(days: DataFrame, modes: tuple[str, ...] = MODES, beta: float = 5.0, ema: float = 0.3, smooth: float = 0.7, cap: float = 1.0, limit: float = 1.0, cost_bps: float = 15.0, l2: float = 0.0, switch: float = 0.0005, churn: float = 0.0002, regret: float = 0.2, drawdown: float = 0.05, spread: float = 1.0, safe: tuple[str, ...] = ()) -> DataFrame:
+def router_simulation(days: DataFrame, modes: tuple[str, ...] = MODES, beta: float = 5.0, ema: float = 0.3, smooth: float = 0.7, cap: float = 1.0, limit: float = 1.0, cost_bps: float = 15.0, l2: float = 0.0, switch: float = 0.0005, churn: float = 0.0002, regret: float = 0.2, drawdown: float = 0.05, spread: float = 1.0, safe: tuple[str, ...] = (), excluded: tuple[str, ...] = ()) -> DataFrame:
     """The router over a book's days, once for each reward mode.
 
     ``days``: date, regime_id, r_long, r_short, allowed (array), and agents (array of struct(agent, ratio, ret, score)). Weights are
     the softmax of the allowed agents' scores, followed by an exponential mean, capped; the position follows the weighted
-    ratio likewise. Of regime -1, and where no allowed agent is known, the safe agents count (without one, all).
+    ratio likewise. A regime without a list (null) may use all agents. Of regime -1 the safe agents count; they also do where no
+    allowed agent is left, and without a safe one all do. ``excluded`` agents get no weight. A day's ``fixed`` (map of weights by agent,
+    if the column is there), where it has a positive sum, replaces the weights as it stands.
     Rewards: the return less costs and the squared position (legacy); less switching and changes of weights (profit_basic);
     less regret and switching (profit_regret); less switching and the drawdown (profit_light_risk).
     """
@@ -197,13 +200,16 @@ def router_simulation(days: DataFrame, modes: tuple[str, ...] = MODES, beta: flo
                 ratio[i] = a["ratio"] or 0.0
                 ret[i] = np.nan if a["ret"] is None else a["ret"]
                 score[i] = np.nan if a["score"] is None else a["score"]
-            kept = [place[a] for a in safe if a in place] or list(range(len(agents)))
-            source = "regime_topk"
-            own = [] if day.allowed is None else [place[a] for a in day.allowed if a in place]
+            free = [place[a] for a in agents if a not in excluded]
+            kept = [place[a] for a in safe if a in place and a not in excluded]
             if day.regime_id == -1:
                 own, source = kept, "regime_unknown"
-            elif not own:
-                own, source = kept, "fallback_safe_set"
+            else:
+                own, source = free if day.allowed is None else [place[a] for a in day.allowed if a in place and a not in excluded], "regime_topk"
+            if not own:
+                own, source = kept or free, "fallback_safe_set"
+            if not own:
+                raise ValueError("every agent is excluded")
             w = np.zeros(len(agents))
             w[own] = ema * raw_weights(score[own], beta, spread) + (1 - ema) * before[own]
             if w.sum() > 0:
@@ -211,6 +217,12 @@ def router_simulation(days: DataFrame, modes: tuple[str, ...] = MODES, beta: flo
             else:
                 w[own] = 1 / len(own)
             w = _capped(w, cap)
+            fixed = np.zeros(len(agents))
+            for a, x in dict(getattr(day, "fixed", None) or {}).items():
+                if a in place:
+                    fixed[place[a]] = x or 0.0
+            if fixed.sum() > 0:
+                w, source = fixed / fixed.sum(), "meta_router"
             new = smooth * float(np.clip(w @ ratio, -limit, limit)) + (1 - smooth) * pos
             turnover, moved = abs(new - pos), float(np.abs(w - before).sum())
             cost, held = cost_bps * 1e-4 * turnover, l2 * new * new
@@ -231,7 +243,8 @@ def router_simulation(days: DataFrame, modes: tuple[str, ...] = MODES, beta: flo
         out = pd.DataFrame(rows, columns=["mode", "date", "regime_id", "allowed_source", "ratio", "turnover", "cost", "churn", "ret_selected", "ret_best", "reward", "selected", "weight"])
         return out.assign(equity=(1 + out["ret_selected"] - out["cost"]).cumprod())
 
-    each = days.select("date", "regime_id", "r_long", "r_short", "allowed", "agents", F.explode(F.array(*map(F.lit, modes))).alias("mode"))
+    more = ["fixed"] if "fixed" in days.columns else []
+    each = days.select("date", "regime_id", "r_long", "r_short", "allowed", "agents", *more, F.explode(F.array(*map(F.lit, modes))).alias("mode"))
     return each.groupBy("mode").applyInPandas(run, "mode string, date date, regime_id int, allowed_source string, ratio double, turnover double, cost double, churn double, ret_selected double, ret_best double, reward double, selected string, weight double, equity double")
 
 

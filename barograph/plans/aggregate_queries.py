@@ -71,8 +71,12 @@ def agg_edge_table(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT regime_id, agent, CAST(row_number() OVER (PARTITION BY regime_id ORDER BY round(ir, 9) DESC, round(ev, 9) DESC, agent) AS INTEGER) AS rank FROM edges", uses=("experts", "regimes"), more=_EDGES)
 def win_rank_table(spark: SparkSession, d: str) -> DataFrame:
+    return ranks_of(ag.edge_table(_log(spark, d)))
+
+
+def ranks_of(edges: DataFrame) -> DataFrame:
     w = Window.partitionBy("regime_id").orderBy(F.desc(F.round("ir", 9)), F.desc(F.round("ev", 9)), "agent")
-    return ag.edge_table(_log(spark, d)).select("regime_id", "agent", F.row_number().over(w).alias("rank"))
+    return edges.select("regime_id", "agent", F.row_number().over(w).alias("rank"))
 
 
 @query("""SELECT regime_id, round(median(x), 6) + 0.0 AS median_x, round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 6) + 0.0 AS iqr_x, round(stddev_pop(x), 6) + 0.0 AS sd_x, round(median(v), 6) + 0.0 AS median_v, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) + 0.0 AS iqr_v, round(stddev_pop(v), 6) + 0.0 AS sd_v

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barograph.operators import aggregates as ag
 from barograph.operators import routing as rt
 from barograph.operators import sequential as sq
-from barograph.plans.aggregate_queries import _EDGES, _log, win_rank_table
+from barograph.plans.aggregate_queries import _EDGES, _log, ranks_of
 from barograph.plans.registry import query, r, rounded
 from barograph.plans.sequence_queries import _SOFT
 from barograph.sources.bars import experts
-from barograph.sources.tables import table
+from barograph.sources.tables import materialize, table
 
 SAFE = ("NO",)
 FIRST_DAY = "1996-01-01"
@@ -32,22 +34,29 @@ _MORE = f"""{_EDGES}, {_LOG},
 _USES = ("experts", "regimes")
 
 
-def _edges(log: DataFrame) -> DataFrame:
-    return rt.with_dd_proxy(ag.edge_table(log), log)
+class Base(NamedTuple):
+    """What the routing queries share, each written once, so that no plan reads the tables again for every use."""
+
+    log: DataFrame
+    edges: DataFrame
+    lists: DataFrame
 
 
-def _lists(log: DataFrame) -> DataFrame:
-    return rt.allow_lists(_edges(log), SAFE, top=2)
+def base(spark: SparkSession, d: str) -> Base:
+    log = materialize(_log(spark, d), "log")
+    edges = materialize(rt.with_dd_proxy(ag.edge_table(log), log), "edges")
+    return Base(log, edges, materialize(rt.allow_lists(edges, SAFE, top=2), "lists"))
 
 
-def _days(log: DataFrame) -> DataFrame:
+def _days(b: Base) -> DataFrame:
     """Days with an even confidence; days of regime 2 count as rare."""
-    return rt.days_of(log, ag.edge_table(log), _lists(log)).withColumns({"rare": F.col("regime_id") == 2, "confidence": F.lit(1.0)})
+    days = rt.days_of(b.log, b.edges, b.lists).withColumns({"rare": F.col("regime_id") == 2, "confidence": F.lit(1.0)})
+    return materialize(days, "days")
 
 
 @query("SELECT CAST(regime_id AS INTEGER) AS regime_id, array_to_string(allowed, '|') AS allowed_agents FROM lists", uses=_USES, more=_MORE)
 def seq_allowlist(spark: SparkSession, d: str) -> DataFrame:
-    return _lists(_log(spark, d)).select("regime_id", F.array_join("allowed", "|").alias("allowed_agents"))
+    return base(spark, d).lists.select("regime_id", F.array_join("allowed", "|").alias("allowed_agents"))
 
 
 @query("""SELECT date, policy, c[1] AS chosen, array_to_string(c, '|') AS candidates, list_contains(c, winner) AS covered, list_contains(c, winner) AND NOT list_contains(allowed, winner) AS rescued FROM (
@@ -55,7 +64,7 @@ def seq_allowlist(spark: SparkSession, d: str) -> DataFrame:
     SELECT *, list_filter(ranked, lambda x: list_contains(allowed, x)) AS own, list_filter(ranked, lambda x: NOT list_contains(allowed, x)) AS others, rare OR abs(margin) <= 0.0015 AS wide
     FROM days JOIN (SELECT g.date, list(g.agent ORDER BY coalesce(ir_shrink, 0) - CASE WHEN list_contains(d.allowed, g.agent) THEN 0 ELSE 0.15 END DESC, coalesce(ir_shrink, 0) DESC, g.agent) AS low FROM log g JOIN days d ON d.date = g.date LEFT JOIN edges e ON e.regime_id = g.regime_id AND e.agent = g.agent GROUP BY 1) USING (date)))""", uses=_USES, more=_MORE)
 def seq_fallback_policy(spark: SparkSession, d: str) -> DataFrame:
-    return rt.fallback_policies(_days(_log(spark, d)))
+    return rt.fallback_policies(_days(base(spark, d)))
 
 
 _MARKET = "market AS (SELECT CAST(l_shipdate AS DATE) AS date, round(avg(l_discount) - 0.05, 8) AS r_long, round(0.05 - avg(l_discount), 8) AS r_short FROM lineitem GROUP BY 1)"
@@ -69,16 +78,13 @@ def _market(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def seq_fallback_rates(spark: SparkSession, d: str) -> DataFrame:
     """Of each policy: coverage, misses, rescues, mean return on rare days, mean change of the position, final equity."""
-    log = _log(spark, d)
-    days = _days(log)
-    each = rt.fallback_policies(days)
+    b = base(spark, d)
+    log, days = b.log, _days(b)
+    each = materialize(rt.fallback_policies(days), "policies")
     rates = each.groupBy("policy").agg(F.avg(F.col("covered").cast("int")).alias("coverage"), F.avg((~F.col("covered")).cast("int")).alias("miss_rate"), F.avg(F.col("rescued").cast("int")).alias("rescued_rate"))
-    market, out = _market(spark, d), None
-    for policy in rt.POLICIES:
-        own = each.where(F.col("policy") == policy).join(log.select("date", F.col("agent").alias("chosen"), "ratio"), ["date", "chosen"], "left")
-        book = rt.pair_simulation(own.select("date", "ratio", F.lit(1.0).alias("weight")), market).join(days.select("date", "rare"), "date")
-        one = book.agg(F.avg(F.when(F.col("rare"), F.col("ret"))).alias("rare_ret"), F.avg("turnover").alias("churn"), F.max_by("equity", "date").alias("equity_end")).withColumn("policy", F.lit(policy))
-        out = one if out is None else out.unionByName(one)
+    own = each.join(log.select("date", F.col("agent").alias("chosen"), "ratio"), ["date", "chosen"], "left")
+    book = rt.pair_simulation(own.select("policy", "date", "ratio", F.lit(1.0).alias("weight")), _market(spark, d), by=["policy"]).join(days.select("date", "rare"), "date")
+    out = book.groupBy("policy").agg(F.avg(F.when(F.col("rare"), F.col("ret"))).alias("rare_ret"), F.avg("turnover").alias("churn"), F.max_by("equity", "date").alias("equity_end"))
     return rounded(rates.join(out, "policy"), "coverage", "miss_rate", "rescued_rate", "rare_ret", "churn", "equity_end")
 
 
@@ -88,12 +94,13 @@ def seq_fallback_rates(spark: SparkSession, d: str) -> DataFrame:
   LEFT JOIN (SELECT date, agent, ret AS own FROM experts) o ON o.date = days.date AND o.agent = chosen LEFT JOIN (SELECT date, ret AS fixed FROM experts WHERE agent = (SELECT arg_max(agent, struct_pack(m := m, n := agent)) FROM (SELECT agent, round(avg(ret), 9) AS m FROM experts WHERE date < DATE '{FIRST_DAY}' GROUP BY 1))) f ON f.date = days.date
   LEFT JOIN (SELECT regime_id, agent, row_number() OVER (PARTITION BY regime_id ORDER BY round(ir, 9) DESC, round(ev, 9) DESC, agent) AS rank FROM edges) k ON k.regime_id = days.regime_id AND k.agent = winner""".replace("SELECT date, regime_id, chosen", "SELECT days.date, days.regime_id, chosen", 1), uses=_USES, more=f"{_MORE}, {_SOFT}")
 def seq_usage_audit(spark: SparkSession, d: str) -> DataFrame:
-    log = _log(spark, d)
-    soft = sq.daily_softmax(log, ag.edge_table(log))
+    b = base(spark, d)
+    log = b.log
+    soft = sq.daily_softmax(log, b.edges)
     chosen = soft.groupBy("date").agg(F.max_by("agent", F.struct(F.round("raw_w", 9), "agent")).alias("chosen"))
     means = experts(spark, d).where(F.col("date") < F.lit(FIRST_DAY).cast("date")).groupBy("agent").agg(F.round(F.avg("ret"), 9).alias("m"))
     fixed = means.agg(F.max_by("agent", F.struct("m", "agent")).alias("agent"))
-    out = rt.usage_audit(_days(log), log, chosen, win_rank_table(spark, d), fixed, 4)
+    out = rt.usage_audit(_days(b), log, chosen, ranks_of(b.edges), fixed, 4)
     return rounded(out, "regret_fixed", "regret_oracle", digits=8)
 
 
@@ -105,11 +112,11 @@ def seq_adaptive_router(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _router(spark: SparkSession, d: str) -> DataFrame:
-    log = _log(spark, d)
-    edges = _edges(log)
+    b = base(spark, d)
+    log, edges = b.log, b.edges
     scored = log.join(edges.select("regime_id", "agent", F.col("ir_shrink").alias("score")), ["regime_id", "agent"], "left")
     days = scored.groupBy("date", "regime_id").agg(F.collect_list(F.struct("agent", "ratio", "ret", "score")).alias("agents"))
-    days = days.join(_lists(log), "regime_id", "left").join(_market(spark, d), "date", "left")
+    days = days.join(b.lists, "regime_id", "left").join(_market(spark, d), "date", "left")
     return rt.router_simulation(days, cap=0.6, l2=0.001, spread=rt.score_spread(edges), safe=SAFE)
 
 
@@ -124,6 +131,6 @@ def publish_canonical(spark: SparkSession, d: str) -> DataFrame:
     """The best reward mode's daily log, published only once every mode's is complete, and read back from its place."""
     from barograph.sources import files as fs
 
-    sim = _router(spark, d)
+    sim = materialize(_router(spark, d), "router")
     place = fs.publish_best(sim, rt.reward_mode_ranks(sim), "mode", rt.MODES)
     return rounded(spark.read.parquet(place).select("mode", "date", "ratio", "equity"), "ratio", "equity")

@@ -1,6 +1,7 @@
 """Operators on small made-up series: nulls, ties, single rows, zero denominators."""
 
 import datetime
+import os
 
 import numpy as np
 import pandas as pd
@@ -304,3 +305,30 @@ def test_weekdays_and_numbers(spark):
 
 def test_contract_and_names():
     assert fs.suspicious(["close", "fwd_1", "label"]) == ["fwd_1", "label"]
+
+
+def test_router_of_regimes_without_lists_and_with_given_weights(spark):
+    from barograph.operators import routing as rt
+
+    free = rt.router_simulation(router_days(spark).withColumn("allowed", F.lit(None).cast("array<string>")), modes=("legacy",), safe=("a2",)).first()
+    assert free["allowed_source"] == "regime_topk" and free["weight"] < 1.0  # all agents, not the safe ones
+    nobody = rt.router_simulation(router_days(spark, regime=-1), modes=("legacy",)).first()
+    assert nobody["allowed_source"] == "fallback_safe_set"
+    out = rt.router_simulation(router_days(spark), modes=("legacy",), excluded=("a1",)).collect()
+    assert {r["selected"] for r in out} == {"a2"}
+    fixed = router_days(spark).withColumn("fixed", F.create_map(F.lit("a1"), F.lit(1.0), F.lit("a2"), F.lit(3.0)))
+    given = rt.router_simulation(fixed, modes=("legacy",)).first()
+    assert (given["allowed_source"], given["selected"], given["weight"]) == ("meta_router", "a2", 0.75)
+    with pytest.raises(Exception, match="every agent is excluded"):
+        rt.router_simulation(router_days(spark), modes=("legacy",), excluded=("a1", "a2")).collect()
+
+
+def test_routing_queries_read_their_tables_a_few_times(spark):
+    from barograph.plans import catalog
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    for name in ("seq_allowlist", "seq_fallback_policy", "seq_fallback_rates", "seq_usage_audit"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("/root/testdata/sf0.001") <= 3, name
+        assert plan.count("FileScan") <= 12, (name, plan.count("FileScan"))
