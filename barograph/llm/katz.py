@@ -43,8 +43,8 @@ from barograph.sources.tables import discard, workspace, write_shared
 DISCOUNTED = 5
 ROUNDS = 3
 HOT_SHARE = 1 << 16
-#: Tokens for each bucket, and bytes of text for each slice.
-BUCKET_TOKENS, SLICE = 1 << 21, 1 << 21
+#: Tokens for each bucket, buckets at least, and bytes of text for each slice. A slice sends a row for each bucket.
+BUCKET_TOKENS, LEAST_BUCKETS, SLICE = 1 << 21, 64, 1 << 21
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 BEGIN, END = (kernels.mix(np.array([x], np.uint64))[0] for x in (0xBE61, 0xE4D))
 
@@ -394,7 +394,7 @@ def train(docs: DataFrame) -> Model:
         n_docs = often.get(int(END.view(np.int64)), 0)
         hot = np.array([*often, int(BEGIN.view(np.int64))], np.int64).view(np.uint64)
         order = np.argsort(hot)
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // BUCKET_TOKENS)
+        buckets = max(LEAST_BUCKETS, tokens // BUCKET_TOKENS)
         u = Unigrams(tokens, types, discount, more, (lost + more) / max(1, tokens + more), hot[order], np.array([*often.values(), 0], np.int64)[order], buckets)
 
         stored = spark.read.parquet(write_shared(table.mapInArrow(_words_dealt(u), BLOB), "katz-words-dealt", "zstd"))
