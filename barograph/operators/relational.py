@@ -89,16 +89,33 @@ def intervals_of(points: DataFrame, intervals: DataFrame, point: str, start: str
     return points.join(first, keys, "left")
 
 
-def overlaps(a: DataFrame, b: DataFrame, bucket_days: int = 32) -> DataFrame:
-    """Pairs of intervals (symbol, id, direction, start, end) of one direction that share days: days shared, and by those of either."""
+def overlaps(a: DataFrame, b: DataFrame, by: list[str], metric: str = "iou", least: float = 0.0, max_mid_days: int | None = None, same_direction: bool = True, bucket_days: int = 32) -> DataFrame:
+    """by, a_id, b_id, shared_days, score, lag_days of intervals (by, id, direction, start, end) of one key that share days.
+
+    Days are differences of dates. ``score``: the days shared, by those from the first start to the last end (iou), by a's
+    (a_cov) or by b's (b_cov); pairs without a shared day or below ``least`` are left out. ``lag_days``: a's middle less b's, rounded down;
+    at most ``max_mid_days`` from 0. Intervals are dealt to buckets of days, so the join is an equi-join on key,
+    direction and bucket.
+    """
     day = F.unix_date
-    cells = lambda d, p: d.select(*[F.col(c).alias(f"{p}_{c}") for c in ("symbol", "id", "direction", "start", "end")]).withColumn("_cell", F.explode(F.sequence(F.floor(day(f"{p}_start") / bucket_days), F.floor(day(f"{p}_end") / bucket_days))))
-    both = cells(a, "a").join(cells(b, "b"), "_cell").where("a_direction = b_direction")  # as many as overlap, and those of the same few weeks
+    keys = [*by, "direction"] if same_direction else by
+
+    def cells(df: DataFrame, p: str) -> DataFrame:
+        out = df.select(*[F.col(c).alias(f"{p}_{c}") for c in dict.fromkeys([*keys, "id", "start", "end"])])
+        return out.withColumn(f"{p}_cell", F.explode(F.sequence(F.floor(day(f"{p}_start") / bucket_days), F.floor(day(f"{p}_end") / bucket_days))))
+
+    same = F.col("a_cell") == F.col("b_cell")
+    for c in keys:
+        same &= F.col(f"a_{c}") == F.col(f"b_{c}")
+    both = cells(a, "a").join(cells(b, "b"), same)
     lo, hi = F.greatest("a_start", "b_start"), F.least("a_end", "b_end")
-    both = both.where(lo <= hi).where(F.floor(day(lo) / bucket_days) == F.col("_cell"))  # each pair once: in the cell where it begins
-    shared = F.datediff(hi, lo) + 1
-    either = F.datediff(F.greatest("a_end", "b_end"), F.least("a_start", "b_start")) + 1
-    return both.select("a_symbol", "b_symbol", "a_id", "b_id", shared.cast("long").alias("shared_days"), (shared / either).alias("iou"), F.datediff("b_start", "a_start").cast("long").alias("lag_days"))
+    both = both.where(lo < hi).where(F.floor(day(lo) / bucket_days) == F.col("a_cell"))  # each pair once: in the cell where it begins
+    shared = F.datediff(hi, lo)
+    of = {"iou": F.datediff(F.greatest("a_end", "b_end"), F.least("a_start", "b_start")), "a_cov": F.datediff("a_end", "a_start"), "b_cov": F.datediff("b_end", "b_start")}[metric]
+    lag = F.floor((day("a_start") + day("a_end") - day("b_start") - day("b_end")) / 2)
+    out = both.select(*[F.col(f"a_{c}").alias(c) for c in by], "a_id", "b_id", shared.cast("long").alias("shared_days"), (shared / of).alias("score"), lag.alias("lag_days"))
+    out = out.where(F.col("score") >= least)
+    return out if max_mid_days is None else out.where(F.abs("lag_days") <= max_mid_days)
 
 
 def split_assign(date: Column, train: tuple[str, str], test: tuple[str, str]) -> Column:

@@ -136,47 +136,17 @@ def linear_policy(df: DataFrame, weights: dict[str, float], bias: float = 0.0) -
     return df.withColumn("action", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.tanh(total))))
 
 
-def turning_points(df: DataFrame, by: str = "symbol", min_gap: int = 3, min_move: float = 0.02, x: str = "close") -> DataFrame:
-    """by, date, value, kind (top or bottom): extrema of three rows, min_gap apart, alternating, moving by min_move at least.
-
-    Extrema are found by windows; the choice among them depends on those before and is made along the series.
-    """
-    w = Window.partitionBy(by).orderBy("date")
-    last, after = F.lag(x).over(w), F.lead(x).over(w)
-    kind = F.when((F.col(x) > last) & (F.col(x) >= after), "top").when((F.col(x) < last) & (F.col(x) <= after), "bottom")
-    found = df.select(by, "date", F.col(x).alias("value"), F.row_number().over(w).alias("row"), kind.alias("kind")).where("kind is not null")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
-        for p in pdf.sort_values("date").itertuples(index=False):
-            if kept and kept[-1].kind == p.kind:
-                if (p.value > kept[-1].value) == (p.kind == "top"):
-                    kept[-1] = p
-            elif not kept or (p.row - kept[-1].row >= min_gap and abs(p.value / kept[-1].value - 1) >= min_move):
-                kept.append(p)
-        return pd.DataFrame(kept, columns=pdf.columns)
-
-    return found.groupBy(by).applyInPandas(run, found.schema).drop("row")
-
-
-def events(points: DataFrame, by: str = "symbol") -> DataFrame:
-    """Segments between neighbouring turning points: id, direction, start, end, days, move and angle."""
-    w = Window.partitionBy(by).orderBy("date")
-    nxt = points.withColumns({"end": F.lead("date").over(w), "_v": F.lead("value").over(w), "id": F.row_number().over(w)}).where("end is not null")
-    days, move = F.datediff("end", "date").cast("long"), F.col("_v") / F.col("value") - 1
-    return nxt.select(by, "id", F.when(F.col("_v") > F.col("value"), "UP").otherwise("DOWN").alias("direction"), F.col("date").alias("start"), "end", days.alias("days"), move.alias("move"), F.degrees(F.atan2(move * 100, days.cast("double"))).alias("angle"))
-
-
 def greedy_match(pairs: DataFrame, group: list[str], a: str, b: str, score: str, lag: str | None = None) -> DataFrame:
     """Within each group, pairs from the best score down, each a and b used once; ties by the smaller absolute ``lag``, then a, then b."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         used_a, used_b, kept = set(), set(), []
         far = pdf[lag].abs() if lag else 0
-        for i, row in pdf.assign(_far=far).sort_values([score, "_far", a, b], ascending=[False, True, True, True]).iterrows():
-            if row[a] not in used_a and row[b] not in used_b:
-                used_a.add(row[a])
-                used_b.add(row[b])
+        best = pdf.assign(_far=far).sort_values([score, "_far", a, b], ascending=[False, True, True, True])
+        for i, x, y in zip(best.index, best[a], best[b], strict=True):
+            if x not in used_a and y not in used_b:
+                used_a.add(x)
+                used_b.add(y)
                 kept.append(i)
         return pdf.loc[kept]
 

@@ -207,7 +207,10 @@ _IV = """iv AS (SELECT symbol, run AS id, any_value(CASE WHEN up THEN 'UP' ELSE
 
 def _intervals(spark: SparkSession, d: str) -> DataFrame:
     """Every run of equal direction of every symbol."""
-    up = bars(spark, d).select(*KEY, (F.col("close") > F.col("open")).alias("up"))
+    return _runs(bars(spark, d).select(*KEY, (F.col("close") > F.col("open")).alias("up")))
+
+
+def _runs(up: DataFrame) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy("date")
     new = F.when(F.col("up").eqNullSafe(F.lag("up").over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
     runs = up.withColumn("new", new).withColumn("id", F.sum("new").over(w).cast("long"))
@@ -232,13 +235,13 @@ def join_range_expand(spark: SparkSession, d: str) -> DataFrame:
     return rel.spread_intervals(bars(spark, d).select(*KEY), _intervals(spark, d).where("end > start"), ["symbol"]).select(*KEY, F.col("id").alias("event_id"), "direction")
 
 
-@query("""SELECT a.symbol AS a_symbol, b.symbol AS b_symbol, a.id AS a_id, b.id AS b_id, CAST(least(a."end", b."end") - greatest(a.start, b.start) + 1 AS BIGINT) AS shared_days,
-  round((least(a."end", b."end") - greatest(a.start, b.start) + 1) / (greatest(a."end", b."end") - least(a.start, b.start) + 1), 6) + 0.0 AS iou, CAST(b.start - a.start AS BIGINT) AS lag_days
-  FROM iv a JOIN iv b ON a.symbol < b.symbol AND a.direction = b.direction AND a.start <= b."end" AND b.start <= a."end" """, more=_IV)
+@query("""SELECT a.symbol, a.id AS a_id, b.id AS b_id, CAST(least(a."end", b."end") - greatest(a.start, b.start) AS BIGINT) AS shared_days,
+  round((least(a."end", b."end") - greatest(a.start, b.start)) / (greatest(a."end", b."end") - least(a.start, b.start)), 6) + 0.0 AS score, CAST(floor(((a.start - b.start) + (a."end" - b."end")) / 2) AS BIGINT) AS lag_days
+  FROM expected a JOIN iv b ON a.symbol = b.symbol AND a.direction = b.direction AND least(a."end", b."end") > greatest(a.start, b.start) WHERE abs(floor(((a.start - b.start) + (a."end" - b."end")) / 2)) <= 10""", uses=("bars", "forecasts"), more=f"{_IV}, {_IV.replace('iv AS', 'expected AS').replace('close > open', 'pred_05 > close').replace('FROM bars', 'FROM forecasts')}")
 def join_interval_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Overlapping runs of one direction, of every two symbols."""
-    iv = _intervals(spark, d)
-    return rounded(rel.overlaps(iv, iv).where("a_symbol < b_symbol"), "iou")
+    """Runs of days that were expected to rise or fall against the real runs of the same symbol and direction, middles 10 days apart at most."""
+    expected = _runs(forecasts(spark, d).select(*KEY, (F.col("pred_05") > F.col("close")).alias("up")))
+    return rounded(rel.overlaps(expected, _intervals(spark, d), ["symbol"], max_mid_days=10), "score")
 
 
 @query("""SELECT symbol, n AS n_rows, round(matched, 6) + 0.0 AS matched, round(nonzero, 6) + 0.0 AS nonzero, CASE WHEN matched >= 0.95 AND nonzero >= 0.8 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barograph.functions import calendar as cal
 from barograph.operators import aggregates as ag
+from barograph.operators import events as ev
 from barograph.operators import relational as rel
 from barograph.operators import sequential as sq
 from barograph.operators import signals as sg
@@ -147,14 +148,48 @@ def seq_buy_hold(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sq.buy_and_hold(bars(spark, d)).select(*KEY, "held"), "held")
 
 
-@query()
+def _turns(name: str, series: str, value: str) -> str:
+    """Turning points of ``value`` in SQL: ``name`` (symbol, row, date, value, kind), chosen by folding over each symbol's extrema."""
+    around = "(PARTITION BY symbol ORDER BY date ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING)"
+    beats = "((x[1].kind = 'TOP' AND x[1].value > acc[-1].value) OR (x[1].kind = 'BOTTOM' AND x[1].value < acc[-1].value))"
+    return f"""{name}_c AS (
+  SELECT symbol, list([struct_pack(row := row, date := date, value := value, kind := kind)] ORDER BY row, kind DESC) AS c FROM (
+    SELECT symbol, row, date, value, unnest(kinds) AS kind FROM (
+      SELECT symbol, date, {value} AS value, row_number() OVER (PARTITION BY symbol ORDER BY date) AS row,
+             CASE WHEN count({value}) OVER {around} = 20 THEN list_filter([CASE WHEN {value} = max({value}) OVER {around} THEN 'TOP' END, CASE WHEN {value} = min({value}) OVER {around} THEN 'BOTTOM' END], lambda k: k IS NOT NULL) END AS kinds
+      FROM {series} WHERE {value} IS NOT NULL)) GROUP BY symbol),
+{name}_n AS (
+  SELECT symbol, list_transform(list_reduce(c, lambda acc, x: CASE WHEN x[1].row - acc[-1].row >= 10 THEN acc || x WHEN x[1].kind = acc[-1].kind AND {beats} THEN acc[:-2] || x ELSE acc END), lambda p: [p]) AS c FROM {name}_c),
+{name} AS (
+  SELECT symbol, p.* FROM (SELECT symbol, unnest(list_reduce(c, lambda acc, x: CASE WHEN x[1].kind <> acc[-1].kind THEN acc || x WHEN {beats} THEN acc[:-2] || x ELSE acc END)) AS p FROM {name}_n))"""
+
+
+def _events(name: str, points: str) -> str:
+    w = "(PARTITION BY symbol ORDER BY row)"
+    return f"""{name} AS (
+  SELECT symbol, id, CASE WHEN kind = 'BOTTOM' THEN 'UP' ELSE 'DOWN' END AS direction, start, "end", n_bars, v1 - v0 AS move, (v1 - v0) / v0 * 100 AS move_pct, degrees(atan2(v1 - v0, n_bars)) AS angle, degrees(atan2(v1 - v0, n_bars)) / 90 AS angle_norm,
+         n_bars / 20 AS length_norm, greatest(v0, v1) AS high, least(v0, v1) AS low, greatest(v0, v1) / v0 * 100 AS high_pct, least(v0, v1) / v0 * 100 AS low_pct
+  FROM (SELECT symbol, kind, date AS start, value AS v0, row_number() OVER {w} - 1 AS id, lead(date) OVER {w} AS "end", lead(value) OVER {w} AS v1, lead(row) OVER {w} - row AS n_bars FROM {points}) WHERE "end" IS NOT NULL)"""
+
+
+_GEOMETRY = ("move", "move_pct", "angle", "angle_norm", "length_norm", "high", "low", "high_pct", "low_pct")
+
+
+@query("SELECT symbol, row, date, value, kind FROM turns", more=_turns("turns", "bars", "close"))
 def seq_turning_points(spark: SparkSession, d: str) -> DataFrame:
-    return sq.turning_points(bars(spark, d))
+    return ev.turning_points(bars(spark, d))
 
 
-@query()
+@query(f"""SELECT symbol, id, direction, start, "end", n_bars, {r(*_GEOMETRY)} FROM ev""", more=f"{_turns('turns', 'bars', 'close')}, {_events('ev', 'turns')}")
 def seq_events(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(sq.events(sq.turning_points(bars(spark, d))), "move", "angle")
+    return rounded(ev.events(ev.turning_points(bars(spark, d))), *_GEOMETRY)
+
+
+@query(f"""SELECT symbol, id, direction, start, "end", n_bars, {r(*_GEOMETRY)} FROM ev""", more=f"{_turns('turns', 'bars', 'close')}, {_events('ev', 'turns')}")
+def udtf_events(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the table function, from SQL."""
+    ev.register(spark)
+    return rounded(spark.sql("SELECT * FROM series_events(TABLE({bars}), 'symbol', 'date', 'close', 20, 10)", bars=bars(spark, d).select(*KEY, "close")), *_GEOMETRY)
 
 
 @query("""SELECT symbol, run, min(date) AS start, max(date) AS "end", count(*) AS n FROM (SELECT *, CAST(sum(new) OVER (PARTITION BY symbol ORDER BY date) AS BIGINT) AS run FROM (SELECT symbol, date, CASE WHEN up IS NOT DISTINCT FROM lag(up) OVER (PARTITION BY symbol ORDER BY date) AND row_number() OVER (PARTITION BY symbol ORDER BY date) > 1 THEN 0 ELSE 1 END AS new FROM (SELECT symbol, date, close >= open AS up FROM bars))) GROUP BY 1, 2""")
@@ -166,25 +201,34 @@ def seq_direction_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _event_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Overlapping events of every two symbols."""
-    e = sq.events(sq.turning_points(bars(spark, d)))
-    return rel.overlaps(e, e).where("a_symbol < b_symbol")
+    """Events of the expected closes against those of the real ones, of the same symbol and direction."""
+    expected = ev.events(ev.turning_points(forecasts(spark, d), value="pred_05"))
+    return rel.overlaps(expected, ev.events(ev.turning_points(bars(spark, d))), ["symbol"], least=0.1, max_mid_days=20).withColumn("score", F.round("score", 9))
 
 
-@query()
+_PAIRS = f"""{_turns('turns', 'bars', 'close')}, {_events('ev', 'turns')}, {_turns('turns_x', 'forecasts', 'pred_05')}, {_events('ex', 'turns_x')},
+pairs AS (SELECT symbol, a_id, b_id, shared_days, round(shared_days / either, 9) AS score, lag_days FROM (
+  SELECT a.symbol, a.id AS a_id, b.id AS b_id, CAST(least(a."end", b."end") - greatest(a.start, b.start) AS BIGINT) AS shared_days, greatest(a."end", b."end") - least(a.start, b.start) AS either, CAST(floor(((a.start - b.start) + (a."end" - b."end")) / 2) AS BIGINT) AS lag_days
+  FROM ex a JOIN ev b ON a.symbol = b.symbol AND a.direction = b.direction AND least(a."end", b."end") > greatest(a.start, b.start)) WHERE shared_days / either >= 0.1 AND abs(lag_days) <= 20)"""
+
+
+@query("""SELECT symbol, p.a_id, p.b_id, p.shared_days, round(p.score, 6) + 0.0 AS score, p.lag_days FROM (
+  SELECT symbol, unnest(list_reduce(list([struct_pack(a_id := a_id, b_id := b_id, shared_days := shared_days, score := score, lag_days := lag_days)] ORDER BY score DESC, abs(lag_days), a_id, b_id),
+    lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.a_id = x[1].a_id OR y.b_id = x[1].b_id)) > 0 THEN acc ELSE acc || x END)) AS p FROM pairs GROUP BY symbol)""", uses=("bars", "forecasts"), more=_PAIRS)
 def match_greedy_global(spark: SparkSession, d: str) -> DataFrame:
-    """Events of every two symbols matched from the best overlap down, each used once."""
-    return rounded(sq.greedy_match(_event_pairs(spark, d), ["a_symbol", "b_symbol"], "a_id", "b_id", "iou", "lag_days"), "iou")
+    """Expected events of a symbol matched with real ones from the best overlap down, each used once."""
+    return rounded(sq.greedy_match(_event_pairs(spark, d), ["symbol"], "a_id", "b_id", "score", "lag_days"), "score")
 
 
-@query()
+@query("""SELECT symbol, a_id, best.b_id, shared_days, round(score, 6) + 0.0 AS score, lag_days, alone.b_id AS alone FROM (SELECT *, row_number() OVER (PARTITION BY symbol, a_id ORDER BY score DESC, b_id) AS n FROM pairs) best LEFT JOIN alone USING (symbol, a_id) WHERE n = 1""", uses=("bars", "forecasts"), more=_PAIRS + """,
+alone AS (SELECT symbol, p.a_id, p.b_id FROM (SELECT symbol, unnest(list_reduce(list([struct_pack(a_id := a_id, b_id := b_id)] ORDER BY a_id, score DESC, b_id), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.a_id = x[1].a_id OR y.b_id = x[1].b_id)) > 0 THEN acc ELSE acc || x END)) AS p FROM pairs GROUP BY symbol))""")
 def match_greedy_per_pred(spark: SparkSession, d: str) -> DataFrame:
-    """For each event of a symbol the best overlapping one of another, which may serve again; ``alone``: which may not."""
-    pairs = _event_pairs(spark, d).withColumn("score", F.round(F.col("iou") - 0.001 * F.abs("lag_days"), 9))
-    w = Window.partitionBy("a_symbol", "b_symbol", "a_id").orderBy(F.desc("score"), "b_id")
+    """For each expected event the best real one of its symbol, which may serve again; ``alone``: which may not."""
+    pairs = _event_pairs(spark, d)
+    w = Window.partitionBy("symbol", "a_id").orderBy(F.desc("score"), "b_id")
     best = pairs.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
-    alone = sq.match_in_order(pairs, ["a_symbol", "b_symbol"], "a_id", "b_id", "score").select("a_symbol", "b_symbol", "a_id", F.col("b_id").alias("alone"))
-    return rounded(best.join(alone, ["a_symbol", "b_symbol", "a_id"], "left"), "iou", "score")
+    alone = sq.match_in_order(pairs, ["symbol"], "a_id", "b_id", "score").select("symbol", "a_id", F.col("b_id").alias("alone"))
+    return rounded(best.join(alone, ["symbol", "a_id"], "left"), "score")
 
 
 @query("SELECT symbol, date, CAST(len(a) AS INTEGER) AS n, a[1] AS oldest, a[5] AS newest FROM (SELECT symbol, date, list(close) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS a FROM bars) WHERE len(a) = 5")

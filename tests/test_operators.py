@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from barograph.functions import calendar as cal
 from barograph.operators import aggregates as ag
 from barograph.operators import audits as au
+from barograph.operators import events as ev
 from barograph.operators import features as ft
 from barograph.operators import relational as rel
 from barograph.operators import routing as rt
@@ -74,8 +75,14 @@ def test_asof_takes_the_last_at_or_before(spark):
 
 def test_overlaps_count_each_pair_once(spark):
     iv = lambda rows: spark.createDataFrame([("s", i, "UP", day(a), day(b)) for i, a, b in rows], "symbol string, id int, direction string, start date, end date")
-    out = rel.overlaps(iv([(1, 0, 200)]), iv([(7, 100, 300), (8, 201, 202)])).collect()
-    assert [(r["a_id"], r["b_id"], r["shared_days"]) for r in out] == [(1, 7, 101)]
+    other = iv([(7, 100, 300), (8, 201, 202), (9, 200, 210)])
+    out = rel.overlaps(iv([(1, 0, 200)]), other, ["symbol"]).collect()
+    assert [(r["a_id"], r["b_id"], r["shared_days"], r["score"], r["lag_days"]) for r in out] == [(1, 7, 100, 100 / 300, -100)]
+    assert rel.overlaps(iv([(1, 0, 200)]), other, ["symbol"], metric="a_cov").first()["score"] == 0.5
+    assert rel.overlaps(iv([(1, 0, 200)]), other, ["symbol"], max_mid_days=99).count() == rel.overlaps(iv([(1, 0, 200)]), other, ["symbol"], least=0.4).count() == 0
+    assert rel.overlaps(iv([(1, 0, 200)]), other.withColumn("symbol", F.lit("t")), ["symbol"]).count() == 0
+    down = other.withColumn("direction", F.lit("DOWN"))
+    assert rel.overlaps(iv([(1, 0, 200)]), down, ["symbol"]).count() == 0 and rel.overlaps(iv([(1, 0, 200)]), down, ["symbol"], same_direction=False).count() == 1
 
 
 def test_interpolation_and_outer_values(spark):
@@ -98,7 +105,7 @@ def test_drawdown_starts_at_the_first_equity(spark):
 
 def test_empty_tables(spark):
     none = bars(spark, [1.0]).where("false")
-    assert ft.context(none).count() == ag.split_metrics(none, ["symbol"]).count() == sq.turning_points(none).count() == 0
+    assert ft.context(none).count() == ag.split_metrics(none, ["symbol"]).count() == ev.turning_points(none).count() == 0
 
 
 def test_reward_alignment_finds_a_leak(spark):
@@ -183,22 +190,60 @@ def test_streams_take_files_in_any_order_and_none(spark, tmp_path):
     assert name
 
 
-def test_turning_points_and_events_are_brute_force_s(spark):
-    x = np.cumsum(np.random.default_rng(4).normal(0, 0.02, 300)) + 5
-    kept = []
-    for i in range(1, len(x) - 1):
-        kind = "top" if x[i] > x[i - 1] and x[i] >= x[i + 1] else "bottom" if x[i] < x[i - 1] and x[i] <= x[i + 1] else None
-        if kind and kept and kept[-1][1] == kind:
-            if (x[i] > x[kept[-1][0]]) == (kind == "top"):
-                kept[-1] = (i, kind)
-        elif kind and (not kept or (i - kept[-1][0] >= 3 and abs(x[i] / x[kept[-1][0]] - 1) >= 0.005)):
-            kept.append((i, kind))
-    points = sq.turning_points(bars(spark, x.tolist()), min_move=0.005)
-    got = sorted((r["date"], r["kind"]) for r in points.collect())
-    assert got == [(day(i), k) for i, k in kept] and len(kept) > 10
-    events = sq.events(points).orderBy("id").collect()
-    assert [(r["start"], r["end"], r["direction"], r["days"]) for r in events] == [(day(a), day(b), "UP" if x[b] > x[a] else "DOWN", b - a) for (a, _), (b, _) in zip(kept, kept[1:], strict=False)]
-    assert [r["move"] for r in events] == pytest.approx([x[b] / x[a] - 1 for (a, _), (b, _) in zip(kept, kept[1:], strict=False)])
+def turns_by_hand(x, window, gap):
+    """Extrema of centred windows; the gap from the last one that passed it, before tops and bottoms alternate."""
+    before, after = window // 2, (window - 1) // 2
+    found = []
+    for i in range(before, len(x) - after):
+        around = x[i - before : i + after + 1]
+        found += [(i, "TOP")] * (x[i] == max(around)) + [(i, "BOTTOM")] * (x[i] == min(around))
+    better = lambda i, j, kind: x[i] > x[j] if kind == "TOP" else x[i] < x[j]
+    passed, out = [], []
+    for i, kind in found:
+        if passed and i - passed[-1][0] < gap:
+            if passed[-1][1] == kind and better(i, passed[-1][0], kind):
+                passed[-1] = (i, kind)
+        else:
+            passed.append((i, kind))
+    for i, kind in passed:
+        if out and out[-1][1] == kind:
+            out[-1] = (i, kind) if better(i, out[-1][0], kind) else out[-1]
+        else:
+            out.append((i, kind))
+    return out
+
+
+@pytest.mark.parametrize("window,gap", [(3, 3), (6, 4), (20, 10), (1, 0)])
+def test_turning_points_and_events_are_brute_force_s(spark, window, gap):
+    x = np.round(np.cumsum(np.random.default_rng(4).normal(0, 0.02, 300)) + 5, 2)  # with ties
+    kept = turns_by_hand(x.tolist(), window, gap)
+    df = bars(spark, x.tolist())
+    points = ev.turning_points(df, window=window, min_gap=gap)
+    assert sorted((r["row"] - 1, r["kind"]) for r in points.collect()) == sorted(kept) and len(kept) > 5
+    events = ev.events(points, window=window).orderBy("id").collect()
+    pairs = list(zip(kept, kept[1:], strict=False))
+    assert [(r["start"], r["end"], r["direction"], r["n_bars"]) for r in events] == [(day(a), day(b), "UP" if k == "BOTTOM" else "DOWN", b - a) for (a, k), (b, _) in pairs]
+    assert [r["move"] for r in events] == pytest.approx([x[b] - x[a] for (a, _), (b, _) in pairs])
+    assert [r["angle_norm"] for r in events] == pytest.approx([np.degrees(np.arctan2(x[b] - x[a], b - a)) / 90 for (a, _), (b, _) in pairs])
+    ev.register(spark)
+    again = spark.sql(f"SELECT * FROM series_events(TABLE({{t}}), 'symbol', 'date', 'close', {window}, {gap})", t=df.repartition(3))
+    rows = again.orderBy("id").collect()
+    assert [tuple(r)[:6] for r in rows] == [tuple(r)[:6] for r in events]
+    assert [x for r in rows for x in tuple(r)[6:]] == pytest.approx([x for r in events for x in tuple(r)[6:]])
+
+
+def test_gap_is_measured_before_kinds_alternate(spark):
+    # A top at 1, a lower one at 5, a bottom at 7: less than 3 rows after the lower top, so it is none.
+    x = [1.0, 9.0, 5.0, 4.0, 4.5, 8.0, 2.0, 1.5, 3.0]
+    assert [(r["row"] - 1, r["kind"]) for r in ev.turning_points(bars(spark, x), window=3, min_gap=3).orderBy("row").collect()] == [(1, "TOP")]
+
+
+def test_table_function_says_what_is_missing(spark):
+    ev.register(spark)
+    with pytest.raises(Exception, match="the table has no nothing"):
+        spark.sql("SELECT * FROM series_events(TABLE({t}), 'symbol', 'date', 'nothing', 3, 3)", t=bars(spark, [1.0]))
+    short = bars(spark, [1.0, None, float("nan"), 2.0])
+    assert spark.sql("SELECT * FROM series_events(TABLE({t}), 'symbol', 'date', 'close', 3, 3)", t=short).count() == 0
 
 
 def test_longitudes_are_those_of_the_orbits(spark):
@@ -332,3 +377,18 @@ def test_routing_queries_read_their_tables_a_few_times(spark):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("/root/testdata/sf0.001") <= 3, name
         assert plan.count("FileScan") <= 12, (name, plan.count("FileScan"))
+
+
+def test_greedy_match_is_brute_force_s(spark):
+    rng, rows = np.random.default_rng(3), []
+    for s in ("x", "y"):
+        for i in range(40):
+            rows += [(s, i, int(j), float(rng.choice([0.2, 0.5, 0.9])), int(rng.integers(-9, 9))) for j in rng.choice(40, 4, replace=False)]
+    pairs = spark.createDataFrame(rows, "g string, a int, b int, s double, lag int")
+    want, a, b = set(), set(), set()
+    for g, i, j, score, lag in sorted(rows, key=lambda r: (-r[3], abs(r[4]), r[1], r[2])):
+        if (g, i) not in a and (g, j) not in b:
+            want.add((g, i, j))
+            a.add((g, i))
+            b.add((g, j))
+    assert {(r["g"], r["a"], r["b"]) for r in sq.greedy_match(pairs, ["g"], "a", "b", "s", "lag").collect()} == want

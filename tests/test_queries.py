@@ -44,28 +44,3 @@ def test_rows_are_those_of_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_others_give_rows(spark, name):
     assert catalog.QUERIES[name](spark, FOLDER).count() > 0
-
-
-def test_greedy_match_is_brute_force_s_over_months(spark, monkeypatch):
-    from barograph.operators import sequential as sq
-
-    day = lambda m, d: datetime.date(2024, m, d)
-    events = [("1-URGENT", 1, "UP", day(1, 22), day(2, 3)), ("1-URGENT", 2, "UP", day(2, 1), day(2, 6)), ("2-HIGH", 1, "UP", day(1, 25), day(2, 5)), ("2-HIGH", 2, "UP", day(2, 6), day(2, 9))]
-    # One a, two b of the same overlap: the one of the smaller lag has the greater id.
-    events += [("1-URGENT", 3, "DOWN", day(3, 10), day(3, 19)), ("2-HIGH", 3, "DOWN", day(3, 5), day(3, 15)), ("2-HIGH", 4, "DOWN", day(3, 13), day(3, 16))]
-    events += [(s, 10 + i, "UP", day(5, 1) + datetime.timedelta(3 * i + k), day(5, 1) + datetime.timedelta(3 * i + k + 5 + (i * 7 + k) % 5)) for k, s in enumerate(["1-URGENT", "2-HIGH"]) for i in range(30)]
-    monkeypatch.setattr(sq, "events", lambda points: spark.createDataFrame(events, "symbol string, id long, direction string, start date, end date"))
-    pairs = []
-    for s, i, way, start, end in events:
-        for t, j, other, begin, stop in events:
-            shared = (min(end, stop) - max(start, begin)).days + 1
-            if s == "1-URGENT" and t == "2-HIGH" and way == other and shared > 0:
-                pairs.append((-shared / ((max(end, stop) - min(start, begin)).days + 1), abs((begin - start).days), i, j))
-    want, a, b = set(), set(), set()
-    for _, _, i, j in sorted(pairs):
-        if i not in a and j not in b:
-            want.add((i, j))
-            a.add(i)
-            b.add(j)
-    got = catalog.QUERIES["match_greedy_global"](spark, FOLDER).collect()
-    assert sorted((r["a_id"], r["b_id"]) for r in got) == sorted(want)
