@@ -156,6 +156,13 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
     conv, state, begun = None, None, False
 
+    def begins(row: dict[str, Any]) -> bool:
+        """Whether the row begins a conversation; fails on a turn that is missing or there twice."""
+        new = not begun or row["conv_id"] != conv
+        if row["seq"] != (0 if new else state[0]):
+            raise ValueError(f"conversation {row['conv_id']} lacks a turn before its {row['seq']}-th, or has it twice")
+        return new
+
     def done() -> tuple:
         n, turns, chars, loss, formatted, count, tokens = state
         return conv, n, turns.hexdigest(), chars, loss.hexdigest(), formatted, count, tokens
@@ -166,7 +173,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for row in batch.to_pylist():
-            if not begun or row["seq"] == 0:
+            if begins(row):
                 if begun:
                     out.append(done())
                 conv, state, begun = row["conv_id"], [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0], True
@@ -185,6 +192,10 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """One row a conversation, read back from what ``format_turns`` returned (its rows in its order)."""
+    """One row a conversation, read back from the rows that ``format_turns`` returned, in whatever order they now are.
+
+    A turn that is missing within a conversation, or there twice, is an error.
+    """
+    formatted = formatted.select("conv_id", "seq", "formatted", "loss", "attachments").repartition("conv_id").sortWithinPartitions("conv_id", "seq")
     out = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_attachments bigint, attachment_tokens bigint"
     return formatted.mapInArrow(_digests, out)

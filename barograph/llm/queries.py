@@ -29,7 +29,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "</s>[INST] ok [/INST]"  # fixed by the contract
     more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat.digests(chat.format_turns(chat.text_parts(turns)))
+    return chat.digests(materialize(chat.format_turns(chat.text_parts(turns)), "formatted"))
 
 
 def op5_content_addressed_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barograph.llm import katz, kernels, lexical_search, merkle_manifest, pieces, queries
+from barograph.llm import chat, katz, kernels, lexical_search, merkle_manifest, pieces, queries
 
 RNG = np.random.default_rng(11)
 FULL = "doc_id long, text string, lang string, source string, n_chars long"
@@ -237,6 +237,19 @@ def test_katz_with_nothing_to_learn_from(spark):
     assert katz.score(docs.limit(0), katz.train(docs)).count() == 0
 
 
+def test_chats_are_read_back_in_any_order(spark, tmp_path):
+    turns = spark.createDataFrame([(c, t, ("user", "assistant")[t % 2], f"<s> {c} {t} [INST]") for c in range(20) for t in range(2 + c % 3)] + [(None, 0, None, None)], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_turns(chat.text_parts(turns))
+    want = {tuple(r) for r in chat.digests(formatted).collect()}
+    assert len(want) == 21
+    formatted.repartition(5).write.parquet(f"{tmp_path}/chats")
+    again = spark.read.parquet(f"{tmp_path}/chats")
+    assert {tuple(r) for r in chat.digests(again).collect()} == {tuple(r) for r in chat.digests(formatted.coalesce(1)).collect()} == want
+    for broken in (again.where("NOT (conv_id = 3 AND seq = 0)"), again.unionByName(again.where("conv_id = 4 AND seq = 1"))):
+        with pytest.raises(Exception, match="lacks a turn"):
+            chat.digests(broken).collect()
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 @pytest.mark.parametrize("name", ["op12_hashed_max_sketches", "op13_merkle_manifest"])
 def test_rows_are_those_of_sql(spark, name):
