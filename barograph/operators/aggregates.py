@@ -116,11 +116,6 @@ def percentiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.percentile(value, 0.5).alias("p50"), F.percentile(value, 0.95).alias("p95"), F.max(value).alias("high"))
 
 
-def start_budget(df: DataFrame, value: str, least: float = 60.0, share: float = 0.2) -> DataFrame:
-    """p95 and the buffer max(least, ceil(share * p95))."""
-    return df.agg(F.percentile(value, 0.95).alias("p95")).withColumn("buffer", F.greatest(F.lit(least), F.ceil(share * F.col("p95")).cast("double")))
-
-
 def monthly_medians(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
     """Medians by month and label, and their distance to the month before."""
     m = df.groupBy(F.date_format("date", "yyyy-MM").alias("month"), label).agg(*[F.percentile(c, 0.5).alias(f"m_{c}") for c in columns])

@@ -10,6 +10,7 @@ from barograph.operators import aggregates as ag
 from barograph.operators import audits as au
 from barograph.operators import features as ft
 from barograph.operators import sequential as sq
+from barograph.operators import timings as tm
 from barograph.plans.registry import W, over, query, r, rounded
 from barograph.sources.bars import HORIZONS, bars, experts, forecasts, regimes
 from barograph.sources.tables import table
@@ -211,9 +212,26 @@ def agg_timing_pctl(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(ag.percentiles(table(spark, d, "events"), ["event_type"], "value"), "mean", "p50", "p95"), "total", digits=4)
 
 
-@query("SELECT round(p, 6) + 0.0 AS p95, greatest(60.0, ceil(0.2 * p)) AS buffer FROM (SELECT quantile_cont(value, 0.95) AS p FROM events)", uses=())
+_SETS = [["step"], ["step", "agent"], ["branch"], []]
+
+
+def _timings(spark: SparkSession, d: str) -> DataFrame:
+    """Events as timings: step by type, agent by user, branch by the hour."""
+    return table(spark, d, "events").select(F.col("event_type").alias("step"), F.col("user_id").alias("agent"), F.hour("ts").alias("branch"), F.to_date("ts").alias("day"), "value")
+
+
+@query("SELECT grouping(step, agent, branch) AS set_id, step, agent, branch, count(value) AS n, round(sum(value), 4) + 0.0 AS total, round(avg(value), 6) + 0.0 AS mean, min(value) AS low, max(value) AS high, round(quantile_cont(value, 0.5), 6) + 0.0 AS p50, round(quantile_cont(value, 0.95), 6) + 0.0 AS p95 FROM t GROUP BY GROUPING SETS ((step), (step, agent), (branch), ())", uses=(), more="t AS (SELECT event_type AS step, user_id AS agent, hour(ts) AS branch, value FROM events)")
+def agg_timing_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Timings by step, by step and agent, by branch and over all, from sketches of each day."""
+    out = tm.percentiles(_timings(spark, d), F.col("day"), ["step", "agent", "branch"], _SETS, "value")
+    return rounded(rounded(out, "mean", "p50", "p95"), "total", digits=4)
+
+
+@query("SELECT branch, round(p, 6) + 0.0 AS p95, greatest(60.0, ceil(0.2 * p)) AS buffer, round(p + greatest(60.0, ceil(0.2 * p)), 6) + 0.0 AS start_offset FROM (SELECT hour(ts) AS branch, quantile_cont(value, 0.95) AS p FROM events GROUP BY GROUPING SETS ((hour(ts)), ()))", uses=())
 def agg_start_budget(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ag.start_budget(table(spark, d, "events"), "value"), "p95")
+    """For each branch and over all."""
+    out = tm.start_budget(tm.percentiles(_timings(spark, d), F.col("day"), ["branch"], [["branch"], []], "value"))
+    return rounded(out.select("branch", "p95", "buffer", "start_offset"), "p95", "start_offset")
 
 
 @query("SELECT regime_id, count(*) AS n_rows, round(avg(ratio), 8) + 0.0 AS mean_ratio, round(avg(reward_next), 8) + 0.0 AS mean_reward FROM experts JOIN regimes USING (date) GROUP BY 1", uses=("experts", "regimes"))

@@ -392,3 +392,47 @@ def test_greedy_match_is_brute_force_s(spark):
             a.add((g, i))
             b.add((g, j))
     assert {(r["g"], r["a"], r["b"]) for r in sq.greedy_match(pairs, ["g"], "a", "b", "s", "lag").collect()} == want
+
+
+def test_percentiles_of_sets_are_exact_also_where_the_sketch_is_off(spark, monkeypatch):
+    from barograph.operators import timings as tm
+
+    rng = np.random.default_rng(2)
+    rows = [(s, int(a), day(int(rng.integers(0, 4))), float(v)) for s in ("x", "y") for a in range(3) for v in np.round(rng.exponential(10, 700 if s == "x" else 3), 1)]
+    rows += [("x", None, day(1), None), ("x", 9, day(1), float("nan")), (None, 1, day(2), 5.0)] + [("hot", 1, day(0), 2.0)] * 900
+    df = spark.createDataFrame(rows, "step string, agent int, day date, value double")
+    dims, sets = ["step", "agent"], tm.all_sets(["step", "agent"])
+    want = {}
+    for own in sets:
+        by = {}
+        for s, a, _, v in rows:
+            key = (3 - (2 * ("step" in own) + ("agent" in own)), s if "step" in own else None, a if "agent" in own else None)
+            by.setdefault(key, []).extend([v] if v is not None and v == v else [])
+        want |= {k: (len(v), *([round(float(np.quantile(v, p)), 9) for p in (0.5, 0.95)] if v else [None, None])) for k, v in by.items()}
+    get = lambda: {(r["set_id"], r["step"], r["agent"]): (r["n"], *[None if r[c] is None else round(r[c], 9) for c in ("p50", "p95")]) for r in tm.percentiles(df, F.col("day"), dims, sets, "value").collect()}
+    assert get() == want
+    monkeypatch.setattr(tm, "MARGIN", 0.0)  # now intervals miss
+    assert get() == want
+
+
+def test_positions_over_whole_tables(spark):
+    from barograph.operators.positions import align, positions
+
+    rows = [(g, v) for g in ("a", None, "b") for v in [3, 1, 1, None, 2] * 40] + [("one", 7)]
+    df = spark.createDataFrame(rows, "g string, v int").repartition(6)
+    got = positions(df, ["v"], ["g"], total="n", tasks=5)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    by = {}
+    for r in got.collect():
+        by.setdefault(r["g"], []).append((r["position"], r["v"], r["n"]))
+    for g, own in by.items():
+        values = sorted((v for h, v in rows if h == g), key=lambda v: (v is not None, v))
+        assert sorted(own) == [(i, v, len(values)) for i, v in enumerate(values)] if None not in values else [x[1] for x in sorted(own, key=lambda x: x[0])] == values
+        assert {x[2] for x in own} == {len(values)}
+    down = positions(df, ["v"], descending=("v",), tasks=3).orderBy("position").collect()
+    assert [r["v"] for r in down] == sorted((v for _, v in rows), key=lambda v: (v is None, -(v or 0))) and [r["position"] for r in down] == list(range(len(rows)))
+    a = spark.createDataFrame([(3, "x"), (1, "y"), (2, "z")], "k int, s string")
+    pairs = align(a, spark.createDataFrame([(10,), (5,)], "k int"), ["k"]).orderBy("position").collect()
+    assert [(r["k"], r["s"], r["k_right"]) for r in pairs] == [(1, "y", 5), (2, "z", 10), (3, "x", None)]
+    assert positions(df.limit(0), ["v"]).count() == 0
