@@ -133,4 +133,4 @@ def publish_canonical(spark: SparkSession, d: str) -> DataFrame:
 
     sim = materialize(_router(spark, d), "router")
     place = fs.publish_best(sim, rt.reward_mode_ranks(sim), "mode", rt.MODES)
-    return rounded(spark.read.parquet(place).select("mode", "date", "ratio", "equity"), "ratio", "equity")
+    return rounded(fs.published(spark, place).select("mode", "date", "ratio", "equity"), "ratio", "equity")

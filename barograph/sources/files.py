@@ -35,18 +35,77 @@ def _file_system(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def publish(df: DataFrame, place: str) -> str:
-    """Writes beside ``place`` and then renames, so readers see the old table or the whole new one."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{place}.staging")
-    new, fs = _file_system(spark, f"{place}.staging")
-    old, _ = _file_system(spark, place)
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"{place} could not be replaced")
+def _replace(spark: SparkSession, new: str, old: str) -> None:
+    """Renames ``new`` over ``old`` in one step: a reader finds one or the other."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    source, target = (jvm.org.apache.hadoop.fs.Path(x) for x in (new, old))
+    how = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    how[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(source, target, how)
+
+
+def _write_text(spark: SparkSession, text: str, path: str) -> None:
+    where, fs = _file_system(spark, path)
+    out = fs.create(where, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+
+
+def _read_text(spark: SparkSession, path: str) -> str | None:
+    where, fs = _file_system(spark, path)
+    if not fs.exists(where):
+        return None
+    stream = fs.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+#: The file of a published place that names its version.
+POINTER = "CURRENT"
+
+
+def stage(df: DataFrame, place: str) -> str:
+    """Writes ``df`` as a new version of ``place`` that no reader sees yet; its name."""
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{place}/{version}")
+    return version
+
+
+def unstage(spark: SparkSession, place: str, version: str) -> None:
+    """Deletes a version that was never pointed to."""
+    where, fs = _file_system(spark, f"{place}/{version}")
+    fs.delete(where, True)
+
+
+def point(spark: SparkSession, place: str, version: str) -> str:
+    """Makes a staged version the one that readers see, in one step. The version before stays, for those who still read it; older ones go."""
+    before = _read_text(spark, f"{place}/{POINTER}")
+    _write_text(spark, version, f"{place}/.{POINTER}-{version}")
+    _replace(spark, f"{place}/.{POINTER}-{version}", f"{place}/{POINTER}")
+    where, fs = _file_system(spark, place)
+    for status in fs.listStatus(where):
+        name = status.getPath().getName()
+        if status.isDirectory() and name.startswith("v-") and name not in (version, before):
+            fs.delete(status.getPath(), True)
     return place
 
 
+def publish(df: DataFrame, place: str) -> str:
+    """Replaces the table at ``place``: readers see the old one or the whole new one, also after a crash at any point."""
+    return point(df.sparkSession, place, stage(df, place))
+
+
+def published(spark: SparkSession, place: str) -> DataFrame:
+    """The table last published at ``place``."""
+    version = _read_text(spark, f"{place}/{POINTER}")
+    if version is None:
+        raise FileNotFoundError(f"nothing is published at {place}")
+    return spark.read.parquet(f"{place}/{version}")
+
+
 def publish_best(df: DataFrame, ranks: DataFrame, by: str, wanted: tuple[str, ...]) -> str:
     """Publishes the rows of the best ``by`` of ``ranks`` (by, is_best) if each of ``wanted`` has as many rows as any; the place.
 
@@ -63,15 +122,10 @@ def publish_best(df: DataFrame, ranks: DataFrame, by: str, wanted: tuple[str, ..
 
 
 def write_json_atomic(spark: SparkSession, text: str, path: str) -> str:
-    """One small JSON document: written beside its place, then renamed over it."""
-    new, fs = _file_system(spark, f"{path}.new")
-    out = fs.create(new, True)
-    out.write(bytearray(text, "utf-8"))
-    out.close()
-    old, _ = _file_system(spark, path)
-    fs.delete(old, False)
-    if not fs.rename(new, old):
-        raise OSError(f"{path} could not be replaced")
+    """One small JSON document: written beside its place, then renamed over it in one step."""
+    new = f"{path}.{uuid.uuid4().hex}.new"
+    _write_text(spark, text, new)
+    _replace(spark, new, path)
     return path
 
 

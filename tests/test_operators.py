@@ -160,14 +160,14 @@ def test_splits_resolve_in_four_ways(spark):
 def test_publishing_needs_every_mode(spark, tmp_path):
     sim = rt.router_simulation(router_days(spark, n=3))
     ranks = rt.reward_mode_ranks(sim)
-    rows = spark.read.parquet(fs.publish_best(sim, ranks, "mode", rt.MODES)).collect()
+    rows = fs.published(spark, fs.publish_best(sim, ranks, "mode", rt.MODES)).collect()
     assert len(rows) == 3 and {r["mode"] for r in rows} == {ranks.where("is_best").first()["mode"]}
     with pytest.raises(ValueError, match="profit_basic"):
         fs.publish_best(sim.where("mode <> 'profit_basic'"), ranks, "mode", rt.MODES)
     place = f"file://{tmp_path}/table"
     fs.publish(sim, place)
     fs.publish(sim.limit(1), place)
-    assert spark.read.parquet(place).count() == 1
+    assert fs.published(spark, place).count() == 1
 
 
 def test_streams_take_files_in_any_order_and_none(spark, tmp_path):
