@@ -10,7 +10,7 @@ the ids are SentencePiece's.
 No piece goes from other characters on to a space, so a text is a sequence of chunks (spaces and what follows). Many
 chunks advance together, one step of each agenda at a time, in arrays. What a worker keeps does not depend on the draws:
 a chunk's tree of decisions, whose node says which piece comes up after the merges and skips that led there, and whose
-leaf has the ids. Each occurrence goes down its chunk's tree by its own draws; one that leaves what is known of the tree
+leaf has the ids; chunks of over LONG characters, as texts without spaces give, go through a heap one by one. Each occurrence goes down its chunk's tree by its own draws; one that leaves what is known of the tree
 is worked out from its characters, and its path is added.
 
 A null or empty text has no ids and decodes to the empty text. Texts are whole, however long. Repeated rows give the same
@@ -25,6 +25,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from heapq import heapify, heappop, heappush
 from itertools import chain, repeat
 
 import numpy as np
@@ -47,9 +48,18 @@ SEEN = 1 << 23
 SLICE_BYTES = 1 << 21
 #: Elements of one call's arrays.
 _CELLS = 1 << 19
+#: Characters from which a chunk has an agenda of its own.
+LONG = 1024
 _RUNS = re.compile(" +[^ ]*")
 
 
+def _mix(x: int) -> int:
+    """``kernels.mix`` of one number."""
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & _U64
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & _U64
+    return x ^ x >> 31
+
+
 class Pieces:
     """The vocabulary of a model file, as tables."""
 
@@ -79,6 +89,7 @@ class Pieces:
         for b, i in enumerate(self.bytes.tolist()):
             self.text[i] = bytes([b])
         self.seen = np.zeros(SEEN, bool)
+        self.pairs: dict[int, int] | None = None
         self._forget()
 
     def _forget(self) -> None:
@@ -140,11 +151,62 @@ class Pieces:
     def _skips(self, keys: np.ndarray, salts: np.ndarray) -> np.ndarray:
         return (kernels.mix(keys ^ salts) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < self.dropout
 
+    def _segment_long(self, codes: list[int], key: int) -> np.ndarray:
+        """The symbols of one chunk by a heap: as ``_segment``, in time that grows with the length times its logarithm."""
+        if self.pairs is None:
+            self.pairs = dict(zip(self.pair_keys.tolist(), self.pair_ids.tolist(), strict=True))
+        pairs, n, scores = self.pairs.get, self.n, self.score.tolist()
+        symbols, following, before = codes, [*range(1, len(codes)), -1], [*range(-1, len(codes) - 1)]
+        made = [pairs(a * n + b, -1) if a >= 0 and b >= 0 else -1 for a, b in zip(codes, codes[1:], strict=False)] + [-1]
+        # An entry counts as long as its place has the stamp that it was made with.
+        stamps = [0] * len(codes)
+        agenda = [(-scores[piece], i, 0) for i, piece in enumerate(made) if piece >= 0]
+        heapify(agenda)
+        least, skipped, step = int(self.dropout * (1 << 53)) + (self.dropout * (1 << 53) % 1 > 0), [], 0
+        while agenda:
+            entry = heappop(agenda)
+            i = entry[1]
+            if stamps[i] != entry[2]:
+                continue
+            step += 1
+            if least and _mix(key ^ _mix((made[i] + step * _GOLD) & _U64)) >> 11 < least:
+                skipped.append(entry)
+                continue
+            j = following[i]
+            k = following[j]
+            symbols[i], following[i] = made[i], k
+            stamps[j] = -1  # no entry has it
+            if k >= 0:
+                before[k] = i
+            for a, b in ((i, k), (before[i], i)):
+                if a < 0:
+                    continue
+                left, right = symbols[a], symbols[b] if b >= 0 else -1
+                made[a] = pairs(left * n + right, -1) if left >= 0 and right >= 0 else -1
+                stamps[a] += 1
+                if made[a] >= 0:
+                    heappush(agenda, (-scores[made[a]], a, stamps[a]))
+            for entry in skipped:
+                heappush(agenda, entry)
+            skipped.clear()
+        out, i = [], 0
+        while i >= 0:
+            out.append(symbols[i])
+            i = following[i]
+        return np.array(out, np.int64)
+
+    def _long(self, chunk: str, key: int) -> bytes:
+        known = self.char[points := np.frombuffer(chunk.encode("utf-32-le"), np.uint32)]
+        symbols = self._segment_long(np.where(known >= 0, known, -2 - points.astype(np.int64)).tolist(), key)
+        return (self._with_bytes(symbols)[0] if (symbols < 0).any() else symbols).astype(self.dtype).tobytes()
+
     def _work_out(self, chunks: list[str], keys: np.ndarray, keep: bool) -> list[bytes]:
         """The ids of each occurrence of a chunk, from its characters; if ``keep`` their paths are added to the trees."""
         out: list[bytes] = [b""] * len(chunks)
         lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        order = np.argsort(lengths, kind="stable")
+        for i in np.flatnonzero(lengths > LONG).tolist():
+            out[i] = self._long(chunks[i], int(keys[i]))
+        order = np.argsort(lengths, kind="stable")[: int((lengths <= LONG).sum())]
         begin = 0
         while begin < len(order):
             # As many chunks of similar lengths as the arrays may hold.

@@ -146,3 +146,20 @@ def test_ids_are_those_of_a_slow_agenda():
         got = own.encode(texts, [piece_dropout._key(i) for i in range(len(texts))])
         for i, t in enumerate(texts):
             assert np.frombuffer(got[i], own.dtype).tolist() == slow_ids(own, t, i, 3, dropout)
+
+
+def test_long_chunks_have_the_same_ids_and_end_in_time(monkeypatch):
+    import random
+    import time
+
+    path, rng = tables.path("piece_bpe_32k.model"), random.Random(3)
+    texts = ["".join(rng.choice("abcdefghij中文é€ ▁"[:n]) for _ in range(k)) for n, k in ((10, 60), (10, 700), (16, 900), (14, 300), (1, 200), (3, 40))]
+    for dropout in (0.0, 0.1, 0.4):
+        want = piece_dropout.Pieces(path, dropout, 1).encode(texts, list(range(6)))
+        with monkeypatch.context() as m:
+            m.setattr(piece_dropout, "LONG", 10)
+            assert piece_dropout.Pieces(path, dropout, 1).encode(texts, list(range(6))) == want
+    own, text = piece_dropout.Pieces(path, 0.1, 1), "".join(rng.choice("abcdefghijklmnop") for _ in range(200_000))
+    begin = time.time()
+    [ids] = own.encode([text], [5])
+    assert own.decode(ids) == text and time.time() - begin < 60
