@@ -7,6 +7,7 @@ that is missing or does not fit its observations gives 0 and says why; it stops
 
 from __future__ import annotations
 
+import io
 import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -15,7 +16,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ACTIONS = "action double, problem string"
@@ -34,13 +35,24 @@ class Policy(NamedTuple):
         return x[:, 0]
 
 
-def save(policies: dict[str, Policy], path: str) -> str:
+def to_bytes(policies: dict[str, Policy]) -> bytes:
+    """The archive."""
     arrays = {}
     for agent, p in policies.items():
         for i, (w, b) in enumerate(p.layers):
             arrays |= {f"{agent}/W{i}": w, f"{agent}/b{i}": b}
         arrays |= {f"{agent}/mu": np.asarray(p.mu), f"{agent}/sd": np.asarray(p.sd)}
-    np.savez(path, **arrays)
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
+
+
+def save(spark: SparkSession, policies: dict[str, Policy], path: str) -> str:
+    """Writes the archive where the executors can be sent it from: a local path, or any that Spark's file systems know."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(to_bytes(policies)))
+    out.close()
     return path
 
 

@@ -414,8 +414,3 @@ def audit_no_backfill(spark: SparkSession, d: str) -> DataFrame:
 def audit_summary(spark: SparkSession, d: str) -> DataFrame:
     one = lambda name, df: df.agg(F.count(F.lit(1)).alias("n"), F.bool_and("ok").alias("ok")).select(F.lit(name).alias("audit"), "n", "ok")
     return one("reward", audit_reward_align(spark, d)).unionByName(one("backfill", audit_no_backfill(spark, d)))
-
-
-@query("SELECT symbol, count(*) AS n FROM bars GROUP BY 1")
-def audit_contract(spark: SparkSession, d: str) -> DataFrame:
-    return au.require(ft.gap(bars(spark, d)), ["symbol", "date", "open", "high", "low", "close", "volume", "gap"]).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))

@@ -523,23 +523,6 @@ def sink_upsert(spark: SparkSession, d: str) -> DataFrame:
     return rel.upsert(base, df.where(F.day("date") > 20).select(*KEY, F.col("open").alias("close")), KEY)
 
 
-@query("SELECT symbol, date, close FROM bars WHERE year(date) = 1995")
-def sink_daily_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    """Written by year; one year's folder is all that is read back."""
-    path = _place(spark, "snapshot")
-    bars(spark, d).select(*KEY, "close").withColumn("year", F.year("date")).write.partitionBy("year").parquet(path)
-    return spark.read.parquet(path).where("year = 1995").drop("year")
-
-
-@query("SELECT year(date) AS year, count(*) AS n_rows FROM bars GROUP BY 1")
-def sink_manifest(spark: SparkSession, d: str) -> DataFrame:
-    """Rows by the relative folder they were written to."""
-    path = _place(spark, "artifacts")
-    bars(spark, d).withColumn("year", F.year("date")).write.partitionBy("year").parquet(path)
-    rows = spark.read.parquet(path).select(fs.name_in_path(r"year=(\d+)/").cast("long").alias("year"))
-    return rows.groupBy("year").agg(F.count(F.lit(1)).alias("n_rows"))
-
-
 @query("SELECT symbol, date, close FROM bars")
 def sink_csv_ignore(spark: SparkSession, d: str) -> DataFrame:
     """A second write to the same place changes nothing."""

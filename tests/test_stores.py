@@ -120,7 +120,7 @@ def test_policies_are_the_row_by_row_version_s(spark, tmp_path):
     linear = po.Policy([(np.array([[0.5, -1.0, 2.0]]), np.array([0.0]))], 0.0, 1.0)
     narrow = po.Policy([(np.array([[1.0]]), np.array([0.0]))], 0.0, 1.0)
     broken = po.Policy([(np.array([[np.nan, 1.0, 1.0]]), np.array([0.0]))], 0.0, 1.0)
-    path = po.save({"mlp": mlp, "linear": linear, "narrow": narrow, "broken": broken}, str(tmp_path / "policies.npz"))
+    path = po.save(spark, {"mlp": mlp, "linear": linear, "narrow": narrow, "broken": broken}, f"file://{tmp_path}/policies.npz")
     values = [[float(x) for x in rng.normal(size=3)] for _ in range(40)] + [[None, 1.0, 2.0], [float("inf"), float("nan"), 1.0]]
     rows = [(a, i, *v) for i, v in enumerate(values) for a in ("mlp", "linear", "narrow", "broken", "unknown", None)]
     got = po.act(spark.createDataFrame(rows, "agent string, i int, a double, b double, c double").repartition(5), "agent", ["a", "b", "c"], path, limit=0.9).collect()
