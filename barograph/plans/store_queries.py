@@ -1,4 +1,4 @@
-"""Snapshots, markers, contracts, policies and positions."""
+"""Snapshots, markers, contracts, policies, positions and fitted regimes."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barograph.operators import policies as po
+from barograph.operators import regime_fit as rf
 from barograph.operators.positions import align, positions
 from barograph.plans.registry import query, r, rounded
 from barograph.sources import contracts as co
@@ -118,3 +119,11 @@ def positional_align(spark: SparkSession, d: str) -> DataFrame:
 
     rises = forecasts(spark, d).where("pred_05 > close").select(*KEY, "pred_05")
     return rounded(align(bars(spark, d).select(*KEY, "close"), rises, ["date"], ["symbol"]), "close", "pred_05_right")
+
+
+@query()
+def arr_ticc_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Fine and stable regimes of the bars' gains and volumes over two days, fitted on the years before 1997."""
+    own = bars(spark, d).select(*KEY, F.log(F.col("close") / F.col("open")).alias("gain"), F.log("volume").alias("volume"))
+    rows = rf.stacked(own, ["gain", "volume"], 2).withColumn("train", F.col("date") < F.lit("1997-01-01").cast("date"))
+    return rf.fit_two_levels(rows, "train", 6, 2, penalty=4.0, rounds=12)
