@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barograph.operators import policies as po
 from barograph.operators import regime_fit as rf
+from barograph.operators import tensors as tn
 from barograph.operators.positions import align, positions
 from barograph.plans.registry import query, r, rounded
 from barograph.sources import contracts as co
@@ -127,3 +128,24 @@ def arr_ticc_fit(spark: SparkSession, d: str) -> DataFrame:
     own = bars(spark, d).select(*KEY, F.log(F.col("close") / F.col("open")).alias("gain"), F.log("volume").alias("volume"))
     rows = rf.stacked(own, ["gain", "volume"], 2).withColumn("train", F.col("date") < F.lit("1997-01-01").cast("date"))
     return rf.fit_two_levels(rows, "train", 6, 2, penalty=4.0, rounds=12)
+
+
+_T, _H = 20, 5
+_MODES = "".join(f", round({y}, 8) + 0.0 AS y_{m}" for m, y in (("close", "c5"), ("delta", "c5 - close"), ("ret", "c5 / close - 1"), ("logret", "ln(c5 / close)")))
+
+
+@query(f"""SELECT symbol, date, CAST(2 * {_T} AS INTEGER) AS n, oldest, round(volumes, 2) + 0.0 AS volumes{_MODES}, round(c5, 4) + 0.0 AS back FROM (
+  SELECT symbol, date, close, row_number() OVER w AS i, CAST(lag(close, {_T - 1}) OVER w AS FLOAT) AS oldest, sum(volume) OVER (w ROWS BETWEEN {_T - 1} PRECEDING AND CURRENT ROW) AS volumes, lead(close, {_H}) OVER w AS c5
+  FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)) WHERE i >= {_T}""")
+def arr_window_tensors(spark: SparkSession, d: str) -> DataFrame:
+    """Tensors of closes and volumes over 20 bars and the four kinds of targets, in ranges of 500 rows; what each target stands for."""
+    out, own = None, materialize(bars(spark, d).select(*KEY, "close", "volume"), "bars")
+    for mode in tn.MODES:
+        part = tn.windows(own, ["close", "volume"], "close", _T, _H, mode, rows=500).withColumn(f"y_{mode}", F.col("y")[_H - 1])
+        part = part.withColumn(f"back_{mode}", F.round(tn.inverse(F.col(f"y_{mode}"), F.col("close"), mode), 4) + F.lit(0.0))
+        first = part.select(*KEY, F.size("x").alias("n"), F.col("x")[0].alias("oldest"), F.aggregate(F.transform(F.filter("x", lambda v, i: i % 2 == 1), lambda v: v.cast("double")), F.lit(0.0), lambda s, v: s + v).alias("volumes"), f"y_{mode}", f"back_{mode}")
+        out = first if out is None else out.join(part.select(*KEY, f"y_{mode}", f"back_{mode}"), KEY)
+    # One column, as all four must stand for the same close.
+    backs = F.array_distinct(F.array(*[F.col(f"back_{m}") for m in tn.MODES]))
+    out = out.withColumn("back", F.when(F.size(backs) == 1, backs[0]).otherwise(F.raise_error(F.lit("targets differ")).cast("double")))
+    return rounded(rounded(out.drop(*[f"back_{m}" for m in tn.MODES]), *[f"y_{m}" for m in tn.MODES], digits=8), "volumes", digits=2)

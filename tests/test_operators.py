@@ -436,3 +436,25 @@ def test_positions_over_whole_tables(spark):
     pairs = align(a, spark.createDataFrame([(10,), (5,)], "k int"), ["k"]).orderBy("position").collect()
     assert [(r["k"], r["s"], r["k_right"]) for r in pairs] == [(1, "y", 5), (2, "z", 10), (3, "x", None)]
     assert positions(df.limit(0), ["v"]).count() == 0
+
+
+def test_windows_are_the_same_for_any_ranges(spark):
+    from barograph.operators import tensors as tn
+
+    x = [float(v) for v in np.round(np.random.default_rng(8).normal(10, 3, 200), 3)]
+    x[20], x[50], x[60] = None, -1.0, float("inf")
+    df = bars(spark, x).select("symbol", "date", "close").withColumn("k", F.col("close") * 2)
+    for mode in tn.MODES:
+        get = lambda rows: {r["date"]: (tuple(r["x"]), tuple(r["y"])) for r in tn.windows(df, ["close", "k"], "close", 12, 4, mode, rows=rows).collect()}  # noqa: E731, B023
+        whole, parts, tiny = get(10_000), get(10), get(3)
+        assert repr(whole) == repr(parts) == repr(tiny) and len(whole) == 200 - 11
+        assert all(len(a) == 24 and len(b) == 4 for a, b in whole.values())
+    clean = lambda v: 0.0 if v is None or not np.isfinite(v) else v
+    window, ahead = whole[day(30)]
+    assert window == pytest.approx([f * clean(v) for v in x[19:31] for f in (1, 2)]) and ahead == pytest.approx([np.log(v / x[30]) for v in x[31:35]])
+    assert whole[day(49)][1][0] is None and whole[day(199)][1] == (None,) * 4 and whole[day(50)][1] == (None,) * 4
+    one = spark.range(1).select(F.lit(8.0).alias("c"), F.lit(10.0).alias("n"))
+    for mode in tn.MODES:
+        assert one.select(tn.inverse(tn.target(F.col("n"), F.col("c"), mode), F.col("c"), mode)).first()[0] == pytest.approx(10.0)
+    assert one.select(tn.inverse(F.lit(500.0), F.col("c"), "logret")).first()[0] == pytest.approx(8 * np.exp(20))
+    assert one.select(tn.target(F.col("n"), F.lit(0.0), "ret"), tn.inverse(F.lit(0.1), F.lit(-1.0), "delta"), tn.inverse(F.lit(None).cast("double"), F.col("c"), "logret")).first() == (None, None, None)
