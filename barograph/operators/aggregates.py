@@ -116,15 +116,27 @@ def percentiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.percentile(value, 0.5).alias("p50"), F.percentile(value, 0.95).alias("p95"), F.max(value).alias("high"))
 
 
-def monthly_medians(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
-    """Medians by month and label, and their distance to the month before."""
-    m = df.groupBy(F.date_format("date", "yyyy-MM").alias("month"), label).agg(*[F.percentile(c, 0.5).alias(f"m_{c}") for c in columns])
-    w = Window.partitionBy(label).orderBy("month")
-    squares = [F.pow(F.col(f"m_{c}") - F.lag(f"m_{c}").over(w), 2) for c in columns]
-    total = squares[0]
-    for s in squares[1:]:
-        total = total + s
-    return m.withColumn("moved", F.sqrt(total))
+def monthly_matches(df: DataFrame, label: str, columns: list[str], name: Column) -> DataFrame:
+    """month, previous, current, distance, kept, kept_rate: each month's labels matched with the next month's, from the nearest
+    medians on, each once; ``kept``: whether both have the same name (an aggregate of a label's rows over all months).
+
+    The labels of two months are compared, all with all, so their number should be small; months spread.
+    """
+    from barograph.operators.sequential import greedy_match
+
+    month = F.date_format("date", "yyyy-MM")
+    m = df.groupBy(month.alias("month"), label).agg(*[F.percentile(c, 0.5).alias(f"m_{c}") for c in columns])
+    steps = m.select("month").distinct()
+    steps = steps.withColumn("_next", F.lead("month").over(Window.partitionBy(F.lit(0)).orderBy("month"))).where("_next is not null")  # a row a month
+    other = m.select(F.col("month").alias("_next"), F.col(label).alias("current"), *[F.col(f"m_{c}").alias(f"n_{c}") for c in columns])
+    squares = sum((F.pow(F.col(f"m_{c}") - F.col(f"n_{c}"), F.lit(2)) for c in columns), F.lit(0.0))
+    pairs = m.join(steps, "month").join(other, "_next").select("month", F.col(label).alias("previous"), "current", F.round(F.sqrt(squares), 6).alias("distance"))
+    best = greedy_match(pairs.withColumn("_near", -F.col("distance")), ["month"], "previous", "current", "_near").drop("_near")
+    names = df.groupBy(label).agg(name.alias("_name"))
+    of = lambda c: names.select(F.col(label).alias(c), F.col("_name").alias(f"_{c}"))
+    out = best.join(of("previous"), "previous").join(of("current"), "current").withColumn("kept", F.col("_previous") == F.col("_current"))
+    rate = F.avg(F.col("kept").cast("double")).over(Window.partitionBy("month"))
+    return out.select("month", "previous", "current", "distance", "kept", rate.alias("kept_rate"))
 
 
 def data_quality(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -179,5 +179,6 @@ def fit_two_levels(rows: DataFrame, train: str, k: int, least: int, penalty: flo
     n_valid = sizes.where("NOT small").count()
     stable = assign(rows, fit(known, min(k, max(least, n_valid)), penalty, prior, rounds, by=by, at=at), train, by, at)
     out = fine.withColumnRenamed("cluster", "fine").join(stable.withColumnRenamed("cluster", "stable"), [by, at])
-    rare = sizes.where("small").select(F.col("cluster").alias("fine"), F.lit(True).alias("rare"))
-    return out.join(rare, "fine", "left").select(by, at, "fine", "stable", F.coalesce("rare", F.lit(False)).alias("rare"))
+    rare = sizes.select(F.col("cluster").alias("fine"), F.col("small").alias("rare"))
+    # A cluster without a training row is rare.
+    return out.join(rare, "fine", "left").select(by, at, "fine", "stable", F.coalesce("rare", F.lit(True)).alias("rare"))

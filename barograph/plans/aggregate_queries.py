@@ -99,24 +99,41 @@ def agg_scores_label(spark: SparkSession, d: str) -> DataFrame:
     return s.select("regime_id", F.when(F.col("dd") < -0.9, "stressed").when((F.col("trend") > 0) & (F.col("vol") < 1), "calm_up").when(F.col("trend") > 0, "wild_up").otherwise("down").alias("label"))
 
 
-@query("""SELECT agent, CAST(n AS BIGINT) AS n, round(m, 6) + 0.0 AS mean, round(coalesce(m / nullif(s, 0) * sqrt(252), 0), 6) + 0.0 AS sharpe, round(t, 6) + 0.0 AS turnover FROM (SELECT agent, count(*) AS n, avg(ret) AS m, stddev_pop(ret) AS s, sum(abs(ratio - p)) AS t FROM (SELECT *, lag(ratio) OVER (PARTITION BY agent ORDER BY date) AS p FROM experts) GROUP BY 1)""", uses=("experts",))
+@query("""SELECT agent, CAST(count(*) AS BIGINT) AS n, round(arg_max(eq, date) - 1, 6) + 0.0 AS total, round(avg(ret), 6) + 0.0 AS mean, round(coalesce(avg(ret) / nullif(stddev_pop(ret), 0) * sqrt(252), 0), 6) + 0.0 AS sharpe, round(min(eq / peak - 1), 6) + 0.0 AS max_dd, round(avg(t), 6) + 0.0 AS turnover FROM (
+  SELECT *, max(eq) OVER (PARTITION BY agent ORDER BY date) AS peak FROM (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY agent ORDER BY date)) AS eq, abs(ratio - coalesce(lag(ratio) OVER (PARTITION BY agent ORDER BY date), 0)) AS t FROM experts)) GROUP BY 1""", uses=("experts",))
 def agg_summary_returns(spark: SparkSession, d: str) -> DataFrame:
+    """Total return, Sharpe ratio, worst drawdown and mean change of the position (the first from 0)."""
     w = Window.partitionBy("agent").orderBy("date")
-    m = experts(spark, d).withColumn("t", F.abs(F.col("ratio") - F.lag("ratio").over(w))).groupBy("agent").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean"), F.stddev_pop("ret").alias("sd"), F.sum("t").alias("turnover"))
-    return rounded(m.select("agent", "n", "mean", F.coalesce(F.try_divide("mean", F.nullif("sd", F.lit(0.0))) * 252**0.5, F.lit(0.0)).alias("sharpe"), "turnover"), "mean", "sharpe", "turnover")
+    log = experts(spark, d)
+    moves = log.withColumn("t", F.abs(F.col("ratio") - F.coalesce(F.lag("ratio").over(w), F.lit(0.0)))).groupBy("agent").agg(F.avg("t").alias("turnover"))
+    m = ag.return_metrics(log, ["agent"]).join(moves, "agent").withColumn("total", F.col("multiple") - 1)
+    return rounded(m.select("agent", "n", "total", "mean", "sharpe", "max_dd", "turnover"), "total", "mean", "sharpe", "max_dd", "turnover")
 
 
-@query("SELECT date, agent, round(greatest(best - ret, 0), 6) + 0.0 AS regret, round(ret - 0.4321 * greatest(best - ret, 0), 6) + 0.0 AS adjusted FROM (SELECT *, max(ret) OVER (PARTITION BY date) AS best FROM experts)", uses=("experts",))
+@query("""SELECT date, agent, round(greatest(best - ret, 0), 6) + 0.0 AS regret, round(ret - 0.4321 * greatest(best - ret, 0), 6) + 0.0 AS adjusted, round(ret - 0.12345678 * (1 - eq / peak), 6) + 0.0 AS light_risk FROM (
+  SELECT *, max(eq) OVER (PARTITION BY agent ORDER BY date) AS peak FROM (SELECT *, max(ret) OVER (PARTITION BY date) AS best, exp(sum(ln(1 + ret)) OVER (PARTITION BY agent ORDER BY date)) AS eq FROM experts))""", uses=("experts",))
 def agg_reward_adjust(spark: SparkSession, d: str) -> DataFrame:
+    """Returns less a share of the regret, and less a share of the drawdown so far."""
     regret = F.greatest(F.max("ret").over(Window.partitionBy("date")) - F.col("ret"), F.lit(0.0))
-    out = experts(spark, d).withColumn("regret", regret)
-    return rounded(out.select("date", "agent", "regret", (F.col("ret") - 0.4321 * F.col("regret")).alias("adjusted")), "regret", "adjusted")
+    out = ag.with_drawdown(experts(spark, d), ["agent"]).withColumn("regret", regret)
+    return rounded(out.select("date", "agent", "regret", (F.col("ret") - 0.4321 * F.col("regret")).alias("adjusted"), (F.col("ret") + 0.12345678 * F.col("drawdown")).alias("light_risk")), "regret", "adjusted", "light_risk")
 
 
-@query("SELECT regime_id, round(max(m) - min(m), 8) + 0.0 AS spread, count(*) AS n_agents FROM (SELECT regime_id, agent, avg(ret) AS m FROM experts JOIN regimes USING (date) GROUP BY 1, 2) GROUP BY 1", uses=("experts", "regimes"))
+_BY_REGIME = """ed AS (SELECT *, eq / max(eq) OVER (PARTITION BY regime_id, agent ORDER BY date) - 1 AS dd FROM (SELECT e.*, regime_id, exp(sum(ln(1 + ret)) OVER (PARTITION BY regime_id, agent ORDER BY date)) AS eq FROM experts e JOIN regimes USING (date))),
+  em AS (SELECT regime_id, agent, count(*) AS n, avg(ret) AS mean, stddev_pop(ret) AS sd, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, min(dd) AS max_dd, avg(ratio) AS mean_ratio FROM ed GROUP BY 1, 2)"""
+
+
+
+@query("""SELECT regime_id, agent, n, round(mean, 8) + 0.0 AS mean, round(coalesce(mean / nullif(sd, 0) * sqrt(252), 0), 6) + 0.0 AS sharpe, round(win_rate, 6) + 0.0 AS win_rate, round(max_dd, 6) + 0.0 AS max_dd, round(mean_ratio, 6) + 0.0 AS mean_ratio,
+  round(max(mean) OVER (PARTITION BY regime_id) - min(mean) OVER (PARTITION BY regime_id), 8) + 0.0 AS spread, count(*) OVER (PARTITION BY regime_id) AS n_agents FROM em""", uses=("experts", "regimes"), more=_BY_REGIME)
 def agg_cluster_effect(spark: SparkSession, d: str) -> DataFrame:
-    m = _log(spark, d).groupBy("regime_id", "agent").agg(F.avg("ret").alias("m"))
-    return rounded(m.groupBy("regime_id").agg((F.max("m") - F.min("m")).alias("spread"), F.count(F.lit(1)).alias("n_agents")), "spread", digits=8)
+    """What each agent earns in each regime, and how far the agents lie apart there."""
+    log = _log(spark, d)
+    m = ag.return_metrics(log, ["regime_id", "agent"]).join(log.groupBy("regime_id", "agent").agg(F.avg("ratio").alias("mean_ratio")), ["regime_id", "agent"])
+    w = Window.partitionBy("regime_id")
+    m = m.withColumns({"spread": F.max("mean").over(w) - F.min("mean").over(w), "n_agents": F.count(F.lit(1)).over(w)})
+    out = m.select("regime_id", "agent", "n", "mean", "sharpe", "win_rate", "max_dd", "mean_ratio", "spread", "n_agents")
+    return rounded(rounded(out, "mean", "spread", digits=8), "sharpe", "win_rate", "max_dd", "mean_ratio")
 
 
 _TOP = "tops AS (SELECT date, regime_id, arg_max(agent, struct_pack(a := ret, b := agent)) AS best, max(ret) AS best_ret FROM experts JOIN regimes USING (date) GROUP BY 1, 2)"
@@ -126,10 +143,32 @@ def _tops(spark: SparkSession, d: str) -> DataFrame:
     return _log(spark, d).groupBy("date", "regime_id").agg(F.max_by("agent", F.struct("ret", "agent")).alias("best"), F.max("ret").alias("best_ret"))
 
 
-@query("SELECT regime_id, best, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY regime_id), 6) + 0.0 AS share FROM tops GROUP BY 1, 2", uses=("experts", "regimes"), more=_TOP)
+_Z = "coalesce(({x} - avg({x}) OVER ()) / nullif(stddev_pop({x}) OVER (), 0), 0)"
+
+
+@query(f"""SELECT regime_id, n, {r('mean', digits=8)}, {r('sharpe', 'max_dd', 'ratio_mean', 'ratio_sd', 'turnover_mean', 'share')}, top1, best_agent, {r('best_mean', 'delta', digits=8)},
+  round({_Z.format(x='sharpe')} - 0.5 * {_Z.format(x='(-max_dd)')} - 0.25 * {_Z.format(x='turnover_mean')} + 0.5 * {_Z.format(x='delta')}, 5) + 0.0 AS utility FROM (
+  SELECT m.*, coalesce(mean / nullif(sd, 0) * sqrt(252), 0) AS sharpe, top1, top_n / n AS share, best_agent, best_mean, mean - best_mean AS delta FROM (
+    SELECT regime_id, count(*) AS n, avg(ret) AS mean, stddev_pop(ret) AS sd, min(dd) AS max_dd, avg(ratio) AS ratio_mean, stddev_pop(ratio) AS ratio_sd, avg(turnover) AS turnover_mean FROM (
+      SELECT *, eq / max(eq) OVER (PARTITION BY regime_id ORDER BY date) - 1 AS dd FROM (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY regime_id ORDER BY date)) AS eq FROM picks)) GROUP BY 1) m
+  JOIN (SELECT regime_id, arg_max(agent, struct_pack(a := c, b := agent)) AS top1, max(c) AS top_n FROM (SELECT regime_id, agent, count(*) AS c FROM picks GROUP BY 1, 2) GROUP BY 1) USING (regime_id)
+  JOIN (SELECT regime_id, arg_max(agent, struct_pack(a := round(mean, 9), b := agent)) AS best_agent, max(mean) AS best_mean FROM em GROUP BY 1) USING (regime_id))""", uses=("experts", "regimes"), more=f"""{_BY_REGIME},
+  picks AS (SELECT *, abs(ratio - coalesce(lag(ratio) OVER (ORDER BY date), 0)) AS turnover FROM (SELECT date, regime_id, arg_max(agent, struct_pack(a := ratio, b := agent)) AS agent, arg_max(ratio, struct_pack(a := ratio, b := agent)) AS ratio, arg_max(ret, struct_pack(a := ratio, b := agent)) AS ret FROM experts JOIN regimes USING (date) GROUP BY 1, 2))""")
 def agg_router_effect(spark: SparkSession, d: str) -> DataFrame:
-    c = _tops(spark, d).groupBy("regime_id", "best").agg(F.count(F.lit(1)).alias("n"))
-    return rounded(c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("regime_id"))), "share")
+    """A router that takes the agent of the highest ratio: what it earns in each regime, against the best agent there, and a utility from z-scores."""
+    log = _log(spark, d)
+    best = lambda c: F.max_by(c, F.struct("ratio", "agent")).alias(c)
+    picks = log.groupBy("date", "regime_id").agg(best("agent"), best("ratio"), best("ret"))
+    one = Window.partitionBy(F.lit(0))  # a book has a row a day, and the regimes are few
+    picks = picks.withColumn("turnover", F.abs(F.col("ratio") - F.coalesce(F.lag("ratio").over(one.orderBy("date")), F.lit(0.0))))
+    m = ag.return_metrics(picks, ["regime_id"]).join(picks.groupBy("regime_id").agg(F.avg("ratio").alias("ratio_mean"), F.stddev_pop("ratio").alias("ratio_sd"), F.avg("turnover").alias("turnover_mean")), "regime_id")
+    top = picks.groupBy("regime_id", "agent").agg(F.count(F.lit(1)).alias("c")).groupBy("regime_id").agg(F.max_by("agent", F.struct("c", "agent")).alias("top1"), F.max("c").alias("top_n"))
+    own = log.groupBy("regime_id", "agent").agg(F.avg("ret").alias("m")).groupBy("regime_id").agg(F.max_by("agent", F.struct(F.round("m", 9), "agent")).alias("best_agent"), F.max("m").alias("best_mean"))
+    m = m.join(top, "regime_id").join(own, "regime_id").withColumns({"share": F.col("top_n") / F.col("n"), "delta": F.col("mean") - F.col("best_mean"), "loss": -F.col("max_dd")})
+    z = lambda c: F.coalesce((F.col(c) - F.avg(c).over(one)) / F.nullif(F.stddev_pop(c).over(one), F.lit(0.0)), F.lit(0.0))
+    m = m.withColumn("utility", z("sharpe") - 0.5 * z("loss") - 0.25 * z("turnover_mean") + 0.5 * z("delta"))
+    out = m.select("regime_id", "n", "mean", "sharpe", "max_dd", "ratio_mean", "ratio_sd", "turnover_mean", "share", "top1", "best_agent", "best_mean", "delta", "utility")
+    return rounded(rounded(rounded(out, "mean", "best_mean", "delta", digits=8), "sharpe", "max_dd", "ratio_mean", "ratio_sd", "turnover_mean", "share"), "utility", digits=5)
 
 
 @query("SELECT segment, count(*) AS n, round(avg(close), 4) + 0.0 AS mean_close FROM (SELECT close, unnest(list_filter([CASE WHEN regime_id = 0 THEN 'rare' ELSE 'common' END, CASE WHEN volume > 1 THEN 'busy' END], lambda x: x IS NOT NULL)) AS segment FROM bars JOIN regimes USING (date)) GROUP BY 1", uses=("bars", "regimes"))
@@ -183,10 +222,19 @@ def agg_modal_map(spark: SparkSession, d: str) -> DataFrame:
     return ag.modal_map(regimes(spark, d).withColumn("m", F.month("date").cast("long")), "m", "regime_id")
 
 
-@query("""SELECT month, regime_id, round(mc, 4) + 0.0 AS m_close, round(sqrt((mc - lag(mc) OVER v) ** 2 + (mv - lag(mv) OVER v) ** 2), 4) + 0.0 AS moved FROM (SELECT strftime(date, '%Y-%m') AS month, regime_id, median(close) AS mc, median(volume) AS mv FROM bars JOIN regimes USING (date) GROUP BY 1, 2) WINDOW v AS (PARTITION BY regime_id ORDER BY month)""", uses=("bars", "regimes"))
+_MONTHS = """md AS (SELECT strftime(date, '%Y-%m') AS month, regime_id, median(close) AS mc, median(volume) AS mv FROM bars JOIN regimes USING (date) GROUP BY 1, 2),
+  nx AS (SELECT month, lead(month) OVER (ORDER BY month) AS next FROM (SELECT DISTINCT month FROM md)),
+  lb AS (SELECT regime_id, CASE WHEN median(volume) > 1 THEN 'busy' ELSE 'calm' END AS label FROM bars JOIN regimes USING (date) GROUP BY 1),
+  ds AS (SELECT a.month, a.regime_id AS a, b.regime_id AS b, round(sqrt((a.mc - b.mc) ** 2 + (a.mv - b.mv) ** 2), 6) AS distance FROM md a JOIN nx ON nx.month = a.month JOIN md b ON b.month = nx.next),
+  mt AS (SELECT month, unnest(list_reduce(list([struct_pack(a := a, b := b, distance := distance)] ORDER BY distance, a, b), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.a = x[1].a OR y.b = x[1].b)) > 0 THEN acc ELSE acc || x END)) AS p FROM ds GROUP BY 1)"""
+
+
+@query("""SELECT month, CAST(p.a AS INTEGER) AS previous, CAST(p.b AS INTEGER) AS current, round(p.distance, 4) + 0.0 AS distance, la.label = lc.label AS kept, round(avg(CASE WHEN la.label = lc.label THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY month), 6) + 0.0 AS kept_rate
+  FROM mt JOIN lb la ON la.regime_id = p.a JOIN lb lc ON lc.regime_id = p.b""", uses=("bars", "regimes"), more=_MONTHS)
 def agg_monthly_stability(spark: SparkSession, d: str) -> DataFrame:
-    m = ag.monthly_medians(bars(spark, d).join(regimes(spark, d), "date"), "regime_id", ["close", "volume"])
-    return rounded(m.select("month", "regime_id", "m_close", "moved"), "m_close", "moved", digits=4)
+    """Each month's regimes matched with the next month's, nearest medians first, and whether the match keeps the regime's label."""
+    df = bars(spark, d).join(regimes(spark, d), "date")
+    return rounded(rounded(ag.monthly_matches(df, "regime_id", ["close", "volume"], F.when(F.percentile("volume", 0.5) > 1, "busy").otherwise("calm")), "distance", digits=4), "kept_rate")
 
 
 @query("SELECT event_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) + 0.0 AS share FROM events GROUP BY 1", uses=())
@@ -257,14 +305,16 @@ def agg_pred_quality(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(ag.prediction_quality(forecasts(spark, d), "pred_01", "close", "symbol"), "mae", digits=4), "corr", "coverage")
 
 
-@query("""SELECT symbol, k, n, round(mae, 4) + 0.0 AS mae, round(rmse, 4) + 0.0 AS rmse FROM (SELECT symbol, k, count(e) AS n, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse FROM (SELECT symbol, unnest(['same', 'next', 'previous', 'naive']) AS k,
-  unnest([pred_01 - close, pred_01 - lead(close) OVER v, pred_01 - lag(close) OVER v, lag(close) OVER v - close]) AS e FROM forecasts WINDOW v AS (PARTITION BY symbol ORDER BY date)) GROUP BY 1, 2)""", uses=("bars", "forecasts"))
+@query("""SELECT symbol, k, n, round(mae, 4) + 0.0 AS mae, round(rmse, 4) + 0.0 AS rmse, round(corr, 6) + 0.0 AS corr FROM (SELECT symbol, k, count(a - b) AS n, avg(abs(a - b)) AS mae, sqrt(avg((a - b) * (a - b))) AS rmse, CASE WHEN count(a - b) >= 5 THEN corr(a, b) END AS corr FROM (SELECT symbol, unnest(['same', 'next', 'previous', 'naive']) AS k,
+  unnest([pred_01, pred_01, pred_01, lag(close) OVER v]) AS a, unnest([close, lead(close) OVER v, lag(close) OVER v, close]) AS b FROM forecasts WINDOW v AS (PARTITION BY symbol ORDER BY date)) GROUP BY 1, 2)""", uses=("bars", "forecasts"))
 def agg_pred_sanity(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy("date")
     p, c = F.col("pred_01"), F.col("close")
-    kinds = {"same": p - c, "next": p - F.lead(c).over(w), "previous": p - F.lag(c).over(w), "naive": F.lag(c).over(w) - c}
-    long = forecasts(spark, d).select("symbol", F.array(*[F.struct(F.lit(k).alias("k"), e.alias("e")) for k, e in kinds.items()]).alias("x")).select("symbol", F.explode("x").alias("x")).select("symbol", "x.*")
-    return rounded(long.groupBy("symbol", "k").agg(F.count("e").alias("n"), F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse")), "mae", "rmse", digits=4)
+    kinds = {"same": (p, c), "next": (p, F.lead(c).over(w)), "previous": (p, F.lag(c).over(w)), "naive": (F.lag(c).over(w), c)}
+    long = forecasts(spark, d).select("symbol", F.array(*[F.struct(F.lit(k).alias("k"), a.alias("a"), b.alias("b")) for k, (a, b) in kinds.items()]).alias("x")).select("symbol", F.explode("x").alias("x")).select("symbol", "x.*")
+    e = F.col("a") - F.col("b")
+    out = long.groupBy("symbol", "k").agg(F.count(e).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.corr("a", "b").alias("corr"))
+    return rounded(rounded(out.withColumn("corr", F.when(F.col("n") >= 5, F.col("corr"))), "mae", "rmse", digits=4), "corr")
 
 
 @query("SELECT symbol, n, round(a, 6) + 0.0 AS a, round(my - a * mx, 3) + 0.0 AS b FROM (SELECT f.symbol, count(*) AS n, stddev_samp(close) / nullif(stddev_samp(pred_20), 0) AS a, avg(close) AS my, avg(pred_20) AS mx FROM forecasts f JOIN (SELECT symbol, max(date) AS e FROM forecasts GROUP BY 1) m ON f.symbol = m.symbol WHERE date > e - 252 GROUP BY 1)", uses=("bars", "forecasts"))
@@ -377,12 +427,25 @@ def proj_obs_profile(spark: SparkSession, d: str) -> DataFrame:
     return df.select("symbol").distinct().select("symbol", F.explode(F.array(*names)).alias("x")).select("symbol", "x.*")
 
 
-_LOGGED = "logged AS (SELECT *, coalesce(lag(reward_next) OVER (PARTITION BY agent ORDER BY date), 0) AS logged FROM experts)"
+_LOGGED = """eqs AS (SELECT *, coalesce(lag(reward_next) OVER (PARTITION BY agent ORDER BY date), 0) AS honest, max(date) OVER (PARTITION BY agent) AS last FROM experts),
+  led AS (SELECT *, CASE WHEN agent = 'NO' AND date = last THEN honest + 0.01 ELSE honest END AS logged FROM eqs),
+  logged AS (SELECT *, exp(sum(ln(1 + honest)) OVER (PARTITION BY agent ORDER BY date)) * 2 AS equity FROM led)"""
 
 
-@query("SELECT agent, max(e) AS max_error, arg_max(date, struct_pack(a := e, b := date)) AS worst_date, max(e) <= 1e-12 AS ok FROM (SELECT *, abs(logged - lag(reward_next) OVER (PARTITION BY agent ORDER BY date)) AS e FROM logged) WHERE e IS NOT NULL GROUP BY 1", uses=("experts",), more=_LOGGED)
+def _with_a_leak(spark: SparkSession, d: str) -> DataFrame:
+    """The log, of which one agent's last return is not what was announced; equity as it was without that."""
+    w = Window.partitionBy("agent").orderBy("date")
+    log = sq.expert_log(experts(spark, d)).withColumn("equity", 2 * F.exp(F.sum(F.log1p("logged")).over(w)))
+    last = F.col("date") == F.max("date").over(Window.partitionBy("agent"))
+    return log.withColumn("logged", F.when((F.col("agent") == "NO") & last, F.col("logged") + 0.01).otherwise(F.col("logged")))
+
+
+@query("""SELECT agent, round(max(e), 9) + 0.0 AS max_error, arg_max(date, struct_pack(a := round(e, 12), b := date)) AS worst_date, round(any_value(q), 6) + 0.0 AS equity_error, max(e) <= 1e-12 AND any_value(q) <= 1e-10 AS ok FROM (
+  SELECT *, abs(logged - lag(reward_next) OVER (PARTITION BY agent ORDER BY date)) AS e, max(abs(re * (f / fr) - equity) / greatest(equity, re * (f / fr), 1e-12)) OVER (PARTITION BY agent) AS q FROM (
+    SELECT *, first_value(equity) OVER v AS f, first_value(re) OVER v AS fr FROM (SELECT *, exp(sum(ln(1 + logged)) OVER (PARTITION BY agent ORDER BY date)) AS re FROM logged) WINDOW v AS (PARTITION BY agent ORDER BY date))) WHERE e IS NOT NULL GROUP BY 1""", uses=("experts",), more=_LOGGED)
 def audit_reward_align(spark: SparkSession, d: str) -> DataFrame:
-    return au.reward_alignment(sq.expert_log(experts(spark, d)))
+    """A log with one planted leak: its agent fails on the return and on the equity, the others pass."""
+    return rounded(rounded(au.reward_alignment(_with_a_leak(spark, d), equity="equity"), "max_error", digits=9), "equity_error")
 
 
 @query("SELECT agent, count(*) AS n, round(max(e), 9) + 0.0 AS max_error, CAST(sum(CASE WHEN e > 1e-12 THEN 1 ELSE 0 END) AS BIGINT) AS n_off FROM (SELECT agent, abs(ret - (greatest(ratio, 0) * 0.01 + greatest(-ratio, 0) * -0.01 - 0)) AS e FROM experts) GROUP BY 1", uses=("experts",))
@@ -391,16 +454,36 @@ def audit_market_align(spark: SparkSession, d: str) -> DataFrame:
     return rounded(au.market_alignment(log), "max_error", digits=9)
 
 
-@query("""SELECT agent, k, n, round(mae, 9) + 0.0 AS mae, round(c, 6) + 0.0 AS corr, CAST(row_number() OVER (PARTITION BY agent ORDER BY round(mae, 12), k) AS INTEGER) AS rank FROM (SELECT agent, k, count(*) AS n, avg(abs(t - g)) AS mae, corr(t, g) AS c FROM (
-  SELECT agent, ratio * ret AS t, unnest([-2, -1, 0, 1, 2]) AS k, unnest([lead(ratio, 2) OVER v * ret, lead(ratio) OVER v * ret, ratio * ret, lag(ratio) OVER v * ret, lag(ratio, 2) OVER v * ret]) AS g FROM experts WINDOW v AS (PARTITION BY agent ORDER BY date)) WHERE g IS NOT NULL GROUP BY 1, 2)""", uses=("experts",))
+_SHIFTS = (-2, -1, 0, 1, 2, 3)
+
+
+@query(f"""SELECT agent, k, n, {r('mae', digits=9)}, {r('corr', 'equity_end', 'max_dd')}, CAST(row_number() OVER (PARTITION BY agent ORDER BY round(mae, 12), k) AS INTEGER) AS rank FROM (
+  SELECT agent, k, count(*) AS n, avg(abs(t - g)) AS mae, corr(t, g) AS corr, arg_max(eq, date) AS equity_end, min(eq / peak - 1) AS max_dd FROM (
+    SELECT *, max(eq) OVER (PARTITION BY agent, k ORDER BY date) AS peak FROM (SELECT *, exp(sum(ln(1 + g)) OVER (PARTITION BY agent, k ORDER BY date)) AS eq FROM (
+      SELECT agent, date, ratio * ret AS t, unnest({list(_SHIFTS)}) AS k, unnest([{", ".join(f"lag(ratio, {k}) OVER v * ret" if k >= 0 else f"lead(ratio, {-k}) OVER v * ret" for k in _SHIFTS)}]) AS g FROM experts WINDOW v AS (PARTITION BY agent ORDER BY date)) WHERE g IS NOT NULL)) GROUP BY 1, 2)""", uses=("experts",))
 def audit_hypotheses(spark: SparkSession, d: str) -> DataFrame:
+    """Six guesses of which day's position earned a return, ranked, with the equity and drawdown that each would have made."""
     log = experts(spark, d).withColumn("target", F.col("ratio") * F.col("ret"))
-    return rounded(rounded(au.lag_hypotheses(log, "ratio", "ret", "target", "agent"), "mae", digits=9), "corr")
+    return rounded(rounded(au.lag_hypotheses(log, "ratio", "ret", "target", "agent", _SHIFTS), "mae", digits=9), "corr", "equity_end", "max_dd")
 
 
-@query(f"""SELECT symbol, k AS definition, count(v) AS n, round(avg(abs(t - v)), 6) + 0.0 AS mae FROM (SELECT symbol, close / p - 1 AS t, unnest(['close_close', 'open_close', 'close_open', 'log']) AS k, unnest([close / p - 1, close / open - 1, open / p - 1, ln(close / p)]) AS v FROM (SELECT *, lag(close) OVER {W} AS p FROM bars)) WHERE t IS NOT NULL GROUP BY 1, 2""")
+_IMPLIED = {"own": "x / p", "own_cost": "(x + cost) / p", "before": "x / pp", "before_cost": "(x + cost) / pp"}
+_RETURNS = {"oc_same": "close / open - 1", "cc_same": "close / lc - 1", "oc_next": "nc / no - 1", "cc_next": "nc / close - 1"}
+
+
+@query(f"""SELECT symbol, implied, definition, n, {r('mae', 'rmse', 'corr')}, CAST(row_number() OVER (PARTITION BY symbol ORDER BY round(coalesce(corr, -1), 6) DESC, round(rmse, 6), round(mae, 6), n DESC, implied, definition) AS INTEGER) AS rank FROM (
+  SELECT symbol, implied, definition, count(a - b) AS n, avg(abs(a - b)) AS mae, sqrt(avg((a - b) * (a - b))) AS rmse, corr(a, b) AS corr FROM (
+    SELECT symbol, implied, a, unnest({list(_RETURNS)}) AS definition, unnest([{", ".join(_RETURNS.values())}]) AS b FROM (
+      SELECT *, unnest({list(_IMPLIED)}) AS implied, unnest([{", ".join(_IMPLIED.values())}]) AS a FROM (
+        SELECT *, lag(p) OVER v AS pp, lag(p) OVER v * (close / lag(close) OVER v - 1) - 0.001 * coalesce(abs(p - lag(p) OVER v), 0) AS x, 0.001 * coalesce(abs(p - lag(p) OVER v), 0) AS cost, lag(close) OVER v AS lc, lead(close) OVER v AS nc, lead(open) OVER v AS no
+        FROM (SELECT *, 0.5 + (day(date) % 4) / 8 AS p FROM bars) WINDOW v AS (PARTITION BY symbol ORDER BY date)))) GROUP BY 1, 2, 3)""")
 def audit_implied_ret(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(au.implied_returns(bars(spark, d)), "mae")
+    """Returns that a log of positions implies, against four definitions of a day's return: the log earned the change of closes on the position of the day before, less costs."""
+    w = Window.partitionBy("symbol").orderBy("date")
+    log = bars(spark, d).withColumn("pos", 0.5 + (F.day("date") % 4) / 8)
+    cost = 0.001 * F.coalesce(F.abs(F.col("pos") - F.lag("pos").over(w)), F.lit(0.0))
+    log = log.withColumn("cost", cost).withColumn("ret", F.lag("pos").over(w) * (F.col("close") / F.lag("close").over(w) - 1) - F.col("cost"))
+    return rounded(au.implied_returns(log), "mae", "rmse", "corr")
 
 
 @query(f"SELECT symbol, count(x) AS n_known, count(x) = 0 AS ok FROM (SELECT symbol, {over('avg', 'close', 14, 14)} AS x, row_number() OVER {W} AS n FROM bars) WHERE n <= 13 GROUP BY 1")
@@ -410,7 +493,7 @@ def audit_no_backfill(spark: SparkSession, d: str) -> DataFrame:
     return au.no_backfill(bars(spark, d).withColumn("x", roll(F.avg, "close", 14, 14)), "x", 13)
 
 
-@query(f"SELECT 'reward' AS audit, count(*) AS n, bool_and(ok) AS ok FROM (SELECT max(abs(logged - p)) <= 1e-12 AS ok FROM (SELECT *, lag(reward_next) OVER (PARTITION BY agent ORDER BY date) AS p FROM logged) GROUP BY agent) UNION ALL SELECT 'backfill', count(DISTINCT symbol), true FROM bars", uses=("bars", "experts"), more=_LOGGED)
+@query(f"""SELECT 'reward' AS audit, count(*) AS n, bool_and(ok) AS ok FROM (SELECT max(abs(logged - p)) <= 1e-12 AS ok FROM (SELECT *, lag(reward_next) OVER (PARTITION BY agent ORDER BY date) AS p FROM logged) GROUP BY agent) UNION ALL SELECT 'backfill', count(DISTINCT symbol), true FROM bars""", uses=("bars", "experts"), more=_LOGGED)
 def audit_summary(spark: SparkSession, d: str) -> DataFrame:
     one = lambda name, df: df.agg(F.count(F.lit(1)).alias("n"), F.bool_and("ok").alias("ok")).select(F.lit(name).alias("audit"), "n", "ok")
     return one("reward", audit_reward_align(spark, d)).unionByName(one("backfill", audit_no_backfill(spark, d)))

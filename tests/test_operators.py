@@ -6,6 +6,7 @@ import os
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barograph.functions import calendar as cal
@@ -458,3 +459,35 @@ def test_windows_are_the_same_for_any_ranges(spark):
         assert one.select(tn.inverse(tn.target(F.col("n"), F.col("c"), mode), F.col("c"), mode)).first()[0] == pytest.approx(10.0)
     assert one.select(tn.inverse(F.lit(500.0), F.col("c"), "logret")).first()[0] == pytest.approx(8 * np.exp(20))
     assert one.select(tn.target(F.col("n"), F.lit(0.0), "ret"), tn.inverse(F.lit(0.1), F.lit(-1.0), "delta"), tn.inverse(F.lit(None).cast("double"), F.col("c"), "logret")).first() == (None, None, None)
+
+
+def test_reward_alignment_checks_equity_too(spark):
+    rows = [(a, day(i), 0.01 * (i % 3), 0.01 * ((i - 1) % 3) if i else 0.0) for a in ("x", "y", "z") for i in range(9)]
+    log = spark.createDataFrame(rows, "agent string, date date, reward_next double, logged double")
+    w = Window.partitionBy("agent").orderBy("date")
+    log = log.withColumn("equity", 5 * F.exp(F.sum(F.log1p("logged")).over(w)))
+    off = (F.col("agent") == "z") & (F.col("date") == F.lit(day(4)))
+    log = log.withColumn("equity", F.when(off, F.col("equity") * 1.01).otherwise(F.col("equity")))
+    log = log.withColumn("logged", F.when((F.col("agent") == "y") & (F.col("date") == F.lit(day(6))), 0.5).otherwise(F.col("logged")))
+    got = {r["agent"]: r for r in au.reward_alignment(log, equity="equity").collect()}
+    assert (got["x"]["ok"], got["y"]["ok"], got["z"]["ok"]) == (True, False, False)
+    assert got["y"]["worst_date"] == day(6) and got["z"]["max_error"] <= 1e-12 and got["z"]["equity_error"] == pytest.approx(0.01 / 1.01)
+
+
+def test_implied_returns_rank_the_true_pair_first(spark):
+    rng = np.random.default_rng(6)
+    close = 100 * np.cumprod(1 + rng.normal(0, 0.02, 60))
+    opened, pos = close * (1 + rng.normal(0, 0.01, 60)), rng.uniform(0.2, 1, 60)
+    rows = [("s", day(i), float(opened[i]), float(close[i]), float(pos[i]), float(pos[i - 1] * (close[i] / close[i - 1] - 1)) if i else None, 0.0) for i in range(60)]
+    out = au.implied_returns(spark.createDataFrame(rows, "symbol string, date date, open double, close double, pos double, ret double, cost double"))
+    assert out.count() == 16
+    best = out.orderBy("rank").first()
+    assert (best["implied"], best["definition"], best["n"]) == ("before", "cc_same", 59) and best["mae"] < 1e-12
+
+
+def test_monthly_matches_by_hand(spark):
+    rows = [(datetime.date(2024, m, i + 1), k, float(v)) for m, k, v in ((1, 0, 10), (1, 1, 20), (2, 0, 19), (2, 1, 12), (3, 2, 11), (3, 0, 40)) for i in range(3)]
+    df = spark.createDataFrame(rows, "date date, k int, v double")
+    got = {(r["month"], r["previous"], r["current"], r["distance"], r["kept"], r["kept_rate"]) for r in ag.monthly_matches(df, "k", ["v"], F.when(F.max("v") > 15, "high").otherwise("low")).collect()}
+    # Months of 1: 0 is near 1 (2) and 1 near 0 (1); of February: 1 is near 2 (1), 0 is left with 0 (21).
+    assert got == {("2024-01", 1, 0, 1.0, True, 1.0), ("2024-01", 0, 1, 2.0, True, 1.0), ("2024-02", 1, 2, 1.0, False, 0.5), ("2024-02", 0, 0, 21.0, True, 0.5)}
