@@ -1,4 +1,4 @@
-"""The live router over many books, day by day and as a batch."""
+"""The live router over many books, day by day and as a batch; late and repeated deliveries."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from barograph.plans.registry import query, rounded
 from barograph.plans.routing_queries import _MORE, Base, base
 from barograph.sources.bars import regimes
 from barograph.sources.tables import materialize, shared_folder, table
+from barograph.streaming import live
 from barograph.streaming import router as lr
 
 #: Years of the test tables' days; each is a part that the stream is started for.
@@ -75,3 +76,18 @@ def seq_live_router(spark: SparkSession, d: str) -> DataFrame:
 def seq_live_router_batch(spark: SparkSession, d: str) -> DataFrame:
     b = base(spark, d)
     return _out(lr.route_all(_books(spark, d, b), _settings(b)))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT 'too late', count(*) FROM events WHERE CAST(ts AS DATE) = (SELECT min(CAST(ts AS DATE)) FROM events)", uses=())
+def stream_late_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Events in three deliveries, in order of time and each twice; the first day's come again with the last, too late by far."""
+    events = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    days = [r["day"] for r in events.select(F.to_date("ts").alias("day")).distinct().orderBy("day").collect()]  # a row a day
+    edges = [days[0], days[len(days) // 3], days[2 * len(days) // 3]]
+    day = F.to_date("ts")
+    part = lambda i: events.where(day >= F.lit(edges[i])) if i == 2 else events.where((day >= F.lit(edges[i])) & (day < F.lit(edges[i + 1])))
+    parts = [part(i).unionByName(part(i)) for i in range(3)]
+    parts[2] = parts[2].unionByName(events.where(day == F.lit(days[0])))
+    got = live.deliver(parts, lambda s: live.first_of_each(s, ["event_id"], "2 hours"))
+    late = spark.createDataFrame([("too late", got.dropped)], "event_type string, n bigint")
+    return got.rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).unionByName(late)

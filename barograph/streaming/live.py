@@ -7,6 +7,8 @@ its number, so one that runs again after a failure replaces what it wrote.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,3 +84,33 @@ def last_ticks(ticks: DataFrame, keys: list[str], order: str, value: str) -> Dat
 def first_of_each(stream: DataFrame, keys: list[str], late: str = "2 hours") -> DataFrame:
     """One row of each key within the watermark: idempotent deliveries."""
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+
+
+class Delivered(NamedTuple):
+    """``rows``: what the stream gave; ``dropped``: rows that came behind the watermark; ``kept``: keys in the state at the end."""
+
+    rows: DataFrame
+    dropped: int
+    kept: int
+
+
+def deliver(parts: Iterable[DataFrame], plan: Callable[[DataFrame], DataFrame]) -> Delivered:
+    """Appends each part to a folder, in order of time, and runs ``plan`` on the stream of its files until it has taken it; each run
+    starts from the checkpoint of the one before. The watermark keeps its bound, so rows that come too late are dropped and counted."""
+    place = spark = schema = out = None
+    dropped = kept = 0
+    for part in parts:
+        spark, schema = part.sparkSession, part.schema
+        place = place or _place(part)
+        part.write.mode("append").parquet(f"{place}/in")
+        stream = plan(spark.readStream.schema(schema).parquet(f"{place}/in"))
+        out = stream.schema
+        query = stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        for progress in query.recentProgress:
+            for operator in progress.stateOperators:
+                dropped += operator.numRowsDroppedByWatermark
+                kept = operator.numRowsTotal
+    if place is None:
+        raise ValueError("nothing to deliver")
+    return Delivered(spark.read.schema(out).parquet(f"{place}/out"), dropped, kept)

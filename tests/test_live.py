@@ -53,3 +53,15 @@ def test_step_by_hand():
     book, (_, candidates, branches, _, _) = lr.step(book, one | {"date": day(2), "regime_id": 2}, SETTINGS)
     assert (candidates, branches) == ([0], ["A", "B"])  # D is in no list that was expected
     assert lr.next_regimes(book._replace(moves={(2, 1): (3, 5), (2, 0): (3, 2), (2, 2): (4, 9)}), 2) == [2, 0]
+
+
+def test_state_forgets_keys_behind_the_watermark(spark):
+    from barograph.streaming import live
+
+    at = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+    part = lambda hours: spark.createDataFrame([(h, at(h)) for h in hours], "event_id long, ts timestamp")
+    plan = lambda s: live.first_of_each(s, ["event_id"], "2 hours")
+    got = live.deliver([part(range(50)), part([*range(50, 100), 49]), part([100, 101, 3, 4, 5])], plan)
+    assert got.rows.count() == 102 and got.dropped == 3 and got.kept < 10
+    with pytest.raises(ValueError, match="nothing"):
+        live.deliver([], plan)
