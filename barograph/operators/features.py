@@ -53,23 +53,22 @@ _BASE, _PRICE, _EXTRA = ("gap", "atr_norm"), ("oc_ret", "ret_1", "ret_5", "ret_2
 _LABELS, _RAW = ("label", "available", "target", "y_"), ("open", "high", "low", "close", "volume")
 
 
-def observation_columns(df: DataFrame, profile: str, prefix: str = "dprime_") -> list[str]:
-    """The columns of profile A, B, C or D: own embeddings and gap and range; scale-free prices; indicators; all numbers but
-    labels, what is of the next day, and raw prices. Each profile has those of the one before."""
-    own = [c for c in df.columns if c.startswith(prefix)]
-    base = [*own, *[c for c in _BASE if c in df.columns]]
-    if profile == "A":
-        return base
-    price = [*base, *[c for c in _PRICE if c in df.columns]]
-    if profile == "B":
-        return price
-    if profile == "C":
-        return [*price, *[c for c in _EXTRA if c in df.columns]]
-    if profile != "D":
+#: Columns of a profile besides a table's own embeddings; D takes every number that is no label, not of the next day and no raw price.
+PROFILES = {"A": _BASE, "B": (*_BASE, *_PRICE), "C": (*_BASE, *_PRICE, *_EXTRA), "D": None}
+_NUMBERS = {"double", "float", "int", "bigint", "smallint", "tinyint"}
+
+
+def observation_columns(df: DataFrame, profile: str, prefix: str) -> list[str]:
+    """The columns of a profile that the table has, after those that begin with ``prefix``."""
+    if profile not in PROFILES:
         raise ValueError(f"unknown profile: {profile}")
-    numbers = [c for c, kind in df.dtypes if kind in ("double", "float", "int", "bigint", "smallint", "tinyint")]
-    good = [c for c in numbers if not any(k in c.lower() for k in _LABELS) and "_next" not in c.lower() and c not in _RAW]
-    return [*own, *[c for c in good if c not in own]]
+    kinds = dict(df.dtypes)
+    wanted = PROFILES[profile]
+    if wanted is None:
+        hidden = (*_LABELS, "_next")
+        wanted = [c for c in kinds if kinds[c] in _NUMBERS and c not in _RAW and not any(word in c.lower() for word in hidden)]
+    own = [c for c in kinds if c.startswith(prefix)]
+    return own + [c for c in wanted if c in kinds and c not in own]
 
 
 def candle(df: DataFrame) -> DataFrame:

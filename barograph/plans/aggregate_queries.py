@@ -423,7 +423,7 @@ def proj_obs_profile(spark: SparkSession, d: str) -> DataFrame:
     """The columns that each nested profile takes of a table that also has prices and labels."""
     df = sq.rsi(ft.returns(ft.atr_norm(ft.gap(bars(spark, d))), (1, 5)))
     df = df.withColumns({"close_next": F.col("close"), "label_up": F.lit(1)})
-    names = [F.struct(F.lit(p).alias("profile"), F.lit(c).alias("name")) for p in "ABCD" for c in ft.observation_columns(df, p)]
+    names = [F.struct(F.lit(p).alias("profile"), F.lit(c).alias("name")) for p in "ABCD" for c in ft.observation_columns(df, p, "emb_")]
     return df.select("symbol").distinct().select("symbol", F.explode(F.array(*names)).alias("x")).select("symbol", "x.*")
 
 
