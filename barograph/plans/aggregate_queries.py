@@ -9,6 +9,7 @@ from barograph.functions.windows import change
 from barograph.operators import aggregates as ag
 from barograph.operators import audits as au
 from barograph.operators import features as ft
+from barograph.operators import reports as rp
 from barograph.operators import sequential as sq
 from barograph.operators import timings as tm
 from barograph.plans.registry import W, over, query, r, rounded
@@ -366,6 +367,24 @@ def agg_report_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(m.join(hold, "agent").select("agent", "n", "mean_hold", (F.pow("multiple", 365.25 / F.col("days")) - 1).alias("cagr")), "mean_hold", "cagr")
 
 
+_LOGS = """eq AS (SELECT agent, date, CASE WHEN agent <> 'AF' THEN ret END AS ret, ratio - 0.3 AS ratio, exp(sum(ln(1 + ret)) OVER (PARTITION BY agent ORDER BY date)) AS equity, CASE WHEN agent IN ('AF', 'NO') THEN CASE WHEN date >= DATE '1997-01-01' THEN ' Test' ELSE 'train' END END AS split FROM experts),
+  cs AS (SELECT *, bool_or(coalesce(lower(trim(split)) = 'test', false)) OVER (PARTITION BY agent) AS has FROM eq),
+  tr AS (SELECT *, CASE WHEN has THEN 'split=test' ELSE 'date>=1996-01-01' END AS basis FROM cs WHERE CASE WHEN has THEN coalesce(lower(trim(split)) = 'test', false) ELSE date >= DATE '1996-01-01' END),
+  rr AS (SELECT *, CASE WHEN count(ret) OVER (PARTITION BY agent) = 0 THEN round(equity / lag(equity) OVER (PARTITION BY agent ORDER BY date) - 1, 12) ELSE ret END AS r, equity / max(equity) OVER (PARTITION BY agent ORDER BY date) - 1 AS dd, abs(ratio) > 0.01 AS held, sum(CASE WHEN abs(ratio) > 0.01 THEN 0 ELSE 1 END) OVER (PARTITION BY agent ORDER BY date) AS run FROM tr),
+  hl AS (SELECT agent, avg(n) AS hold FROM (SELECT agent, run, count(*) AS n FROM rr WHERE held GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query(f"""SELECT agent, basis, derived, test_days, {r('total_return_pct', 'max_dd_pct', 'avg_daily_ret', 'win_rate', 'sharpe', 'vol_annual', 'avg_hold_days')} FROM (
+  SELECT agent, any_value(basis) AS basis, count(ret) = 0 AS derived, count(*) AS test_days, (arg_max(equity, date) / arg_min(equity, date) - 1) * 100 AS total_return_pct, min(dd) * 100 AS max_dd_pct, avg(r) AS avg_daily_ret, avg(CASE WHEN r > 0 THEN 1.0 WHEN r IS NOT NULL THEN 0.0 END) AS win_rate,
+         avg(r) / stddev_samp(r) * sqrt(252) AS sharpe, stddev_samp(r) * sqrt(252) AS vol_annual, any_value(hold) AS avg_hold_days FROM rr LEFT JOIN hl USING (agent) GROUP BY 1)""", uses=("experts",), more=_LOGS)
+def agg_report_fallbacks(spark: SparkSession, d: str) -> DataFrame:
+    """Logs with and without a split, and one whose returns are only in its equity."""
+    e = experts(spark, d).withColumn("equity", F.exp(F.sum(F.log1p("ret")).over(Window.partitionBy("agent").orderBy("date"))))
+    split = F.when(F.col("agent").isin("AF", "NO"), F.when(F.col("date") >= F.lit("1997-01-01").cast("date"), " Test").otherwise("train"))
+    log = e.select("agent", "date", split.alias("split"), F.when(F.col("agent") != "AF", F.col("ret")).alias("ret"), "equity", (F.col("ratio") - 0.3).alias("ratio"))
+    return rounded(rp.report(log, ["agent"], "1996-01-01"), "total_return_pct", "max_dd_pct", "avg_daily_ret", "win_rate", "sharpe", "vol_annual", "avg_hold_days")
+
+
 @query("SELECT k AS \"column\", round(avg(abs(p - t)), 4) + 0.0 AS mae, round(corr(p, t), 4) + 0.0 AS corr, count(t) AS n FROM (SELECT unnest(['pred_01', 'pred_05', 'pred_10', 'pred_20']) AS k, unnest([pred_01, pred_05, pred_10, pred_20]) AS p, close AS t FROM forecasts) GROUP BY 1", uses=("bars", "forecasts"))
 def agg_calib_quality(spark: SparkSession, d: str) -> DataFrame:
     long = forecasts(spark, d).unpivot(["symbol", "date", "close"], [f"pred_{h:02d}" for h in HORIZONS], "column", "p")

@@ -491,3 +491,21 @@ def test_monthly_matches_by_hand(spark):
     got = {(r["month"], r["previous"], r["current"], r["distance"], r["kept"], r["kept_rate"]) for r in ag.monthly_matches(df, "k", ["v"], F.when(F.max("v") > 15, "high").otherwise("low")).collect()}
     # Months of 1: 0 is near 1 (2) and 1 near 0 (1); of February: 1 is near 2 (1), 0 is left with 0 (21).
     assert got == {("2024-01", 1, 0, 1.0, True, 1.0), ("2024-01", 0, 1, 2.0, True, 1.0), ("2024-02", 1, 2, 1.0, False, 0.5), ("2024-02", 0, 0, 21.0, True, 0.5)}
+
+
+def test_reports_fall_back(spark):
+    from barograph.operators import reports as rp
+
+    rows = [("eq", day(i), "test" if i else "train", None, e, 0.5) for i, e in enumerate([1.0, 2.0, None, 3.0, 1.5])]
+    rows += [("flat", day(i), None, 0.01, None, 0.0) for i in range(3)] + [("early", day(0), None, 0.1, 1.0, 1.0)] + [("zero", day(i), "TEST ", x, 0.0, h) for i, (x, h) in enumerate([(0.1, 1.0), (-0.1, 0.0), (0.2, -1.0), (0.0, 0.3)])]
+    df = spark.createDataFrame(rows, "k string, date date, split string, ret double, equity double, ratio double")
+    got = {r["k"]: r for r in rp.report(df, ["k"], str(day(1))).collect()}
+    e = got["eq"]
+    assert (e["basis"], e["derived"], e["test_days"], e["avg_hold_days"]) == ("split=test", True, 4, 4.0)
+    assert e["total_return_pct"] == pytest.approx(-25) and e["max_dd_pct"] == pytest.approx(-50) and e["avg_daily_ret"] == pytest.approx(0.0) and e["win_rate"] == 0.5
+    f = got["flat"]
+    assert (f["basis"], f["test_days"], f["sharpe"], f["avg_hold_days"], f["total_return_pct"]) == (f"date>={day(1)}", 2, None, None, None)
+    assert (got["early"]["basis"], got["early"]["test_days"]) == (None, 0)
+    z = got["zero"]
+    assert z["total_return_pct"] is None and z["max_dd_pct"] is None and z["avg_hold_days"] == 1.5 and z["win_rate"] == 0.5
+    assert {r["basis"] for r in rp.report(df.drop("split").withColumn("split", F.lit(None).cast("string")), ["k"]).collect()} == {"all_rows"}
