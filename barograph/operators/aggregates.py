@@ -116,6 +116,31 @@ def percentiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.percentile(value, 0.5).alias("p50"), F.percentile(value, 0.95).alias("p95"), F.max(value).alias("high"))
 
 
+#: A profile's labels, in the order in which they are tried.
+PANIC, RISING, FALLING, WILD_FALL, QUIET, REBOUND, UNCLEAR = "panic/volume spike", "上昇トレンド", "下降トレンド", "高ボラ下落", "低ボラ揉み合い", "深いDD後の反発初期", "mixed / unclear"
+#: Columns of a profile: medians of these features.
+PROFILE = ("ret_5", "ret_20", "ret_60", "ma_dev", "vol20", "dd20", "panic", "volume_z")
+
+
+def profile_labels(profile: DataFrame) -> DataFrame:
+    """Adds trend, vol, drawdown and panic scores from z-scores over the profiles (a row a label), their norm as ``separability``, and ``label``.
+
+    ``profile``: the columns PROFILE. A feature that does not vary, or is unknown, scores 0.
+    """
+    one = Window.partitionBy(F.lit(0))  # a row for each of few labels
+    z = lambda c: F.coalesce((F.col(c) - F.avg(c).over(one)) / F.nullif(F.stddev_pop(c).over(one), F.lit(0.0)), F.lit(0.0))
+    trend = z("ret_20") + z("ret_60") + z("ma_dev") - z("dd20") - 0.5 * z("vol20")
+    scores = {"trend": trend, "vol": z("vol20") + 0.5 * z("volume_z"), "drawdown": -z("dd20"), "panic_score": z("panic") + 0.5 * z("volume_z")}
+    out = profile.withColumns({k: F.round(v, 9) for k, v in scores.items()})
+    norm = F.sqrt(sum((F.col(k) * F.col(k) for k in scores), F.lit(0.0)))
+    t, v = F.col("trend"), F.col("vol")
+    label = (
+        F.when((F.col("panic_score") > 1) & (v > 0.75), PANIC).when((t > 1) & (v < 0.5), RISING).when((t < -1) & (v >= 0), FALLING).when((v > 1) & (F.col("ret_20") < 0), WILD_FALL)
+        .when((v < -0.5) & (F.abs(t) < 0.75), QUIET).when((F.col("dd20") < -0.08) & (F.col("ret_5") > 0) & (t > 0), REBOUND).otherwise(UNCLEAR)
+    )
+    return out.withColumns({"separability": norm, "label": label})
+
+
 def monthly_matches(df: DataFrame, label: str, columns: list[str], name: Column) -> DataFrame:
     """month, previous, current, distance, kept, kept_rate: each month's labels matched with the next month's, from the nearest
     medians on, each once; ``kept``: whether both have the same name (an aggregate of a label's rows over all months).

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barograph.functions.windows import change
+from barograph.functions.windows import change, ratio
 from barograph.operators import aggregates as ag
 from barograph.operators import audits as au
 from barograph.operators import features as ft
@@ -94,10 +94,24 @@ def agg_zscore_groups(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(out, "m"), "z_m", digits=4)
 
 
-@query("SELECT regime_id, CASE WHEN dd < -0.9 THEN 'stressed' WHEN trend > 0 AND vol < 1 THEN 'calm_up' WHEN trend > 0 THEN 'wild_up' ELSE 'down' END AS label FROM (SELECT regime_id, round(avg(close - open) / avg(open), 6) AS trend, round(stddev_pop(close) / avg(close), 6) AS vol, round(min(close) / max(close) - 1, 6) AS dd FROM bars JOIN regimes USING (date) GROUP BY 1)", uses=("bars", "regimes"))
+_LABEL_Z = lambda x: f"coalesce(({x} - avg({x}) OVER ()) / nullif(stddev_pop({x}) OVER (), 0), 0)"
+_PROFILES = f"""ft AS (SELECT symbol, date, close / nullif(lag(close, 5) OVER {W}, 0) - 1 AS ret_5, close / nullif(lag(close, 20) OVER {W}, 0) - 1 AS ret_20, close / nullif(lag(close, 60) OVER {W}, 0) - 1 AS ret_60,
+    close / nullif({over('avg', 'close', 20, 5)}, 0) - 1 AS ma_dev, {over('stddev_pop', 'r1', 20, 5)} * sqrt(252) AS vol20, close / nullif({over('max', 'close', 20, 1)}, 0) - 1 AS dd20, CASE WHEN r1 < -0.05 THEN 1.0 ELSE 0.0 END AS panic,
+    (volume - {over('avg', 'volume', 20, 5)}) / nullif({over('stddev_pop', 'volume', 20, 5)}, 0) AS volume_z FROM (SELECT *, close / nullif(lag(close) OVER {W}, 0) - 1 AS r1 FROM bars)),
+  pf AS (SELECT symbol || '-' || regime_id AS name, {", ".join(f"{'avg' if c == 'panic' else 'median'}({c}) AS {c}" for c in ag.PROFILE)} FROM ft JOIN regimes USING (date) GROUP BY 1),
+  sc AS (SELECT *, round({_LABEL_Z('ret_20')} + {_LABEL_Z('ret_60')} + {_LABEL_Z('ma_dev')} - {_LABEL_Z('dd20')} - 0.5 * {_LABEL_Z('vol20')}, 9) AS trend, round({_LABEL_Z('vol20')} + 0.5 * {_LABEL_Z('volume_z')}, 9) AS vol, round(-{_LABEL_Z('dd20')}, 9) AS drawdown, round({_LABEL_Z('panic')} + 0.5 * {_LABEL_Z('volume_z')}, 9) AS panic_score FROM pf)"""
+
+
+@query(f"""SELECT name, {r('trend', 'vol', 'drawdown', 'panic_score', digits=5)}, round(sqrt(trend * trend + vol * vol + drawdown * drawdown + panic_score * panic_score), 5) + 0.0 AS separability,
+  CASE WHEN panic_score > 1 AND vol > 0.75 THEN '{ag.PANIC}' WHEN trend > 1 AND vol < 0.5 THEN '{ag.RISING}' WHEN trend < -1 AND vol >= 0 THEN '{ag.FALLING}' WHEN vol > 1 AND ret_20 < 0 THEN '{ag.WILD_FALL}' WHEN vol < -0.5 AND abs(trend) < 0.75 THEN '{ag.QUIET}' WHEN dd20 < -0.08 AND ret_5 > 0 AND trend > 0 THEN '{ag.REBOUND}' ELSE '{ag.UNCLEAR}' END AS label FROM sc""", uses=("bars", "regimes"), more=_PROFILES)
 def agg_scores_label(spark: SparkSession, d: str) -> DataFrame:
-    s = bars(spark, d).join(regimes(spark, d), "date").groupBy("regime_id").agg(F.round(F.avg(F.col("close") - F.col("open")) / F.avg("open"), 6).alias("trend"), F.round(F.stddev_pop("close") / F.avg("close"), 6).alias("vol"), F.round(F.min("close") / F.max("close") - 1, 6).alias("dd"))
-    return s.select("regime_id", F.when(F.col("dd") < -0.9, "stressed").when((F.col("trend") > 0) & (F.col("vol") < 1), "calm_up").when(F.col("trend") > 0, "wild_up").otherwise("down").alias("label"))
+    """Scores and labels of each symbol's regimes, from medians of their features."""
+    w = Window.partitionBy("symbol").orderBy("date")
+    back = lambda n: ratio(F.col("close"), F.lag("close", n).over(w)) - 1
+    df = ft.evaluation(bars(spark, d)).withColumns({"ret_5": back(5), "ret_20": back(20), "ret_60": back(60), "panic": (F.coalesce(back(1), F.lit(0.0)) < -0.05).cast("double")})
+    name = F.concat_ws("-", "symbol", F.col("regime_id").cast("string"))
+    profile = df.join(regimes(spark, d), "date").groupBy(name.alias("name")).agg(*[(F.avg(c) if c == "panic" else F.percentile(c, 0.5)).alias(c) for c in ag.PROFILE])
+    return rounded(ag.profile_labels(profile).select("name", "trend", "vol", "drawdown", "panic_score", "separability", "label"), "trend", "vol", "drawdown", "panic_score", "separability", digits=5)
 
 
 @query("""SELECT agent, CAST(count(*) AS BIGINT) AS n, round(arg_max(eq, date) - 1, 6) + 0.0 AS total, round(avg(ret), 6) + 0.0 AS mean, round(coalesce(avg(ret) / nullif(stddev_pop(ret), 0) * sqrt(252), 0), 6) + 0.0 AS sharpe, round(min(eq / peak - 1), 6) + 0.0 AS max_dd, round(avg(t), 6) + 0.0 AS turnover FROM (

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barograph.functions.windows import fill_both
+from barograph.operators import horizons as hz
 from barograph.operators import relational as rel
 from barograph.plans.registry import W, query, r, rounded
 from barograph.sources.bars import bars, experts, forecasts, regimes
@@ -20,11 +21,14 @@ def proj_prefix(spark: SparkSession, d: str) -> DataFrame:
     return df.select(*KEY, *[c for c in df.columns if c.startswith(("clos", "vol"))])
 
 
-@query("SELECT symbol, date, pred_01 AS h01, pred_20 AS h20 FROM forecasts", uses=("bars", "forecasts"))
+@query("SELECT symbol, date, pred_01 AS h01, pred_05 * 2 AS h05, pred_20 AS h20 FROM forecasts", uses=("bars", "forecasts"))
 def proj_horizon_parse(spark: SparkSession, d: str) -> DataFrame:
-    df = forecasts(spark, d)
-    found = {int(c.rsplit("_", 1)[1]): c for c in df.columns if c.rsplit("_", 1)[-1].isdigit()}
-    return df.select(*KEY, F.col(found[min(found)]).alias("h01"), F.col(found[max(found)]).alias("h20"))
+    """Columns of several writers' names; of two for one horizon the scaled one counts, those of another model do not."""
+    p = {c: F.col(c) for c in ("pred_01", "pred_05", "pred_20")}
+    names = {"Pred_Close_h01": p["pred_01"], "Close_pred_h05": p["pred_05"], "Pred_Close_scaled_h05": p["pred_05"] * 2, "pred_close_t_plus_20": p["pred_20"], "pred_close_other_h20": p["pred_01"], "close_h30": p["pred_01"], "pred_close": p["pred_01"]}
+    df = forecasts(spark, d).select(*KEY, *[x.alias(n) for n, x in names.items()])
+    found = hz.horizon_columns(df.columns, without=("other",))
+    return df.select(*KEY, *[F.col(c).alias(f"h{h:02d}") for h, c in found.items()])
 
 
 @query("SELECT symbol, date, close, CAST(0 AS DOUBLE) AS per_week, CAST(1 AS INTEGER) AS n_placeholders FROM bars")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barograph.functions import calendar as cal
 from barograph.operators import aggregates as ag
 from barograph.operators import events as ev
+from barograph.operators import horizons as hz
 from barograph.operators import relational as rel
 from barograph.operators import sequential as sq
 from barograph.operators import signals as sg
@@ -249,10 +250,13 @@ def arr_delta_block(spark: SparkSession, d: str) -> DataFrame:
     return rounded(forecasts(spark, d).select(*KEY, F.explode(delta).alias("e")).select(*KEY, "e.*"), "delta", digits=2)
 
 
-@query("SELECT symbol, date, pred_05 AS h07, pred_20 AS h30, pred_01 AS h00 FROM forecasts", uses=("bars", "forecasts"))
+@query("SELECT symbol, date, unnest(range(1, 26)) AS h, unnest(list_transform(range(1, 26), lambda h: CASE WHEN h < 10 THEN pred_05 WHEN h < 20 THEN pred_10 ELSE pred_20 END)) AS forecast FROM forecasts", uses=("bars", "forecasts"))
 def arr_horizon_fill(spark: SparkSession, d: str) -> DataFrame:
-    near = lambda h: max((x for x in HORIZONS if x <= h), default=min(HORIZONS))
-    return forecasts(spark, d).select(*KEY, *[F.col(f"pred_{near(h):02d}").alias(f"h{h:02d}") for h in (7, 30, 0)])
+    """Horizons 1 to 25 of forecasts for 5, 10 and 20: each from the nearest lower one, the first from the nearest upper one."""
+    df = forecasts(spark, d).select(*KEY, *[F.col(f"pred_{h:02d}").alias(f"Pred_Close_t_plus_{h:02d}") for h in HORIZONS if h > 1])
+    filled, _ = hz.fill_horizons(df, range(1, 26), hz.horizon_columns(df.columns))
+    each = F.array(*[F.struct(F.lit(h).cast("long").alias("h"), F.col(f"h{h:02d}").alias("forecast")) for h in range(1, 26)])
+    return filled.select(*KEY, F.explode(each).alias("x")).select(*KEY, "x.*")
 
 
 @query("SELECT symbol, date, round(p[1], 2) + 0.0 AS a, round(p[1] + (p[2] - p[1]) * 0.5, 2) + 0.0 AS b, round(p[4], 2) + 0.0 AS c FROM (SELECT symbol, date, [pred_01, pred_05, pred_10, pred_20] AS p FROM forecasts)", uses=("bars", "forecasts"))

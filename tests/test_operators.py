@@ -509,3 +509,25 @@ def test_reports_fall_back(spark):
     z = got["zero"]
     assert z["total_return_pct"] is None and z["max_dd_pct"] is None and z["avg_hold_days"] == 1.5 and z["win_rate"] == 0.5
     assert {r["basis"] for r in rp.report(df.drop("split").withColumn("split", F.lit(None).cast("string")), ["k"]).collect()} == {"all_rows"}
+
+
+def test_horizons_by_name(spark):
+    from barograph.operators import horizons as hz
+
+    assert hz.horizon_columns(["a", "Pred_Close_h1", "pred_close_scaled_h1", "CLOSE_PRED_h010", "pred_h5", "pred_close_x_h7"], without=("_x_",)) == {1: "pred_close_scaled_h1", 10: "CLOSE_PRED_h010"}
+    assert hz.horizon_columns(["close_pred", "Pred_Close"]) == {1: "Pred_Close"} and hz.horizon_columns(["close"]) == {}
+    df = spark.createDataFrame([(5.0, 9.0)], "p5 double, p9 double")
+    out, sources = hz.fill_horizons(df, (1, 5, 7, 9, 20), {5: "p5", 9: "p9"})
+    assert sources == {1: 5, 5: 5, 7: 5, 9: 9, 20: 9} and tuple(out.first())[2:] == (5.0, 5.0, 5.0, 9.0, 9.0)
+    assert hz.fill_horizons(df, (2,), {})[0].first()["h02"] == 0.0
+
+
+def test_profile_labels(spark):
+    base = {c: 0.0 for c in ag.PROFILE}
+    rows = [("calm", {}), ("panic", {"panic": 9.0, "vol20": 9.0}), ("up", {"ret_20": 9.0, "ret_60": 9.0}), ("down", {"ret_20": -9.0, "ret_60": -9.0, "vol20": 4.0})]
+    df = spark.createDataFrame([(n, *(base | x).values()) for n, x in rows], "name string, " + ", ".join(f"{c} double" for c in ag.PROFILE))
+    got = {r["name"]: r for r in ag.profile_labels(df).collect()}
+    assert got["panic"]["label"] == ag.PANIC and got["up"]["label"] == ag.RISING and got["down"]["label"] == ag.FALLING
+    r = got["up"]
+    assert r["separability"] == pytest.approx((r["trend"] ** 2 + r["vol"] ** 2 + r["drawdown"] ** 2 + r["panic_score"] ** 2) ** 0.5)
+    assert ag.profile_labels(df.limit(1)).first()["label"] == ag.UNCLEAR
