@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from barograph.sources.paths import file_system
+
 FORMAT = "daily_snapshots"
 MANIFEST, POINTER = "manifest.jsonl", "CURRENT"
 #: What a row must have besides its own columns: which file it goes to, and its place there.
@@ -38,8 +40,7 @@ class SnapshotWriter(DataSourceArrowWriter):
         self.columns = json.loads(options.get("columns", "{}"))
 
     def _at(self, name: str) -> tuple[pafs.FileSystem, str]:
-        fs, path = pafs.FileSystem.from_uri(f"{self.place}/{name}") if "://" in self.place else (pafs.LocalFileSystem(), f"{self.place}/{name}")
-        return fs, path
+        return file_system(f"{self.place}/{name}")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         """Rows come sorted by kind and date; a new file begins with each."""

@@ -16,15 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from barograph.sources.paths import file_system
+
 FORMAT = "ready_markers"
 SCHEMA = "seq bigint, day date, hash string, payload string"
 READY = "READY"
 
 
-def _fs(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-
-
 def _read(fs: pafs.FileSystem, path: str) -> str:
     with fs.open_input_stream(path) as f:
         return f.read().decode()
@@ -32,7 +30,7 @@ def _read(fs: pafs.FileSystem, path: str) -> str:
 
 def write_marker(folder: str, name: str, status: str, day: str, digest: str) -> None:
     """Writes a marker beside its place and moves it there; other states of the same name go."""
-    fs, path = _fs(folder)
+    fs, path = file_system(folder)
     fs.create_dir(path, recursive=True)
     new = f"{path}/.{name}.{uuid.uuid4().hex}"
     with fs.open_output_stream(new) as f:
@@ -53,7 +51,7 @@ class MarkerReader(DataSourceStreamReader):
         self.folder, self.journal = options["path"], options["journal"]
 
     def _known(self) -> list[dict[str, Any]]:
-        fs, path = _fs(self.journal)
+        fs, path = file_system(self.journal)
         if fs.get_file_info(f"{path}/journal.json").type == pafs.FileType.NotFound:
             return []
         return [json.loads(x) for x in _read(fs, f"{path}/journal.json").splitlines()]
@@ -65,7 +63,7 @@ class MarkerReader(DataSourceStreamReader):
         """Takes down markers that are new. One that cannot be read, or is not READY, waits; no other day does."""
         known = self._known()
         keys, fresh = {(e["day"], e["hash"]) for e in known}, []
-        fs, path = _fs(self.folder)
+        fs, path = file_system(self.folder)
         for info in sorted(fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)), key=lambda i: i.base_name):
             if not info.base_name.endswith(f".{READY}.json") or info.base_name.startswith("."):
                 continue
@@ -80,7 +78,7 @@ class MarkerReader(DataSourceStreamReader):
                 fresh.append({"day": key[0], "hash": key[1], "payload": text})
         if fresh:
             known += fresh
-            to, place = _fs(self.journal)
+            to, place = file_system(self.journal)
             to.create_dir(place, recursive=True)
             with to.open_output_stream(f"{place}/.journal-new") as f:
                 f.write("".join(json.dumps(e) + "\n" for e in known).encode())

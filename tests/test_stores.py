@@ -114,6 +114,13 @@ def test_markers_come_once_each_and_a_late_one_delays_only_its_day(spark, tmp_pa
     assert take() == take() == ["2024-01-01:aa", "2024-01-03:cc", "2024-01-02:bb", "2024-01-01:new"]
 
 
+def test_local_paths_are_one_place(tmp_path):
+    from barograph.sources.paths import file_system
+
+    for path in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
+        assert file_system(path)[1] == str(tmp_path)
+
+
 def test_policies_are_the_row_by_row_version_s(spark, tmp_path):
     rng = np.random.default_rng(1)
     mlp = po.Policy([(rng.normal(size=(5, 3)), rng.normal(size=5)), (rng.normal(size=(1, 5)), np.array([0.1]))], rng.normal(size=3), np.array([1.0, 2.0, 0.5]))
