@@ -87,9 +87,7 @@ def _staged(tokenizer: str, end_id: int):
         width = encoder.dtype.itemsize
         for batch in batches:
             for part in kernels.slices(batch, "text", 1 << 21):
-                streams = encoder.encode(part.column("text").fill_null("").to_pylist())
-                data = b"".join(streams)
-                ends = np.cumsum([len(s) // width for s in streams])
+                data, ends = encoder.encode_column(part.column("text").fill_null(""))
                 docs = []
                 begin = 0
                 for own, end in zip(cuts(np.frombuffer(data, encoder.dtype), ends), ends.tolist(), strict=True):

@@ -29,6 +29,26 @@ def test_encoder_gives_the_library_s_ids():
             assert np.frombuffer(ids, own.dtype).tolist() == [*library.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_encoder_keeps_words_not_what_lines_and_marks_join():
+    own = Encoder(tables.path("byte_bpe_50k.json"), 0)
+    own.encode(["one two.\nThree two, two!!", "one two\nThree<|endoftext|>"])
+    assert own.known.keys() == {"one", " two", ".", ",", "!!", "\n", "Three", "Three<|endoftext|>"}
+
+
+def test_any_white_space_marks_and_added_tokens_give_the_library_s_ids():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path, rng = tables.path("byte_bpe_50k.json"), random.Random(5)
+    own, library = Encoder(path, 0), Tokenizer.from_file(path)
+    parts = [*" \n\t\r\x1c\x85\xa0\u1680\u2000\u2009\u2028\u202f\u205f\u3000\u200b\u3001\u2014\u00bf\u65e5\u00e9a1.,!'\"*<|>_\0", " ", " ", "\n\n", "bc", "don't", "Word.", " word", "<|endoftext|>", "\U0001f600"]
+    for _ in range(100):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(rng.randrange(40))]
+        for text, ids in zip(texts, own.encode(texts), strict=True):
+            assert np.frombuffer(ids, own.dtype).tolist() == [*library.encode(text, add_special_tokens=False).ids, 0]
+
+
 def test_store_gives_back_all_ids(spark):
     from tokenizers import Tokenizer
 
